@@ -175,3 +175,27 @@ def text_key() -> "F.Column":
 def rows(it: Iterator, *names: str) -> Iterator[list]:
     for batch in it:
         yield [batch.column(batch.schema.get_field_index(n)) for n in names]
+
+
+class Scratch:
+    """Tables written to the shared checkpoint folder, to cut lineage and to be read again after a loss."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        import uuid
+
+        checkpoint_dir(spark)
+        self.spark, self.base, self.n = spark, f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}", 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.base}/{self.n}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch_path = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table of ``cut`` that nothing reads any more."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

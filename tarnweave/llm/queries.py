@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import mark_duplicates
+from .simhash import simhash_components
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +15,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = simhash_components(table(spark, sf_dir, "documents"))
+    return marked.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.element_at("fp", 1)), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLES = {
