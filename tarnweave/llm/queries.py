@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import mark_duplicates
+from .mixing import mix
+from .secrets import listed, scan
 from .simhash import simhash_components
 
 
@@ -20,9 +22,23 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.element_at("fp", 1)), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("found").alias("spans")
+    )
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES = {
