@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import mark_duplicates
 from .mixing import mix
+from .quality import fit, held_out, score
 from .secrets import listed, scan
 from .simhash import simhash_components
 
@@ -34,10 +35,21 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+#: A text is kept, and predicted good, from this score on.
+GOOD = 0.3
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
 }
 
