@@ -6,8 +6,6 @@ is exactly what ``bytes.split()`` yields on UTF-8.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,12 +70,11 @@ class WordHasher:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        base = int(rng.integers(1, 1 << 62)) * 2 + 1
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.base = int(rng.integers(1, 1 << 62)) * 2 + 1
         space = np.zeros(256, bool)
         space[[32, 9, 10, 11, 12, 13]] = True
         self.space = space
-        self._tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     @staticmethod
     def _powers(base: int, n: int) -> np.ndarray:
@@ -85,14 +82,16 @@ class WordHasher:
         out[0] = 1
         return np.multiply.accumulate(out)
 
-    def _pair(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def _pair(self, n: int, factor: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the base (times an odd factor) and of its inverse, ``n`` at least."""
         size = 1 << max(12, int(n).bit_length())
-        if size not in self._tables:
-            pair = self._powers(self.base, size), self._powers(self.inverse, size)
-            if size > 4 * self.SEGMENT:
+        if (size, factor) not in self._tables:
+            base = (self.base * factor) & _M64
+            pair = self._powers(base, size), self._powers(pow(base, -1, 1 << 64), size)
+            if size > 2 * self.SEGMENT:
                 return pair
-            self._tables[size] = pair
-        return self._tables[size]
+            self._tables[size, factor] = pair
+        return self._tables[size, factor]
 
     def _segment(self, raw: np.ndarray) -> np.ndarray:
         if not len(raw):
@@ -125,8 +124,7 @@ class WordHasher:
         """Hash of the ``n`` words from each position on; another ``salt``, another hash."""
         if len(hashes) < n:
             return np.zeros(0, np.uint64)
-        base = (self.base * (2 * salt + 3)) & _M64
-        power, inverse = (self._pair(len(hashes) + 1) if salt is None else (self._powers(base, len(hashes) + 1), self._powers(pow(base, -1, 1 << 64), len(hashes) + 1)))
+        power, inverse = self._pair(len(hashes) + 1, 2 * salt + 3)
         prefix = np.zeros(len(hashes) + 1, np.uint64)
         np.cumsum(hashes * power[: len(hashes)], out=prefix[1:])
         return splitmix((prefix[n:] - prefix[:-n]) * inverse[: len(hashes) - n + 1] + np.uint64(n))
@@ -168,15 +166,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def text_key() -> "F.Column":
-    return F.xxhash64(F.col("text"))
-
-
-def rows(it: Iterator, *names: str) -> Iterator[list]:
-    for batch in it:
-        yield [batch.column(batch.schema.get_field_index(n)) for n in names]
-
-
 class Scratch:
     """Tables written to the shared checkpoint folder, to cut lineage and to be read again after a loss."""
 

@@ -11,6 +11,7 @@ from .mixing import mix
 from .quality import fit, held_out, score
 from .secrets import listed, scan
 from .simhash import simhash_components
+from .substring_dedup import remove_repeats
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +46,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_repeats(table(spark, sf_dir, "documents"), window=20, texts=False)
+    return cleaned.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
@@ -54,6 +61,17 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_substring_dedup": r"""
+        WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM texts),
+        windows AS (SELECT doc_id, s AS p, array_to_string(w[s:s + 19], ' ') AS win
+                    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM texts WHERE len(w) >= 20)),
+        later AS (SELECT doc_id, p FROM windows QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, p) > 1),
+        gone AS (SELECT DISTINCT doc_id, p + k AS p FROM later, range(0, 20) r(k)),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (doc_id)
+    """,
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
