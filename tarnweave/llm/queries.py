@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import mark_duplicates
+from .html_text import extract_pages
 from .mixing import mix
 from .quality import fit, held_out, score
 from .secrets import listed, scan
 from .simhash import simhash_components
 from .substring_dedup import remove_repeats
+from .url_filter import judge_urls
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +53,24 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+#: (verdict, host, path)
+URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_url_filter": op4_url_filter,
+    "op6_html_text": op6_html_text,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
