@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contaminated
 from .exact_dedup import mark_duplicates
 from .html_text import extract_pages
 from .mixing import mix
@@ -66,10 +67,16 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return pairs.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_url_filter": op4_url_filter,
+    "op5_decontaminate": op5_decontaminate,
     "op6_html_text": op6_html_text,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
