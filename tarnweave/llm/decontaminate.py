@@ -173,7 +173,7 @@ def _seeded(docs: DataFrame, text_col: str, block: list[tuple], size: int, share
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    size: int = 3, share: float = 0.5, fewest: int = 8, least: float = 0.5, block_words: int = 200_000,
+    size: int = 3, share: float = 0.75, fewest: int = 8, least: float = 0.4, block_words: int = 200_000,
 ) -> DataFrame:
     """One row a contaminated pair: id, item_id, score, begin and end (words of the text, end exclusive)."""
     small_batches(docs.sparkSession)
@@ -207,7 +207,7 @@ def contaminated(
 
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    size: int = 3, share: float = 0.5, fewest: int = 8, least: float = 0.5, block_words: int = 200_000,
+    size: int = 3, share: float = 0.75, fewest: int = 8, least: float = 0.4, block_words: int = 200_000,
 ) -> DataFrame:
     """``docs`` without the rows that match an item; columns unchanged."""
     small_batches(docs.sparkSession)
