@@ -9,6 +9,7 @@ from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import mark_duplicates
 from .html_text import extract_pages
+from .masked_lm import pseudo_likelihood
 from .mixing import mix
 from .quality import fit, held_out, score
 from .secrets import listed, scan
@@ -72,8 +73,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumnRenamed("id", "doc_id")
 
 
+def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_masked_lm": op2_masked_lm,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
