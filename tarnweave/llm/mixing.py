@@ -102,9 +102,8 @@ def _code_points(name: str | None) -> tuple:
 
 def mix(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    rows: DataFrame | None = None,
 ) -> DataFrame:
-    """One row an input row: id, tid (hash of the text), size, source_size, target, epochs (times the mix takes it), taken.
+    """One row an input row: id, src (its source), tid (hash of the text), size, source_size, target, epochs (times the mix takes it), taken.
 
     ``weights`` repeat over the sources in code-point order. One row a source reaches the driver.
     """
@@ -144,5 +143,5 @@ def mix(
     drawn = dealt.where(~inside).withColumn("plus", (place <= F.col("quota")).cast("long"))
     out = sure.unionByName(drawn)
     return out.join(plan, F.col("src").eqNullSafe(F.col("p_src")), "left").select(
-        "id", "tid", "size", "source_size", "target", (F.col("passes") + F.col("plus")).alias("epochs"), ((F.col("passes") + F.col("plus")) * F.col("size")).alias("taken")
+        "id", "src", "tid", "size", "source_size", "target", (F.col("passes") + F.col("plus")).alias("epochs"), ((F.col("passes") + F.col("plus")) * F.col("size")).alias("taken")
     )

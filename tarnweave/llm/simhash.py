@@ -108,8 +108,11 @@ def _links(classes: DataFrame, words: int, word_bits: int, radius: int, limit: i
     word = F.posexplode("fp").alias("k", "w")
     flips = F.expr(f"transform(sequence(-1, {word_bits - 1}), i -> CASE WHEN i < 0 THEN w ELSE w ^ shiftleft(1L, i) END)")
     balls = classes.select("cls", word).select("cls", "k", F.explode(flips).alias("v"))
-    key = ["v"] if words == 1 else ["k", "v"]
-    order = Window.partitionBy(*key).orderBy("cls")
+    if words > 1:
+        if word_bits > 56:
+            raise ValueError("several words take up to 56 bits each")
+        balls = balls.select("cls", F.expr(f"v | shiftleft(CAST(k AS BIGINT), {word_bits})").alias("v"))
+    order = Window.partitionBy("v").orderBy("cls")
     met = balls.select("cls", F.first("cls").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag("cls").over(order).alias("prev"))
     pairs = met.where(F.col("prev").isNotNull())
     if words == 1:
@@ -138,15 +141,16 @@ def simhash_components(
     return rows.join(labels, "cls").select("id", "tid", "fp", F.col("owner.id").alias("component_id"), "owner")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, words: int = 8, word_bits: int = 32, radius: int = 2, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, words: int = 8, word_bits: int = 32, radius: int = 2, similarity: float = 0.8, slack: float = 1.0) -> DataFrame:
     """``docs`` with one row of each component, the one with the least identifier; columns unchanged.
 
-    Fingerprints agree where the expected number of differing bits is that of two equally
-    long shingle sets of Jaccard ``similarity``: their cosine is 2s / (1 + s), and each bit
-    differs with probability angle / pi.
+    Two equally long shingle sets of Jaccard ``similarity`` s have the cosine 2s / (1 + s),
+    and each bit of their fingerprints differs with probability angle / pi. Pairs are linked
+    up to the number of bits expected at ``similarity`` plus ``slack`` standard deviations.
     """
     bits = words * word_bits
-    limit = round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    limit = round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
     marked = simhash_components(docs, id_col, text_col, size, words, word_bits, radius, limit)
     lost = marked.where(~(F.col("id").eqNullSafe(F.col("owner.id")) & (F.col("tid") == F.col("owner.tid")))).select("id", "tid").distinct()
     same = docs[id_col].cast("long").eqNullSafe(lost["id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == lost["tid"])
