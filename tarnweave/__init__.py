@@ -1,0 +1 @@
+"""Link analysis and document clustering on Spark DataFrames."""

@@ -1,0 +1 @@
+"""The engine has no streaming operators: both of its pipelines are batch."""
