@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..plans.lineage import Scratch
+
+__all__ = ["ARROW_ROWS", "WORD_PATTERN", "Scratch", "WordHasher", "encoded", "fresh", "signed", "small_batches", "splitmix", "table"]
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -27,12 +30,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder the cluster names; a default only where none is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken, name = {c.lower() for c in df.columns}, base
@@ -41,10 +38,6 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def words(text: str | None) -> list[bytes]:
-    return [] if text is None else text.encode("utf-8", "surrogatepass").split()
-
-
 def splitmix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser, vectorised."""
     x = x.astype(np.uint64, copy=True)
@@ -164,27 +157,3 @@ def encoded(column) -> list[bytes]:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
-
-
-class Scratch:
-    """Tables written to the shared checkpoint folder, to cut lineage and to be read again after a loss."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        import uuid
-
-        checkpoint_dir(spark)
-        self.spark, self.base, self.n = spark, f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}", 0
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table of ``cut`` that nothing reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
