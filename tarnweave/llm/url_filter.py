@@ -55,7 +55,7 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.where("src <> '' AND dst <> '' AND src <> dst").distinct()
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def propagate(hosts: DataFrame, edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
     """(host, mass): personalised PageRank of ``seeds`` (host, weight; weights sum to 1); what dead ends hold goes back to the seeds."""
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     steps = scratch.cut(edges.join(out, "src"))
@@ -80,7 +80,7 @@ def propagate(hosts: DataFrame, edges: DataFrame, seeds: DataFrame, scratch: Scr
     return now.select("host", "mass")
 
 
-def judge_hosts(ruled: DataFrame, edges: DataFrame, scratch: Scratch, seed_share: float = 0.95, least: float = 1.0, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def judge_hosts(ruled: DataFrame, edges: DataFrame, scratch: Scratch, seed_share: float = 0.95, least: float = 1.0, damping: float = 0.85, rounds: int = 30) -> DataFrame:
     """(host, trust, distrust, host_verdict) of every host that has a page or a link. ``ruled``: host and verdict (null without a rule) of each page."""
     pages = ruled.where("host <> ''").groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "allow").alias("allowed"), F.count_if(F.col("verdict") == "block").alias("blocked")
