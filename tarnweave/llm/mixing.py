@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN
+from .common import WORD_PATTERN, Scratch
 
 SLICES = 256
 
@@ -56,15 +56,16 @@ def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int) -> li
         for i in order:
             take[i] = int(counts[i])
         return take
-    for i in order:
-        take[i] = int(counts[i]) * int(budget) // total if total else 0
-    left = int(budget) - sum(take[i] * int(lengths[i]) for i in order)
     order.sort(key=lambda i: -lengths[i])
     top = int(lengths[order[0]]) if order else 0
-    for i in order:  # down to a remainder below the longest text, which the program then fits
-        if left < 2 * top:
+    even = max(0, int(budget) - 4 * top)  # what is left, some of the longest texts, is the program's to fit
+    for i in order:
+        take[i] = int(counts[i]) * even // total
+    left = int(budget) - sum(take[i] * int(lengths[i]) for i in order)
+    for i in order:
+        if left < 6 * top:
             break
-        n = min(int(counts[i]) - take[i], (left - top) // int(lengths[i]))
+        n = min(int(counts[i]) - take[i], (left - 4 * top) // int(lengths[i]))
         take[i] += n
         left -= n * int(lengths[i])
     # bounded knapsack: sums reachable with pieces of 1, 2, 4, ... texts of a length; the piece that first reached each
@@ -113,6 +114,7 @@ def mix(
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("src"), F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"), tid.alias("tid"), F.xxhash64(F.lit(seed), F.col(id_col), tid).alias("draw")
     ).withColumn("slice", F.pmod("draw", F.lit(SLICES)).cast("int"))
+    rows = Scratch(spark, "mix").cut(rows)  # the texts are read once
     cells = rows.groupBy("src", "size", "slice").agg(F.count(F.lit(1)).alias("n"))
     found = cells.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("total")).collect()
     found.sort(key=lambda r: _code_points(r[0]))
