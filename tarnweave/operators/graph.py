@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import Scratch
+from ..plans.lineage import Scratch, dealt
 
 #: Steps of an iteration that are planned as one query before lineage is cut.
 STEPS_A_PLAN = 5
@@ -149,8 +149,9 @@ def pagerank(edges: DataFrame, beta: float = 0.8, epsilon: float | None = 0.1, m
     scratch = Scratch(edges.sparkSession, "pagerank")
     peeled = remove_deadends(edges, scratch, multi_edges)
     n = peeled.n_nodes
-    ids = scratch.cut(nodes(peeled.edges))
-    matrix = scratch.cut(stochastic_matrix(peeled.edges, multi_edges))
+    # both sides of every step's joins stay dealt by node: a step shuffles its pre-aggregated products alone
+    ids = dealt(scratch.cut(nodes(peeled.edges)), "id")
+    matrix = dealt(scratch.cut(stochastic_matrix(peeled.edges, multi_edges)), "col")
     now, trace, steps, written = initial_vector(ids, n), [], 0, None
     while steps < max_iter and n:
         after = teleport(matvec(matrix, now), ids, beta, n)
@@ -173,6 +174,9 @@ def pagerank(edges: DataFrame, beta: float = 0.8, epsilon: float | None = 0.1, m
             trace.append((steps, change))
             if change < epsilon:
                 break
+    now = scratch.cut(now)
+    ids.unpersist()
+    matrix.unpersist()
     return Ranked(now, steps, trace, peeled)
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..plans.lineage import Scratch
 
 
 def term_frequency(docs: DataFrame, stop_words: Iterable[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,21 +28,27 @@ def kept_terms(df: DataFrame, n_docs: int, min_df: int = 50, max_df: float = 0.5
 
 
 def vocabulary(terms: DataFrame) -> DataFrame:
-    """(term, idx, df): columns in alphabetical order. Kept terms are few, so one task numbers them."""
-    from pyspark.sql import Window
-
-    return terms.select("term", (F.row_number().over(Window.orderBy("term")) - 1).cast("long").alias("idx"), "df")
+    """(term, idx, df): columns in alphabetical order, numbered inside ranges; only the ranges' counts are brought together."""
+    ranges = Scratch(terms.sparkSession, "vocabulary").cut(terms.select("term", "df").repartitionByRange("term").withColumn("part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("term"))
+    return ranges.withColumn("place", place).join(starts, "part").select("term", (F.col("before") + F.col("place") - 1).cast("long").alias("idx"), "df")
 
 
 def tfidf(docs: DataFrame, min_df: int = 50, max_df: float = 0.5, stop_words: Iterable[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tfidf) of kept terms; documents without one have no rows."""
+    """(doc_id, term, tfidf) of kept terms; documents without one have no rows.
+
+    Texts are dealt by document before they are taken apart, so term counts and norms need
+    no shuffle of their own.
+    """
     n_docs = docs.count()
-    tf = term_frequency(docs, stop_words, id_col, text_col)
+    tf = term_frequency(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id"), stop_words)
     terms = kept_terms(document_frequency(tf), n_docs, min_df, max_df)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1
     weights = tf.join(terms, "term").select("doc_id", "term", (F.col("tf") * idf).alias("w"))
-    norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.join(norms, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("tfidf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    return weights.select("doc_id", "term", (F.col("w") / norm).alias("tfidf"))
 
 
 def to_vectors(weights: DataFrame, vocab: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

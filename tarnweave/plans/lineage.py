@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,3 +34,18 @@ class Scratch:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dealt(df: DataFrame, column: str) -> DataFrame:
+    """``df`` persisted, dealt by ``column`` into the usual number of partitions, so that joins and sums by it need no shuffle.
+
+    Lost partitions are computed again from what ``df`` reads. The cached plan itself isn't
+    adaptive: later plans could not rely on its partitioning otherwise.
+    """
+    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), column).persist(StorageLevel.MEMORY_AND_DISK)
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)

@@ -56,25 +56,37 @@ def write_values(df: DataFrame, path: str, mode: str = "overwrite", sep: str = "
     df.select(F.concat_ws(sep, *[F.col(c).cast("string") for c in df.columns])).write.mode(mode).text(path)
 
 
-def read_corpus(spark: SparkSession, path, labeled: bool = True) -> DataFrame:
+def read_corpus(spark: SparkSession, paths, labeled: bool = True) -> DataFrame:
     """(doc_id, title, category, text) of records that blank lines separate, numbered in file order.
 
     The first line is the title, the second the category if ``labeled``; each text line
     keeps its line end. Runs of blank lines give no record; a record may have no text.
+    Files are split as usual: records are numbered inside each split, and only the counts
+    of the splits are brought together.
     """
-    records = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"(?:\r?\n[ \t]*){2,}")).alias("at", "record"))
-    records = records.withColumn("record", F.regexp_replace("record", r"^\s*\n|\n\s*$", "")).where(F.length(F.trim("record")) > 0)
-    lines = F.split("record", "\n")
+    meta = F.col("_metadata")
+    records = spark.read.option("lineSep", "\n\n").text(paths).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    records = records.withColumn("value", F.regexp_replace("value", r"^\n+|\n+$", "")).where("value <> ''")
+    places = records.withColumn("k", F.row_number().over(Window.partitionBy("file", "block").orderBy("at")))
+    counts = records.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("file").alias("s_file"), F.col("block").alias("s_block"), before.alias("before"))
+    lines = F.split("value", "\n")
     skip = 2 if labeled else 1
-    body = F.transform(F.slice(lines, skip + 1, F.greatest(F.size(lines), F.lit(1))), lambda x: F.concat(x, F.lit("\n")))
-    doc_id = (F.row_number().over(Window.orderBy("file", "at")) - 1).cast("long")
-    return records.select(
-        doc_id.alias("doc_id"), lines[0].alias("title"), (F.get(lines, F.lit(1)) if labeled else F.lit(None).cast("string")).alias("category"), F.array_join(body, "").alias("text")
+    body = F.transform(F.slice(lines, skip + 1, F.size(lines)), lambda x: F.concat(x, F.lit("\n")))
+    return places.join(starts, (F.col("file") == F.col("s_file")) & (F.col("block") == F.col("s_block"))).select(
+        (F.col("before") + F.col("k") - 1).cast("long").alias("doc_id"),
+        lines[0].alias("title"),
+        (F.get(lines, F.lit(1)) if labeled else F.lit(None).cast("string")).alias("category"),
+        F.array_join(body, "").alias("text"),
     )
 
 
 def cluster_listing(assigned: DataFrame) -> DataFrame:
-    """(cluster, listing): ``title(category)`` of each document of a cluster in document order; an empty title stays alone."""
+    """(cluster, listing): ``title(category)`` of each document of a cluster in document order; an empty title stays alone.
+
+    One row has all labels of a cluster, as the format wants; it is meant for reports.
+    """
     category = F.coalesce("category", F.lit(""))
     label = F.when(F.col("title") != "", F.concat("title", F.lit("("), category, F.lit(")"))).otherwise(F.col("title"))
     entries = F.sort_array(F.collect_list(F.struct(F.col("doc_id").alias("i"), label.alias("l"))))
