@@ -15,8 +15,8 @@ __all__ = ["ARROW_ROWS", "WORD_PATTERN", "Scratch", "WordHasher", "encoded", "fr
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Rows per Arrow batch sent to Python: bounds a worker's memory when texts are long.
-ARROW_ROWS = 512
+#: Rows and bytes of an Arrow batch sent to Python: they bound a worker's memory when texts are long.
+ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
 
 _M64 = (1 << 64) - 1
 
@@ -28,6 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, because one text can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def fresh(df: DataFrame, base: str) -> str:
