@@ -8,8 +8,10 @@ colliding pairs are deduplicated and verified on the whole fingerprint.
 With one 64-bit word the members of one variant are all within the radius of each other
 (at most 65 distinct fingerprints), so linking each to the first of them loses no link's
 connection. With several shorter words (``words`` > 1, a wider net for looser
-similarities) the rows of a variant are linked to the first and to the previous one in
-hash order, each pair verified; nothing is capped, and no group is gathered in memory.
+similarities) rows are first linked to the first row of each variant of two words and
+joined into components; then, over all words, a component stands on a variant as one and
+is paired with the variant's first row and with the one before. All pairs are verified,
+nothing is capped, and no group is gathered in memory.
 
 Defined results: a text without words (null, empty) has fingerprint zero and links like
 any other; rows that repeat a text share a fingerprint; null identifiers are labelled
@@ -67,10 +69,15 @@ def shingle_hashes(text: bytes, size: int, seed: int = 42) -> Iterator[np.ndarra
         yield np.array([digest(b" ".join(first), seed)], np.uint64)
 
 
-def fingerprint(text: bytes, size: int, words: int = 1, word_bits: int = 64, seed: int = 42) -> list[int]:
-    """``words`` signed integers of ``word_bits`` bits; more than 64 bits in all come from mixing each hash again."""
+def describe(text: bytes, size: int, words: int = 1, word_bits: int = 64, seed: int = 42, sketch: int = 0) -> tuple[list[int], np.ndarray]:
+    """Fingerprint and sketch of a text.
+
+    The fingerprint is ``words`` signed integers of ``word_bits`` bits; more than 64 bits in
+    all come from mixing each hash again. The sketch is the ``sketch`` least of the distinct
+    shingles' 31-bit hashes.
+    """
     chunks = math.ceil(words * word_bits / 64)
-    counts, n = np.zeros((chunks, 64), np.int64), 0
+    counts, n, least = np.zeros((chunks, 64), np.int64), 0, np.zeros(0, np.int32)
     for hashes in shingle_hashes(text.lower(), size, seed):
         n += len(hashes)
         for at in range(0, len(hashes), 1 << 14):
@@ -79,79 +86,125 @@ def fingerprint(text: bytes, size: int, words: int = 1, word_bits: int = 64, see
                 mixed = h if c == 0 else splitmix(h + np.uint64(c))
                 bits = np.unpackbits(mixed.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 counts[c] += bits.sum(axis=0, dtype=np.int64)
+            if sketch:
+                least = np.unique(np.concatenate((least, (h >> np.uint64(33)).astype(np.int32))))[:sketch]
     bits = (counts > n / 2).reshape(-1)[: words * word_bits]
     if word_bits == 64:
-        return np.packbits(bits, bitorder="little").view("<i8").tolist()
-    return [int(sum(1 << int(i) for i in np.flatnonzero(w))) for w in bits.reshape(words, word_bits)]
+        return np.packbits(bits, bitorder="little").view("<i8").tolist(), least
+    return [int(sum(1 << int(i) for i in np.flatnonzero(w))) for w in bits.reshape(words, word_bits)], least
+
+
+def fingerprint(text: bytes, size: int, words: int = 1, word_bits: int = 64, seed: int = 42) -> list[int]:
+    return describe(text, size, words, word_bits, seed)[0]
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, words: int, word_bits: int) -> DataFrame:
-    """id, tid (hash of the text), fp (array of words), one row an input row."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, words: int, word_bits: int, sketch: int = 0) -> DataFrame:
+    """id, tid (hash of the text), fp (array of words), sk (sketch), one row an input row."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            texts = encoded(b.column(2))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([fingerprint(t, size, words, word_bits) for t in texts], pa.list_(pa.int64()))], names=["id", "tid", "fp"]
-            )
+            found = [describe(t, size, words, word_bits, sketch=sketch) for t in encoded(b.column(2))]
+            prints, sketches = pa.array([f for f, _ in found], pa.list_(pa.int64())), pa.array([k for _, k in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), prints, sketches], names=["id", "tid", "fp", "sk"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tid"), F.col(text_col).alias("body"))
-    return rows.mapInArrow(run, "id long, tid long, fp array<long>")
+    return rows.mapInArrow(run, "id long, tid long, fp array<long>, sk array<int>")
 
 
-def _links(classes: DataFrame, words: int, word_bits: int, radius: int, limit: int) -> DataFrame:
-    """(a, b): verified pairs of class identifiers that meet on a variant within half the radius."""
-    half = radius - radius // 2
-    if half != 1:
-        raise ValueError("a radius of 1 or 2 bits a word is supported")
-    word = F.posexplode("fp").alias("k", "w")
-    flips = F.expr(f"transform(sequence(-1, {word_bits - 1}), i -> CASE WHEN i < 0 THEN w ELSE w ^ shiftleft(1L, i) END)")
-    balls = classes.select("cls", word).select("cls", "k", F.explode(flips).alias("v"))
-    if words > 1:
-        if word_bits > 56:
-            raise ValueError("several words take up to 56 bits each")
-        balls = balls.select("cls", F.expr(f"v | shiftleft(CAST(k AS BIGINT), {word_bits})").alias("v"))
-    order = Window.partitionBy("v").orderBy("cls")
-    met = balls.select("cls", F.first("cls").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag("cls").over(order).alias("prev"))
-    pairs = met.where(F.col("prev").isNotNull())
-    if words == 1:
-        pairs = pairs.select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
-        return pairs.where(F.expr(f"bit_count(a ^ b) <= {limit}"))
-    pairs = pairs.select("cls", F.explode(F.array("head", "prev")).alias("b")).select(F.col("cls").alias("a"), "b").distinct()
+def _flips(word_bits: int) -> "F.Column":
+    """``w`` and all of its variants with one other bit."""
+    return F.expr(f"transform(sequence(-1, {word_bits - 1}), i -> CASE WHEN i < 0 THEN w ELSE w ^ shiftleft(1L, i) END)")
+
+
+def _links(classes: DataFrame, limit: int) -> DataFrame:
+    """(a, b): verified pairs of single-word fingerprints (cls) that meet on a variant; each is linked to a variant's first."""
+    balls = classes.select("cls", F.element_at("fp", 1).alias("w")).select("cls", F.explode(_flips(64)).alias("v"))
+    first = F.first("cls").over(Window.partitionBy("v").orderBy("cls").rowsBetween(Window.unboundedPreceding, 0))
+    pairs = balls.select(F.col("cls").alias("a"), first.alias("b")).where("a <> b").distinct()
+    return pairs.where(F.expr(f"bit_count(a ^ b) <= {limit}"))
+
+
+def _wide_links(classes: DataFrame, words: int, word_bits: int, limit: int, both: bool) -> DataFrame:
+    """(a, b): verified pairs of ``classes`` (cls, comp, fp) of different comp that meet on a variant of one of the first ``words`` words.
+
+    On a variant the rows of one comp stand together; the first of each is paired with the
+    variant's first row and, for ``both``, with the row before it.
+    """
+    each = F.expr(f"explode(transform(sequence(0, {words - 1}), k -> struct(k, fp[k] AS w)))").alias("x")
+    balls = classes.select("cls", "comp", each).select("cls", "comp", F.col("x.k").alias("k"), F.col("x.w").alias("w"))
+    balls = balls.select("cls", "comp", "k", F.explode(_flips(word_bits)).alias("v")).select("cls", "comp", F.expr(f"v | shiftleft(CAST(k AS BIGINT), {word_bits})").alias("v"))
+    order = Window.partitionBy("v").orderBy("comp", "cls")
+    head = F.first("cls").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = balls.select("cls", "comp", head.alias("head"), F.lag("cls").over(order).alias("prev"), F.lag("comp").over(order).alias("before")).where("before <> comp")
+    pairs = rows.select(F.col("cls").alias("a"), F.explode(F.array_distinct(F.array("head", "prev"))).alias("b") if both else F.col("head").alias("b")).distinct()
     left, right = classes.select(F.col("cls").alias("a"), F.col("fp").alias("x")), classes.select(F.col("cls").alias("b"), F.col("fp").alias("y"))
     far = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, n) -> s + n)")
     return pairs.join(left, "a").join(right, "b").where(far <= limit).select("a", "b")
 
 
+def _similar(pairs: DataFrame, classes: DataFrame, similarity: float, sketch: int) -> DataFrame:
+    """Pairs whose shingle sets have that Jaccard similarity: among the least hashes of the union, the share that both have.
+
+    Exact for sets of up to ``sketch`` shingles together, else an estimate with a standard
+    deviation of sqrt(s (1 - s) / sketch).
+    """
+    left, right = classes.select(F.col("cls").alias("c"), F.col("sk").alias("x")), classes.select(F.col("cls").alias("d"), F.col("sk").alias("y"))
+    both = pairs.select(F.col("a").alias("c"), F.col("b").alias("d")).join(left, "c").join(right, "d")
+    union = F.slice(F.array_sort(F.array_union("x", "y")), 1, sketch)
+    both = both.select("c", "d", "x", "y", union.alias("u"))
+    share = F.size(F.array_intersect("u", F.array_intersect("x", "y"))) / F.greatest(F.size("u"), F.lit(1))
+    return both.where((share >= similarity) | (F.size("u") == 0)).select(F.col("c").alias("a"), F.col("d").alias("b"))
+
+
+def _all_links(classes: DataFrame, words: int, word_bits: int, radius: int, limit: int, similarity: float, sketch: int, scratch: Scratch) -> DataFrame:
+    """Links of all words; two words' variants are linked to their first rows before, so that large groups enter the whole net as few components."""
+    if radius not in (1, 2):
+        raise ValueError("a radius of 1 or 2 bits a word is supported")
+    if words == 1:
+        return _links(classes, limit)
+    if word_bits > 56:
+        raise ValueError("several words take up to 56 bits each")
+    classes = scratch.cut(classes)
+    met = lambda rows, n, both: _similar(_wide_links(rows, n, word_bits, limit, both), classes, similarity, sketch) if sketch else _wide_links(rows, n, word_bits, limit, both)
+    found = scratch.cut(connected(met(classes.withColumn("comp", F.col("cls")), min(2, words), False), scratch))
+    joined = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("comp"), "fp")
+    return found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(met(joined, words, True))
+
+
 def simhash_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, words: int = 1, word_bits: int = 64, radius: int = 2, limit: int | None = None
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, words: int = 1, word_bits: int = 64, radius: int = 2, limit: int | None = None,
+    similarity: float = 0.0, sketch: int = 0,
+) -> DataFrame:
     """One row an input row: id, tid, fp, component_id, owner (identifier and text hash of the component's first row)."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.cut(fingerprints(docs, id_col, text_col, size, words, word_bits))
+    fps = scratch.cut(fingerprints(docs, id_col, text_col, size, words, word_bits, sketch))
     cls = F.element_at("fp", 1) if words == 1 else F.xxhash64("fp")
-    rows = fps.withColumn("cls", cls)
+    rows = fps.select("id", "tid", "fp").withColumn("cls", cls)
     least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("tid").alias("tid")))
-    classes = rows.groupBy("cls").agg(F.first("fp").alias("fp"), least.alias("least"))
-    roots = connected(_links(classes.select("cls", "fp"), words, word_bits, radius, radius if limit is None else limit), scratch)
+    classes = rows.groupBy("cls").agg(least.alias("least"))
+    shapes = fps.withColumn("cls", cls).groupBy("cls").agg(F.first("fp").alias("fp"), *[F.first("sk").alias("sk")] * (sketch > 0))
+    roots = connected(_all_links(shapes, words, word_bits, radius, radius if limit is None else limit, similarity, sketch, scratch), scratch)
     named = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     owners = named.groupBy("root").agg(F.min("least").alias("owner"))
     labels = named.select("cls", "root").join(owners, "root").select("cls", "owner")
     return rows.join(labels, "cls").select("id", "tid", "fp", F.col("owner.id").alias("component_id"), "owner")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, words: int = 8, word_bits: int = 32, radius: int = 2, similarity: float = 0.8, slack: float = 1.0) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, words: int = 10, word_bits: int = 32, radius: int = 2, similarity: float = 0.8, slack: float = 2.0, sketch: int = 512,
+) -> DataFrame:
     """``docs`` with one row of each component, the one with the least identifier; columns unchanged.
 
     Two equally long shingle sets of Jaccard ``similarity`` s have the cosine 2s / (1 + s),
-    and each bit of their fingerprints differs with probability angle / pi. Pairs are linked
-    up to the number of bits expected at ``similarity`` plus ``slack`` standard deviations.
+    and each bit of their fingerprints differs with probability angle / pi. Pairs go on up to
+    the number of bits expected at ``similarity`` plus ``slack`` standard deviations; then
+    their similarity is taken from the least ``sketch`` shingle hashes.
     """
     bits = words * word_bits
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     limit = round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
-    marked = simhash_components(docs, id_col, text_col, size, words, word_bits, radius, limit)
+    marked = simhash_components(docs, id_col, text_col, size, words, word_bits, radius, limit, similarity, sketch)
     lost = marked.where(~(F.col("id").eqNullSafe(F.col("owner.id")) & (F.col("tid") == F.col("owner.tid")))).select("id", "tid").distinct()
     same = docs[id_col].cast("long").eqNullSafe(lost["id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == lost["tid"])
     return docs.join(lost, same, "left_anti")

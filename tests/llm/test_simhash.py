@@ -54,8 +54,8 @@ def test_links_against_all_pairs(spark, monkeypatch):
     rng = random.Random(6)
     base = [rng.getrandbits(64) for _ in range(40)]
     values = base + [b ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for b in base for _ in range(4)] + [b ^ 7 for b in base]
-    rows = [(i, i, [v - (1 << 64) if v >> 63 else v]) for i, v in enumerate(values)]
-    prints = spark.createDataFrame(rows, "id long, tid long, fp array<long>")
+    rows = [(i, i, [v - (1 << 64) if v >> 63 else v], []) for i, v in enumerate(values)]
+    prints = spark.createDataFrame(rows, "id long, tid long, fp array<long>, sk array<int>")
     monkeypatch.setattr(S, "fingerprints", lambda *a: prints)
     docs = spark.createDataFrame([], "doc_id long, text string")
     got = {r.id: r.component_id for r in S.simhash_components(docs).collect()}
@@ -85,6 +85,17 @@ def test_near_duplicates(spark):
     assert len(ids) <= 32 + 4  # at least 56 of the 60 near copies go
 
 
+def test_sketches(spark):
+    rng = random.Random(3)
+    sets = [set(rng.sample(range(3000), n)) for n in (40, 500, 900)] + [set()]
+    sets += [set(list(s)[: len(s) * 9 // 10]) | set(rng.sample(range(4000, 9000), len(s) // 50)) for s in sets[:3]]
+    spread = {x: rng.getrandbits(31) for s in sets for x in s}
+    classes = spark.createDataFrame([(i, sorted(spread[x] for x in s)[:512]) for i, s in enumerate(sets)], "cls long, sk array<int>")
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i)] + [(3, 3)]
+    got = {tuple(r) for r in S._similar(spark.createDataFrame(pairs, "a long, b long"), classes, 0.8, 512).collect()}
+    assert got == {(i, j) for i, j in pairs if not sets[i] | sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8} and len(got) == 4
+
+
 def test_edges(spark, nasty, nothing):
     got = S.simhash_components(nasty).collect()
     assert len(got) == nasty.count()
