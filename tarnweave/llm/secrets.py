@@ -29,23 +29,19 @@ PATTERNS = {
 RUN = r"[A-Za-z0-9+/=_-]{%d,}"
 _FIRST, _WIDTH = ord("+"), ord("z") - ord("+") + 1
 
-#: Fixed words from which ordinary identifiers are put together.
+#: Words from which ordinary identifiers are put together (the default samples; ``scan`` takes others).
 IDENTIFIER_WORDS = (
-    "account active address after amount array async author average balance batch before begin buffer build cache call "
-    "center change channel child class clean client close code collection color column command comment common config "
-    "connection container content context control copy count create current customer data date default delete depth "
-    "description detail device dictionary direction directory display document domain double down edge element empty "
-    "enable encode error event example exception execute factory false field file filter final find first folder format "
-    "forward frame from function general global group handler hash header height history image index information input "
-    "instance integer interface internal interval item iterator label language last layer layout length level library "
-    "limit line list load local location manager margin master match maximum memory message method minimum mode model "
-    "module name network next node number object offset open option order output package page parameter parent parse "
-    "path pattern percent point pointer position previous process product profile project property provider query "
-    "queue random range read record reference region register relation remove render request resource response result "
-    "return root route sample scale schedule schema screen search section select sequence server service session "
-    "setting shape shared signal simple single size sort source space stack start state station status storage store "
-    "stream string style system table target task template test text thread time title total transaction transform "
-    "tree type unique unit update upper user value vector version view visible weight width window with word write"
+    "account active address after amount array author average balance before begin buffer build cache call change channel "
+    "child class client close code collection color column command comment common config connection content context control "
+    "copy count create current customer data date default delete description detail device direction display document down "
+    "element empty error event example execute factory field file filter first folder format from function global group "
+    "handler hash header height history image index input instance internal item label language last layout length level "
+    "library limit line list local location manager match message method minimum mode model module name network next number "
+    "object offset open option order output page parameter path pattern point position previous process product profile "
+    "project property provider query random range read record request resource response result root sample schedule schema "
+    "screen search section select server service session setting shape signal simple single size sort source space start "
+    "state station storage stream string style system table target task template text thread time total transaction type "
+    "unique update user value version view visible weight width window with word write"
 ).split()
 
 
