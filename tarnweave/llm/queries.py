@@ -11,11 +11,12 @@ from .exact_dedup import mark_duplicates
 from .html_text import extract_pages
 from .masked_lm import pseudo_likelihood
 from .mixing import mix
+from .oracles import judge_urls_sql
 from .quality import fit, held_out, score
 from .secrets import listed, scan
 from .simhash import simhash_components
 from .substring_dedup import remove_repeats
-from .url_filter import judge_urls
+from .url_filter import LINK, judge_urls
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +92,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_url_filter": judge_urls_sql(URL_RULES, LINK),
     "op3_substring_dedup": r"""
         WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM texts),
