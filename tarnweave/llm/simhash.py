@@ -8,10 +8,11 @@ colliding pairs are deduplicated and verified on the whole fingerprint.
 With one 64-bit word the members of one variant are all within the radius of each other
 (at most 65 distinct fingerprints), so linking each to the first of them loses no link's
 connection. With several shorter words (``words`` > 1, a wider net for looser
-similarities) rows are first linked to the first row of each variant of two words and
-joined into components; then, over all words, a component stands on a variant as one and
-is paired with the variant's first row and with the one before. All pairs are verified,
-nothing is capped, and no group is gathered in memory.
+similarities) rows on a variant need not be similar to each other. They are first linked
+to the variant's first row, on two words and then on all, and joined into components, which
+large groups become; then all pairs of rows of different components that meet on a variant
+are verified. Nothing is capped, and no group is gathered in memory; the pairs grow with
+the square of the unrelated rows on one variant.
 
 Defined results: a text without words (null, empty) has fingerprint zero and links like
 any other; rows that repeat a text share a fingerprint; null identifiers are labelled
@@ -125,19 +126,36 @@ def _links(classes: DataFrame, limit: int) -> DataFrame:
     return pairs.where(F.expr(f"bit_count(a ^ b) <= {limit}"))
 
 
-def _wide_links(classes: DataFrame, words: int, word_bits: int, limit: int, both: bool) -> DataFrame:
-    """(a, b): verified pairs of ``classes`` (cls, comp, fp) of different comp that meet on a variant of one of the first ``words`` words.
-
-    On a variant the rows of one comp stand together; the first of each is paired with the
-    variant's first row and, for ``both``, with the row before it.
-    """
+def _wide_balls(classes: DataFrame, words: int, word_bits: int) -> DataFrame:
+    """(cls, comp, i, v): each of the first ``words`` words of ``classes`` (cls, comp, fp) with bit i flipped (none for -1), numbered by word."""
     each = F.expr(f"explode(transform(sequence(0, {words - 1}), k -> struct(k, fp[k] AS w)))").alias("x")
-    balls = classes.select("cls", "comp", each).select("cls", "comp", F.col("x.k").alias("k"), F.col("x.w").alias("w"))
-    balls = balls.select("cls", "comp", "k", F.explode(_flips(word_bits)).alias("v")).select("cls", "comp", F.expr(f"v | shiftleft(CAST(k AS BIGINT), {word_bits})").alias("v"))
-    order = Window.partitionBy("v").orderBy("comp", "cls")
-    head = F.first("cls").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = balls.select("cls", "comp", head.alias("head"), F.lag("cls").over(order).alias("prev"), F.lag("comp").over(order).alias("before")).where("before <> comp")
-    pairs = rows.select(F.col("cls").alias("a"), F.explode(F.array_distinct(F.array("head", "prev"))).alias("b") if both else F.col("head").alias("b")).distinct()
+    balls = classes.select("cls", "comp", each).select("cls", "comp", F.col("x.k").alias("k"), F.col("x.w").alias("w")).select("cls", "comp", "k", F.posexplode(_flips(word_bits)).alias("i", "v"))
+    return balls.select("cls", "comp", (F.col("i") - 1).cast("byte").alias("i"), F.expr(f"v | shiftleft(CAST(k AS BIGINT), {word_bits})").alias("v"))
+
+
+def _mixed(balls: DataFrame) -> DataFrame:
+    """The balls on variants with rows of more than one component."""
+    every = Window.partitionBy("v")
+    return balls.withColumn("low", F.min("comp").over(every)).withColumn("high", F.max("comp").over(every)).where("low <> high").drop("low", "high")
+
+
+def _head_pairs(mixed: DataFrame) -> DataFrame:
+    """(a, b): on each variant, the rows of other components with its first row."""
+    first = F.min_by(F.struct("cls", "comp"), F.struct("comp", "cls")).over(Window.partitionBy("v")).alias("first")
+    return mixed.select("cls", "comp", first).where("comp <> first.comp").select(F.col("cls").alias("a"), F.col("first.cls").alias("b")).distinct()
+
+
+def _cross_pairs(mixed: DataFrame, words: int, limit: int) -> DataFrame:
+    """(a, b): on each variant, all pairs of rows of different components whose whole prints (fp) differ in at most ``limit`` bits, compared where they meet, once a word."""
+    left = mixed.select("v", F.col("cls").alias("a"), F.col("comp").alias("p"), F.col("i"), F.col("fp").alias("x"))
+    right = mixed.select("v", F.col("cls").alias("b"), F.col("comp").alias("q"), F.col("i").alias("j"), F.col("fp").alias("y"))
+    far = " + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(words))
+    # two words meet on all variants of one another: equal ones on the word, others where the lower bit is a's
+    return left.join(right, "v").where(f"a < b AND p <> q AND (i < j OR (i = -1 AND j = -1)) AND {far} <= {limit}").select("a", "b").distinct()
+
+
+def _near(pairs: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
+    """The pairs whose whole prints differ in at most ``limit`` bits."""
     left, right = classes.select(F.col("cls").alias("a"), F.col("fp").alias("x")), classes.select(F.col("cls").alias("b"), F.col("fp").alias("y"))
     far = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, n) -> s + n)")
     return pairs.join(left, "a").join(right, "b").where(far <= limit).select("a", "b")
@@ -158,7 +176,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, similarity: float, sketch: in
 
 
 def _all_links(classes: DataFrame, words: int, word_bits: int, radius: int, limit: int, similarity: float, sketch: int, scratch: Scratch) -> DataFrame:
-    """Links of all words; two words' variants are linked to their first rows before, so that large groups enter the whole net as few components."""
+    """Links of all words. Rows are linked to the first rows of variants (of two words, then of all) before, so that large groups stand as few components where all pairs are verified."""
     if radius not in (1, 2):
         raise ValueError("a radius of 1 or 2 bits a word is supported")
     if words == 1:
@@ -166,10 +184,23 @@ def _all_links(classes: DataFrame, words: int, word_bits: int, radius: int, limi
     if word_bits > 56:
         raise ValueError("several words take up to 56 bits each")
     classes = scratch.cut(classes)
-    met = lambda rows, n, both: _similar(_wide_links(rows, n, word_bits, limit, both), classes, similarity, sketch) if sketch else _wide_links(rows, n, word_bits, limit, both)
-    found = scratch.cut(connected(met(classes.withColumn("comp", F.col("cls")), min(2, words), False), scratch))
-    joined = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("comp"), "fp")
-    return found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(met(joined, words, True))
+
+    def met(near):
+        return _similar(near, classes, similarity, sketch) if sketch else near
+
+    def joined(found, links):
+        return scratch.cut(connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links), scratch))
+
+    def named(rows, found):
+        return rows.drop("comp").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+
+    alone = classes.withColumn("comp", F.col("cls"))
+    found = scratch.cut(connected(met(_near(_head_pairs(_mixed(_wide_balls(alone, min(2, words), word_bits))), classes, limit)), scratch))
+    mixed = scratch.cut(_mixed(_wide_balls(named(classes, found), words, word_bits)))
+    found = joined(found, met(_near(_head_pairs(mixed), classes, limit)))
+    crowded = scratch.cut(_mixed(named(mixed, found)).join(classes.select("cls", "fp"), "cls"))
+    scratch.drop(mixed)
+    return found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(met(_cross_pairs(crowded, words, limit)))
 
 
 def simhash_components(

@@ -85,6 +85,27 @@ def test_near_duplicates(spark):
     assert len(ids) <= 32 + 4  # at least 56 of the 60 near copies go
 
 
+def test_wide_links_against_all_pairs(spark):
+    """Many rows that are unrelated in the whole print, some in related pairs or chains, crowd the same variants."""
+    rng = random.Random(12)
+    wide, one = 10, [rng.getrandbits(32) for _ in range(3)]
+    values = []
+    for g in range(60):
+        start = [one[0] ^ (1 << rng.randrange(32)) * (g % 2), one[1] if g % 3 else rng.getrandbits(32), *(rng.getrandbits(32) for _ in range(wide - 2))]
+        for c in range(g % 4):  # chains of up to three rows, near only to the next
+            values.append(start)
+            start = [start[0], *(w ^ sum(1 << b for b in rng.sample(range(32), 5)) for w in start[1:])]
+    rng.shuffle(values)
+    far = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(x, y))
+    pairs = [(i, j) for i in range(len(values)) for j in range(i) if far(values[i], values[j]) <= 61 and any((p ^ q).bit_count() <= 2 for p, q in zip(values[i], values[j]))]
+    assert len(pairs) == 45
+    classes = spark.createDataFrame([(i, v, [1]) for i, v in enumerate(values)], "cls long, fp array<long>, sk array<int>")
+    scratch = Scratch(spark, "test")
+    got = {r.node: r.root for r in connected(S._all_links(classes, wide, 32, 2, 61, 0.0, 0, scratch), scratch).collect()}
+    want = roots(len(values), pairs)
+    assert [got.get(i, i) for i in range(len(values))] == want
+
+
 def test_sketches(spark):
     rng = random.Random(3)
     sets = [set(rng.sample(range(3000), n)) for n in (40, 500, 900)] + [set()]
