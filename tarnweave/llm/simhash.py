@@ -15,7 +15,8 @@ are verified. Nothing is capped, and no group is gathered in memory; the pairs g
 the square of the unrelated rows on one variant.
 
 Defined results: a text without words (null, empty) has fingerprint zero and links like
-any other; rows that repeat a text share a fingerprint; null identifiers are labelled
+any other; rows that repeat a text share a fingerprint (where similarity counts, rows of
+one print whose sketches differ are verified like others); null identifiers are labelled
 like others, and a component's identifier is the least non-null one (null if none).
 """
 
@@ -70,16 +71,29 @@ def shingle_hashes(text: bytes, size: int, seed: int = 42) -> Iterator[np.ndarra
         yield np.array([digest(b" ".join(first), seed)], np.uint64)
 
 
+def _distinct(pieces: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The hashes once each; they are held, 8 bytes a distinct shingle of the one text."""
+    seen, new, size = np.zeros(0, np.uint64), [], 0
+    for hashes in pieces:
+        new.append(np.unique(hashes))
+        size += len(new[-1])
+        if size > len(seen):
+            seen, new, size = np.unique(np.concatenate((seen, *new))), [], 0
+    yield np.unique(np.concatenate((seen, *new))) if new else seen
+
+
 def describe(text: bytes, size: int, words: int = 1, word_bits: int = 64, seed: int = 42, sketch: int = 0) -> tuple[list[int], np.ndarray]:
     """Fingerprint and sketch of a text.
 
     The fingerprint is ``words`` signed integers of ``word_bits`` bits; more than 64 bits in
     all come from mixing each hash again. The sketch is the ``sketch`` least of the distinct
-    shingles' 31-bit hashes.
+    shingles' 31-bit hashes. With a sketch the fingerprint counts each distinct shingle once,
+    as the similarity of sketches does; without, repeats count.
     """
     chunks = math.ceil(words * word_bits / 64)
     counts, n, least = np.zeros((chunks, 64), np.int64), 0, np.zeros(0, np.int32)
-    for hashes in shingle_hashes(text.lower(), size, seed):
+    pieces = shingle_hashes(text.lower(), size, seed)
+    for hashes in _distinct(pieces) if sketch else pieces:
         n += len(hashes)
         for at in range(0, len(hashes), 1 << 14):
             h = hashes[at : at + (1 << 14)]
@@ -87,8 +101,10 @@ def describe(text: bytes, size: int, words: int = 1, word_bits: int = 64, seed:
                 mixed = h if c == 0 else splitmix(h + np.uint64(c))
                 bits = np.unpackbits(mixed.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 counts[c] += bits.sum(axis=0, dtype=np.int64)
-            if sketch:
-                least = np.unique(np.concatenate((least, (h >> np.uint64(33)).astype(np.int32))))[:sketch]
+        if sketch and len(hashes):
+            # sorted by the whole hash, so by its upper 31 bits too
+            short = (hashes >> np.uint64(33)).astype(np.int32)
+            least = short[np.concatenate(([True], short[1:] != short[:-1]))][:sketch]
     bits = (counts > n / 2).reshape(-1)[: words * word_bits]
     if word_bits == 64:
         return np.packbits(bits, bitorder="little").view("<i8").tolist(), least
@@ -179,10 +195,10 @@ def _all_links(classes: DataFrame, words: int, word_bits: int, radius: int, limi
     """Links of all words. Rows are linked to the first rows of variants (of two words, then of all) before, so that large groups stand as few components where all pairs are verified."""
     if radius not in (1, 2):
         raise ValueError("a radius of 1 or 2 bits a word is supported")
-    if words == 1:
+    if words == 1 and not sketch:
         return _links(classes, limit)
     if word_bits > 56:
-        raise ValueError("several words take up to 56 bits each")
+        raise ValueError("several words, and words with a sketch, take up to 56 bits each")
     classes = scratch.cut(classes)
 
     def met(near):
@@ -210,8 +226,9 @@ def simhash_components(
     """One row an input row: id, tid, fp, component_id, owner (identifier and text hash of the component's first row)."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.cut(fingerprints(docs, id_col, text_col, size, words, word_bits, sketch))
-    cls = F.element_at("fp", 1) if words == 1 else F.xxhash64("fp")
-    rows = fps.select("id", "tid", "fp").withColumn("cls", cls)
+    # with a sketch, rows of one print are one class only if their sketches agree too
+    cls = F.xxhash64("fp", "sk") if sketch else F.element_at("fp", 1) if words == 1 else F.xxhash64("fp")
+    rows = fps.withColumn("cls", cls).select("id", "tid", "fp", "cls")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("tid").alias("tid")))
     classes = rows.groupBy("cls").agg(least.alias("least"))
     shapes = fps.withColumn("cls", cls).groupBy("cls").agg(F.first("fp").alias("fp"), *[F.first("sk").alias("sk")] * (sketch > 0))

@@ -106,6 +106,30 @@ def test_wide_links_against_all_pairs(spark):
     assert [got.get(i, i) for i in range(len(values))] == want
 
 
+def test_repeats_neither_join_nor_part_texts(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = [(d, "a " * 200 + " ".join(word() for _ in range(100))) for d in range(12)]  # one shingle is over half of each
+    for d in range(20, 40, 2):
+        lines = [" ".join(word() for _ in range(5)) for _ in range(60)]
+        rows.append((d, "\n".join(lines)))
+        rows.append((d + 1, "\n".join(lines + [x for x in lines[:3] for _ in range(60)])))  # nearly the same set of shingles
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in S.drop_near_duplicates(docs).collect()} == {*range(12), *range(20, 40, 2)}
+
+
+def test_distinct_shingles_in_pieces(monkeypatch):
+    rng = random.Random(15)
+    text = " ".join(rng.choice("abcd") for _ in range(3000)).encode()
+    whole = S.describe(text, 5, 10, 32, sketch=64)
+    hashes = {int(h) for part in S.shingle_hashes(text, 5) for h in part}
+    assert whole[1].tolist() == sorted({h >> 33 for h in hashes})[:64]
+    assert whole[0][0] | whole[0][1] << 32 == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) > len(hashes) / 2)
+    monkeypatch.setattr(S, "_PART", 50)
+    again = S.describe(text, 5, 10, 32, sketch=64)
+    assert again[0] == whole[0] and again[1].tolist() == whole[1].tolist()
+
+
 def test_sketches(spark):
     rng = random.Random(3)
     sets = [set(rng.sample(range(3000), n)) for n in (40, 500, 900)] + [set()]
