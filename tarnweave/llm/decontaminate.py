@@ -1,9 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Texts are compared as lower-case words without punctuation. Each benchmark item takes
-its rarest n-grams as seeds (a share of them, by the number of documents in the whole
-corpus that have them, never by an absolute limit, so a passage that is copied into very
-many documents keeps its seeds). A document that has a seed is aligned with the item
+its rarest n-grams as seeds (a share of those that occur, by the number of documents in
+the whole corpus that have them, never by an absolute limit, so a passage that is copied
+into very many documents keeps its seeds). A document that has a seed is aligned with the item
 around it; the score is the best local alignment's (match 1, mismatch and gap -0.5 a
 word) divided by the item's length in words. A pair counts from ``least`` on.
 
@@ -93,10 +93,12 @@ class Matcher:
             yield n, at[inside], k[at[inside]], doc[inside]
 
     def seed(self, frequency: np.ndarray, share: float, fewest: int) -> None:
-        """Keep the rarest n-grams of each item as seeds."""
+        """Keep the rarest n-grams of each item, of those that any document has, as seeds."""
         of, base = defaultdict(list), 0
         for n in self.sizes:
             for k, places in enumerate(self.places[n]):
+                if not frequency[base + k]:
+                    continue
                 for item in {i for i, _ in places}:
                     of[item].append((frequency[base + k], k, n))
             base += len(self.places[n])

@@ -57,6 +57,17 @@ def test_a_passage_in_very_many_documents_is_found(spark):
     assert contaminated(docs, bench).count() == 300
 
 
+def test_an_edited_copy_as_the_only_trace_is_found(spark):
+    rng = random.Random(10)
+    item = words(rng, 40)
+    copy = [f"new{k}" if k % 4 == 3 else w for k, w in enumerate(item)]  # 10 of 38 n-grams survive
+    docs = spark.createDataFrame([(d, " ".join(words(rng, 60) + copy * (d == 3) + words(rng, 60))) for d in range(6)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    (got,) = contaminated(docs, bench).collect()
+    assert got.id == 3 and got.score == pytest.approx(slow(item, copy) / 40)
+    assert {r.doc_id for r in drop_contaminated(docs, bench).collect()} == {0, 1, 2, 4, 5}
+
+
 def test_edges(spark, nasty, nothing):
     bench = spark.createDataFrame([(1, "same text here again"), (2, None), (3, "w5x5")], "item_id long, text string")
     got = contaminated(nasty, bench).collect()
