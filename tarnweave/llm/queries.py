@@ -26,7 +26,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = simhash_components(table(spark, sf_dir, "documents"))
-    return marked.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.element_at("fp", 1)), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("cls"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

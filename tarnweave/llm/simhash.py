@@ -1,27 +1,38 @@
 """SimHash near-dedup by meet-in-the-middle ball hashing.
 
-A fingerprint's bit is set where more than half of the shingle hashes have it. Two words
-of a fingerprint that differ in at most ``radius`` bits share a variant within half the
-radius, so each distinct fingerprint emits those variants, rows meet on them, and
-colliding pairs are deduplicated and verified on the whole fingerprint.
-
-With one 64-bit word the members of one variant are all within the radius of each other
-(at most 65 distinct fingerprints), so linking each to the first of them loses no link's
-connection. With several shorter words (``words`` > 1, a wider net for looser
-similarities) rows on a variant need not be similar to each other. They are first linked
-to the variant's first row, on two words and then on all, and joined into components, which
-large groups become; then all pairs of rows of different components that meet on a variant
-are verified. Nothing is capped, and no group is gathered in memory; the pairs grow with
-the square of the unrelated rows on one variant.
-
-Defined results: a text without words (null, empty) has fingerprint zero and links like
-any other; rows that repeat a text share a fingerprint (where similarity counts, rows of
-one print whose sketches differ are verified like others); null identifiers are labelled
-like others, and a component's identifier is the least non-null one (null if none).
+A fingerprint's bit is set where more than half of the shingle hashes have it. Rows emit
+all variants of their fingerprint within half the radius, rows meet on variants, and
+colliding pairs are deduplicated and verified.
+
+``simhash_components`` links single 64-bit fingerprints by Hamming distance. The members of
+one variant are all within the radius of each other (at most 65 distinct fingerprints), so
+linking each to the first of them loses no link's connection.
+
+``near_duplicates`` links by the Jaccard similarity of shingle sets, at which a 64-bit
+fingerprint differs in too many bits for one ball. It takes several shorter words, and
+measures a ball's radius by how easily bits flip: a flip costs the square of the bit's
+margin (how far the shingles are from a tie on it), and half the radius is what ``points``
+variants of least cost need. Word length follows from the number of rows, so that strangers
+stay rare on a variant (an eighth of a row at most, by expectation); the number of words
+follows from the wanted recall of a lone pair at the least similarity, by the bivariate
+normal law that margins of two such sets obey. Nothing else depends on the size.
+
+Variants leave each input split packed, each hot one once; what meets is written as
+(key, cls). Rows are linked to the first row of each variant, verified and joined into
+components, then the same among the components that meet, and at last all pairs of rows of
+different components on a variant are verified. Nothing is capped and no group is gathered
+in one task; pairs grow with the square of the unlinked rows on one variant.
+
+Defined results: identifiers are integers; a text without words (null, empty) has
+fingerprint zero and links like any other; equal texts share a fingerprint; null
+identifiers are labelled like others, and a component's identifier is the least non-null
+one (null if none); very long texts are hashed in pieces; an empty table gives an empty
+result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -31,11 +42,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, encoded, small_batches, splitmix
+from .common import Scratch, encoded, signed, small_batches, splitmix
 from .components import connected
 
 _PART = 1 << 20
 
+#: Bytes of the signature that stands for a text where all pairs on a variant are compared.
+BINS = 256
+
 
 def _word_parts(text: bytes, overlap: int) -> Iterator[list[bytes]]:
     """The words of a text in pieces; each but the first begins with the last ``overlap`` words before it."""
@@ -82,18 +96,10 @@ def _distinct(pieces: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
     yield np.unique(np.concatenate((seen, *new))) if new else seen
 
 
-def describe(text: bytes, size: int, words: int = 1, word_bits: int = 64, seed: int = 42, sketch: int = 0) -> tuple[list[int], np.ndarray]:
-    """Fingerprint and sketch of a text.
-
-    The fingerprint is ``words`` signed integers of ``word_bits`` bits; more than 64 bits in
-    all come from mixing each hash again. The sketch is the ``sketch`` least of the distinct
-    shingles' 31-bit hashes. With a sketch the fingerprint counts each distinct shingle once,
-    as the similarity of sketches does; without, repeats count.
-    """
-    chunks = math.ceil(words * word_bits / 64)
-    counts, n, least = np.zeros((chunks, 64), np.int64), 0, np.zeros(0, np.int32)
-    pieces = shingle_hashes(text.lower(), size, seed)
-    for hashes in _distinct(pieces) if sketch else pieces:
+def _bit_counts(pieces: Iterator[np.ndarray], chunks: int) -> tuple[np.ndarray, int]:
+    """How many hashes have each bit, and how many there are; each chunk of 64 bits after the first mixes the hashes again."""
+    counts, n = np.zeros((chunks, 64), np.int64), 0
+    for hashes in pieces:
         n += len(hashes)
         for at in range(0, len(hashes), 1 << 14):
             h = hashes[at : at + (1 << 14)]
@@ -101,80 +107,233 @@ def describe(text: bytes, size: int, words: int = 1, word_bits: int = 64, seed:
                 mixed = h if c == 0 else splitmix(h + np.uint64(c))
                 bits = np.unpackbits(mixed.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 counts[c] += bits.sum(axis=0, dtype=np.int64)
-        if sketch and len(hashes):
-            # sorted by the whole hash, so by its upper 31 bits too
-            short = (hashes >> np.uint64(33)).astype(np.int32)
-            least = short[np.concatenate(([True], short[1:] != short[:-1]))][:sketch]
-    bits = (counts > n / 2).reshape(-1)[: words * word_bits]
-    if word_bits == 64:
-        return np.packbits(bits, bitorder="little").view("<i8").tolist(), least
-    return [int(sum(1 << int(i) for i in np.flatnonzero(w))) for w in bits.reshape(words, word_bits)], least
+    return counts, n
 
 
-def fingerprint(text: bytes, size: int, words: int = 1, word_bits: int = 64, seed: int = 42) -> list[int]:
-    return describe(text, size, words, word_bits, seed)[0]
+def fingerprint(text: bytes, size: int, seed: int = 42) -> int:
+    """The 64-bit fingerprint, as a signed integer; repeated shingles count."""
+    counts, n = _bit_counts(shingle_hashes(text.lower(), size, seed), 1)
+    return int(np.packbits(counts[0] > n / 2, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, words: int, word_bits: int, sketch: int = 0) -> DataFrame:
-    """id, tid (hash of the text), fp (array of words), sk (sketch), one row an input row."""
+def describe(text: bytes, size: int, words: int, word_bits: int, sketch: int, weak: int = 8, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Print (64-bit integers), flips, sketch and bins of a text, each distinct shingle counted once.
+
+    Flips: for each word its ``weak`` bits of least margin (bytes), then their margins in
+    units of 1/64 of the square root of the number of shingles (bytes, 255 at most). The
+    sketch is the ``sketch`` least of the shingles' 31-bit hashes. Bins deal the hashes into
+    BINS and keep a byte of the least one in each (0 in an empty bin).
+    """
+    (hashes,) = _distinct(shingle_hashes(text.lower(), size, seed))
+    chunks = math.ceil(words * word_bits / 64)
+    counts, n = _bit_counts(iter([hashes]), chunks)
+    margin = np.minimum(np.abs(2 * counts - n) * (64 / math.sqrt(max(1, n))), 255).astype(np.uint8).reshape(-1)[: words * word_bits].reshape(words, word_bits)
+    bits = np.argsort(margin, axis=1, kind="stable")[:, :weak].astype(np.uint8)
+    # sorted by the whole hash, so by its upper 31 bits too
+    short = (hashes >> np.uint64(33)).astype(np.int32)
+    if len(short):
+        short = short[np.concatenate(([True], short[1:] != short[:-1]))][:sketch]
+    flips = np.concatenate((bits, np.take_along_axis(margin, bits.astype(np.int64), axis=1)))
+    bins = np.zeros(BINS, np.uint8)
+    which, first = np.unique(hashes % np.uint64(BINS), return_index=True)
+    bins[which.astype(np.int64)] = (hashes[first] // np.uint64(BINS)) % np.uint64(255) + np.uint64(1)
+    return np.packbits(counts > n / 2, axis=1, bitorder="little").view("<i8").reshape(-1), flips, short, bins
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tid"), F.col(text_col).alias("body"))
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """id, tid (hash of the text), cls (fingerprint), one row an input row."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            found = [describe(t, size, words, word_bits, sketch=sketch) for t in encoded(b.column(2))]
-            prints, sketches = pa.array([f for f, _ in found], pa.list_(pa.int64())), pa.array([k for _, k in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), prints, sketches], names=["id", "tid", "fp", "sk"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(t, size) for t in encoded(b.column(2))], pa.int64())], names=["id", "tid", "cls"])
+
+    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, tid long, cls long")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tid"), F.col(text_col).alias("body"))
-    return rows.mapInArrow(run, "id long, tid long, fp array<long>, sk array<int>")
 
+def prints(docs: DataFrame, id_col: str, text_col: str, size: int, words: int, word_bits: int, sketch: int) -> DataFrame:
+    """id, tid, fp, flips, sk, bins (see ``describe``), one row an input row."""
+    small_batches(docs.sparkSession)
 
-def _flips(word_bits: int) -> "F.Column":
-    """``w`` and all of its variants with one other bit."""
-    return F.expr(f"transform(sequence(-1, {word_bits - 1}), i -> CASE WHEN i < 0 THEN w ELSE w ^ shiftleft(1L, i) END)")
+    def run(batches):
+        for b in batches:
+            fps, flips, sketches, bins = zip(*(describe(t, size, words, word_bits, sketch) for t in encoded(b.column(2)))) if b.num_rows else ((), (), (), ())
+            packed = [pa.array([x.tobytes() for x in column], pa.binary()) for column in (flips, bins)]
+            columns = [pa.array(fps, pa.list_(pa.int64())), packed[0], pa.array(sketches, pa.list_(pa.int32())), packed[1]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "tid", "fp", "flips", "sk", "bins"])
 
+    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, tid long, fp array<long>, flips binary, sk array<int>, bins binary")
 
-def _links(classes: DataFrame, limit: int) -> DataFrame:
-    """(a, b): verified pairs of single-word fingerprints (cls) that meet on a variant; each is linked to a variant's first."""
-    balls = classes.select("cls", F.element_at("fp", 1).alias("w")).select("cls", F.explode(_flips(64)).alias("v"))
+
+def _links(classes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): verified pairs of 64-bit fingerprints (cls) that meet on a variant with one other bit or none; each is linked to a variant's first."""
+    if radius not in (1, 2):
+        raise ValueError("a radius of 1 or 2 bits is supported")
+    flips = F.expr("transform(sequence(-1, 63), i -> CASE WHEN i < 0 THEN cls ELSE cls ^ shiftleft(1L, i) END)")
+    balls = classes.select("cls", F.explode(flips).alias("v"))
     first = F.first("cls").over(Window.partitionBy("v").orderBy("cls").rowsBetween(Window.unboundedPreceding, 0))
     pairs = balls.select(F.col("cls").alias("a"), first.alias("b")).where("a <> b").distinct()
-    return pairs.where(F.expr(f"bit_count(a ^ b) <= {limit}"))
+    return pairs.where(F.expr(f"bit_count(a ^ b) <= {radius}"))
 
 
-def _wide_balls(classes: DataFrame, words: int, word_bits: int) -> DataFrame:
-    """(cls, comp, i, v): each of the first ``words`` words of ``classes`` (cls, comp, fp) with bit i flipped (none for -1), numbered by word."""
-    each = F.expr(f"explode(transform(sequence(0, {words - 1}), k -> struct(k, fp[k] AS w)))").alias("x")
-    balls = classes.select("cls", "comp", each).select("cls", "comp", F.col("x.k").alias("k"), F.col("x.w").alias("w")).select("cls", "comp", "k", F.posexplode(_flips(word_bits)).alias("i", "v"))
-    return balls.select("cls", "comp", (F.col("i") - 1).cast("byte").alias("i"), F.expr(f"v | shiftleft(CAST(k AS BIGINT), {word_bits})").alias("v"))
+def _least() -> "F.Column":
+    return F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("tid").alias("tid")))
 
 
-def _mixed(balls: DataFrame) -> DataFrame:
-    """The balls on variants with rows of more than one component."""
-    every = Window.partitionBy("v")
-    return balls.withColumn("low", F.min("comp").over(every)).withColumn("high", F.max("comp").over(every)).where("low <> high").drop("low", "high")
+def _owned(rows: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` (id, tid, cls) with owner: identifier and text hash of the first row of the component of cls."""
+    roots = scratch.cut(connected(links, scratch))
+    named = rows.groupBy("cls").agg(_least().alias("least")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = scratch.cut(named)
+    # a table of its own, so that the join below can be split where one component is large
+    owners = scratch.cut(named.groupBy("root").agg(F.min("least").alias("owner")))
+    return rows.join(named.select("cls", "root").join(owners, "root").select("cls", "owner"), "cls")
 
 
-def _head_pairs(mixed: DataFrame) -> DataFrame:
-    """(a, b): on each variant, the rows of other components with its first row."""
-    first = F.min_by(F.struct("cls", "comp"), F.struct("comp", "cls")).over(Window.partitionBy("v")).alias("first")
-    return mixed.select("cls", "comp", first).where("comp <> first.comp").select(F.col("cls").alias("a"), F.col("first.cls").alias("b")).distinct()
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
+    """One row an input row: id, tid, cls (its fingerprint), component_id, owner (identifier and text hash of the component's first row)."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows = scratch.cut(fingerprints(docs, id_col, text_col, size))
+    labelled = _owned(rows, _links(rows.select("cls").distinct(), radius), scratch)
+    return labelled.select("id", "tid", "cls", F.col("owner.id").alias("component_id"), "owner")
+
 
+@functools.cache
+def meeting(word_bits: int, similarity: float, points: int, weak: int = 8) -> float:
+    """Probability that the balls of one word meet for two equally large shingle sets of that Jaccard similarity.
+
+    Margins of the two are normal with the sets' cosine 2s / (1 + s) as correlation; 8,000
+    seeded draws (a standard error of half a hundredth).
+    """
+    rng, cos, n = np.random.default_rng(3), 2 * similarity / (1 + similarity), 8000
+    x = rng.standard_normal((n, word_bits))
+    y = cos * x + math.sqrt(1 - cos * cos) * rng.standard_normal((n, word_bits))
+    keys = []
+    for z in (x, y):
+        bits = np.argsort(np.abs(z), axis=1)[:, :weak]
+        word = (z > 0) @ (np.uint64(1) << np.arange(word_bits, dtype=np.uint64))
+        keys.append(ball(word, bits.astype(np.uint8), (np.take_along_axis(np.abs(z), bits, axis=1) * 64).clip(0, 255).astype(np.uint8), points))
+    return float(np.mean([not set(p).isdisjoint(q) for p, q in zip(keys[0].tolist(), keys[1].tolist())]))
+
+
+def net(rows: int, similarity: float, recall: float, points: int = 32) -> tuple[int, int]:
+    """Words and bits a word, for that many rows: a lone pair of that similarity meets with probability ``recall``, and at most an eighth of a stranger is on a variant."""
+    word_bits = min(52, max(28, math.ceil(math.log2(max(1, rows) * points)) + 3))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meeting(word_bits, similarity, points)))), word_bits
+
+
+@functools.cache
+def _subsets(weak: int) -> np.ndarray:
+    return (np.arange(1 << weak)[:, None] >> np.arange(weak) & 1).astype(np.uint8)
+
+
+def ball(word: np.ndarray, bits: np.ndarray, margins: np.ndarray, points: int) -> np.ndarray:
+    """The ``points`` variants of each word whose flips of the given bits cost least (squares of their margins, summed)."""
+    subsets = _subsets(bits.shape[1])
+    cost = (margins.astype(np.float32) ** 2) @ subsets.T.astype(np.float32)
+    pick = np.argpartition(cost, points - 1, axis=1)[:, :points]
+    flips = np.zeros(pick.shape, np.uint64)
+    for i in range(bits.shape[1]):
+        flips |= subsets[:, i].astype(np.uint64)[pick] << bits[:, i : i + 1].astype(np.uint64)
+    return word[:, None] ^ flips
+
+
+def _balls(fp: np.ndarray, flips: np.ndarray, words: int, word_bits: int, points: int) -> np.ndarray:
+    """Variants of all words of prints (a row each), numbered by word."""
+    n, weak = len(fp), flips.shape[1] // (2 * words)
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")[:, : words * word_bits].reshape(n * words, word_bits)
+    word = bits @ (np.uint64(1) << np.arange(word_bits, dtype=np.uint64))
+    flips = flips.reshape(n, 2, words, weak)
+    out = ball(word, flips[:, 0].reshape(-1, weak), flips[:, 1].reshape(-1, weak), points).reshape(n, words, points)
+    return (out | (np.arange(words, dtype=np.uint64) << np.uint64(word_bits))[None, :, None]).reshape(n, -1)
+
+
+_PACKED = "bucket int, met boolean, entries binary"
+
+
+def _pack(words: int, word_bits: int, points: int, buckets: int, most: int = 1 << 20):
+    """Rows (cls, fp, flips) to packed (key, cls) entries by bucket of the key. Keys that meet inside a split are known to (``met``); one entry of each goes on."""
+
+    def flush(keys: list, owners: list):
+        key, cls = np.concatenate(keys), np.concatenate(owners)
+        order = np.lexsort((cls, key))
+        key, cls = key[order], cls[order]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])))
+        key, cls = key[fresh], cls[fresh]
+        lead = np.concatenate(([True], key[1:] != key[:-1]))
+        many = ~lead | np.concatenate((~lead[1:], [False]))
+        for met, chosen, by in ((False, lead, key), (True, many, cls.view(np.uint64))):
+            k, c = key[chosen], cls[chosen]
+            bucket = (splitmix(by[chosen]) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            entries = np.stack((k.view(np.int64), c), axis=1)[order]
+            which, at = np.unique(bucket[order], return_index=True)
+            blobs = [x.tobytes() for x in np.split(entries, at[1:])] if len(which) else []
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([met] * len(which), pa.bool_()), pa.array(blobs, pa.binary())], names=["bucket", "met", "entries"])
 
-def _cross_pairs(mixed: DataFrame, words: int, limit: int) -> DataFrame:
-    """(a, b): on each variant, all pairs of rows of different components whose whole prints (fp) differ in at most ``limit`` bits, compared where they meet, once a word."""
-    left = mixed.select("v", F.col("cls").alias("a"), F.col("comp").alias("p"), F.col("i"), F.col("fp").alias("x"))
-    right = mixed.select("v", F.col("cls").alias("b"), F.col("comp").alias("q"), F.col("i").alias("j"), F.col("fp").alias("y"))
-    far = " + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(words))
-    # two words meet on all variants of one another: equal ones on the word, others where the lower bit is a's
-    return left.join(right, "v").where(f"a < b AND p <> q AND (i < j OR (i = -1 AND j = -1)) AND {far} <= {limit}").select("a", "b").distinct()
+    def run(batches):
+        keys, owners, size = [], [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fp = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(b.num_rows, -1)
+            flips = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            found = _balls(fp, flips, words, word_bits, points)
+            keys.append(found.reshape(-1))
+            owners.append(np.repeat(b.column(0).to_numpy(), found.shape[1]))
+            size += found.size
+            if size >= most:
+                yield from flush(keys, owners)
+                keys, owners, size = [], [], 0
+        if size:
+            yield from flush(keys, owners)
+
+    return run
+
+
+def _meet(batches):
+    """Packed entries in order of bucket to rows (key, cls) of the keys that several cls have."""
+
+    def close(blobs: list):
+        data = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
+        data = data[np.lexsort((data[:, 1], data[:, 0]))]
+        same = data[1:, 0] == data[:-1, 0]
+        data = data[np.concatenate(([True], ~same | (data[1:, 1] != data[:-1, 1])))]
+        same = data[1:, 0] == data[:-1, 0]
+        yield from rows(data[np.concatenate((same, [False])) | np.concatenate(([False], same))])
+
+    def rows(data: np.ndarray):
+        for at in range(0, len(data), 1 << 18):
+            part = data[at : at + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["key", "cls"])
+
+    last, blobs = None, []
+    for b in batches:
+        for bucket, met, entries in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            if met:
+                yield from rows(np.frombuffer(entries, np.int64).reshape(-1, 2))
+                continue
+            if bucket != last and blobs:
+                yield from close(blobs)
+                blobs = []
+            last = bucket
+            blobs.append(entries)
+    if blobs:
+        yield from close(blobs)
 
 
 def _near(pairs: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
     """The pairs whose whole prints differ in at most ``limit`` bits."""
     left, right = classes.select(F.col("cls").alias("a"), F.col("fp").alias("x")), classes.select(F.col("cls").alias("b"), F.col("fp").alias("y"))
-    far = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, n) -> s + n)")
-    return pairs.join(left, "a").join(right, "b").where(far <= limit).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(_distance() <= limit).select("a", "b")
+
+
+def _distance() -> "F.Column":
+    return F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, n) -> s + n)")
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, similarity: float, sketch: int) -> DataFrame:
@@ -191,68 +350,124 @@ def _similar(pairs: DataFrame, classes: DataFrame, similarity: float, sketch: in
     return both.where((share >= similarity) | (F.size("u") == 0)).select(F.col("c").alias("a"), F.col("d").alias("b"))
 
 
-def _all_links(classes: DataFrame, words: int, word_bits: int, radius: int, limit: int, similarity: float, sketch: int, scratch: Scratch) -> DataFrame:
-    """Links of all words. Rows are linked to the first rows of variants (of two words, then of all) before, so that large groups stand as few components where all pairs are verified."""
-    if radius not in (1, 2):
-        raise ValueError("a radius of 1 or 2 bits a word is supported")
-    if words == 1 and not sketch:
-        return _links(classes, limit)
-    if word_bits > 56:
-        raise ValueError("several words, and words with a sketch, take up to 56 bits each")
-    classes = scratch.cut(classes)
-
-    def met(near):
-        return _similar(near, classes, similarity, sketch) if sketch else near
-
-    def joined(found, links):
-        return scratch.cut(connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links), scratch))
-
-    def named(rows, found):
-        return rows.drop("comp").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+def _mixed(met: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, cls, comp) of the keys on which rows of several components meet."""
+    named = met.select("key", "cls").join(found.select(F.col("node").alias("cls"), "root"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("comp"))
+    named = scratch.cut(named)
+    keys = scratch.cut(named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"))
+    return scratch.cut(named.join(keys, "key", "left_semi"))
+
+
+def _compare(similarity: float, slack: float, most: int = 1 << 13):
+    """Rows (cls, comp, bins, key, i, j) in order of key, i, j to the pairs (a, b) of different components there whose bins agree with that similarity, less ``slack`` standard deviations."""
+
+    def pairs(cls: np.ndarray, comp: np.ndarray, bins: np.ndarray, group: np.ndarray):
+        found, at, d = [], np.arange(len(cls)), 0
+        while True:
+            d += 1
+            at = at[at + d < len(cls)]
+            at = at[group[at] == group[at + d]]
+            if not len(at):
+                break
+            for k in range(0, len(at), most):
+                x = at[k : k + most]
+                x = x[comp[x] != comp[x + d]]
+                p, q = bins[x], bins[x + d]
+                either = np.count_nonzero(p | q, axis=1)
+                same = np.count_nonzero((p == q) & (p != 0), axis=1)
+                x = x[same >= either * similarity - slack * np.sqrt(either * similarity * (1 - similarity))]
+                found.append(np.stack((np.minimum(cls[x], cls[x + d]), np.maximum(cls[x], cls[x + d])), axis=1))
+        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        if len(out):
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], names=["a", "b"])
 
-    alone = classes.withColumn("comp", F.col("cls"))
-    found = scratch.cut(connected(met(_near(_head_pairs(_mixed(_wide_balls(alone, min(2, words), word_bits))), classes, limit)), scratch))
-    mixed = scratch.cut(_mixed(_wide_balls(named(classes, found), words, word_bits)))
-    found = joined(found, met(_near(_head_pairs(mixed), classes, limit)))
-    crowded = scratch.cut(_mixed(named(mixed, found)).join(classes.select("cls", "fp"), "cls"))
-    scratch.drop(mixed)
-    return found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(met(_cross_pairs(crowded, words, limit)))
-
-
-def simhash_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, words: int = 1, word_bits: int = 64, radius: int = 2, limit: int | None = None,
-    similarity: float = 0.0, sketch: int = 0,
-) -> DataFrame:
-    """One row an input row: id, tid, fp, component_id, owner (identifier and text hash of the component's first row)."""
-    scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.cut(fingerprints(docs, id_col, text_col, size, words, word_bits, sketch))
-    # with a sketch, rows of one print are one class only if their sketches agree too
-    cls = F.xxhash64("fp", "sk") if sketch else F.element_at("fp", 1) if words == 1 else F.xxhash64("fp")
-    rows = fps.withColumn("cls", cls).select("id", "tid", "fp", "cls")
-    least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("tid").alias("tid")))
-    classes = rows.groupBy("cls").agg(least.alias("least"))
-    shapes = fps.withColumn("cls", cls).groupBy("cls").agg(F.first("fp").alias("fp"), *[F.first("sk").alias("sk")] * (sketch > 0))
-    roots = connected(_all_links(shapes, words, word_bits, radius, radius if limit is None else limit, similarity, sketch, scratch), scratch)
-    named = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    owners = named.groupBy("root").agg(F.min("least").alias("owner"))
-    labels = named.select("cls", "root").join(owners, "root").select("cls", "owner")
-    return rows.join(labels, "cls").select("id", "tid", "fp", F.col("owner.id").alias("component_id"), "owner")
-
-
-def drop_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, words: int = 10, word_bits: int = 32, radius: int = 2, similarity: float = 0.8, slack: float = 2.0, sketch: int = 512,
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            columns = [b.column(k).to_numpy() for k in (0, 1, 3, 4, 5)]
+            columns.append(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, BINS))
+            held = columns if held is None else [np.concatenate(x) for x in zip(held, columns)]
+            if len(held[0]) < most:
+                continue
+            cls, comp, key, i, j, bins = held
+            step = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            if step.any():  # the last group may go on
+                end = int(np.flatnonzero(step)[-1]) + 1
+                yield from pairs(cls[:end], comp[:end], bins[:end], np.concatenate(([0], np.cumsum(step)))[:end])
+                held = [x[end:] for x in held]
+        if held is not None:
+            cls, comp, key, i, j, bins = held
+            yield from pairs(cls, comp, bins, np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))))
+
+    return run
+
+
+def _cross_pairs(mixed: DataFrame, classes: DataFrame, similarity: float, slack: float, scratch: Scratch, block: int = 2048) -> DataFrame:
+    """(a, b): on each variant all pairs of rows of different components, those whose bins are near enough. A variant with many rows is dealt out in pairs of blocks."""
+    counts = scratch.cut(mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
+    rows = mixed.join(classes.select("cls", "bins"), "cls").join(counts, "key").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    # row of block k in all pairs of blocks with k
+    each = rows.select("cls", "comp", "bins", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    each = each.select("cls", "comp", "bins", "key", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
+    dealt = each.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(_compare(similarity, slack), "a long, b long").distinct()
+
+
+def _wide_links(classes: DataFrame, words: int, word_bits: int, points: int, limit: int, similarity: float, sketch: int, scratch: Scratch, rows: int) -> DataFrame:
+    """(a, b): links of ``classes`` (cls, fp, flips, sk, bins), enough of them to connect what all verified pairs that meet on a variant connect."""
+    spark = classes.sparkSession
+    # a bucket holds some 16 MB
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * words * points / (1 << 20)))
+    packed = classes.select("cls", "fp", "flips").mapInArrow(_pack(words, word_bits, points, buckets), _PACKED)
+    met = scratch.cut(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "key long, cls long"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _similar(_near(pairs, classes, limit), classes, similarity, sketch)
+
+    # every row with its variant's first
+    heads = scratch.cut(met.groupBy("key").agg(F.min("cls").alias("head")))
+    pairs = met.join(heads, "key").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
+    found = scratch.cut(connected(verified(pairs), scratch))
+    # one row of every component with one of the variant's first component
+    mixed = _mixed(met, found, scratch)
+    some = mixed.groupBy("key", "comp").agg(F.min("cls").alias("cls"))
+    heads = scratch.cut(mixed.groupBy("key").agg(F.min(F.struct("comp", "cls")).alias("head")))
+    pairs = some.join(heads, "key").where("comp <> head.comp").select(F.col("cls").alias("a"), F.col("head.cls").alias("b")).distinct()
+    known = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    found = scratch.cut(connected(known.unionByName(verified(pairs)), scratch))
+    # all pairs of different components
+    cross = _cross_pairs(_mixed(mixed, found, scratch), classes, similarity, 3.0, scratch)
+    return found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(cross, classes, similarity, sketch))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, recall: float = 0.98, points: int = 32, slack: float = 4.0, sketch: int = 512,
 ) -> DataFrame:
-    """``docs`` with one row of each component, the one with the least identifier; columns unchanged.
+    """One row an input row: id, tid, cls, owner (identifier and text hash of the first row of its group).
 
-    Two equally long shingle sets of Jaccard ``similarity`` s have the cosine 2s / (1 + s),
-    and each bit of their fingerprints differs with probability angle / pi. Pairs go on up to
-    the number of bits expected at ``similarity`` plus ``slack`` standard deviations; then
-    their similarity is taken from the least ``sketch`` shingle hashes.
+    Pairs that meet go on up to the number of differing bits expected at ``similarity`` (a
+    bit differs with probability angle / pi) plus ``slack`` standard deviations; then their
+    similarity is taken from the least ``sketch`` shingle hashes.
     """
-    bits = words * word_bits
+    n = docs.count()
+    words, word_bits = net(n, similarity, recall, points)
+    bits = 64 * math.ceil(words * word_bits / 64)
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     limit = round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
-    marked = simhash_components(docs, id_col, text_col, size, words, word_bits, radius, limit, similarity, sketch)
+    scratch = Scratch(docs.sparkSession, "near")
+    # rows of one print are one class only if their sketches agree too
+    rows = scratch.cut(prints(docs, id_col, text_col, size, words, word_bits, sketch).withColumn("cls", F.xxhash64("fp", "sk")))
+    classes = rows.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("fp", "flips", "sk", "bins")])
+    classes = scratch.cut(classes)
+    links = _wide_links(classes, words, word_bits, points, limit, similarity, sketch, scratch, n)
+    return _owned(rows.select("id", "tid", "cls"), links, scratch)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, recall: float = 0.98, points: int = 32, slack: float = 4.0, sketch: int = 512) -> DataFrame:
+    """``docs`` with one row of each group of ``near_duplicates``, the one with the least identifier; columns unchanged."""
+    marked = near_duplicates(docs, id_col, text_col, size, similarity, recall, points, slack, sketch)
     lost = marked.where(~(F.col("id").eqNullSafe(F.col("owner.id")) & (F.col("tid") == F.col("owner.tid")))).select("id", "tid").distinct()
     same = docs[id_col].cast("long").eqNullSafe(lost["id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == lost["tid"])
     return docs.join(lost, same, "left_anti")

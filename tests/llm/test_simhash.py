@@ -1,5 +1,8 @@
+import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 
 from tarnweave.llm import simhash as S
@@ -34,10 +37,7 @@ def test_fingerprints(monkeypatch):
     for part in (1 << 20, 7):  # 7: read in pieces
         monkeypatch.setattr(S, "_PART", part)
         for t in texts:
-            assert S.fingerprint(t.encode(), 3)[0] & (1 << 64) - 1 == slow_print(t)
-    wide = S.fingerprint(texts[-1].encode(), 3, 8, 32)
-    assert len(wide) == 8 and all(0 <= w < 1 << 32 for w in wide)
-    assert wide[0] | wide[1] << 32 == slow_print(texts[-1])
+            assert S.fingerprint(t.encode(), 3) & (1 << 64) - 1 == slow_print(t)
 
 
 def test_components_of_random_graphs(spark):
@@ -54,8 +54,8 @@ def test_links_against_all_pairs(spark, monkeypatch):
     rng = random.Random(6)
     base = [rng.getrandbits(64) for _ in range(40)]
     values = base + [b ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for b in base for _ in range(4)] + [b ^ 7 for b in base]
-    rows = [(i, i, [v - (1 << 64) if v >> 63 else v], []) for i, v in enumerate(values)]
-    prints = spark.createDataFrame(rows, "id long, tid long, fp array<long>, sk array<int>")
+    rows = [(i, i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)]
+    prints = spark.createDataFrame(rows, "id long, tid long, cls long")
     monkeypatch.setattr(S, "fingerprints", lambda *a: prints)
     docs = spark.createDataFrame([], "doc_id long, text string")
     got = {r.id: r.component_id for r in S.simhash_components(docs).collect()}
@@ -82,28 +82,111 @@ def test_near_duplicates(spark):
     ids = {r.doc_id for r in kept.collect()}
     assert kept.columns == docs.columns
     assert {3 * g for g in range(30)} | {1000, 1001} <= ids
-    assert len(ids) <= 32 + 4  # at least 56 of the 60 near copies go
+    assert len(ids) <= 32 + 1  # at least 59 of the 60 near copies go
 
 
-def test_wide_links_against_all_pairs(spark):
-    """Many rows that are unrelated in the whole print, some in related pairs or chains, crowd the same variants."""
+def edited(rng, words, similarity, word):
+    """``words`` with single words replaced until the shingle sets have about that similarity, and the exact one."""
+    runs = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    out, own = list(words), runs(words)
+    while True:
+        new = list(out)
+        new[rng.randrange(len(new))] = word()
+        other = runs(new)
+        if len(own & other) / len(own | other) < similarity:
+            return out, len(own & runs(out)) / len(own | runs(out))
+        out = new
+
+
+def isolated_pairs(rng, n):
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, found = [], []
+    for k in range(n):
+        text = [word() for _ in range(rng.randint(300, 450))]
+        other, s = edited(rng, text, 0.8 + 0.15 * k / n, word)
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+        found.append(s)
+    return rows, found
+
+
+BANDS = ((0.8, 0.82), (0.82, 0.85), (0.85, 0.9), (0.9, 1.0))
+
+
+def recalls(spark, rows, found):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in S.drop_near_duplicates(docs).select("doc_id").collect()}
+    assert {2 * k for k in range(len(found))} <= kept and {r[0] for r in rows[2 * len(found) :]} <= kept
+    for low, high in BANDS:
+        own = [2 * k + 1 not in kept for k, s in enumerate(found) if low <= s < high]
+        yield sum(own) / len(own)
+
+
+def test_recall_of_isolated_pairs(spark):
+    rows, found = isolated_pairs(random.Random(21), 600)
+    got = list(recalls(spark, rows, found))
+    assert min(got) >= 0.95, got
+
+
+def test_recall_among_strangers(spark, monkeypatch):
+    """Words so short that a variant holds some five rows that have nothing to do with one another."""
+    rng = random.Random(22)
+    rows, found = isolated_pairs(rng, 300)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows += [(10_000 + k, " ".join(word() for _ in range(60))) for k in range(1500)]
+    bits = 14
+    monkeypatch.setattr(S, "net", lambda *a: (math.ceil(math.log(0.02) / math.log(1 - S.meeting(bits, 0.8, 32))), bits))
+    assert len(rows) * 32 / 2**bits > 4
+    got = list(recalls(spark, rows, found))
+    assert min(got) >= 0.95, got
+
+
+def test_no_link_between_pairs_that_meet_is_lost(spark):
+    """Rows of few components against all pairs of rows on the same variants."""
     rng = random.Random(12)
-    wide, one = 10, [rng.getrandbits(32) for _ in range(3)]
-    values = []
-    for g in range(60):
-        start = [one[0] ^ (1 << rng.randrange(32)) * (g % 2), one[1] if g % 3 else rng.getrandbits(32), *(rng.getrandbits(32) for _ in range(wide - 2))]
-        for c in range(g % 4):  # chains of up to three rows, near only to the next
-            values.append(start)
-            start = [start[0], *(w ^ sum(1 << b for b in rng.sample(range(32), 5)) for w in start[1:])]
-    rng.shuffle(values)
-    far = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(x, y))
-    pairs = [(i, j) for i in range(len(values)) for j in range(i) if far(values[i], values[j]) <= 61 and any((p ^ q).bit_count() <= 2 for p, q in zip(values[i], values[j]))]
-    assert len(pairs) == 45
-    classes = spark.createDataFrame([(i, v, [1]) for i, v in enumerate(values)], "cls long, fp array<long>, sk array<int>")
+    words, bits, points = 4, 14, 16
+    texts = []
+    for g in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for c in range(g % 5 + 1):  # chains: each near the one before it only
+            texts.append(" ".join(base))
+            for _ in range(2):
+                base[rng.randrange(120)] = f"w{rng.randrange(10**6)}"
+    rng.shuffle(texts)
+    parts = [S.describe(t.encode(), 5, words, bits, 512) for t in texts]
+    classes = spark.createDataFrame([(i, fp.tolist(), bytearray(fl.tobytes()), sk.tolist(), bytearray(bins.tobytes())) for i, (fp, fl, sk, bins) in enumerate(parts)], "cls long, fp array<long>, flips binary, sk array<int>, bins binary")
+    balls = [set(S._balls(fp[None], fl.reshape(1, -1), words, bits, points)[0].tolist()) for fp, fl, _, _ in parts]
+    near = lambda i, j: len(set(parts[i][2]) & set(parts[j][2])) / len(set(parts[i][2]) | set(parts[j][2])) >= 0.8
+    met = [(i, j) for i in range(len(texts)) for j in range(i) if balls[i] & balls[j]]
+    pairs = [(i, j) for i, j in met if near(i, j)]
+    assert len(pairs) > 40 and len(met) > 3 * len(pairs)
     scratch = Scratch(spark, "test")
-    got = {r.node: r.root for r in connected(S._all_links(classes, wide, 32, 2, 61, 0.0, 0, scratch), scratch).collect()}
-    want = roots(len(values), pairs)
-    assert [got.get(i, i) for i in range(len(values))] == want
+    got = {r.node: r.root for r in connected(S._wide_links(classes, words, bits, points, 64, 0.8, 512, scratch, len(texts)), scratch).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == roots(len(texts), pairs)
+
+
+def test_blocks_of_a_variant(spark):
+    """All pairs of a variant with more rows than a block, whatever the buffer."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 256, (6, 256), dtype=np.uint8)
+    rows = [(k, k % 7, bytearray(np.where(rng.random(256) < 0.9, base[k % 6], rng.integers(1, 256, 256)).astype(np.uint8).tobytes())) for k in range(150)]
+    classes = spark.createDataFrame([(c, b) for c, _, b in rows], "cls long, bins binary")
+    mixed = spark.createDataFrame([(key, c, p) for c, p, _ in rows for key in (1, 2 + c % 2)], "key long, cls long, comp long")
+    got = {tuple(r) for r in S._cross_pairs(mixed, classes, 0.8, 3.0, Scratch(spark, "test"), block=20).collect()}
+    same = lambda x, y: sum(p == q for p, q in zip(x, y)) >= 256 * 0.8 - 3 * math.sqrt(256 * 0.16)
+    want = {(a, b) for a, p, x in rows for b, q, y in rows if a < b and p != q and same(x, y)}
+    assert got == want and len(want) > 300
+    small = S._compare(0.8, 3.0, most=16)
+    table = sorted((1, 0, 0, c, p, b) for c, p, b in rows)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*[(c, p, bytes(b), key, i, j) for key, i, j, c, p, b in table[k : k + 10]])], names=list("abcdef")) for k in range(0, 150, 10)]
+    assert {(a, b) for out in small(iter(batches)) for a, b in zip(*(x.to_pylist() for x in out.columns))} == want
+
+
+def test_balls_are_the_nearest_variants():
+    word, bits, margins = np.array([0b1010], np.uint64), np.array([[0, 2, 3]], np.uint8), np.array([[1, 3, 10]], np.uint8)
+    assert sorted(S.ball(word, bits, margins, 4)[0].tolist()) == sorted([0b1010, 0b1011, 0b1110, 0b1111])
+    for n in (10, 10**5, 10**8):
+        words, size = S.net(n, 0.8, 0.98)
+        assert n * 32 / 2**size <= 1 / 8 and 1 - (1 - S.meeting(size, 0.8, 32)) ** words >= 0.98
 
 
 def test_repeats_neither_join_nor_part_texts(spark):
@@ -121,13 +204,17 @@ def test_repeats_neither_join_nor_part_texts(spark):
 def test_distinct_shingles_in_pieces(monkeypatch):
     rng = random.Random(15)
     text = " ".join(rng.choice("abcd") for _ in range(3000)).encode()
-    whole = S.describe(text, 5, 10, 32, sketch=64)
+    fp, flips, sketch, bins = S.describe(text, 5, 7, 28, 64)
     hashes = {int(h) for part in S.shingle_hashes(text, 5) for h in part}
-    assert whole[1].tolist() == sorted({h >> 33 for h in hashes})[:64]
-    assert whole[0][0] | whole[0][1] << 32 == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) > len(hashes) / 2)
+    assert sketch.tolist() == sorted({h >> 33 for h in hashes})[:64]
+    counts = [sum(h >> b & 1 for h in hashes) for b in range(64)]
+    assert int(fp[0]) & (1 << 64) - 1 == sum(1 << b for b in range(64) if counts[b] > len(hashes) / 2)
+    margins = [abs(2 * c - len(hashes)) for c in counts[:28]]
+    assert sorted(margins[b] for b in flips[0].tolist()) == sorted(margins)[:8]
+    assert bins.tolist() == [min((h for h in hashes if h % 256 == k), default=-256) // 256 % 255 + 1 if any(h % 256 == k for h in hashes) else 0 for k in range(256)]
     monkeypatch.setattr(S, "_PART", 50)
-    again = S.describe(text, 5, 10, 32, sketch=64)
-    assert again[0] == whole[0] and again[1].tolist() == whole[1].tolist()
+    again = S.describe(text, 5, 7, 28, 64)
+    assert all((x == y).all() for x, y in zip((fp, flips, sketch, bins), again))
 
 
 def test_sketches(spark):
@@ -144,7 +231,7 @@ def test_sketches(spark):
 def test_edges(spark, nasty, nothing):
     got = S.simhash_components(nasty).collect()
     assert len(got) == nasty.count()
-    assert {(r.fp[0], r.component_id) for r in got if r.id in (1, 2, 3, 9)} == {(0, 1)}
+    assert {(r.cls, r.component_id) for r in got if r.id in (1, 2, 3, 9)} == {(0, 1)}
     assert {r.component_id for r in got if r.id == 5} == {5}
     kept = S.drop_near_duplicates(nasty).collect()
     assert sum(r.text == "same text here again" for r in kept) == 1 and sum(r.doc_id in (1, 2, 3, 9) for r in kept) == 1
