@@ -53,17 +53,20 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of all words of a text, and of windows of words, in numpy.
 
-    A word's hash is a polynomial over random byte values modulo 2**64, taken from
-    prefix sums (the base is odd, so it can be divided out), mixed with its length.
-    Long texts go through in segments cut at white space, so the temporaries stay
-    bounded by the segment and the longest word.
+    A word's hash is a sum of random values, one drawn for each byte at each place (from a
+    table for the first places, by a 64-bit finaliser beyond), mixed with its length: two
+    different words collide with probability 2**-64 whatever their letters. A window's is a
+    polynomial over word hashes modulo 2**64. Another ``seed`` gives independent hashes of both.
+    Long texts go through in segments cut at white space, so the temporaries stay bounded by
+    the segment and the longest word.
     """
 
-    SEGMENT = 1 << 20
+    SEGMENT, PLACES = 1 << 20, 64
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.values = rng.integers(0, (1 << 64) - 1, self.PLACES * 256, dtype=np.uint64, endpoint=True)
+        self.beyond = rng.integers(1, 1 << 63, dtype=np.uint64)
         self.base = int(rng.integers(1, 1 << 62)) * 2 + 1
         space = np.zeros(256, bool)
         space[[32, 9, 10, 11, 12, 13]] = True
@@ -88,17 +91,20 @@ class WordHasher:
         return self._tables[size, factor]
 
     def _segment(self, raw: np.ndarray) -> np.ndarray:
-        if not len(raw):
-            return np.zeros(0, np.uint64)
         solid = ~self.space[raw]
         edge = np.diff(np.concatenate(([0], solid.view(np.int8), [0])))
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if not len(start):
             return np.zeros(0, np.uint64)
-        power, inverse = self._pair(len(raw) + 1)
-        prefix = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.values[raw] * power[: len(raw)], out=prefix[1:])
-        return splitmix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        size = end - start
+        first = np.cumsum(size) - size
+        letters = raw[solid]
+        place = np.arange(len(letters)) - np.repeat(first, size)
+        values = self.values[np.minimum(place, self.PLACES - 1) * 256 + letters]
+        if size.max() > self.PLACES:
+            far = place >= self.PLACES
+            values[far] = splitmix((place[far].astype(np.uint64) * np.uint64(256) + letters[far]) * np.uint64(0x9E3779B97F4A7C15) + self.beyond)
+        return splitmix(np.add.reduceat(values, first) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def word_hashes(self, text: bytes) -> np.ndarray:
         raw = np.frombuffer(text, np.uint8)

@@ -1,22 +1,29 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Texts are compared as lower-case words without punctuation. Each benchmark item takes
-its rarest n-grams as seeds (a share of those that occur, by the number of documents in
-the whole corpus that have them, never by an absolute limit, so a passage that is copied
-into very many documents keeps its seeds). A document that has a seed is aligned with the item
-around it; the score is the best local alignment's (match 1, mismatch and gap -0.5 a
-word) divided by the item's length in words. A pair counts from ``least`` on.
+Texts are compared as case-folded words without punctuation (NFC). Each benchmark item takes
+its rare n-grams as seeds: of those that any document has, the rarest share by the number of
+documents in the whole corpus, and all that are at most ``slack`` times as frequent as the
+last of these. The limit is never absolute, so a passage that is copied into very many
+documents keeps its seeds, and those that survive in an edited copy stay seeds beside those
+that only whole copies have. A document that has a seed is aligned with the item around it;
+the score is the best local alignment's (match 1, mismatch and gap -0.5 a word) divided by
+the item's length in words. A pair counts from ``least`` on. Alignments take memory in
+proportion to the region, not to region times item.
 
 The benchmark is a stated query set: it reaches the driver and the tasks in blocks of at
 most ``block_words`` words (at least one item), each block against all documents.
 
 Defined results: null text or item has no words; items without words match nothing;
-items of fewer words than an n-gram use all of their words as one seed; repeated rows
-are judged alike; an empty benchmark or table gives an empty result.
+items of fewer words than an n-gram use all of their words as one seed; of several regions
+or ends with the best score the first counts; repeated rows are judged alike; very long texts
+are read whole; an empty benchmark or table gives an empty result; other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,38 +31,47 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import WordHasher, encoded, small_batches
 
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
+#: UTF-8 of punctuation and spaces in Latin-1, General Punctuation, and CJK Symbols.
+_MARKS = re.compile(rb"\xc2[\xa0-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf]|\xe2\x80[\x80-\xbf]|\xe2\x81[\x80-\xaf]|\xe3\x80[\x80-\x84\x88-\x9f]")
 
 
 def plain(text: bytes) -> bytes:
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text.decode("utf-8", "surrogatepass")).casefold().encode("utf-8", "surrogatepass")
+        text = _MARKS.sub(b" ", text)
     return text.translate(_PLAIN)
 
 
 def align(item: np.ndarray, text: np.ndarray, miss: float = 0.5, gap: float = 0.5) -> tuple[float, int, int]:
-    """Best local alignment of two word sequences: score, and the span of ``text`` (end exclusive)."""
+    """Best local alignment of two word sequences: score, and the span of ``text`` (end exclusive).
+
+    Row by row; each cell carries where its alignment began, so no table is kept.
+    """
     n = len(text)
-    slope = gap * np.arange(n + 1)
-    table = np.zeros((len(item) + 1, n + 1))
-    for i, word in enumerate(item, 1):
-        over = table[i - 1]
-        row = np.maximum(over - gap, 0)
-        row[1:] = np.maximum(row[1:], over[:-1] + np.where(text == word, 1.0, -miss))
+    places, slope = np.arange(n + 1), gap * np.arange(n + 1)
+    over, begin, best = np.zeros(n + 1), places.copy(), (0.0, 0, 0)
+    for word in item:
+        row = over - gap
+        start = np.where(row > 0, begin, places)
+        np.maximum(row, 0, out=row)
+        across = over[:-1] + np.where(text == word, 1.0, -miss)
+        better = np.flatnonzero(across > row[1:])
+        row[better + 1] = across[better]
+        start[better + 1] = begin[better]
         # gaps along the text: the best of all earlier cells less their distance
-        table[i] = np.maximum.accumulate(row + slope) - slope
-    end = int(table.argmax())
-    i, j = divmod(end, n + 1)
-    score, stop = float(table[i, j]), j
-    while i and j and table[i, j] > 1e-9:
-        if abs(table[i, j] - table[i - 1, j - 1] - (1.0 if item[i - 1] == text[j - 1] else -miss)) < 1e-9:
-            i, j = i - 1, j - 1
-        elif abs(table[i, j] - table[i - 1, j] + gap) < 1e-9:
-            i -= 1
-        else:
-            j -= 1
-    return score, j, stop
+        row += slope
+        top = np.maximum.accumulate(row)
+        over = top - slope
+        begin = start[np.maximum.accumulate(np.where(row >= top, places, 0))]
+        end = int(over.argmax())
+        if over[end] > best[0]:
+            best = float(over[end]), int(begin[end]), end
+    return best
 
 
 class Matcher:
@@ -92,8 +108,8 @@ class Matcher:
             inside = at + n <= begins[doc + 1]
             yield n, at[inside], k[at[inside]], doc[inside]
 
-    def seed(self, frequency: np.ndarray, share: float, fewest: int) -> None:
-        """Keep the rarest n-grams of each item, of those that any document has, as seeds."""
+    def seed(self, frequency: np.ndarray, share: float, fewest: int, slack: float) -> None:
+        """Keep the rare n-grams of each item, of those that any document has, as seeds."""
         of, base = defaultdict(list), 0
         for n in self.sizes:
             for k, places in enumerate(self.places[n]):
@@ -105,8 +121,9 @@ class Matcher:
         self.live = {n: np.zeros(len(self.grams[n]), bool) for n in self.sizes}
         for found in of.values():
             found.sort()
-            for _, k, n in found[: max(fewest, round(share * len(found)))]:
-                self.live[n][k] = True
+            limit = slack * found[min(len(found), max(fewest, round(share * len(found)))) - 1][0]
+            for times, k, n in found:
+                self.live[n][k] |= times <= limit
 
     def find(self, hasher: WordHasher, texts: list[bytes], least: float) -> list[dict]:
         """Of each text: item index -> (score, first word, end word) where the score is ``least`` or more."""
@@ -148,7 +165,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int)
         yield block
 
 
-def _seeded(docs: DataFrame, text_col: str, block: list[tuple], size: int, share: float, fewest: int) -> Matcher | None:
+def _seeded(docs: DataFrame, text_col: str, block: list[tuple], size: int, share: float, fewest: int, slack: float) -> Matcher | None:
     """A matcher whose seeds were chosen by the document frequencies of the whole corpus."""
     matcher = Matcher(block, size)
     if not matcher.items:
@@ -169,21 +186,21 @@ def _seeded(docs: DataFrame, text_col: str, block: list[tuple], size: int, share
     frequency = np.zeros(matcher.count(), np.int64)
     for k, n in docs.select(text_col).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         frequency[k] = n
-    matcher.seed(frequency, share, fewest)
+    matcher.seed(frequency, share, fewest, slack)
     return matcher
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    size: int = 3, share: float = 0.75, fewest: int = 8, least: float = 0.4, block_words: int = 200_000,
+    size: int = 3, share: float = 0.25, fewest: int = 8, slack: float = 8, least: float = 0.4, block_words: int = 200_000,
 ) -> DataFrame:
     """One row a contaminated pair: id, item_id, score, begin and end (words of the text, end exclusive)."""
     small_batches(docs.sparkSession)
     spark, parts = docs.sparkSession, []
     schema = docs.select(F.col(id_col).alias("id")).schema.add("item_id", benchmark.schema[item_col].dataType).add("score", "double").add("begin", "long").add("end", "long")
-    item_type = pa.string() if benchmark.schema[item_col].dataType.typeName() == "string" else pa.int64()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     for block in _blocks(benchmark, item_col, item_text_col, block_words):
-        matcher = _seeded(docs, text_col, block, size, share, fewest)
+        matcher = _seeded(docs, text_col, block, size, share, fewest, slack)
         if matcher is None:
             continue
 
@@ -209,13 +226,13 @@ def contaminated(
 
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    size: int = 3, share: float = 0.75, fewest: int = 8, least: float = 0.4, block_words: int = 200_000,
+    size: int = 3, share: float = 0.25, fewest: int = 8, slack: float = 8, least: float = 0.4, block_words: int = 200_000,
 ) -> DataFrame:
     """``docs`` without the rows that match an item; columns unchanged."""
     small_batches(docs.sparkSession)
     out = docs
     for block in _blocks(benchmark, item_col, item_text_col, block_words):
-        matcher = _seeded(docs, text_col, block, size, share, fewest)
+        matcher = _seeded(docs, text_col, block, size, share, fewest, slack)
         if matcher is None:
             continue
 

@@ -5,14 +5,17 @@ neighbours and from how often it repeats in the text. Lines of labelled document
 their document's label for training. The score of a text is the mean of its lines'
 forward-backward marginals of "good", weighted by line length.
 
-The field is fitted on the driver to at most ``max_docs`` labelled documents, those with
-the least hash of their identifier (the documented bound of the labelled sample, and so
-of the data that the driver gets); scoring covers every line of every text.
+The field is fitted on the driver to at most ``max_docs`` labelled documents of at most
+``max_bytes`` bytes each, those with the least hash of their identifier (the documented bounds
+of the labelled sample, and so of the data that the driver gets); scoring covers every line
+of every text.
 
 Defined results: a text without lines (null, empty) is one empty line and gets that
-line's score; rows are scored one by one, so repeated rows agree; without any labelled
-row every score is 0.5; labels of rows that aren't in the table are not used; a label of
-null is no label.
+line's score; rows are scored one by one, so repeated rows agree and ties need no rule; very
+long texts are scored whole; without any labelled row every score is 0.5; labels of rows that
+aren't in the table are not used; a label of null is no label; of several texts under one
+identifier the one of least hash is learned from; an empty table gives an empty result; other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import encoded, small_batches
 
-MAX_DOCS = 3000
-MAX_CHARS = 20_000  # of a training document; longer ones are left out of the sample, never cut
+MAX_DOCS, MAX_BYTES = 3000, 20_000
 
 _CLASS = np.zeros(256, np.uint8)  # 0 other bytes of letters, 1 lower, 2 upper, 3 digit, 4 space, 5 sentence marks, 6 other marks
 _CLASS[ord("a") : ord("z") + 1] = 1
@@ -180,17 +182,18 @@ def held_out(id_col: str) -> "F.Column":
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_DOCS) -> LineField | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> LineField | None:
     """A field fitted to labelled rows that are not held out; None without labels of both kinds."""
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("label_id")).agg(F.max(F.col(label_col)).cast("int").alias("label"))
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), body.alias("body"), F.xxhash64(body).alias("hash")).where(F.octet_length("body") <= max_bytes)
+    there = texts.select("id", "hash").join(known, F.col("id") == F.col("label_id")).groupBy("id").agg(F.min("hash").alias("hash"), F.first("label").alias("label"))
     # half of the bound for each label, so that the rarer one has its share
-    sample = []
-    for value in (0, 1):
-        keys = known.where(F.col("label") == value).orderBy(F.xxhash64("label_id"), "label_id").limit(max_docs // 2)
-        sample.append(keys)
-    keys = F.broadcast(sample[0].unionByName(sample[1]))
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where(F.octet_length("body") <= MAX_CHARS)
-    rows = picked.join(keys, F.col("id") == F.col("label_id")).select("id", "body", "label").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").collect()
+    sample = [there.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(max_docs // 2) for value in (0, 1)]
+    keys = sample[0].unionByName(sample[1]).collect()  # at most max_docs rows
+    keys = docs.sparkSession.createDataFrame(keys, there.schema)
+    picked = texts.join(F.broadcast(keys), ["id", "hash"]).dropDuplicates(["id", "hash"])
+    rows = picked.select("id", "body", "label").orderBy(F.xxhash64("id"), "id").collect()
     if len({r[2] for r in rows}) < 2:
         return None
     labels_ = np.array([r[2] for r in rows])

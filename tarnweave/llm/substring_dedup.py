@@ -10,18 +10,22 @@ the one with the least hash, leftmost on a tie. Equal windows choose equal ones
 offsets, so a repeated window always has a repeated representative, and about a sixth of
 the positions have to be counted. The windows that share a representative are neighbours
 and travel as one row. Windows meet by 64-bit hashes on the lower levels (a chance hit
-there costs work, not results) and by 128 bits on the last.
+there costs work, not results). On the last level they have to agree in two hashes of 64 bits
+that come from independent hashes of the words: that of the representative and that of the
+whole window (inside one document, the latter alone). Words themselves aren't compared.
 
 What repeats inside one document is settled there: a document sends each distinct window
 once. Counts are pre-aggregated before each shuffle. Representatives of up to ``hot``
-documents are compared in order of place, one after another; for those of more (a passage
-that very many documents share) equal rows are first reduced to the first of them, only
+places are compared in order of place, one after another, so ``hot`` bounds what a task
+holds; for those of more (a passage that very many documents share, or one document very often) equal rows are first reduced to the first of them, only
 what differs is taken apart into windows, and first places are aggregated before the
 shuffle and joined back, joins that adaptive execution can split.
 
-Defined results: null text has no words; rows that share an identifier are told apart by
-their text's hash, in its order; wholly repeated rows count as one document, and each is
-returned; a null identifier is the smallest; other columns are not looked at.
+Defined results: identifiers are integers; null and empty texts have no words; rows that
+share an identifier are told apart by their text's 64-bit hash, in its order; wholly repeated
+rows count as one document, and each is returned; a null identifier is the smallest; very
+long texts are read whole, a batch of Arrow rows at a time; an empty table gives an empty
+result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,13 +40,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, WordHasher, encoded, signed, small_batches, splitmix
 
-_KEY = "id long, tid int"
+_KEY = "id long, tid long"
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tid, body); tid tells rows of one identifier apart."""
-    tid = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 33).cast("int")
-    return docs.select(F.col(id_col).cast("long").alias("id"), tid.alias("tid"), F.col(text_col).alias("body"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tid"), F.col(text_col).alias("body"))
 
 
 def representatives(hashes: np.ndarray, begins: np.ndarray, window: int, start: int, hasher: WordHasher) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -149,13 +152,13 @@ def _emit_runs(window: int, start: int):
     """
 
     def run(batches):
-        hasher = WordHasher()
+        hasher, other = WordHasher(), WordHasher(11)
         for b in batches:
             batch = _Batch(b, hasher, window, start, window)
             at, under = batch.at, batch.under
             if not len(at):
                 continue
-            keys = hasher.windows(batch.hashes, window, 1)[at]
+            keys = other.windows(other.texts(encoded(b.column(2)))[0], window)[at]
             again = _first_equal(keys, batch.doc_of(at)) != np.arange(len(at))
             # windows that repeat inside: masks of up to 31 neighbours
             own = at[again]
@@ -252,7 +255,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, start: int | None = None
     for length in lengths[:-1]:
         run, schema = _emit(window, start, length)
         seen = (rows if found is None else _with_positions(rows, found, "inner", "ats", "hots")).mapInArrow(run, schema)
-        more = scratch.cut(seen.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).where("n > 1").select("h", (F.col("docs") > hot).alias("hot")))
+        more = scratch.cut(seen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot")))
         lists = [F.collect_list(F.when(~F.col("hot"), F.col("at"))).alias("ats"), F.collect_list(F.when(F.col("hot"), F.col("at"))).alias("hots")]
         after = scratch.cut(seen.join(more, "h").groupBy("id", "tid").agg(*lists))
         scratch.drop(more)

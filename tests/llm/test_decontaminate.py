@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tarnweave.llm.decontaminate import align, contaminated, drop_contaminated
+from tarnweave.llm.decontaminate import align, contaminated, drop_contaminated, plain
 
 
 def slow(a, b, miss=0.5, gap=0.5):
@@ -68,6 +68,55 @@ def test_an_edited_copy_as_the_only_trace_is_found(spark):
     assert {r.doc_id for r in drop_contaminated(docs, bench).collect()} == {0, 1, 2, 4, 5}
 
 
+def test_words_are_folded():
+    assert plain("ÉCOLE".encode()) == plain("École".encode()) == plain("e\u0301cole".encode()) == "école".encode()
+    assert plain("“Hello”—it’s «fine», ¿no?…".encode()).split() == b"hello it s fine no".split()
+
+
+def test_alignment_of_very_long_texts_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    text = rng.integers(0, 1 << 60, 1_000_000)
+    item = rng.integers(0, 1 << 60, 1000)
+    text[500_000:500_040] = item[:40]
+    tracemalloc.start()
+    score, begin, end = align(item[:100], text)
+    assert (score, begin, end) == (40, 500_000, 500_040) and tracemalloc.get_traced_memory()[1] < 150 << 20  # rows of any number of item words take as much
+    tracemalloc.stop()
+
+
+def test_against_all_pairs(spark):
+    """50 texts and 20 items, edited at all rates: every pair that scores is found (the seeds lose at most one in a hundred)."""
+    rng = random.Random(12)
+    common = words(rng, 12)
+    filler = lambda n: [rng.choice(common) if rng.random() < 0.5 else w for w in words(rng, n)]
+    items = [filler(rng.randint(20, 60)) for _ in range(20)]
+    texts = []
+    for d in range(50):
+        text = filler(80)
+        for i in rng.sample(range(20), 2):
+            rate = rng.choice([0, 0, 0.1, 0.2, 0.25])
+            copy = [w if rng.random() >= rate else rng.choice(["", "new", "two more"]) for w in items[i]]
+            text[40:40] = [w for w in " ".join(copy).split()]
+        texts.append(text)
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(f"i{i}", " ".join(x)) for i, x in enumerate(items)], "item_id string, text string")
+    want = {(d, f"i{i}") for d, t in enumerate(texts) for i, x in enumerate(items) if slow(x, t) / len(x) >= 0.4}
+    got = {(r.id, r.item_id) for r in contaminated(docs, bench).collect()}
+    assert got <= want and len(want - got) <= len(want) // 100 and len(want) > 80
+
+
+def test_edited_copies_beside_whole_ones(spark):
+    """N-grams that only the whole copies have are rarer than those that survive in all; both are seeds."""
+    rng = random.Random(13)
+    item = words(rng, 40)
+    copy = [f"new{k}" if k % 4 == 3 else w for k, w in enumerate(item)]
+    docs = spark.createDataFrame([(d, " ".join(words(rng, 60) + (copy if d == 3 else item) + words(rng, 60))) for d in range(6)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id int, text string")
+    assert {r.id for r in contaminated(docs, bench).collect()} == set(range(6))
+
+
 def test_edges(spark, nasty, nothing):
     bench = spark.createDataFrame([(1, "same text here again"), (2, None), (3, "w5x5")], "item_id long, text string")
     got = contaminated(nasty, bench).collect()

@@ -62,6 +62,30 @@ def test_neighbours_matter():
     assert not np.allclose(a[0], b[0])
 
 
+def test_scores_against_enumeration(spark):
+    """Scores of a table are the length-weighted marginals that enumerating all label paths gives."""
+    rows = [(d, "\n".join(t.split("\n")[:6])) for d, t, _ in corpus(60)] + [(60, ""), (61, None), (62, "a\n\nb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = Q.fit(docs, spark.createDataFrame([(d, q) for d, _, q in corpus(60)], "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in Q.score(docs, field).collect()}
+    for d, text in rows:
+        x, length = Q.document_features((text or "").encode())
+        u = field._unary(x)
+        paths = list(itertools.product((0, 1), repeat=len(x)))
+        w = np.exp([sum(u[i, y] for i, y in enumerate(p)) + sum(field.steps[a, b] for a, b in zip(p, p[1:])) for p in paths])
+        good = [sum(v for v, p in zip(w, paths) if p[i]) / w.sum() for i in range(len(x))]
+        assert got[d] == pytest.approx(np.average(good, weights=length), abs=1e-6)
+
+
+def test_the_sample_is_bounded_and_the_same_each_time(spark):
+    rows = list(corpus(200))
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(d, t + " other") for d, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, q) for d, _, q in rows], "doc_id long, quality int")
+    a, b = (Q.fit(x, labels, max_docs=40).states for x in (docs.repartition(3), docs.repartition(7)))
+    assert np.array_equal(a, b)
+    assert Q.fit(docs, labels, max_bytes=1) is None
+
+
 def test_edges(spark, nasty, nothing):
     labels = spark.createDataFrame([(4, 1, 0), (7, 0, 1), (8, 1, None), (None, 1, 0), (77, 0, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
     field = Q.fit(nasty, labels)

@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from tarnweave.llm.substring_dedup import remove_repeats
+from tarnweave.llm.common import WordHasher
+from tarnweave.llm.substring_dedup import _rows, remove_repeats
 
 
 def brute(rows, window):
@@ -42,6 +43,38 @@ def test_long_words_and_segments(spark):
     assert (got[1].n_removed, got[2].n_removed, got[2].kept) == (0, 1000, "z")
 
 
+def test_words_that_polynomial_hashes_confuse(spark):
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{k}" for k in range(19))
+    docs = spark.createDataFrame([(1, f"{word} {rest}"), (2, f"{other} {rest}"), (3, f"{word} {rest}")], "doc_id long, text string")
+    assert {r.id: r.n_removed for r in remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 20}
+
+
+def test_hashes_of_words():
+    rng = random.Random(5)
+    words = list({"".join(rng.choice("ab") for _ in range(n)) for n in range(1, 200) for _ in range(60)})
+    text = " ".join(words).encode()
+    got = WordHasher().word_hashes(text)
+    assert len(set(got.tolist())) == len(words)
+    assert got.tolist() == [int(WordHasher().word_hashes(w.encode())[0]) for w in words]
+    assert not set(got.tolist()) & set(WordHasher(11).word_hashes(text).tolist())
+
+
+def test_very_many_rows_without_identifier(spark):
+    docs = spark.range(200_000).selectExpr("CAST(NULL AS long) AS doc_id", "concat('text ', id) AS text")
+    assert _rows(docs, "doc_id", "text").select("tid").distinct().count() == 200_000
+
+
+def test_one_document_with_very_many_runs(spark):
+    """A representative that one document alone has often is a hot one too."""
+    rng = random.Random(6)
+    same = " ".join(f"s{k}" for k in range(6))
+    rows = [(1, " ".join(f"{rng.randrange(10**6)} {same}" for _ in range(300))), (2, " ".join(f"x {same}" for _ in range(9)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in remove_repeats(docs, 8, hot=20).collect()) == brute(rows, 8)
+
+
 def test_edges(spark, nasty, nothing):
     got = remove_repeats(nasty, 4).collect()
     assert len(got) == nasty.count()
