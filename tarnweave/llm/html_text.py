@@ -1,19 +1,29 @@
 """HTML extraction by composite text density.
 
-A page becomes a tree of nodes; what is page furniture by tag or by the words of its
-class, id or role is dropped. Each node has C characters, T tags, and LC and LT of them
+A page becomes a tree of nodes. Each node has C characters, T tags, and LC and LT of them
 in links; its composite density is C/T * log_b(C/LC * T/LT) with
 b = ln(C/(C-LC) * LC + LC_body/C_body * C + e). A node's sum is that of its children's
-densities. From the node of the greatest sum, the threshold is the least density on the
-path from the body to it; the main subtree is the highest ancestor all of whose sums and
-densities on the way still hold, widened to the article or main element around it.
+densities. The threshold is the least density on the path from the body to the block of the
+greatest sum; the main subtree is the least one that holds that block and what lies beside
+its path and reaches the threshold, is a heading (short by nature) or bare text. Whether an
+element is called article or main plays no part in this.
+
+Page furniture is taken out before: elements that never hold text of their own (scripts,
+styles, menus, footers, controls), and blocks whose class, id or role names furniture. Names
+are not judged alone: reader comments go by name; other furniture stays if it holds nearly all of
+the page's text (nine tenths) without being made of links; what could as well be a part of an article
+(search, share, related, notice and the like, or an aside) stays inside one unless it is made
+of links or controls, or is short beside the article (a tenth). A form goes if its controls
+outweigh its text.
 
 Text of a block: references decoded, white space turned into one space, trimmed; blocks
 are joined by one space in page order. Nothing else is dropped or cut.
 
 Defined results: null or empty html gives empty text; pages that end early or leave tags
-open are read as browsers would roughly do (what is open closes at the end); pages are
-judged one by one.
+open are read as browsers roughly do (what is open closes at the end, a tag without an end is
+no text); of equal sums the first block counts; very long pages are read whole, in time
+proportional to their length; pages are judged one by one, so repeated rows agree; an empty
+table gives an empty result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import fresh, small_batches
 
 # Element names by the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,98 +45,134 @@ INLINE = frozenset(
 )
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 DROPPED = frozenset(
-    "head script style noscript template iframe object embed svg canvas nav footer aside form button select textarea input menu dialog title xmp noembed noframes audio video map".split()
+    "head script style noscript template iframe object embed svg canvas nav footer button select textarea input menu dialog title xmp noembed noframes audio video map".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTROLS = frozenset("button select textarea input".split())
 BLOCKS_CLOSE_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
-#: Words of class, id and role that name page furniture.
+#: Words of class, id and role that name page furniture, what may be a part of an article too, and reader comments.
 FURNITURE = frozenset(
-    "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead "
-    "cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "comment comments disqus replies respond pagination pager toolbar widget widgets skip copyright disclaimer complementary contentinfo search".split()
+    "ad ads adv advert advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead "
+    "cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login social pagination pager toolbar skip copyright contentinfo".split()
+)
+DOUBTFUL = frozenset("aside complementary search share sharing related recommended notice promotion widget widgets disclaimer dialog alert".split())
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+QUOTES = frozenset("quote pullquote pull".split())
+
+# An attribute's value is quoted only right behind "="; a tag without an end goes on to the end of the page.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|(?=>)|[^\s\"'>][^\s>]*+)?+)*+)(>|\Z)", re.S
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
+_CAMEL = re.compile(r"([a-z0-9])([A-Z])")
+_SPLIT = re.compile(r"[^a-z0-9]+")
+
+#: What a node may be by its name: kept, dropped whatever it holds, furniture, doubtful, a form.
+KEPT, GONE, FURNISHED, DOUBTED, FORM = range(5)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "drop")
+    __slots__ = ("tag", "parent", "items", "kind", "inside", "quote", "chars", "tags", "link_chars", "link_tags", "controls", "density", "total", "drop")
 
-    def __init__(self, tag: str, parent: "Node | None", drop: bool = False):
-        self.tag, self.parent, self.items, self.drop = tag, parent, [], drop
-        self.chars = self.link_chars = self.tags = self.link_tags = 0
+    def __init__(self, tag: str, parent: "Node | None", kind: int = KEPT, inside: bool = False):
+        self.tag, self.parent, self.items, self.kind, self.inside, self.quote = tag, parent, [], kind, inside, False
+        self.drop = kind == GONE
+        self._reset()
+
+    def _reset(self) -> None:
+        self.chars = self.link_chars = self.tags = self.link_tags = self.controls = 0
         self.density = self.total = 0.0
 
 
-def _is_furniture(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag == "header" and not inside:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
+def _names(attributes: str) -> set[str]:
+    out: set[str] = set()
     for m in _NAMED.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        names = {w.lower() for w in _SPLIT.split(re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", value).lower())}
-        if names & FURNITURE or m[1].lower() == "role" and names & {"banner", "dialog", "alert", "search"}:
-            return True
-        if "header" in names and not inside:
-            return True
-    return False
+        out.update(_SPLIT.split(_CAMEL.sub(r"\1-\2", m[2] or m[3] or m[4] or "").lower()))
+    return out
+
+
+def _kind(tag: str, attributes: str, names: set[str], inside: bool) -> int:
+    if tag in DROPPED or tag == "header" and not inside:
+        return GONE
+    if tag in ("html", "body", "article", "main"):
+        return KEPT
+    if attributes:
+        if _HIDDEN.search(attributes) or names & COMMENTS:
+            return GONE
+        if names & FURNITURE or "header" in names and not inside:
+            return FURNISHED
+        if names & DOUBTFUL:
+            return DOUBTED
+    return DOUBTED if tag == "aside" else FORM if tag == "form" else KEPT
+
+
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
 def parse(page: str) -> Node:
     """Tree of a page; items of a node are nodes and decoded strings in page order."""
     root = Node("#root", None)
-    node, at, articles = root, 0, 0
-    n = len(page)
+    stack, where, blocks, walls, articles = [root], {}, [0], [0], 0  # places in the stack of each tag, of blocks, and of what stray end tags don't reach over
+
+    def push(child: Node) -> None:
+        nonlocal articles
+        where.setdefault(child.tag, []).append(len(stack))
+        if child.tag not in INLINE:
+            blocks.append(len(stack))
+        if child.tag in ("article", "td", "th"):
+            walls.append(len(stack))
+        articles += child.tag in ("article", "main")
+        stack.append(child)
+
+    def pop_to(place: int) -> None:
+        nonlocal articles
+        while len(stack) > place:
+            tag = stack.pop().tag
+            where[tag].pop()
+            if tag not in INLINE:
+                blocks.pop()
+            if tag in ("article", "td", "th"):
+                walls.pop()
+            articles -= tag in ("article", "main")
+
+    at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         raw = page[at : m.start() if m else n]
-        if raw and not node.drop:
-            node.items.append(_html.unescape(raw))
+        if raw and not stack[-1].drop:
+            stack[-1].items.append(_html.unescape(raw))
         if not m:
             break
         at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
+        if not m[2] or not m[4]:
             continue
-        tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
-        if closing:
-            up = node
-            while up is not None and up.tag != tag:
-                # an inline end tag doesn't close a block, nor anything an article or a table cell
-                if tag in INLINE and up.tag not in INLINE or up.tag in ("article", "td", "th") and tag not in ("body", "html", "table", "tr", "main", "section", "div"):
-                    up = None
-                    break
-                up = up.parent
-            if up is not None:
-                while node is not up:
-                    articles -= node.tag in ("article", "main")
-                    node = node.parent
-                articles -= node.tag in ("article", "main")
-                node = node.parent
-            elif tag in ("p", "br") and not node.drop:
-                node.items.append(Node("br", node))
+        tag, attributes = m[2].lower(), m[3]
+        if m[1]:
+            place = where[tag][-1] if where.get(tag) else 0
+            # an inline end tag doesn't close a block, nor anything an article or a table cell
+            if tag in INLINE and place < blocks[-1] or place < walls[-1] and tag not in ("body", "html", "table", "tr", "main", "section", "div"):
+                place = 0
+            if place:
+                pop_to(place)
+            elif tag in ("p", "br") and not stack[-1].drop:
+                stack[-1].items.append(Node("br", stack[-1]))
             continue
-        if tag in BLOCKS_CLOSE_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            ends = {"p"} if tag in BLOCKS_CLOSE_P else {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}[tag]
-            up = node
-            while up is not None and (up.tag in INLINE or up.tag in ends or tag == "tr" and up.tag in ("td", "th") or tag == "li" and up.tag == "p"):
-                if up.tag in ends:
-                    while node is not up:
-                        node = node.parent
-                    node = node.parent
-                    break
-                up = up.parent
-        child = Node(tag, node, node.drop or _is_furniture(tag, attributes, articles > 0))
-        node.items.append(child)
-        if tag in VOID or attributes.endswith("/") and tag not in RAW and tag in ("svg", "path", "br"):
+        ends = ("p",) if tag in BLOCKS_CLOSE_P else _ENDS.get(tag)
+        if ends:
+            k = len(blocks) - 1
+            while k and (tag == "tr" and stack[blocks[k]].tag in ("td", "th") or tag == "li" and stack[blocks[k]].tag == "p") and stack[blocks[k]].tag not in ends:
+                k -= 1
+            if stack[blocks[k]].tag in ends:
+                pop_to(blocks[k])
+        up = stack[-1]
+        names = _names(attributes) if attributes and not up.drop else set()
+        child = Node(tag, up, GONE if up.drop else _kind(tag, attributes, names, articles > 0), articles > 0)
+        child.quote = tag in ("blockquote", "q") or bool(names & QUOTES)
+        up.items.append(child)
+        if tag in VOID or attributes.endswith("/") and tag in ("svg", "path"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
@@ -134,8 +180,7 @@ def parse(page: str) -> Node:
                 continue
             at = end.end() if end else n
             continue
-        articles += tag in ("article", "main")
-        node = child
+        push(child)
     return root
 
 
@@ -147,20 +192,51 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
-def weigh(root: Node) -> list[Node]:
-    """Counts, densities and sums of all kept nodes."""
+def _count(root: Node) -> list[Node]:
     nodes = _nodes(root)
+    for x in nodes:
+        x._reset()
     for x in reversed(nodes):
-        own = sum(len("".join(c.split())) for c in x.items if isinstance(c, str))
-        x.chars += own
+        x.chars += sum(len("".join(c.split())) for c in x.items if isinstance(c, str))
+        x.controls += sum(isinstance(c, Node) and c.tag in CONTROLS for c in x.items)
         if x.tag == "a":
             x.link_chars, x.link_tags = x.chars, x.tags + 1
-        if x.parent is not None:
-            p = x.parent
+        p = x.parent
+        if p is not None:
             p.chars += x.chars
             p.tags += x.tags + 1
             p.link_chars += x.link_chars
             p.link_tags += x.link_tags
+            p.controls += x.controls
+            p.quote |= x.quote and p.kind == DOUBTED
+    return nodes
+
+
+def clear(root: Node) -> None:
+    """Drop what is page furniture by its name and by what it holds."""
+    nodes = _count(root)
+    whole = root.chars
+    article: dict[int, int] = {}  # text of the article or main element around a node
+    for x in nodes:
+        article[id(x)] = x.chars if x.tag in ("article", "main") else article.get(id(x.parent), 0)
+        linked = 2 * x.link_chars > x.chars
+        if x.kind == FURNISHED:
+            x.drop = linked or 10 * x.chars < 9 * whole
+        elif x.kind == DOUBTED:
+            around = article[id(x)]
+            if not x.inside:
+                x.drop = linked or 2 * x.chars < whole
+            else:
+                x.drop = linked or x.controls > 0 or (10 * x.chars < around or x.tag == "aside") and not x.quote
+        elif x.kind == FORM:
+            x.drop = x.controls > 0 and x.chars < 100 * x.controls and 2 * x.chars < whole
+        if x.parent is not None and x.parent.drop:
+            x.drop = True
+
+
+def weigh(root: Node) -> list[Node]:
+    """Counts, densities and sums of all kept nodes."""
+    nodes = _count(root)
     body = next((x for x in nodes if x.tag == "body"), root)
     ratio = body.link_chars / max(1, body.chars)
     for x in nodes:
@@ -175,25 +251,24 @@ def weigh(root: Node) -> list[Node]:
 
 
 def main_node(root: Node) -> Node:
-    """The main subtree, by greatest sum and body-path thresholds."""
+    """The main subtree of a weighed tree, by greatest sum and the threshold of the body's path."""
     nodes = weigh(root)
     body = next((x for x in nodes if x.tag == "body"), root)
-    best = max(nodes, key=lambda x: x.total, default=root)
-    if best.total <= 0:
-        return body
+    inner, seen = [], {id(body)}
+    for x in nodes:  # parents first
+        if x is body or id(x.parent) in seen:
+            seen.add(id(x))
+            if x.tag not in INLINE:
+                inner.append(x)
+    best = max(inner, key=lambda x: x.total)
     path = [best]
-    while path[-1] is not body and path[-1].parent is not None:
+    while path[-1] is not body:
         path.append(path[-1].parent)
     threshold = min(x.density for x in path)
-    for tag in ("article", "main"):
-        outer = [x for x in path if x.tag == tag]
-        if outer:
-            return outer[-1]
-    # a sibling as dense as the threshold belongs to the text: go up while one does
+    # as far up as something beside the path belongs to it
     for x, up in zip(path, path[1:]):
-        if up.tag in ("body", "html", "#root") and not any(c is not x and isinstance(c, Node) and not c.drop and c.density >= threshold and c.chars for c in up.items):
-            break
-        if any(c is not x and isinstance(c, Node) and not c.drop and c.density >= threshold and c.chars for c in up.items):
+        beside = [c for c in up.items if isinstance(c, Node) and c is not x and not c.drop and c.chars]
+        if any(c.density >= threshold or c.tag in HEADINGS for c in beside) or any(isinstance(c, str) and c.strip() for c in up.items):
             best = up
     return best
 
@@ -226,11 +301,17 @@ def block_text(node: Node) -> str:
 
 
 def extract(page: str | None) -> str:
-    return block_text(main_node(parse(page))) if page else ""
+    if not page:
+        return ""
+    root = parse(page)
+    clear(root)
+    return block_text(main_node(root))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """One row an input row: id, ``keep``, text, n_chars (code points)."""
+    """One row an input row: id, ``keep`` (none of them id, text or n_chars), text, n_chars (code points)."""
+    if clash := {c.lower() for c in keep} & {"id", "text", "n_chars"}:
+        raise ValueError(f"columns that the result has itself can't be kept: {sorted(clash)}")
     small_batches(pages.sparkSession)
     kept = pages.select(F.col(id_col).alias("id"), *keep)
 
@@ -241,4 +322,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
                 [*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", *keep, "text", "n_chars"]
             )
 
-    return pages.select(F.col(id_col).alias("id"), *keep, F.col(html_col).alias("_html")).mapInArrow(run, kept.schema.add("text", "string").add("n_chars", "long"))
+    return pages.select(F.col(id_col).alias("id"), *keep, F.col(html_col).alias(fresh(kept, "_html"))).mapInArrow(run, kept.schema.add("text", "string").add("n_chars", "long"))

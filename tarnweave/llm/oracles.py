@@ -7,12 +7,11 @@ from collections.abc import Sequence
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _mass(name: str, edges: str, kind: str, rounds: int, damping: float, seed_share: float) -> list[str]:
+def _mass(name: str, edges: str, kind: str, rounds: int, damping: float) -> list[str]:
     """<name>0 .. <name><rounds>: personalised PageRank, unrolled."""
     out = [
         f"{name}d AS MATERIALIZED (SELECT src, count(*) AS degree FROM {edges} GROUP BY src)",
-        f"{name}s AS MATERIALIZED (SELECT host, CASE WHEN seed THEN 1.0::DOUBLE / greatest(1, sum(seed::INT) OVER ()) ELSE 0.0::DOUBLE END AS weight, coalesce(degree, 0) AS degree "
-        f"FROM (SELECT host, n > 0 AND {kind} >= {seed_share} * n AS seed FROM hosts) LEFT JOIN {name}d ON src = host)",
+        f"{name}s AS MATERIALIZED (SELECT host, CASE WHEN {kind} > 0 THEN {kind} / sum({kind}) OVER () ELSE 0.0::DOUBLE END AS weight, coalesce(degree, 0) AS degree FROM hosts LEFT JOIN {name}d ON src = host)",
         f"{name}0 AS MATERIALIZED (SELECT host, weight AS mass FROM {name}s)",
     ]
     for k in range(rounds):
@@ -23,8 +22,9 @@ def _mass(name: str, edges: str, kind: str, rounds: int, damping: float, seed_sh
     return out
 
 
-def judge_urls_sql(rules: Sequence[tuple[str, str, str]], link: str, rounds: int = 30, damping: float = 0.85, seed_share: float = 0.95, least: float = 1.0) -> str:
+def judge_urls_sql(rules: Sequence[tuple[str, str, str]], link: str, rounds: int, damping: float = 0.85, least: float = 1.0) -> str:
     values = ", ".join(f"({k}, '{v}', '{h}', '{p}')" for k, (v, h, p) in enumerate(rules))
+    known = f"regexp_replace(translate({{}}, '{_UPPER}', '{_LOWER}'), '^[^@]*@|:[0-9]+$', '', 'g')"
     pattern = link.removeprefix("(?i)").replace("'", "''")
     steps = [
         "rests AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
@@ -32,15 +32,15 @@ def judge_urls_sql(rules: Sequence[tuple[str, str, str]], link: str, rounds: int
         f"rules(k, verdict, name, prefix) AS (VALUES {values})",
         "fits AS (SELECT row_id, name || prefix AS rule, verdict FROM parts JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, prefix) "
         "QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY length(name || prefix) DESC, k) = 1)",
-        "ruled AS MATERIALIZED (SELECT row_id, page_id, host, path, rule, verdict FROM parts LEFT JOIN fits USING (row_id))",
-        f"links AS (SELECT host AS src, unnest(regexp_extract_all(html, '{pattern}', 1, 'i')) AS target FROM parts)",
-        f"named AS (SELECT src, regexp_replace(translate(target, '{_UPPER}', '{_LOWER}'), '^[^@]*@|:[0-9]+$', '', 'g') AS dst FROM links)",
+        f"ruled AS MATERIALIZED (SELECT row_id, page_id, host, path, rule, verdict, {known.format('host')} AS node FROM parts LEFT JOIN fits USING (row_id))",
+        f"links AS (SELECT {known.format('host')} AS src, unnest(regexp_extract_all(html, '{pattern}', 1, 'i')) AS target FROM parts)",
+        f"named AS (SELECT src, {known.format('target')} AS dst FROM links)",
         "edges AS MATERIALIZED (SELECT DISTINCT src, dst FROM named WHERE src <> '' AND dst <> '' AND src <> dst)",
         "back AS MATERIALIZED (SELECT dst AS src, src AS dst FROM edges)",
-        "counted AS (SELECT host, count(*) AS n, count_if(verdict = 'allow') AS allowed, count_if(verdict = 'block') AS blocked FROM ruled WHERE host <> '' GROUP BY host)",
-        "hosts AS MATERIALIZED (SELECT host, coalesce(n, 0) AS n, coalesce(allowed, 0) AS allowed, coalesce(blocked, 0) AS blocked FROM counted FULL JOIN (SELECT src AS host FROM edges UNION SELECT dst FROM edges) USING (host))",
-        *_mass("t", "edges", "allowed", rounds, damping, seed_share),
-        *_mass("b", "back", "blocked", rounds, damping, seed_share),
+        "counted AS (SELECT node AS host, count_if(verdict = 'allow') / count(*) AS allowed, count_if(verdict = 'block') / count(*) AS blocked FROM ruled WHERE node <> '' GROUP BY node)",
+        "hosts AS MATERIALIZED (SELECT host, coalesce(allowed, 0.0::DOUBLE) AS allowed, coalesce(blocked, 0.0::DOUBLE) AS blocked FROM counted FULL JOIN (SELECT src AS host FROM edges UNION SELECT dst FROM edges) USING (host))",
+        *_mass("t", "edges", "allowed", rounds, damping),
+        *_mass("b", "back", "blocked", rounds, damping),
         f"judged AS (SELECT host, b.mass * (SELECT count(*) FROM hosts) >= {least} AND b.mass > t.mass AS bad FROM t{rounds} t JOIN b{rounds} b USING (host))",
     ]
-    return "WITH " + ", ".join(steps) + " SELECT page_id, ruled.host, path, rule, coalesce(verdict, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM ruled LEFT JOIN judged ON judged.host = ruled.host"
+    return "WITH " + ", ".join(steps) + " SELECT page_id, ruled.host, path, rule, coalesce(verdict, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM ruled LEFT JOIN judged ON judged.host = ruled.node"

@@ -16,7 +16,7 @@ from .quality import fit, held_out, score
 from .secrets import listed, scan
 from .simhash import simhash_components
 from .substring_dedup import remove_repeats
-from .url_filter import LINK, judge_urls
+from .url_filter import LINK, judge_urls, rounds_for
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op4_url_filter": judge_urls_sql(URL_RULES, LINK),
+    "op4_url_filter": judge_urls_sql(URL_RULES, LINK, rounds_for(0.85, 1e-6)),
     "op3_substring_dedup": r"""
         WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM texts),

@@ -7,10 +7,14 @@ between them. Positions count code points, ends are exclusive.
 The model: first-order chains of characters, one fitted to labelled random strings and
 one to labelled ordinary identifiers (add-one smoothed counts, taken with DataFrame
 operations). A run of token characters is a secret if the log-likelihood ratio of its
-steps reaches ``min_score`` and it overlaps no span of the fixed patterns.
+steps reaches ``min_score`` and it overlaps no span of the fixed patterns. Runs of
+``min_run`` characters and more are scored, 12 as in the pattern of assignments; the ratio
+grows with the length, so a short run has to look the more random.
 
 Defined results: null text counts as empty (no spans, the digest of the empty string);
-rows are judged one by one, so ties, repeated rows and null identifiers need no rule.
+rows are judged one by one, so ties, repeated rows and null identifiers need no rule; very
+long texts are read whole; an empty table gives an empty result; other columns are not looked
+at, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,19 +33,15 @@ PATTERNS = {
 RUN = r"[A-Za-z0-9+/=_-]{%d,}"
 _FIRST, _WIDTH = ord("+"), ord("z") - ord("+") + 1
 
-#: Words from which ordinary identifiers are put together (the default samples; ``scan`` takes others).
+#: Words of four languages from which ordinary identifiers are put together (the default samples; ``scan`` takes others).
 IDENTIFIER_WORDS = (
-    "account active address after amount array author average balance before begin buffer build cache call change channel "
-    "child class client close code collection color column command comment common config connection content context control "
-    "copy count create current customer data date default delete description detail device direction display document down "
-    "element empty error event example execute factory field file filter first folder format from function global group "
-    "handler hash header height history image index input instance internal item label language last layout length level "
-    "library limit line list local location manager match message method minimum mode model module name network next number "
-    "object offset open option order output page parameter path pattern point position previous process product profile "
-    "project property provider query random range read record request resource response result root sample schedule schema "
-    "screen search section select server service session setting shape signal simple single size sort source space start "
-    "state station storage stream string style system table target task template text thread time total transaction type "
-    "unique update user value version view visible weight width window with word write"
+    "account active address amount array author balance begin buffer cache channel child client close code color column comment config connection content "
+    "count create current customer data date default delete device direction display document element error event factory field filter first folder format function "
+    "group handler header history image index input item label language layout length level line list local manager match message method model module name network "
+    "number object offset option order output page parameter path point position process product profile project query random range record request response "
+    "abfrage adresse aenderung anzahl auswahl benutzer bestellung datei eingabe fehler groesse kunde laenge nachricht rechnung schluessel spalte speicher verbindung zeichen "
+    "adresse affichage bouton chemin cle commande compteur connexion donnees echec fenetre fichier ligne longueur niveau nombre requete reseau taille utilisateur "
+    "archivo ayuda boton cadena cantidad carpeta cliente columna consulta contrasena direccion fecha lista mensaje nivel numero pedido precio usuario valor"
 ).split()
 
 
@@ -88,32 +88,42 @@ def fit_markov(samples: DataFrame) -> list[float]:
     return out
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where it is used inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _places(text: Column, pattern: str, hits: Column) -> Column:
     """Start of each match: lengths before it, summed in blocks of 256 so that very many matches stay cheap."""
-    raw = pattern
-    gaps = F.transform(F.split(text, raw, -1), lambda x: F.length(x))
-    own = F.transform(hits, lambda x: F.length(x))
-    # lengths that lie before match i and behind match i - 1, with match i - 1 itself
-    steps = F.zip_with(gaps, F.concat(F.array(F.lit(0)), own), lambda g, h: g + h)
     zero = F.lit(0)
     add = lambda x: F.aggregate(x, zero, lambda s, v: s + v)
-    blocks = F.transform(F.sequence(zero, F.floor((F.size(steps) - 1) / 256).cast("int")), lambda j: add(F.slice(steps, j * 256 + 1, F.lit(256))))
-    before = F.transform(F.sequence(F.lit(1), F.size(blocks)), lambda j: add(F.slice(blocks, F.lit(1), j - 1)))
-    at = lambda i: F.element_at(before, (F.floor(i / 256) + 1).cast("int")) + add(F.slice(steps, (F.floor(i / 256) * 256).cast("int") + 1, i % 256 + 1))
-    return F.transform(F.sequence(zero, F.size(hits) - 1), at)
+    # lengths that lie before match i and behind match i - 1, with match i - 1 itself
+    steps = F.zip_with(F.split(text, pattern, -1), F.concat(F.array(F.lit("")), hits), lambda g, h: F.length(g) + F.length(h))
+    blocks = lambda x: F.transform(F.sequence(zero, F.floor((F.size(x) - 1) / 256).cast("int")), lambda j: add(F.slice(x, j * 256 + 1, F.lit(256))))
+    before = lambda x: F.transform(F.sequence(F.lit(1), F.size(x)), lambda j: add(F.slice(x, F.lit(1), j - 1)))
+
+    def at(steps: Column, before: Column) -> Column:
+        return F.transform(F.sequence(zero, F.size(hits) - 1), lambda i: F.element_at(before, F.shiftright(i, 8) + 1) + add(F.slice(steps, F.shiftright(i, 8) * 256 + 1, i % 256 + 1)))
+
+    return _let(steps, lambda x: _let(blocks(x), lambda y: _let(before(y), lambda z: at(x, z))))
 
 
 def _spans(text: Column, kind: str, pattern: str, rank: int, keep=None) -> Column:
-    """Array of (start, rank, end, kind, hit) of all leftmost matches that pass ``keep``."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """Array of (start, rank, end, kind, hit) of all leftmost matches that pass ``keep``; places are taken only where one does."""
     span = lambda s, h: F.struct(s.alias("start"), F.lit(rank).alias("rank"), (s + F.length(h)).alias("end"), F.lit(kind).alias("kind"), h.alias("hit"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,hit:string>>")
-    found = F.when(F.size(hits) > 0, F.zip_with(_places(text, pattern, hits), hits, span)).otherwise(none)
-    return F.filter(found, keep) if keep is not None else found
+
+    def found(hits: Column) -> Column:
+        placed = F.zip_with(_places(text, pattern, hits), hits, span)
+        if keep is None:
+            return F.when(F.size(hits) > 0, placed).otherwise(none)
+        return F.when(F.exists(hits, keep), F.filter(placed, lambda x: keep(x["hit"]))).otherwise(none)
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
 
 
 def scan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: DataFrame | None = None, min_run: int = 20, min_score: float = 12.0
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: DataFrame | None = None, min_run: int = 12, min_score: float = 12.0
 ) -> DataFrame:
     """One row an input row: id, base and found (arrays of start, rank, end, kind, hit, in order of place)."""
     spark = docs.sparkSession
@@ -122,18 +132,19 @@ def scan(
     text = F.col("body")
     value = r"^(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
     base = F.concat(
-        _spans(text, "assign", PATTERNS["assign"], 1, lambda x: F.length(F.regexp_replace(x["hit"], F.lit(value), F.lit(""))) >= 12),
-        _spans(text, "access", PATTERNS["access"], 2, lambda x: F.length(x["hit"]) >= 18),
+        _spans(text, "assign", PATTERNS["assign"], 1, lambda x: F.length(F.regexp_replace(x, F.lit(value), F.lit(""))) >= 12),
+        _spans(text, "access", PATTERNS["access"], 2, lambda x: F.length(x) >= 18),
         _spans(text, "hex", PATTERNS["hex"], 3),
     )
 
     def score(token: Column) -> Column:
-        chars = F.transform(F.split(token, ""), lambda c: F.ascii(c) - _FIRST)
-        steps = F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda a, b: F.element_at(table, a * _WIDTH + b + 1))
-        return F.aggregate(steps, F.lit(0.0), lambda s, v: s + v)
+        codes = F.transform(F.split(token, ""), lambda c: F.ascii(c) - _FIRST)
+        step = lambda s, x: F.struct(x.alias("last"), (s["sum"] + F.coalesce(F.element_at(table, s["last"] * _WIDTH + x + 1), F.lit(0.0))).alias("sum"))
+        walk = lambda x: F.aggregate(F.slice(x, F.lit(2), F.size(x)), F.struct(F.element_at(x, 1).alias("last"), F.lit(0.0).alias("sum")), step, lambda s: s["sum"])
+        return _let(codes, walk)
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    rows = rows.select("id", F.array_sort(base).alias("base"), _spans(text, "markov", RUN % min_run, 4, lambda x: score(x["hit"]) >= min_score).alias("runs"))
+    rows = rows.select("id", F.array_sort(base).alias("base"), _spans(text, "markov", RUN % min_run, 4, lambda x: score(x) >= min_score).alias("runs"))
     free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     return rows.select("id", "base", F.array_sort(F.concat("base", free)).alias("found"))
 

@@ -1,21 +1,30 @@
 """URL filters: host and path rules, then link-graph propagation for what no rule covers.
 
 Rules fit a host and its subdomains where the path starts with the rule's; the longest
-wins. Hosts nearly all of whose pages a rule allows (blocks) are trusted (blocked) seeds.
+wins. Every host some of whose pages a rule allows (blocks) is a trusted (blocked) seed; its
+weight is the share of its pages that rules allow (block), so a host's size plays no part.
 Trust is personalised PageRank from trusted seeds along host edges; distrust is the same
 from blocked seeds along reversed edges. A host is blocked where its distrust, as a
-multiple of the mean host's share, reaches ``least`` and exceeds its trust.
+multiple of the mean host's share, reaches ``least`` and exceeds its trust; a host that
+neither reaches has no mass of either kind and is allowed.
 
-Host edges come from absolute links in the pages, one an ordered pair of hosts; all
-state is kept by host in DataFrames, and rounds are written to the shared folder.
+Host edges come from absolute and protocol-relative links in the pages, one an ordered pair
+of hosts (relative links stay on their host). In the graph a host is known without user and
+port; what is returned is as the url spells it. All state is kept by host in DataFrames;
+rounds are written to the shared folder and go on until the masses move by less than
+``tolerance`` in all (``rounds`` is a bound that damping makes sure to suffice; going beyond
+raises).
 
 Defined results: a null url, or one without ``://``, has empty host and path and is
-allowed; no seeds, or no edges, leave only the seeds judged; repeated rows are judged
-alike; an empty table gives an empty result.
+allowed; no seeds, or no edges, leave only the seeds judged; ties of equal rules go to the
+earlier one, of equal masses to allow; repeated rows are judged alike; very long pages are
+read whole; an empty table gives an empty result; other columns are not looked at, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -47,32 +56,44 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return reduce(lambda a, b: F.when(a.isNull() | (b > a), b).otherwise(a), fits[1:], fits[0]) if len(fits) > 1 else fits[0]
 
 
+def known_as(host: Column) -> Column:
+    """A host in the graph: lower case, no user, no port."""
+    return F.regexp_replace(F.translate(host, _UPPER, _LOWER), r"^[^@]*@|:\d+$", "")
+
+
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Distinct (src, dst) between different hosts."""
     host, _ = split_url(F.col(url_col))
-    links = pages.select(host.alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1))).alias("dst"))
-    links = links.select("src", F.regexp_replace(F.translate("dst", _UPPER, _LOWER), r"^[^@]*@|:\d+$", "").alias("dst"))
+    links = pages.select(known_as(host).alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1))).alias("dst"))
+    links = links.select("src", known_as(F.col("dst")).alias("dst"))
     return links.where("src <> '' AND dst <> '' AND src <> dst").distinct()
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def rounds_for(damping: float, tolerance: float) -> int:
+    """Rounds after which masses move by less than ``tolerance``: a round moves them by at most ``damping`` times what the one before did, the first by 2."""
+    return math.ceil(math.log(tolerance / 2) / math.log(damping)) + 1
+
+
+def propagate(hosts: DataFrame, edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """(host, mass): personalised PageRank of ``seeds`` (host, weight; weights sum to 1); what dead ends hold goes back to the seeds."""
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     steps = scratch.cut(edges.join(out, "src"))
     base = scratch.cut(hosts.join(seeds, "host", "left").join(out.withColumnRenamed("src", "host"), "host", "left").select("host", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("degree", F.lit(0)).alias("degree")))
     now, moved = base.select("host", "weight", "degree", F.col("weight").alias("mass")), 1.0
-    previous = None
-    for _ in range(rounds):
-        if moved < tolerance:
-            break
+    held = F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("mass"))), F.lit(0.0))  # by dead ends
+    stuck = now.agg(held).first()[0]
+    previous, left = None, rounds_for(damping, tolerance)
+    while moved >= tolerance:
+        if not left:
+            raise RuntimeError(f"masses still move by {moved}, which damping rules out")
+        left -= 1
         sent = now.join(steps.select("src", "dst"), now["host"] == steps["src"]).groupBy("dst").agg(F.sum(F.col("mass") / F.col("degree")).alias("got"))
-        stuck = now.where("degree = 0").agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0]
         after = now.join(sent.withColumnRenamed("dst", "host"), "host", "left").select(
             "host", "weight", "degree", F.col("mass").alias("old"),
             (F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(stuck) * F.col("weight")) + F.lit(1 - damping) * F.col("weight")).alias("mass"),
         )
         after = scratch.cut(after)
-        moved = after.agg(F.coalesce(F.sum(F.abs(F.col("mass") - F.col("old"))), F.lit(0.0))).first()[0]
+        moved, stuck = after.agg(F.coalesce(F.sum(F.abs(F.col("mass") - F.col("old"))), F.lit(0.0)), held).first()
         if previous is not None:
             scratch.drop(previous)
         now = previous = after
@@ -80,33 +101,32 @@ def propagate(hosts: DataFrame, edges: DataFrame, seeds: DataFrame, scratch: Scr
     return now.select("host", "mass")
 
 
-def judge_hosts(ruled: DataFrame, edges: DataFrame, scratch: Scratch, seed_share: float = 0.95, least: float = 1.0, damping: float = 0.85, rounds: int = 30) -> DataFrame:
-    """(host, trust, distrust, host_verdict) of every host that has a page or a link. ``ruled``: host and verdict (null without a rule) of each page."""
-    pages = ruled.where("host <> ''").groupBy("host").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "allow").alias("allowed"), F.count_if(F.col("verdict") == "block").alias("blocked")
-    )
+def judge_hosts(ruled: DataFrame, edges: DataFrame, scratch: Scratch, least: float = 1.0, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(node, allowed, blocked, trust, distrust, host_verdict) of every host that has a page or a link. ``ruled``: node (host) and verdict (null without a rule) of each page."""
+    share = lambda verdict: (F.count_if(F.col("verdict") == verdict) / F.count(F.lit(1))).alias(verdict + "ed")
+    pages = ruled.where("node <> ''").groupBy(F.col("node").alias("host")).agg(share("allow"), share("block"))
     linked = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).distinct()
-    hosts = scratch.cut(pages.join(linked, "host", "full").select("host", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "allowed", "blocked")]))
-    n_hosts = hosts.count()
+    hosts = scratch.cut(pages.join(linked, "host", "full").select("host", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("allowed", "blocked")]))
+    n_hosts, allowed, blocked = hosts.agg(F.count(F.lit(1)), F.sum("allowed"), F.sum("blocked")).first()
     masses = []
-    for kind, graph in (("allowed", edges), ("blocked", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))):
-        seeds = hosts.where((F.col("n") > 0) & (F.col(kind) >= seed_share * F.col("n"))).select("host")
-        count = seeds.count()
-        masses.append(propagate(hosts.select("host"), graph, seeds.withColumn("weight", F.lit(1.0 / max(1, count))), scratch, damping, rounds))
+    for kind, total, graph in (("allowed", allowed, edges), ("blocked", blocked, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))):
+        seeds = hosts.where(F.col(kind) > 0).select("host", (F.col(kind) / F.lit(total or 1.0)).alias("weight"))
+        masses.append(propagate(hosts.select("host"), graph, seeds, scratch, damping, tolerance))
     trust, distrust = masses[0].withColumnRenamed("mass", "trust"), masses[1].withColumnRenamed("mass", "distrust")
     bad = (F.col("distrust") * n_hosts >= least) & (F.col("distrust") > F.col("trust"))
-    return trust.join(distrust, "host").withColumn("host_verdict", F.when(bad, "block").otherwise("allow"))
+    judged = hosts.join(trust, "host").join(distrust, "host").withColumn("host_verdict", F.when(bad, "block").otherwise("allow"))
+    return judged.withColumnRenamed("host", "node")
 
 
 def judge_urls(
-    pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", seed_share: float = 0.95, least: float = 1.0
-) -> DataFrame:
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 1.0, damping: float = 0.85, tolerance: float = 1e-6
+) -> DataFrame:
     """One row an input row: id, host, path, rule (null without one), verdict, trust and distrust of the host."""
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = split_url(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    best = best_rule(F.col("host"), F.col("path"), rules)
-    ruled = parts.withColumn("best", best).select("id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+    ruled = parts.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
+    ruled = ruled.select("id", "host", "path", known_as(F.col("host")).alias("node"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
     edges = scratch.cut(host_edges(pages, url_col, html_col))
-    hosts = judge_hosts(ruled, edges, scratch, seed_share, least)
-    return ruled.join(hosts, "host", "left").select("id", "host", "path", "rule", F.coalesce("verdict", "host_verdict", F.lit("allow")).alias("verdict"), "trust", "distrust")
+    hosts = judge_hosts(ruled, edges, scratch, least, damping, tolerance).drop("allowed", "blocked")
+    return ruled.join(hosts, "node", "left").select("id", "host", "path", "rule", F.coalesce("verdict", "host_verdict", F.lit("allow")).alias("verdict"), "trust", "distrust")

@@ -5,7 +5,7 @@ import pytest
 
 from tarnweave.llm.oracles import judge_urls_sql
 from tarnweave.llm.queries import ORACLES, QUERIES, URL_RULES
-from tarnweave.llm.url_filter import LINK, judge_urls
+from tarnweave.llm.url_filter import LINK, judge_urls, rounds_for
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,4 +43,4 @@ def test_links_against_sql(spark):
     frame = pages.toPandas()
     con.register("pages", frame)
     got = judge_urls(pages, URL_RULES).select("id", "host", "path", "rule", "verdict").withColumnRenamed("id", "page_id").toPandas()
-    assert rows(got) == rows(con.sql(judge_urls_sql(URL_RULES, LINK)).df()) and len(set(got["verdict"])) == 2
+    assert rows(got) == rows(con.sql(judge_urls_sql(URL_RULES, LINK, rounds_for(0.85, 1e-6))).df()) and len(set(got["verdict"])) == 2
