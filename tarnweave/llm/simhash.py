@@ -17,10 +17,10 @@ stay rare on a variant (an eighth of a row at most, by expectation); the number
 follows from the wanted recall of a lone pair at the least similarity, by the bivariate
 normal law that margins of two such sets obey. Nothing else depends on the size.
 
-Variants leave each input split packed, each hot one once; what meets is written as
-(key, cls). Rows are linked to the first row of each variant, verified and joined into
-components, then the same among the components that meet, and at last all pairs of rows of
-different components on a variant are verified. Nothing is capped and no group is gathered
+Variants leave each input split packed, with bits of the rest of the print, each hot one once;
+what meets another row whose bits are near is written as (key, cls). Rows are linked to first
+rows of their variants, verified and joined into components (twice), and at last all pairs of
+rows of different components on a variant are compared where they meet, and verified. Nothing is capped and no group is gathered
 in one task; pairs grow with the square of the unlinked rows on one variant.
 
 Defined results: identifiers are integers; a text without words (null, empty) has
@@ -48,7 +48,7 @@ from .components import connected
 _PART = 1 << 20
 
 #: Bytes of the signature that stands for a text where all pairs on a variant are compared.
-BINS = 256
+BINS = 512
 
 
 def _word_parts(text: bytes, overlap: int) -> Iterator[list[bytes]]:
@@ -242,88 +242,125 @@ def ball(word: np.ndarray, bits: np.ndarray, margins: np.ndarray, points: int) -
     return word[:, None] ^ flips
 
 
-def _balls(fp: np.ndarray, flips: np.ndarray, words: int, word_bits: int, points: int) -> np.ndarray:
-    """Variants of all words of prints (a row each), numbered by word."""
+def _chance(similarity: float, bits: int, slack: float) -> int:
+    """Differing bits of that many, expected at a similarity (each differs with probability angle / pi), plus ``slack`` standard deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def _balls(fp: np.ndarray, flips: np.ndarray, words: int, word_bits: int, points: int) -> tuple[np.ndarray, np.ndarray]:
+    """Variants of all words of prints (a row each), numbered by word; and for each word, at the upper end of 64 bits, as many other bits of the print as are free there."""
     n, weak = len(fp), flips.shape[1] // (2 * words)
-    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")[:, : words * word_bits].reshape(n * words, word_bits)
-    word = bits @ (np.uint64(1) << np.arange(word_bits, dtype=np.uint64))
+    every = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
+    word = every[:, : words * word_bits].reshape(n * words, word_bits) @ (np.uint64(1) << np.arange(word_bits, dtype=np.uint64))
     flips = flips.reshape(n, 2, words, weak)
     out = ball(word, flips[:, 0].reshape(-1, weak), flips[:, 1].reshape(-1, weak), points).reshape(n, words, points)
-    return (out | (np.arange(words, dtype=np.uint64) << np.uint64(word_bits))[None, :, None]).reshape(n, -1)
+    out |= (np.arange(words, dtype=np.uint64) << np.uint64(word_bits))[None, :, None]
+    free = 64 - _width(words, word_bits)
+    at = (np.arange(words)[:, None] * word_bits + word_bits + np.arange(free)) % every.shape[1]
+    check = every[:, at] @ (np.uint64(1) << np.arange(64 - free, 64, dtype=np.uint64))
+    return out, check
+
+
+def _width(words: int, word_bits: int) -> int:
+    return word_bits + (words - 1).bit_length()
+
+
+def _company(key: np.ndarray, check: np.ndarray, limit: int) -> np.ndarray:
+    """Of entries in order of key: which have another of their key whose check bits are near; all of a key with many entries."""
+    keep = np.zeros(len(key), bool)
+    for d in range(1, 10):
+        same = key[d:] == key[:-d]
+        if not same.any():
+            return keep
+        near = same & (np.bitwise_count(check[d:] ^ check[:-d]) <= limit)
+        keep[d:] |= near
+        keep[:-d] |= near
+    group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+    return keep | (np.bincount(group)[group] > 9)
 
 
 _PACKED = "bucket int, met boolean, entries binary"
 
 
-def _pack(words: int, word_bits: int, points: int, buckets: int, most: int = 1 << 20):
-    """Rows (cls, fp, flips) to packed (key, cls) entries by bucket of the key. Keys that meet inside a split are known to (``met``); one entry of each goes on."""
+def _sorted(entries: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, check bits and cls of distinct entries, in order of key and cls."""
+    key, cls = entries[:, 0].view(np.uint64) & mask, entries[:, 1]
+    order = np.lexsort((cls, key))
+    key, cls, check = key[order], cls[order], (entries[:, 0].view(np.uint64) & ~mask)[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+    return key[fresh], check[fresh], cls[fresh]
 
-    def flush(keys: list, owners: list):
-        key, cls = np.concatenate(keys), np.concatenate(owners)
-        order = np.lexsort((cls, key))
-        key, cls = key[order], cls[order]
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])))
-        key, cls = key[fresh], cls[fresh]
-        lead = np.concatenate(([True], key[1:] != key[:-1]))
-        many = ~lead | np.concatenate((~lead[1:], [False]))
-        for met, chosen, by in ((False, lead, key), (True, many, cls.view(np.uint64))):
-            k, c = key[chosen], cls[chosen]
+
+def _pack(words: int, word_bits: int, points: int, buckets: int, limit: int, most: int = 1 << 20):
+    """Rows (cls, fp, flips) to packed (key with check bits, cls) entries by bucket of the key. What meets inside a split is known to (``met``); of those, one entry a key goes on."""
+    mask = np.uint64((1 << _width(words, word_bits)) - 1)
+
+    def flush(parts: list):
+        key, check, cls = _sorted(np.concatenate(parts), mask)
+        company = _company(key, check, limit)
+        lead = np.zeros(len(key), bool)  # the first of a key that has company
+        at = np.flatnonzero(company)
+        lead[at[np.unique(key[at], return_index=True)[1]]] = True
+        for met, chosen, by in ((False, lead | ~company, key), (True, company, cls.view(np.uint64))):
             bucket = (splitmix(by[chosen]) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            entries = np.stack((k.view(np.int64), c), axis=1)[order]
+            entries = np.stack(((key[chosen] if met else key[chosen] | check[chosen]).view(np.int64), cls[chosen]), axis=1)[order]
             which, at = np.unique(bucket[order], return_index=True)
             blobs = [x.tobytes() for x in np.split(entries, at[1:])] if len(which) else []
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([met] * len(which), pa.bool_()), pa.array(blobs, pa.binary())], names=["bucket", "met", "entries"])
 
     def run(batches):
-        keys, owners, size = [], [], 0
+        parts, size = [], 0
         for b in batches:
             if not b.num_rows:
                 continue
             fp = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(b.num_rows, -1)
             flips = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            found = _balls(fp, flips, words, word_bits, points)
-            keys.append(found.reshape(-1))
-            owners.append(np.repeat(b.column(0).to_numpy(), found.shape[1]))
-            size += found.size
+            found, check = _balls(fp, flips, words, word_bits, points)
+            owners = np.repeat(b.column(0).to_numpy(), words * points)
+            parts.append(np.stack(((found | check[:, :, None]).reshape(-1).view(np.int64), owners), axis=1))
+            size += len(owners)
             if size >= most:
-                yield from flush(keys, owners)
-                keys, owners, size = [], [], 0
+                yield from flush(parts)
+                parts, size = [], 0
         if size:
-            yield from flush(keys, owners)
+            yield from flush(parts)
 
     return run
 
 
-def _meet(batches):
-    """Packed entries in order of bucket to rows (key, cls) of the keys that several cls have."""
+def _meet(words: int, word_bits: int, limit: int):
+    """Packed entries in order of bucket to rows (key, cls) of what has company on its key."""
+    mask = np.uint64((1 << _width(words, word_bits)) - 1)
+
+    def rows(key: np.ndarray, cls: np.ndarray):
+        for at in range(0, len(key), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(key[at : at + (1 << 18)].view(np.int64)), pa.array(cls[at : at + (1 << 18)])], names=["key", "cls"])
 
     def close(blobs: list):
-        data = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
-        data = data[np.lexsort((data[:, 1], data[:, 0]))]
-        same = data[1:, 0] == data[:-1, 0]
-        data = data[np.concatenate(([True], ~same | (data[1:, 1] != data[:-1, 1])))]
-        same = data[1:, 0] == data[:-1, 0]
-        yield from rows(data[np.concatenate((same, [False])) | np.concatenate(([False], same))])
-
-    def rows(data: np.ndarray):
-        for at in range(0, len(data), 1 << 18):
-            part = data[at : at + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["key", "cls"])
-
-    last, blobs = None, []
-    for b in batches:
-        for bucket, met, entries in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            if met:
-                yield from rows(np.frombuffer(entries, np.int64).reshape(-1, 2))
-                continue
-            if bucket != last and blobs:
-                yield from close(blobs)
-                blobs = []
-            last = bucket
-            blobs.append(entries)
-    if blobs:
-        yield from close(blobs)
+        key, check, cls = _sorted(np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2), mask)
+        company = _company(key, check, limit)
+        yield from rows(key[company], cls[company])
+
+    def run(batches):
+        last, blobs = None, []
+        for b in batches:
+            for bucket, met, entries in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if met:
+                    known = np.frombuffer(entries, np.int64).reshape(-1, 2)
+                    yield from rows(known[:, 0].copy(), known[:, 1].copy())
+                    continue
+                if bucket != last and blobs:
+                    yield from close(blobs)
+                    blobs = []
+                last = bucket
+                blobs.append(entries)
+        if blobs:
+            yield from close(blobs)
+
+    return run
 
 
 def _near(pairs: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
@@ -351,11 +388,25 @@ def _similar(pairs: DataFrame, classes: DataFrame, similarity: float, sketch: in
 
 
 def _mixed(met: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, cls, comp) of the keys on which rows of several components meet."""
+    """(key, cls, comp, n) of the keys on which rows of several components meet; n rows on each."""
     named = met.select("key", "cls").join(found.select(F.col("node").alias("cls"), "root"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("comp"))
-    named = scratch.cut(named)
-    keys = scratch.cut(named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"))
-    return scratch.cut(named.join(keys, "key", "left_semi"))
+    named = scratch.cut(named.distinct())
+    keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    return scratch.cut(named.join(scratch.cut(keys.select("key", "n")), "key"))
+
+
+def _star(rows: DataFrame, turn: int, scratch: Scratch, most: int = 8) -> DataFrame:
+    """(a, b): rows (key, cls, comp) with heads of their keys that are in other components, each with the ``most`` it has most keys of.
+
+    At the first turn the head is the least row, the same on many keys; later one drawn by key.
+    """
+    order = F.col("cls") if turn == 0 else F.xxhash64("cls", "key", F.lit(turn))
+    heads = scratch.cut(rows.groupBy("key").agg(F.min_by(F.struct("comp", "cls"), F.struct(order, "cls")).alias("head")))
+    pairs = rows.join(heads, "key").where("comp <> head.comp").select(F.col("cls").alias("a"), F.col("head.cls").alias("b"))
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    # a row has at most as many heads as keys
+    chosen = counted.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), asc=False), 1, most).alias("heads"))
+    return chosen.select("a", F.explode("heads.b").alias("b"))
 
 
 def _compare(similarity: float, slack: float, most: int = 1 << 13):
@@ -375,7 +426,10 @@ def _compare(similarity: float, slack: float, most: int = 1 << 13):
                 p, q = bins[x], bins[x + d]
                 either = np.count_nonzero(p | q, axis=1)
                 same = np.count_nonzero((p == q) & (p != 0), axis=1)
-                x = x[same >= either * similarity - slack * np.sqrt(either * similarity * (1 - similarity))]
+                # bins sample the union without replacement; how many of it they hold follows from how many are filled
+                union = -BINS * np.log1p(-np.minimum(either, BINS - 0.5) / BINS)
+                rest = np.maximum(1 - either / np.maximum(union, 1), 0.05)
+                x = x[same >= either * similarity - slack * np.sqrt(either * similarity * (1 - similarity) * rest)]
                 found.append(np.stack((np.minimum(cls[x], cls[x + d]), np.maximum(cls[x], cls[x + d])), axis=1))
         out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         if len(out):
@@ -404,68 +458,78 @@ def _compare(similarity: float, slack: float, most: int = 1 << 13):
     return run
 
 
-def _cross_pairs(mixed: DataFrame, classes: DataFrame, similarity: float, slack: float, scratch: Scratch, block: int = 2048) -> DataFrame:
+def _spread(block: int):
+    """Rows (cls, comp, bins, at: array of (key, n)) to rows (cls, comp, bins, key, i, j): one a key, or several where n rows make several blocks."""
+
+    def run(batches, step: int = 1 << 14):
+        for b in batches:
+            at = b.column(3)
+            source = np.repeat(np.arange(b.num_rows), np.diff(at.offsets.to_numpy()))
+            key, n = at.flatten().field(0).to_numpy(), at.flatten().field(1).to_numpy()
+            blocks = -(-n // block)
+            own = (splitmix(b.column(0).to_numpy().view(np.uint64)[source]) % blocks.astype(np.uint64)).astype(np.int64)
+            # row of block k in all pairs of blocks with k
+            each = np.repeat(np.arange(len(key)), blocks)
+            k = np.arange(len(each)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            i, j = np.minimum(own[each], k), np.maximum(own[each], k)
+            for s in range(0, len(each), step):
+                e, take = each[s : s + step], pa.array(source[each[s : s + step]])
+                columns = [b.column(c).take(take) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(key[e]), pa.array(i[s : s + step]), pa.array(j[s : s + step])], names=["cls", "comp", "bins", "key", "i", "j"])
+
+    return run
+
+
+def _cross_pairs(mixed: DataFrame, classes: DataFrame, similarity: float, slack: float, block: int = 2048) -> DataFrame:
     """(a, b): on each variant all pairs of rows of different components, those whose bins are near enough. A variant with many rows is dealt out in pairs of blocks."""
-    counts = scratch.cut(mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
-    rows = mixed.join(classes.select("cls", "bins"), "cls").join(counts, "key").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
-    # row of block k in all pairs of blocks with k
-    each = rows.select("cls", "comp", "bins", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
-    each = each.select("cls", "comp", "bins", "key", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
+    rows = mixed.groupBy("cls", "comp").agg(F.collect_list(F.struct("key", "n")).alias("at")).join(classes.select("cls", "bins"), "cls").select("cls", "comp", "bins", "at")
+    each = rows.mapInArrow(_spread(block), "cls long, comp long, bins binary, key long, i long, j long")
     dealt = each.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(_compare(similarity, slack), "a long, b long").distinct()
 
 
-def _wide_links(classes: DataFrame, words: int, word_bits: int, points: int, limit: int, similarity: float, sketch: int, scratch: Scratch, rows: int) -> DataFrame:
+def _wide_links(classes: DataFrame, words: int, word_bits: int, points: int, similarity: float, slack: float, sketch: int, scratch: Scratch, rows: int) -> DataFrame:
     """(a, b): links of ``classes`` (cls, fp, flips, sk, bins), enough of them to connect what all verified pairs that meet on a variant connect."""
     spark = classes.sparkSession
     # a bucket holds some 16 MB
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * words * points / (1 << 20)))
-    packed = classes.select("cls", "fp", "flips").mapInArrow(_pack(words, word_bits, points, buckets), _PACKED)
-    met = scratch.cut(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "key long, cls long"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return _similar(_near(pairs, classes, limit), classes, similarity, sketch)
-
-    # every row with its variant's first
-    heads = scratch.cut(met.groupBy("key").agg(F.min("cls").alias("head")))
-    pairs = met.join(heads, "key").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
-    found = scratch.cut(connected(verified(pairs), scratch))
-    # one row of every component with one of the variant's first component
-    mixed = _mixed(met, found, scratch)
-    some = mixed.groupBy("key", "comp").agg(F.min("cls").alias("cls"))
-    heads = scratch.cut(mixed.groupBy("key").agg(F.min(F.struct("comp", "cls")).alias("head")))
-    pairs = some.join(heads, "key").where("comp <> head.comp").select(F.col("cls").alias("a"), F.col("head.cls").alias("b")).distinct()
-    known = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    found = scratch.cut(connected(known.unionByName(verified(pairs)), scratch))
-    # all pairs of different components
-    cross = _cross_pairs(_mixed(mixed, found, scratch), classes, similarity, 3.0, scratch)
+    near = _chance(similarity, 64 - _width(words, word_bits), slack)
+    packed = classes.select("cls", "fp", "flips").mapInArrow(_pack(words, word_bits, points, buckets, near), _PACKED)
+    met = scratch.cut(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(words, word_bits, near), "key long, cls long"))
+    limit = _chance(similarity, 64 * math.ceil(words * word_bits / 64), slack)
+    # large groups first become few components, by pairs with the first rows of variants
+    found = scratch.cut(spark.createDataFrame([], "node long, root long"))
+    for turn in range(2):
+        mixed = _mixed(met, found, scratch)
+        links = _similar(_near(_star(mixed, turn, scratch), classes, limit), classes, similarity, sketch)
+        found = scratch.cut(connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links), scratch))
+        met = mixed
+    # then all pairs of rows of different components
+    cross = _cross_pairs(_mixed(met, found, scratch), classes, similarity, slack)
     return found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(cross, classes, similarity, sketch))
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, recall: float = 0.98, points: int = 32, slack: float = 4.0, sketch: int = 512,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, recall: float = 0.98, points: int = 32, slack: float = 2.75, sketch: int = 512,
 ) -> DataFrame:
     """One row an input row: id, tid, cls, owner (identifier and text hash of the first row of its group).
 
-    Pairs that meet go on up to the number of differing bits expected at ``similarity`` (a
-    bit differs with probability angle / pi) plus ``slack`` standard deviations; then their
+    Pairs that meet go on while other bits of their prints, then bytes of their bins, differ by no
+    more than expected at ``similarity`` plus ``slack`` standard deviations; then their
     similarity is taken from the least ``sketch`` shingle hashes.
     """
     n = docs.count()
     words, word_bits = net(n, similarity, recall, points)
-    bits = 64 * math.ceil(words * word_bits / 64)
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    limit = round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
     scratch = Scratch(docs.sparkSession, "near")
     # rows of one print are one class only if their sketches agree too
     rows = scratch.cut(prints(docs, id_col, text_col, size, words, word_bits, sketch).withColumn("cls", F.xxhash64("fp", "sk")))
     classes = rows.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("fp", "flips", "sk", "bins")])
     classes = scratch.cut(classes)
-    links = _wide_links(classes, words, word_bits, points, limit, similarity, sketch, scratch, n)
+    links = _wide_links(classes, words, word_bits, points, similarity, slack, sketch, scratch, n)
     return _owned(rows.select("id", "tid", "cls"), links, scratch)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, recall: float = 0.98, points: int = 32, slack: float = 4.0, sketch: int = 512) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, recall: float = 0.98, points: int = 32, slack: float = 2.75, sketch: int = 512) -> DataFrame:
     """``docs`` with one row of each group of ``near_duplicates``, the one with the least identifier; columns unchanged."""
     marked = near_duplicates(docs, id_col, text_col, size, similarity, recall, points, slack, sketch)
     lost = marked.where(~(F.col("id").eqNullSafe(F.col("owner.id")) & (F.col("tid") == F.col("owner.tid")))).select("id", "tid").distinct()

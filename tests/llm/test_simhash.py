@@ -154,25 +154,26 @@ def test_no_link_between_pairs_that_meet_is_lost(spark):
     rng.shuffle(texts)
     parts = [S.describe(t.encode(), 5, words, bits, 512) for t in texts]
     classes = spark.createDataFrame([(i, fp.tolist(), bytearray(fl.tobytes()), sk.tolist(), bytearray(bins.tobytes())) for i, (fp, fl, sk, bins) in enumerate(parts)], "cls long, fp array<long>, flips binary, sk array<int>, bins binary")
-    balls = [set(S._balls(fp[None], fl.reshape(1, -1), words, bits, points)[0].tolist()) for fp, fl, _, _ in parts]
+    balls = [set(S._balls(fp[None], fl.reshape(1, -1), words, bits, points)[0].reshape(-1).tolist()) for fp, fl, _, _ in parts]
     near = lambda i, j: len(set(parts[i][2]) & set(parts[j][2])) / len(set(parts[i][2]) | set(parts[j][2])) >= 0.8
     met = [(i, j) for i in range(len(texts)) for j in range(i) if balls[i] & balls[j]]
     pairs = [(i, j) for i, j in met if near(i, j)]
     assert len(pairs) > 40 and len(met) > 3 * len(pairs)
     scratch = Scratch(spark, "test")
-    got = {r.node: r.root for r in connected(S._wide_links(classes, words, bits, points, 64, 0.8, 512, scratch, len(texts)), scratch).collect()}
+    got = {r.node: r.root for r in connected(S._wide_links(classes, words, bits, points, 0.8, 3.5, 512, scratch, len(texts)), scratch).collect()}
     assert [got.get(i, i) for i in range(len(texts))] == roots(len(texts), pairs)
 
 
 def test_blocks_of_a_variant(spark):
     """All pairs of a variant with more rows than a block, whatever the buffer."""
     rng = np.random.default_rng(4)
-    base = rng.integers(1, 256, (6, 256), dtype=np.uint8)
-    rows = [(k, k % 7, bytearray(np.where(rng.random(256) < 0.9, base[k % 6], rng.integers(1, 256, 256)).astype(np.uint8).tobytes())) for k in range(150)]
+    base = rng.integers(1, 256, (6, S.BINS), dtype=np.uint8)
+    rows = [(k, k % 7, bytearray(np.where(rng.random(S.BINS) < 0.9, base[k % 6], rng.integers(1, 256, S.BINS)).astype(np.uint8).tobytes())) for k in range(150)]
     classes = spark.createDataFrame([(c, b) for c, _, b in rows], "cls long, bins binary")
-    mixed = spark.createDataFrame([(key, c, p) for c, p, _ in rows for key in (1, 2 + c % 2)], "key long, cls long, comp long")
-    got = {tuple(r) for r in S._cross_pairs(mixed, classes, 0.8, 3.0, Scratch(spark, "test"), block=20).collect()}
-    same = lambda x, y: sum(p == q for p, q in zip(x, y)) >= 256 * 0.8 - 3 * math.sqrt(256 * 0.16)
+    mixed = spark.createDataFrame([(key, c, p, n) for c, p, _ in rows for key, n in ((1, 150), (2 + c % 2, 75))], "key long, cls long, comp long, n long")
+    got = {tuple(r) for r in S._cross_pairs(mixed, classes, 0.8, 3.0, block=20).collect()}
+    rest = 1 - 1 / math.log(2 * S.BINS)  # all bins are filled
+    same = lambda x, y: sum(p == q for p, q in zip(x, y)) >= S.BINS * 0.8 - 3 * math.sqrt(S.BINS * 0.16 * rest)
     want = {(a, b) for a, p, x in rows for b, q, y in rows if a < b and p != q and same(x, y)}
     assert got == want and len(want) > 300
     small = S._compare(0.8, 3.0, most=16)
@@ -181,6 +182,18 @@ def test_blocks_of_a_variant(spark):
     assert {(a, b) for out in small(iter(batches)) for a, b in zip(*(x.to_pylist() for x in out.columns))} == want
 
 
+def test_company():
+    rng = np.random.default_rng(5)
+    key = np.sort(rng.integers(0, 60, 150)).astype(np.uint64)
+    key[100:] = 77  # a key of many entries
+    check = rng.integers(0, 1 << 12, 150).astype(np.uint64)
+    got = S._company(key, check, 4)
+    groups = {k: np.flatnonzero(key == k) for k in set(key.tolist())}
+    want = [len(groups[int(k)]) > 9 or any(i != j and int(check[i] ^ check[j]).bit_count() <= 4 for j in groups[int(k)]) for i, k in enumerate(key)]
+    assert got.tolist() == want and 0 < sum(want[:100]) < 100
+    assert S._company(key[:0], check[:0], 4).tolist() == [] and S._company(key[:1], check[:1], 4).tolist() == [False]
+
+
 def test_balls_are_the_nearest_variants():
     word, bits, margins = np.array([0b1010], np.uint64), np.array([[0, 2, 3]], np.uint8), np.array([[1, 3, 10]], np.uint8)
     assert sorted(S.ball(word, bits, margins, 4)[0].tolist()) == sorted([0b1010, 0b1011, 0b1110, 0b1111])
@@ -211,7 +224,7 @@ def test_distinct_shingles_in_pieces(monkeypatch):
     assert int(fp[0]) & (1 << 64) - 1 == sum(1 << b for b in range(64) if counts[b] > len(hashes) / 2)
     margins = [abs(2 * c - len(hashes)) for c in counts[:28]]
     assert sorted(margins[b] for b in flips[0].tolist()) == sorted(margins)[:8]
-    assert bins.tolist() == [min((h for h in hashes if h % 256 == k), default=-256) // 256 % 255 + 1 if any(h % 256 == k for h in hashes) else 0 for k in range(256)]
+    assert bins.tolist() == [min((h for h in hashes if h % 512 == k), default=0) // 512 % 255 + 1 if any(h % 512 == k for h in hashes) else 0 for k in range(512)]
     monkeypatch.setattr(S, "_PART", 50)
     again = S.describe(text, 5, 7, 28, 64)
     assert all((x == y).all() for x, y in zip((fp, flips, sketch, bins), again))
