@@ -16,8 +16,8 @@ whole window (inside one document, the latter alone). Words themselves aren't co
 
 What repeats inside one document is settled there: a document sends each distinct window
 once. Counts are pre-aggregated before each shuffle. Representatives of up to ``hot``
-places are compared in order of place, one after another, so ``hot`` bounds what a task
-holds; for those of more (a passage that very many documents share, or one document very often) equal rows are first reduced to the first of them, only
+documents and four times as many places are compared in order of place, one after another, so
+``hot`` bounds what a task holds; for those of more (a passage that very many documents share, or one document very often) equal rows are first reduced to the first of them, only
 what differs is taken apart into windows, and first places are aggregated before the
 shuffle and joined back, joins that adaptive execution can split.
 
@@ -255,7 +255,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, start: int | None = None
     for length in lengths[:-1]:
         run, schema = _emit(window, start, length)
         seen = (rows if found is None else _with_positions(rows, found, "inner", "ats", "hots")).mapInArrow(run, schema)
-        more = scratch.cut(seen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot")))
+        more = scratch.cut(seen.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).where("n > 1").select("h", ((F.col("docs") > hot) | (F.col("n") > 4 * hot)).alias("hot")))
         lists = [F.collect_list(F.when(~F.col("hot"), F.col("at"))).alias("ats"), F.collect_list(F.when(F.col("hot"), F.col("at"))).alias("hots")]
         after = scratch.cut(seen.join(more, "h").groupBy("id", "tid").agg(*lists))
         scratch.drop(more)
