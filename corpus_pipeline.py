@@ -22,29 +22,50 @@ GOOD = 0.3
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the quality classifier (fitted to the labels of ``docs``) rejects."""
+    """Drop what the quality classifier (fitted to the labels of ``docs``) rejects.
+
+    Null and empty texts are scored as one empty line, very long ones whole; repeated rows share
+    their fate; a score of exactly GOOD stays; without labels all rows stay; an empty table stays empty.
+    """
     name = fresh(docs, "_quality")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), keep=tuple(docs.columns), name=name)
     return scored.where(F.col(name) >= GOOD).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest doc_id stays."""
+    """Of equal texts, the row with the smallest doc_id stays.
+
+    Null counts as empty; a null doc_id only stays where all of the text's rows have none; of rows
+    that repeat doc_id and text one stays; very long texts are compared whole; an empty table stays empty.
+    """
     return drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word-shingle similarity of 0.8 or more stays."""
+    """One document of each group of five-word-shingle similarity of 0.8 or more stays, the one with the smallest doc_id.
+
+    Texts without words (null, empty) are one group; a null doc_id only stays where its whole
+    group has none; wholly repeated rows stay or go together; very long texts are read whole; an
+    empty table stays empty.
+    """
     return drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, edited or not."""
+    """Drop documents that hold a benchmark item, edited or not.
+
+    Null and empty texts, and items without words, match nothing; repeated rows are judged alike;
+    very long texts are read whole; an empty table or benchmark drops nothing.
+    """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs (how often the mix takes the document) and taken words of every document in the mix."""
+    """doc_id, source, size, source_size, target, epochs (how often the mix takes the document) and taken words of every document in the mix.
+
+    Null and empty texts have size 0; a null source is one of its own, last in order; rows of equal
+    hash are interchangeable; an empty table gives an empty mix.
+    """
     mixed = mix(docs)
     return mixed.where("epochs > 0").select(F.col("id").alias("doc_id"), F.col("src").alias("source"), "size", "source_size", "target", "epochs", "taken")
 
