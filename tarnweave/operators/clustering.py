@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,28 +16,35 @@ LINKAGES = ("average", "complete", "ward")
 
 
 def _literal(centroids: Sequence[Sequence[float]]) -> Column:
-    rows = ",".join("array(" + ",".join(f"{float(x)!r}D" for x in c) + ")" for c in centroids)
-    return F.expr(f"array({rows})")
+    text = json.dumps([[float(x) for x in c] for c in centroids])
+    return F.from_json(F.lit(text), "array<array<double>>")
 
 
 def _square(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
+def assign_all(points: DataFrame, starts: Sequence[Sequence[Sequence[float]]]) -> DataFrame:
+    """(id, x, run, cluster, sq_dist): for each set of centroids the nearest one, the lower number on a tie. The sets are constants of the plan."""
+    wide = points.select("id", "x", *[F.transform(_literal(c), lambda y: _square(F.col("x"), y)).alias(f"d{r}") for r, c in enumerate(starts)])
+    best = [F.struct(F.lit(r).alias("run"), (F.array_position(f"d{r}", F.array_min(f"d{r}")) - 1).cast("int").alias("cluster"), F.array_min(f"d{r}").alias("sq_dist")) for r in range(len(starts))]
+    return wide.select("id", "x", F.inline(F.array(*best)))
+
+
 def assign(points: DataFrame, centroids: Sequence[Sequence[float]]) -> DataFrame:
     """(id, x, cluster, sq_dist): the nearest centroid, the lower number on a tie. Centroids are k rows, put into the plan as a constant."""
-    distances = F.transform(_literal(centroids), lambda c: _square(F.col("x"), c))
-    with_all = points.withColumn("d", distances)
-    return with_all.select("id", "x", (F.array_position("d", F.array_min("d")) - 1).cast("int").alias("cluster"), F.array_min("d").alias("sq_dist"))
-
-
-def update(assigned: DataFrame, previous: Sequence[Sequence[float]]) -> list[list[float]]:
-    """Means of the clusters; an empty cluster keeps its centroid. The driver gets k rows."""
-    dims = len(previous[0])
-    means = assigned.groupBy("cluster").agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(dims)]).collect()
-    out = [list(c) for c in previous]
-    for row in means:
-        out[row[0]] = [float(v) for v in row[1:]]
+    return assign_all(points, [centroids]).drop("run")
+
+
+def update_all(assigned: DataFrame, previous: Sequence[Sequence[Sequence[float]]]) -> list[list[list[float]]]:
+    """Means of the clusters of every run; an empty cluster keeps its centroid. The driver gets the centroids alone, of any width."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    means = assigned.groupBy("run", "cluster").agg(Summarizer.mean(array_to_vector("x")).alias("m")).collect()
+    out = [[list(c) for c in run] for run in previous]
+    for run, cluster, mean in means:
+        out[run][cluster] = mean.toArray().tolist()
     return out
 
 
@@ -43,12 +52,29 @@ def as_points(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     return df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
 
 
+def lloyd_all(points: DataFrame, starts: Sequence[Sequence[Sequence[float]]], steps: int = 3) -> tuple[DataFrame, list[list[list[float]]]]:
+    """Steps of several runs together: each reads the points once for all of them, from the cache after the first."""
+    centroids = [[list(c) for c in run] for run in starts]
+    mine = steps > 1 and not points.is_cached
+    kept = points.persist(StorageLevel.MEMORY_AND_DISK) if mine else points
+    try:
+        for _ in range(steps):
+            centroids = update_all(assign_all(kept, centroids), centroids)
+        return assign_all(points, centroids), centroids
+    finally:
+        if mine:
+            kept.unpersist()
+
+
+def first_points(points: DataFrame, k: int) -> list[list[float]]:
+    """The points of the k least ids."""
+    return [list(r[0]) for r in points.orderBy("id").limit(k).select("x").collect()]
+
+
 def lloyd(points: DataFrame, k: int, steps: int = 3, initial: Sequence[Sequence[float]] | None = None) -> tuple[DataFrame, list[list[float]]]:
     """A fixed number of steps from given centroids, or from the k least ids; the assignment to the last ones, and they."""
-    centroids = [list(c) for c in initial] if initial is not None else [list(r[0]) for r in points.orderBy("id").limit(k).select("x").collect()]
-    for _ in range(steps):
-        centroids = update(assign(points, centroids), centroids)
-    return assign(points, centroids), centroids
+    assigned, centroids = lloyd_all(points, [initial if initial is not None else first_points(points, k)], steps)
+    return assigned.drop("run"), centroids[0]
 
 
 def centroid_rows(assigned: DataFrame) -> DataFrame:
@@ -62,14 +88,56 @@ def sse(assigned: DataFrame) -> DataFrame:
 
 
 def sse_by_k(points: DataFrame, ks: Sequence[int] = tuple(range(3, 16)), steps: int = 3) -> DataFrame:
-    """(k, sse): the elbow curve."""
-    parts = [lloyd(points, k, steps)[0].agg(F.sum("sq_dist").alias("sse")).select(F.lit(k).alias("k"), "sse") for k in ks]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """(k, sse): the elbow curve, all k in one sweep."""
+    first = first_points(points, max(ks))
+    assigned = lloyd_all(points, [first[:k] for k in ks], steps)[0]
+    return assigned.groupBy("run").agg(F.sum("sq_dist").alias("sse")).select(F.element_at(F.array(*[F.lit(k) for k in ks]), F.col("run") + 1).alias("k"), "sse")
+
+
+def _uniform(*parts: Column) -> Column:
+    """In (0, 1), from the first 48 bits of an MD5 of the parts."""
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def random_start(points: DataFrame, k: int, seed: int = 0) -> list[list[float]]:
+    """k points drawn without repetition: those of the least hashes of seed and id."""
+    u = _uniform(F.lit(str(seed)), F.col("id").cast("string"))
+    return [list(r[0]) for r in points.select("x", "id", u.alias("u")).orderBy("u", "id").limit(k).select("x").collect()]
+
+
+def plus_plus_start(points: DataFrame, k: int, seed: int = 0) -> list[list[float]]:
+    """k-means++: each next centroid is a point drawn with a chance proportional to its squared distance to the nearest one before.
+
+    The draw is a race of exponential clocks, so a pass is one aggregate with a single row as result.
+    Fewer distinct points than k give fewer centroids.
+    """
+    out: list[list[float]] = []
+    for j in range(k):
+        far = F.array_min(F.transform(_literal(out), lambda c: _square(F.col("x"), c))) if out else F.lit(1.0)
+        clock = -F.log(_uniform(F.lit(str(seed)), F.lit(str(j)), F.col("id").cast("string"))) / F.col("far")
+        drawn = points.withColumn("far", far).where("far > 0").agg(F.min_by("x", F.struct(clock.alias("t"), "id"))).first()[0]
+        if drawn is None:
+            break
+        out.append(list(drawn))
     return out
 
 
+STARTS = {"random": random_start, "k-means++": plus_plus_start}
+
+
+def kmeans(points: DataFrame, k: int, init: str = "k-means++", steps: int = 20, restarts: int = 10) -> tuple[DataFrame, int, float]:
+    """The run of least SSE among ``restarts`` seeds, all in the same sweeps: its assignment, number and SSE; the lower number on a tie."""
+    if init not in STARTS:
+        raise ValueError(f"init is one of {tuple(STARTS)}")
+    starts = [STARTS[init](points, k, seed) for seed in range(restarts)]
+    if not all(starts):
+        raise ValueError("no points")
+    assigned, centroids = lloyd_all(points, starts, steps)
+    costs = {r: s for r, s in assigned.groupBy("run").agg(F.sum("sq_dist")).collect()}
+    best = min(costs, key=lambda r: (round(costs[r], 9), r))
+    return assign(points, centroids[best]), best, costs[best]
+
+
 def kmeans_mllib(vectors: DataFrame, k: int, init: str = "k-means||", max_iter: int = 300, restarts: int = 10, features: str = "features"):
     """The fit with the least cost of ``restarts`` seeds; ``init`` is ``random`` or ``k-means||``."""
     from pyspark.ml.clustering import KMeans

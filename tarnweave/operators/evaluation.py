@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def docs_per_cluster(assigned: DataFrame) -> DataFrame:
-    """(cluster, doc_ids) in document order."""
-    return assigned.groupBy("cluster").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+    """(cluster, doc_id, size): a row a document with the size of its cluster; no row has all of a cluster."""
+    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    return assigned.select("cluster", "doc_id").join(sizes, "cluster")
 
 
 def histogram(assigned: DataFrame) -> DataFrame:

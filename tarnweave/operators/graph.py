@@ -30,6 +30,12 @@ def in_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
 
 
+def successors(edges: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """(id, block, successors) in ascending order; a hub's list comes in blocks of at most ``width`` consecutive ids, so no row outgrows that."""
+    block = F.floor(F.col("dst") / width).cast("long")
+    return edges.groupBy(F.col("src").alias("id"), block.alias("block")).agg(F.sort_array(F.collect_set("dst")).alias("successors"))
+
+
 def stochastic_matrix(edges: DataFrame, multi_edges: str = "distinct") -> DataFrame:
     """(row, col, val): column ``src`` spreads 1 over its destinations.
 
@@ -97,13 +103,15 @@ def remove_deadends(edges: DataFrame, scratch: Scratch | None = None, multi_edge
     now = scratch.cut(distinct_edges(edges) if multi_edges == "distinct" else edges.select("src", "dst"))
     before, passes = nodes(now).count(), []
     while True:
-        after = scratch.cut(deadend_pass(now))
-        # a surviving node has an edge to a node; it is a source of ``now`` or not at all
-        alive = surviving_nodes(now).agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("k"))
+        # the aggregate runs once a pass; its ids are read by the semi-join and by the count
+        alive = scratch.cut(surviving_nodes(now))
+        after = scratch.cut(now.join(alive.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
+        n_nodes = alive.agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("k"))
         n_edges = after.agg(F.lit(0).alias("n"), F.count(F.lit(1)).alias("k"))
-        n, k = alive.unionByName(n_edges).agg(F.max("n"), F.max("k")).first()
+        n, k = n_nodes.unionByName(n_edges).agg(F.max("n"), F.max("k")).first()
         passes.append((len(passes) + 1, n, k))
         scratch.drop(now)
+        scratch.drop(alive)
         now = after
         if n == before:
             return Peeled(now, n, passes)

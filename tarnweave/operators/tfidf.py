@@ -52,11 +52,11 @@ def tfidf(docs: DataFrame, min_df: int = 50, max_df: float = 0.5, stop_words: It
 
 
 def to_vectors(weights: DataFrame, vocab: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, features) for MLlib; documents without kept terms get the zero vector."""
-    from pyspark.ml.functions import array_to_vector
+    """(doc_id, features) for MLlib, sparse: a document's cells alone; documents without kept terms get the zero vector."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    size = vocab.count()
-    cells = weights.join(vocab.select("term", "idx"), "term").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "tfidf"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max(size - 1, 0)).cast("long")), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
+    size = max(vocab.count(), 1)
+    sparse = F.udf(lambda idx, values: SparseVector(size, idx or [], values or []), VectorUDT())
+    cells = weights.join(vocab.select("term", "idx"), "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "tfidf"))).alias("m"))
     joined = docs.select(F.col(id_col).alias("doc_id")).join(cells, "doc_id", "left")
-    return joined.select("doc_id", array_to_vector(F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), max(size, 1))).otherwise(dense)).alias("features"))
+    return joined.select("doc_id", sparse(F.col("m.idx"), F.col("m.tfidf")).alias("features"))

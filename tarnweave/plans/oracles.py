@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import BETA, EPSILON, K, KS, LLOYD_STEPS, MAX_DF, MIN_DF, STEPS
+from .queries import BETA, EPSILON, K, KS, LLOYD_STEPS, MAX_DF, MIN_DF, RESTARTS, STEPS
 
 PASSES, CAP = 16, 16
 
@@ -68,12 +68,47 @@ DOCS = f"docs AS (SELECT doc_id, 'doc ' || doc_id AS title, lang AS category, te
 HIST = f"{DOCS}, hist AS (SELECT cluster, category, count(*) AS n FROM docs GROUP BY ALL)"
 
 
-def _lloyd(k: int, steps: int = LLOYD_STEPS, name: str = "") -> str:
+def _uniform(parts: str) -> str:
+    return f"((('0x' || substr(md5({parts}), 1, 12))::BIGINT::DOUBLE + 0.5) / {float(1 << 48)})"
+
+
+def _random_start(p: str, k: int, seed: int) -> list[str]:
+    u = _uniform(f"'{seed}:' || vec_id")
+    return [f"{p}picks AS MATERIALIZED (SELECT vec_id AS id, (row_number() OVER (ORDER BY {u}, vec_id) - 1)::INT AS cluster FROM embeddings QUALIFY cluster < {k})"]
+
+
+def _plus_plus_start(p: str, k: int, seed: int) -> list[str]:
+    out = [f"{p}near0 AS MATERIALIZED (SELECT vec_id AS id, 1.0::DOUBLE AS far FROM embeddings)"]
+    for j in range(k):
+        u = _uniform(f"'{seed}:{j}:' || id")
+        out.append(f"{p}pick{j} AS MATERIALIZED (SELECT id FROM {p}near{j} WHERE far > 0 ORDER BY -ln({u}) / far, id LIMIT 1)")
+        least = "d" if j == 0 else "least(far, d)"
+        out.append(
+            f"{p}near{j + 1} AS MATERIALIZED (SELECT id, {least} AS far FROM {p}near{j} JOIN (SELECT a.id, sum((a.v - b.v) * (a.v - b.v)) AS d "
+            f"FROM {p}pts a JOIN (SELECT dim, v FROM {p}pts WHERE id = (SELECT id FROM {p}pick{j})) b USING (dim) GROUP BY a.id) USING (id))"
+        )
+    out.append(f"{p}picks AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT id, {j}::INT AS cluster FROM {p}pick{j}" for j in range(k)) + ")")
+    return out
+
+
+def _best(start) -> str:
+    runs = range(RESTARTS)
+    steps = ", ".join(_lloyd(K, LLOYD_STEPS, f"s{r}", start, r) for r in runs)
+    every = " UNION ALL ".join(f"SELECT {r} AS run, id, cluster, d FROM s{r}a{LLOYD_STEPS}" for r in runs)
+    return f"""WITH {steps}, every AS MATERIALIZED ({every}), costs AS (SELECT run, round(sum(d), 9) AS cost FROM every GROUP BY run)
+        SELECT id AS vec_id, run::INT AS run, cluster, round(d, 6) AS sq_dist FROM every WHERE run = (SELECT run FROM costs ORDER BY cost, run LIMIT 1)"""
+
+
+def _lloyd(k: int, steps: int = LLOYD_STEPS, name: str = "", start=None, seed: int = 0) -> str:
     p = name
     out = [
         f"{p}pts AS MATERIALIZED (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)",
-        f"{p}c0 AS MATERIALIZED (SELECT (dense_rank() OVER (ORDER BY id) - 1)::INT AS cluster, dim, v FROM {p}pts WHERE id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT {k}))",
     ]
+    if start is None:
+        out.append(f"{p}c0 AS MATERIALIZED (SELECT (dense_rank() OVER (ORDER BY id) - 1)::INT AS cluster, dim, v FROM {p}pts WHERE id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT {k}))")
+    else:
+        out += start(p, k, seed)
+        out.append(f"{p}c0 AS MATERIALIZED (SELECT cluster, dim, v FROM {p}pts JOIN {p}picks USING (id))")
     for s in range(steps + 1):
         out.append(
             f"{p}a{s} AS MATERIALIZED (SELECT id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (SELECT id, cluster, sum((p.v - c.v) * (p.v - c.v)) AS d "
@@ -100,7 +135,20 @@ ORACLES = {
     "matvec_total": f"{PARTIALS} SELECT round(sum(part), 3) AS total, count(DISTINCT row) AS n FROM parts",
     "deadend_pass": f"WITH {RAW} SELECT src, dst FROM edges WHERE dst IN ({_alive('edges')})",
     "surviving_nodes": f"WITH {RAW} {_alive('edges')}",
-    "isolated_self_loops": f"WITH {RAW} SELECT id FROM ({_degrees('edges')}) WHERE outs = 1 AND ins = 1 AND loop",
+    "isolated_self_loops": f"WITH {RAW}, n AS (SELECT -1 - n_nationkey::BIGINT AS n, n_nationkey FROM nation), "
+    "every AS (SELECT src, dst FROM edges UNION ALL SELECT n, n FROM n UNION ALL SELECT n, n - 1 FROM n WHERE n_nationkey % 4 = 0) "
+    f"SELECT id FROM ({_degrees('every')}) WHERE outs = 1 AND ins = 1 AND loop",
+    "successor_lists": f"WITH {RAW} SELECT src AS id, (dst // {1 << 20})::BIGINT AS block, string_agg(dst::VARCHAR, ' ' ORDER BY dst) AS successors FROM edges GROUP BY 1, 2",
+    "kmeans_random": _best(_random_start),
+    "kmeans_plus_plus": _best(_plus_plus_start),
+    "edges_text": f"WITH {RAW} SELECT src, dst FROM edges",
+    "matrix_vector_text": f"{PARTIALS} SELECT row AS id, round(sum(part), 6) AS value FROM parts GROUP BY row",
+    "key_values_text": f"WITH {RAW} SELECT src::VARCHAR AS key, count(*)::VARCHAR AS value FROM edges GROUP BY src",
+    "result_vector_text": "SELECT n_regionkey::BIGINT AS id, count(*)::DOUBLE AS value FROM nation GROUP BY n_regionkey",
+    "corpus_text": r"""WITH t AS (SELECT doc_id, lang, regexp_replace(regexp_replace(coalesce(text, ''), '\n+', chr(10), 'g'), '^\n|\n$', '', 'g') AS body FROM documents)
+        SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, 'doc ' || doc_id AS title, coalesce(nullif(lang, ''), 'none') AS category, CASE WHEN body = '' THEN '' ELSE body || chr(10) END AS text FROM t""",
+    "listing_text": f"WITH {DOCS}, l AS (SELECT cluster, string_agg(title || '(' || category || ')', ', ' ORDER BY doc_id) AS listing FROM docs GROUP BY cluster) "
+    "SELECT 'Cluster ' || cluster AS line FROM l UNION ALL SELECT listing FROM l",
     "remove_deadends": f"WITH {_peel()} SELECT src, dst FROM e{PASSES}",
     "deadend_pass_counts": f"WITH {_peel()}, c AS ("
     + " UNION ALL ".join([f"SELECT 0 AS pass, (SELECT count(*) FROM (SELECT src FROM e0 UNION SELECT dst FROM e0)) AS nodes, 0 AS edges"] + [f"SELECT {k}, (SELECT count(*) FROM a{k}), (SELECT count(*) FROM e{k})" for k in range(1, PASSES + 1)])
@@ -126,7 +174,7 @@ ORACLES = {
     "kmeans_centroids": f"WITH {_lloyd(K)} SELECT cluster, dim::INT AS dim, round(avg(v), 6) AS value FROM pts JOIN {LAST} USING (id) GROUP BY cluster, dim",
     "kmeans_sse": f"WITH {_lloyd(K)} SELECT round(sum(d), 6) AS sse FROM {LAST}",
     "sse_vs_k": "WITH " + ", ".join(_lloyd(k, LLOYD_STEPS, f"k{k}") for k in KS) + " " + " UNION ALL ".join(f"SELECT {k}::INT AS k, (SELECT round(sum(d), 6) FROM k{k}{LAST}) AS sse" for k in KS),
-    "cluster_members": f"WITH {DOCS} SELECT cluster, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids FROM docs GROUP BY cluster",
+    "cluster_members": f"WITH {DOCS} SELECT cluster, doc_id, count(*) OVER (PARTITION BY cluster) AS size FROM docs",
     "cluster_histogram": f"WITH {HIST} SELECT * FROM hist",
     "cluster_modes": f"WITH {HIST} SELECT cluster, category, n FROM hist QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, category) = 1",
     "cluster_purity": f"WITH {HIST} SELECT round(sum(top) / sum(n), 9) AS purity FROM (SELECT max(n) AS top, sum(n) AS n FROM hist GROUP BY cluster)",

@@ -17,10 +17,12 @@ from ..operators import clustering as C
 from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import tfidf as V
+from ..sources import text as S
 from ..sources.text import cluster_listing
+from .lineage import Scratch
 
 BETA, EPSILON, STEPS = 0.8, 0.1, 10
-K, LLOYD_STEPS, KS = 5, 3, tuple(range(3, 16))
+K, LLOYD_STEPS, RESTARTS, KS = 5, 3, 10, tuple(range(3, 16))
 MIN_DF, MAX_DF = 50, 0.5
 
 
@@ -93,7 +95,17 @@ def surviving_nodes(spark, sf_dir):
 
 
 def isolated_self_loops(spark, sf_dir):
-    return G.isolated_self_loops(graph_edges(spark, sf_dir))
+    """Over the graph and one loop a nation, at negative numbers; an even one also links to the next."""
+    n = -1 - F.col("n_nationkey").cast("long")
+    nations = _table(spark, sf_dir, "nation")
+    loops = nations.select(n.alias("src"), n.alias("dst"))
+    onward = nations.where("n_nationkey % 4 = 0").select(n.alias("src"), (n - 1).alias("dst"))
+    return G.isolated_self_loops(graph_edges(spark, sf_dir).unionByName(loops).unionByName(onward))
+
+
+def successor_lists(spark, sf_dir):
+    lists = G.successors(graph_edges(spark, sf_dir))
+    return lists.select("id", "block", F.array_join(F.transform("successors", lambda x: x.cast("string")), " ").alias("successors"))
 
 
 def remove_deadends(spark, sf_dir):
@@ -203,6 +215,16 @@ def sse_vs_k(spark, sf_dir):
     return C.sse_by_k(_points(spark, sf_dir), KS, LLOYD_STEPS).withColumn("sse", F.round("sse", 6))
 
 
+def kmeans_random(spark, sf_dir):
+    assigned, best, _ = C.kmeans(_points(spark, sf_dir), K, "random", LLOYD_STEPS, RESTARTS)
+    return assigned.select(F.col("id").alias("vec_id"), F.lit(best).alias("run"), "cluster", F.round("sq_dist", 6).alias("sq_dist"))
+
+
+def kmeans_plus_plus(spark, sf_dir):
+    assigned, best, _ = C.kmeans(_points(spark, sf_dir), K, "k-means++", LLOYD_STEPS, RESTARTS)
+    return assigned.select(F.col("id").alias("vec_id"), F.lit(best).alias("run"), "cluster", F.round("sq_dist", 6).alias("sq_dist"))
+
+
 def _kmeans_mllib(spark, sf_dir, init):
     from pyspark.ml.functions import array_to_vector
 
@@ -215,8 +237,7 @@ def _agglomerative(spark, sf_dir, linkage):
 
 
 def cluster_members(spark, sf_dir):
-    members = E.docs_per_cluster(_documents(spark, sf_dir))
-    return members.select("cluster", F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").alias("doc_ids"))
+    return E.docs_per_cluster(_documents(spark, sf_dir))
 
 
 def cluster_histogram(spark, sf_dir):
@@ -256,11 +277,63 @@ def cluster_listing_query(spark, sf_dir):
     return cluster_listing(_documents(spark, sf_dir))
 
 
+def edges_text(spark, sf_dir):
+    """The edges through two folders of lines, among blank lines and lines of another arity, and back."""
+    base = Scratch(spark, "edges").base
+    edges = graph_edges(spark, sf_dir)
+    noise = F.when(F.col("src") % 7 == 0, F.array(F.lit(""), F.lit("1 2 3"), F.lit("alone"))).otherwise(F.array())
+    for part in (0, 1):
+        some = edges.where(F.col("src") % 2 == part)
+        S.write_values(some, f"{base}/{part}")
+        S.write_values(some.select(F.explode(noise).alias("line")), f"{base}/noise{part}")
+    return S.read_edges(spark, [f"{base}/{x}" for x in ("0", "1", "noise0", "noise1")])
+
+
+def matrix_vector_text(spark, sf_dir):
+    """Matrix lines (three fields) and vector lines (two, tab-separated) of the same folders, told apart by arity, and their product."""
+    base = Scratch(spark, "matvec").base
+    S.write_values(G.stochastic_matrix(raw_edges(spark, sf_dir)), f"{base}/m")
+    S.write_key_values(_account_vector(spark, sf_dir), f"{base}/v")
+    both = [f"{base}/m", f"{base}/v"]
+    return G.matvec(S.read_matrix(spark, both), S.read_vector(spark, both)).withColumn("value", F.round("value", 6))
+
+
+def key_values_text(spark, sf_dir):
+    base = Scratch(spark, "pairs").base
+    S.write_key_values(G.out_degree(graph_edges(spark, sf_dir)), base)
+    return S.read_key_values(spark, base)
+
+
+def result_vector_text(spark, sf_dir):
+    """Nations a region as a small result vector, written, and read into a dictionary."""
+    base = Scratch(spark, "vector").base
+    S.write_key_values(_table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n")), base)
+    return spark.createDataFrame([(int(k), float(v)) for k, v in S.read_result_vector(spark, base).items()], "id long, value double")
+
+
+def corpus_text(spark, sf_dir):
+    """The documents as records that blank lines separate, in order of their ids, and read back."""
+    base = Scratch(spark, "corpus").base
+    docs = _documents(spark, sf_dir)
+    body = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\n+", "\n"), r"^\n|\n$", "")
+    category = F.coalesce(F.expr("nullif(category, '')"), F.lit("none"))
+    record = F.concat(F.concat_ws("\n", "title", category, F.expr("nullif(body, '')")), F.lit("\n"))
+    docs.withColumn("body", body).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(record.alias("value")).write.text(base)
+    return S.read_corpus(spark, base)
+
+
+def listing_text(spark, sf_dir):
+    base = Scratch(spark, "listing").base
+    S.write_listing(_documents(spark, sf_dir), base)
+    return spark.read.text(base).withColumnRenamed("value", "line")
+
+
 _PLAIN = (
     graph_edges, graph_nodes, out_degree, in_degree, node_degrees, stochastic_matrix, stochastic_matrix_weighted, matrix_column_sums, matvec_partials, matvec, matvec_total, deadend_pass, surviving_nodes,
     isolated_self_loops, remove_deadends, deadend_pass_counts, initial_vector, teleport_step, pagerank_10, pagerank_converged, pagerank_topk, pagerank_l1_trace, doc_word_size, doc_first_sentence, doc_snippet,
     doc_display, tokens, term_frequency, term_frequency_stop_words, document_frequency, vocabulary, tfidf, kmeans_assign, kmeans_centroids, kmeans_sse, sse_vs_k, cluster_members, cluster_histogram, cluster_modes,
-    cluster_purity, cluster_entropy, categories, majority_share, cluster_top_docs, cluster_top_terms,
+    cluster_purity, cluster_entropy, categories, majority_share, cluster_top_docs, cluster_top_terms, successor_lists, kmeans_random, kmeans_plus_plus, edges_text, matrix_vector_text, key_values_text,
+    result_vector_text, corpus_text, listing_text,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN} | {

@@ -22,7 +22,7 @@ def test_small_metrics(spark):
     assert E.purity(a).first()[0] == 0.5
     assert tuple(E.entropies(a).first()) == (pytest.approx(1), pytest.approx(2), pytest.approx(1))
     assert {tuple(r) for r in E.cluster_modes(a).collect()} == {(0, "music", 2), (1, "music", 2)}
-    assert {r[0]: r[1] for r in E.docs_per_cluster(a).collect()} == {0: [0, 2, 4, 6], 1: [1, 3, 5, 7]}
+    assert sorted(map(tuple, E.docs_per_cluster(a).collect())) == [(i % 2, i, 4) for i in (0, 2, 4, 6, 1, 3, 5, 7)]
     assert E.majority_share(a).first()[0] == 0.5
 
 
@@ -134,3 +134,20 @@ def test_agglomerative_bound(spark, monkeypatch):
 def test_top_docs_ties(spark):
     a = spark.createDataFrame([(3, 0, 5), (1, 0, 5), (2, 0, 9)], "doc_id long, cluster int, word_size long")
     assert [r.doc_id for r in E.top_docs(a, 2).orderBy("place").collect()] == [2, 1]
+
+
+def test_starts(spark):
+    """Four tight groups far apart: k-means++ takes a point of each, whatever the seed."""
+    rows = [(i, [100.0 * (i % 4) + i * 1e-3, 0.0]) for i in range(40)]
+    points = spark.createDataFrame(rows, "id long, x array<double>")
+    for seed in range(5):
+        assert {round(c[0] / 100) for c in C.plus_plus_start(points, 4, seed)} == {0, 1, 2, 3}
+        assert len({c[0] for c in C.random_start(points, 4, seed)}) == 4
+    assigned, _, cost = C.kmeans(points, 4, restarts=3, steps=5)
+    assert cost < 0.1 and assigned.groupBy("cluster").count().where("count = 10").count() == 4
+    same = spark.createDataFrame([(i, [1.0]) for i in range(3)], "id long, x array<double>")
+    assert len(C.plus_plus_start(same, 2)) == 1
+    with pytest.raises(ValueError):
+        C.kmeans(points, 2, "other")
+    with pytest.raises(ValueError):
+        C.kmeans(points.limit(0), 2)

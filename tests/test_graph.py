@@ -99,3 +99,20 @@ def test_convergence(spark):
     a = spark.createDataFrame([(1, 0.5), (2, 0.5)], "id long, value double")
     b = spark.createDataFrame([(2, 0.45), (1, 0.55)], "id long, value double")
     assert G.converged(a, b, 0.11) and not G.converged(a, b, 0.1 - 1e-9)
+
+
+def test_rank_command_line(spark, tmp_path):
+    from tarnweave import rank_cli
+
+    (tmp_path / "a").write_text("1 2\n2 1\n2 3\n")
+    (tmp_path / "b").write_text("3 1\n\nbad line here\n1 9\n")
+    report = rank_cli.main([str(tmp_path / "a"), str(tmp_path / "b"), "--output", str(tmp_path / "out"), "--epsilon", "1e-6"], spark)
+    ranks = dict(line.split("\t") for f in (tmp_path / "out").glob("part-*") for line in f.read_text().splitlines())
+    assert set(ranks) == {"1", "2", "3"} and report["nodes"] == 3
+    assert sum(map(float, ranks.values())) == pytest.approx(1, abs=1e-6)
+
+
+def test_successor_blocks(spark):
+    edges = spark.createDataFrame([(1, d) for d in range(10)] + [(2, 5)], "src long, dst long")
+    got = {(r.id, r.block): r.successors for r in G.successors(edges, 4).collect()}
+    assert got == {(1, 0): [0, 1, 2, 3], (1, 1): [4, 5, 6, 7], (1, 2): [8, 9], (2, 1): [5]}
