@@ -1,22 +1,31 @@
 """LM scoring: masked pseudo-likelihood with a bidirectional window network in numpy.
 
-Every word of the corpus is hashed to one of 65,536 slots, slots to 64 classes: the most
-frequent slots have a class of their own, the rest share classes of about equal mass.
-The network sees the classes of ``reach`` words on both sides of a masked word (an edge
-class beyond the text) and predicts its class; log p(slot | class) comes from the counts.
-A text's score is the sum over its words of these conditional log-probabilities.
-
-Counts cover every word of every text. Training does too: each task takes one pass of
-Adam over the words of its split from the same start, and the tasks' weights are averaged
-by their numbers of words, in the executors first (``merges`` partial sums, the only ones
-that the driver gets). What is gathered so grows with the corpus.
-
-Defined results: null and empty texts have no words, score 0 and a null mean; repeated
-rows agree; an empty table gives an empty result; null identifiers need no rule.
+Words are counted exactly. The most frequent ones, as many as ``PER_ROOT`` times the cube root
+of the corpus's words, are leaves of a Huffman tree; all others share an eighth as many
+leaves by hash, each with the same chance inside its leaf. The network sums embeddings of the
+words at ``reach`` places on both sides of a masked word (a mark of its own beyond the text)
+and gives from them the chance of either side at every node on the way to the word's leaf:
+hierarchical softmax, so a word costs its code length rather than the vocabulary. Nodes start
+at the odds of the counts, so the untrained network is the unigram model. A text's score is
+the sum over its words of log p(word | both sides).
+
+Training covers every word of every text: texts are dealt by hash into shards, sorted by it,
+and each shard takes a pass of AdaGrad from the same start; a row of the weights becomes the
+shards' mean by how often each used it, summed in order of the shards. So the scores do not
+depend on how the input is split. Vocabulary, network and shards all grow with the corpus: a
+shard has ``LEAF_WORDS`` words a leaf, so that weights stay a fixed share of the texts.
+A worker holds the network once: some 90 bytes a leaf for weights, as much again in training,
+and the tree's paths.
+
+Defined results: null and empty texts have no words, score 0 and a null mean; very long texts
+are scored whole; repeated rows agree; ties in frequency go by the word's hash; other columns
+are ignored, whatever their names; an empty table gives an empty result; null identifiers need
+no rule.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,180 +33,261 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, encoded, small_batches
-
-SLOTS = 1 << 16
+from .common import Scratch, WordHasher, encoded, signed, small_batches
+
+#: Leaves for each cube root of the corpus's words; words a shard for each leaf; shared classes of rare context words.
+PER_ROOT, LEAF_WORDS, RARE_INPUTS = 160, 50, 64
+#: Rows of weights that travel together between shards and their mean.
+PIECE = 4096
+
+
+def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of at least two leaves: where each leaf's path begins (one more at the end), its nodes, its sides (+1, -1), and the log odds of +1 at each node."""
+    n = len(counts)
+    mass = np.concatenate((counts.astype(np.float64) + 0.5, np.zeros(n - 1)))
+    parent, side = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.int8)
+    heap = [(m, i) for i, m in enumerate(mass[:n].tolist())]
+    heapq.heapify(heap)
+    for node in range(n, 2 * n - 1):
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        parent[a[1]] = parent[b[1]] = node
+        side[a[1]], side[b[1]] = 1, -1
+        mass[node] = a[0] + b[0]
+        heapq.heappush(heap, (a[0] + b[0], node))
+    leaf, at, steps = np.arange(n), np.arange(n), []
+    while len(leaf):
+        steps.append((leaf, parent[at], side[at]))
+        at = parent[at]
+        inner = at != 2 * n - 2
+        leaf, at = leaf[inner], at[inner]
+    leaf, node, way = (np.concatenate(x) for x in zip(*steps))
+    order = np.argsort(leaf, kind="stable")
+    plus = np.zeros(n - 1)
+    up = np.flatnonzero(side == 1)
+    plus[parent[up] - n] = mass[up]
+    odds = np.log(plus) - np.log(mass[n:] - plus)
+    return np.concatenate(([0], np.cumsum(np.bincount(leaf, minlength=n)))), (node[order] - n).astype(np.int32), way[order], odds.astype(np.float32)
 
 
 class Vocabulary:
-    """Slot to class, and log p(slot | class), from the counts of all slots."""
-
-    def __init__(self, counts: np.ndarray, own: int, shared: int):
-        smooth = counts.astype(np.float64) + 0.5
-        order = np.argsort(-counts, kind="stable")
-        self.classes = own + shared
-        self.of = np.empty(SLOTS, np.uint8)
-        self.of[order[:own]] = np.arange(own)
-        rest = order[own:]
-        mass = np.cumsum(smooth[rest])
-        self.of[rest] = own + np.minimum((mass / mass[-1] * shared).astype(np.int64), shared - 1)
-        total = np.bincount(self.of, smooth, self.classes)
-        self.log_inside = (np.log(smooth) - np.log(total[self.of])).astype(np.float32)
-        self.log_prior = np.log(total / total.sum()).astype(np.float32)
+    """Leaf of each word hash, its code, and log p(word | leaf)."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, rare_counts: np.ndarray, rare_words: np.ndarray):
+        """``words`` by falling frequency; the shared leaves come after them."""
+        order = np.argsort(words)
+        self.words, self.leaf, self.own, self.rare = words[order], order.astype(np.int32), len(words), len(rare_counts)
+        self.counts = np.concatenate((counts, rare_counts))
+        self.begin, self.node, self.side, self.odds = huffman(self.counts)
+        self.log_inside = np.concatenate((np.zeros(self.own), -np.log(np.maximum(rare_words, 1)))).astype(np.float32)
+        self.inputs = min(self.own, max(256, self.own // 16))
+
+    @property
+    def edge(self) -> int:
+        return self.inputs + RARE_INPUTS
+
+    def leaves(self, hashes: np.ndarray) -> np.ndarray:
+        out = self.own + (hashes % np.uint64(self.rare)).astype(np.int64)
+        if self.own:
+            at = np.minimum(np.searchsorted(self.words, hashes), self.own - 1)
+            return np.where(self.words[at] == hashes, self.leaf[at], out)
+        return out
+
+    def as_input(self, leaves: np.ndarray) -> np.ndarray:
+        """Context words: the frequent ones as they are, the rest in shared classes."""
+        return np.where(leaves < self.inputs, leaves, self.inputs + leaves % RARE_INPUTS)
+
+    def unigram(self) -> np.ndarray:
+        """Log-probability of each leaf's words without context."""
+        smooth = self.counts + 0.5
+        return np.log(smooth / smooth.sum()) + self.log_inside
 
 
 class WindowNetwork:
-    """tanh of summed context embeddings, then a softmax over classes."""
-
-    def __init__(self, classes: int, reach: int = 2, width: int = 24, seed: int = 13, prior: np.ndarray | None = None):
-        rng = np.random.default_rng(seed)
-        self.classes, self.reach, self.width = classes, reach, width
-        self.embed = (rng.standard_normal((2 * reach, classes + 1, width)) * 0.1).astype(np.float32)
-        self.bias = np.zeros(width, np.float32)
-        self.out = (rng.standard_normal((width, classes)) * 0.1).astype(np.float32)
-        self.shift = np.zeros(classes, np.float32) if prior is None else prior.astype(np.float32).copy()
-
-    def params(self) -> list[np.ndarray]:
-        return [self.embed, self.bias, self.out, self.shift]
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.params()]).astype(np.float64)
-
-    def load(self, flat: np.ndarray) -> "WindowNetwork":
-        at = 0
-        for p in self.params():
-            p[...] = flat[at : at + p.size].reshape(p.shape)
-            at += p.size
-        return self
-
-    def context(self, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Classes at each offset (2 * reach rows) of texts that lie end to end; the edge class beyond a text."""
-        n, r = len(ids), self.reach
+    """tanh of summed context embeddings, then a logistic unit at each node of the code.
+
+    One matrix holds all weights: a row for each input at each place, then a row a node; the
+    last column is the node's shift.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, reach: int = 3, width: int = 16, seed: int = 13):
+        self.v, self.reach, self.width = vocabulary, reach, width
+        self.base = 2 * reach * (vocabulary.edge + 1)
+        self.rows = np.zeros((self.base + len(vocabulary.odds), width + 1), np.float32)
+        self.rows[: self.base, :width] = np.random.default_rng(seed).standard_normal((self.base, width)) * 0.3
+        self.rows[self.base :, width] = vocabulary.odds
+
+    def context(self, leaves: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Rows of the inputs at each place (2 * reach of them) around the words of texts that lie end to end."""
+        n, r, inputs = len(leaves), self.reach, self.v.as_input(leaves)
         first, last = np.repeat(begins[:-1], np.diff(begins)), np.repeat(begins[1:], np.diff(begins))
-        out = np.full((2 * r, n), self.classes, np.uint8)
+        out = np.full((2 * r, n), self.v.edge, np.int64)
         at = np.arange(n)
         for k, step in enumerate([*range(-r, 0), *range(1, r + 1)]):
             to = at + step
             inside = (to >= first) & (to < last)
-            out[k, inside] = ids[to[inside]]
+            out[k, inside] = inputs[to[inside]]
+            out[k] += k * (self.v.edge + 1)
         return out
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.bias + self.embed[0][context[0]]
-        for k in range(1, len(context)):
-            h += self.embed[k][context[k]]
-        return np.tanh(h)
-
-    def log_probabilities(self, context: np.ndarray, ids: np.ndarray, step: int = 1 << 14) -> np.ndarray:
-        out = np.empty(len(ids), np.float32)
-        for a in range(0, len(ids), step):
-            logits = self.hidden(context[:, a : a + step]) @ self.out + self.shift
-            logits -= logits.max(axis=1, keepdims=True)
-            own = logits[np.arange(len(logits)), ids[a : a + step]]
-            out[a : a + step] = own - np.log(np.exp(logits).sum(axis=1))
+        """With a last column of ones, for the shifts."""
+        h = self.rows[context[0]]
+        for c in context[1:]:
+            h += self.rows[c]
+        np.tanh(h, out=h)
+        h[:, self.width] = 1
+        return h
+
+    def _walk(self, leaves: np.ndarray):
+        """For all words end to end: the word, row and side of each node on its path; where each word's begin."""
+        start = self.v.begin[leaves]
+        depth = self.v.begin[leaves + 1] - start
+        first = np.cumsum(depth) - depth
+        which = np.repeat(np.arange(len(leaves)), depth)
+        at = np.arange(len(which)) + (start - first)[which]
+        return which, self.base + self.v.node[at], self.v.side[at], first
+
+    def log_probabilities(self, context: np.ndarray, leaves: np.ndarray, step: int = 4096) -> np.ndarray:
+        """Of the words' leaves."""
+        out = np.empty(len(leaves), np.float32)
+        for a in range(0, len(leaves), step):
+            h = self.hidden(context[:, a : a + step])
+            which, node, side, first = self._walk(leaves[a : a + step])
+            z = np.einsum("ij,ij->i", h[which], self.rows[node]) * side
+            out[a : a + step] = np.add.reduceat(np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z))), first)
         return out
 
-    def gradient(self, context: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
-        """Of the mean log-probability."""
+    def gradient(self, context: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the summed log-probability: rows that it touches, how often, and their gradients."""
         h = self.hidden(context)
-        g = h @ self.out + self.shift
-        g -= g.max(axis=1, keepdims=True)
-        np.exp(g, out=g)
-        g /= -g.sum(axis=1, keepdims=True)
-        g[np.arange(len(ids)), ids] += 1
-        g /= len(ids)
-        under = (g @ self.out.T) * (1 - h * h)
-        embed = np.zeros_like(self.embed)
-        for k, c in enumerate(context):
-            order = np.argsort(c, kind="stable")
-            which, start = np.unique(c[order], return_index=True)
-            embed[k][which] = np.add.reduceat(under[order], start, axis=0)
-        return [embed, under.sum(axis=0), h.T @ g, g.sum(axis=0)]
-
-
-class Adam:
-    def __init__(self, params: list[np.ndarray], rate: float):
-        self.params, self.rate, self.k = params, rate, 0
-        self.moment, self.second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-
-    def step(self, grads: list[np.ndarray]) -> None:
-        self.k += 1
-        for p, g, m, s in zip(self.params, grads, self.moment, self.second):
-            m += 0.1 * (g - m)
-            s += 0.001 * (g * g - s)
-            p += self.rate * (m / (1 - 0.9**self.k)) / (np.sqrt(s / (1 - 0.999**self.k)) + 1e-8)
-
-
-def _slots(hasher: WordHasher, column) -> tuple[np.ndarray, np.ndarray]:
-    words, begins = hasher.texts(encoded(column))
-    return (words & np.uint64(SLOTS - 1)).astype(np.int64), begins
-
-
-def count_slots(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+        which, node, side, first = self._walk(leaves)
+        far, weights = h[which], self.rows[node]
+        z = np.einsum("ij,ij->i", far, weights) * side
+        g = (side / (1 + np.exp(z))).astype(np.float32)[:, None]
+        weights *= g
+        under = np.add.reduceat(weights, first, axis=0) * (1 - h * h)
+        far *= g
+        parts = []
+        for rows, values, of in ((node, far, None), (context.ravel(), under, len(leaves))):
+            order = np.argsort(rows)
+            rows = rows[order]
+            start = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+            parts.append((rows[start], np.diff(np.append(start, len(rows))), np.add.reduceat(values[order if of is None else order % of], start, axis=0)))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+class AdaGrad:
+    """Steps on the rows that a batch touches."""
+
+    def __init__(self, network: WindowNetwork, rate: float):
+        self.network, self.rate = network, rate
+        self.squares = np.full_like(network.rows, 1e-6)
+        self.used = np.zeros(len(network.rows), np.float32)
+
+    def step(self, rows: np.ndarray, times: np.ndarray, grads: np.ndarray) -> None:
+        seen = self.squares[rows] + grads * grads
+        self.squares[rows] = seen
+        self.used[rows] += times
+        self.network.rows[rows] += self.rate * grads / np.sqrt(seen)
+
+
+def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n): exact counts by 64-bit word hash."""
+
     def run(batches):
-        hasher, total = WordHasher(), np.zeros(SLOTS, np.int64)
+        hasher = WordHasher()
         for b in batches:
-            total += np.bincount(_slots(hasher, b.column(0))[0], minlength=SLOTS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
-
-    counts = np.zeros(SLOTS, np.int64)
-    for slot, n in docs.select(text_col).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        counts[slot] = n
-    return counts
-
-
-def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", rounds: int = 1, batch: int = 4096, rate: float = 0.01, merges: int = 16) -> WindowNetwork:
-    """A network averaged over all tasks, each trained on all words of its split; at most ``merges`` weight vectors reach the driver a round."""
-    network = WindowNetwork(vocabulary.classes, prior=vocabulary.log_prior)
-    of = vocabulary.of
-
-    def blob(weights: np.ndarray, n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["weights", "n"])
+            words, n = np.unique(hasher.texts(encoded(b.column(0)))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(words)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+    return docs.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def learn_vocabulary(counts: DataFrame, per_root: int = PER_ROOT) -> tuple[Vocabulary, int]:
+    """The vocabulary and the corpus's number of words. The driver gets the leaves, which grow with the cube root of that number."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    own = max(16, int(per_root * total ** (1 / 3)))
+    shared = max(2, own // 8)
+    top = counts.orderBy(F.desc("n"), "word").limit(own).toPandas() if total else None
+    words = np.zeros(0, np.uint64) if top is None else top["word"].to_numpy(np.int64).view(np.uint64)
+    n = np.zeros(0, np.int64) if top is None else top["n"].to_numpy(np.int64)
+    rare_counts, rare_words = np.zeros(shared, np.int64), np.zeros(shared, np.int64)
+    if len(words) == own:
+        # rows after the last leaf, in its order
+        after = (F.col("n") < int(n[-1])) | ((F.col("n") == int(n[-1])) & (F.col("word") > int(words[-1:].view(np.int64)[0])))
+        bucket = F.pmod(F.pmod("word", F.lit(shared)) + F.when(F.col("word") < 0, F.lit((1 << 64) % shared)).otherwise(F.lit(0)), F.lit(shared))
+        for b, k, w in counts.where(after).groupBy(bucket.alias("b")).agg(F.sum("n"), F.count(F.lit(1))).collect():
+            rare_counts[b], rare_words[b] = k, w
+    return Vocabulary(words, n, rare_counts, rare_words), total
+
+
+def train(docs: DataFrame, vocabulary: Vocabulary, total: int, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, batch: int = 4096, rate: float = 0.2, leaf_words: int = LEAF_WORDS) -> WindowNetwork:
+    """A network averaged over the shards, each trained on all of its words."""
+    network = WindowNetwork(vocabulary)
+    shards = max(1, -(-total // (leaf_words * len(vocabulary.counts))))
+    texts = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("body")).where(F.length("body") > 0)
+    dealt = texts.repartition(shards, "key").sortWithinPartitions("key")
+    schema = "piece long, shard long, weights binary, used binary"
 
     for _ in range(rounds):
-        start = network.flat()
+        start = network.rows.copy()
 
         def learn(batches, start=start):
-            hasher, own, seen = WordHasher(), WindowNetwork(vocabulary.classes).load(start), 0
-            adam = Adam(own.params(), rate)
+            from pyspark import TaskContext
+
+            hasher, own = WordHasher(), WindowNetwork(vocabulary)
+            own.rows[...] = start
+            ada = AdaGrad(own, rate)
             for b in batches:
-                slots, begins = _slots(hasher, b.column(0))
-                ids = of[slots]
-                around = own.context(ids, begins)
-                for a in range(0, len(ids), batch):
-                    adam.step(own.gradient(around[:, a : a + batch], ids[a : a + batch]))
-                seen += len(ids)
-            if seen:
-                yield blob(own.flat() * seen, seen)
+                words, begins = hasher.texts(encoded(b.column(1)))
+                leaves = vocabulary.leaves(words)
+                around = own.context(leaves, begins)
+                for a in range(0, len(leaves), batch):
+                    ada.step(*own.gradient(around[:, a : a + batch], leaves[a : a + batch]))
+            shard, moved = TaskContext.get().partitionId(), (own.rows - start) * ada.used[:, None]
+            for p in range(0, len(moved), PIECE):
+                if ada.used[p : p + PIECE].any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([p]), pa.array([shard]), pa.array([moved[p : p + PIECE].tobytes()], pa.binary()), pa.array([ada.used[p : p + PIECE].tobytes()], pa.binary())], names=["piece", "shard", "weights", "used"]
+                    )
 
         def merge(batches):
-            total, n = None, 0
+            at, moved, used = None, None, None
+
+            def done():
+                mean = (moved / np.maximum(used, 1)[:, None]).astype(np.float32)
+                return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([mean.tobytes()], pa.binary())], names=["piece", "mean"])
+
             for b in batches:
-                for w, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    w = np.frombuffer(w)
-                    total, n = w.copy() if total is None else total + w, n + k
-            if n:
-                yield blob(total, n)
-
-        schema = "weights binary, n long"
-        parts = docs.select(text_col).mapInArrow(learn, schema).repartition(merges).mapInArrow(merge, schema).collect()
-        if parts:
-            network.load(sum(np.frombuffer(r[0]) for r in parts) / sum(r[1] for r in parts))
+                for p, w, u in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                    u = np.frombuffer(u, np.float32).astype(np.float64)
+                    w = np.frombuffer(w, np.float32).astype(np.float64).reshape(len(u), -1)
+                    if p != at:
+                        if at is not None:
+                            yield done()
+                        at, moved, used = p, w, u
+                    else:
+                        moved, used = moved + w, used + u
+            if at is not None:
+                yield done()
+
+        pieces = dealt.mapInArrow(learn, schema).repartition("piece").sortWithinPartitions("piece", "shard")
+        for p, mean in pieces.mapInArrow(merge, "piece long, mean binary").collect():
+            rows = network.rows[p : p + PIECE]
+            rows += np.frombuffer(mean, np.float32).reshape(rows.shape)
     return network
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, network: WindowNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, network: WindowNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row an input row: id, n_tokens, pll (sum of log-probabilities), mean_pll."""
-    weights, of, inside = network.flat(), vocabulary.of, vocabulary.log_inside
 
     def run(batches: Iterator[pa.RecordBatch]):
-        hasher, own = WordHasher(), WindowNetwork(vocabulary.classes).load(weights)
+        hasher, v = WordHasher(), network.v
         for b in batches:
-            slots, begins = _slots(hasher, b.column(1))
-            ids = of[slots]
-            values = own.log_probabilities(own.context(ids, begins), ids).astype(np.float64) + inside[slots]
-            sums = np.diff(np.concatenate(([0.0], np.cumsum(values)))[begins])
+            words, begins = hasher.texts(encoded(b.column(1)))
+            leaves = v.leaves(words)
+            values = network.log_probabilities(network.context(leaves, begins), leaves).astype(np.float64) + v.log_inside[leaves]
+            sums = np.array([values[x:y].sum() for x, y in zip(begins[:-1], begins[1:])], np.float64)
             n = np.diff(begins)
             mean = pa.array(sums / np.maximum(n, 1), pa.float64(), mask=n == 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sums), mean], names=["id", "n_tokens", "pll", "mean_pll"])
@@ -207,8 +297,11 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: WindowNetwork, id_co
     return rows.mapInArrow(run, schema)
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own: int = 48, shared: int = 16, rounds: int = 1) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, per_root: int = PER_ROOT, leaf_words: int = LEAF_WORDS) -> DataFrame:
     """Counts, trains and scores ``docs``."""
     small_batches(docs.sparkSession)
-    vocabulary = Vocabulary(count_slots(docs, text_col), own, shared)
-    return score(docs, vocabulary, train(docs, vocabulary, text_col, rounds), id_col, text_col)
+    scratch = Scratch(docs.sparkSession, "words")
+    counts = scratch.cut(count_words(docs, text_col))
+    vocabulary, total = learn_vocabulary(counts, per_root)
+    scratch.drop(counts)
+    return score(docs, train(docs, vocabulary, total, id_col, text_col, rounds, leaf_words=leaf_words), id_col, text_col)
