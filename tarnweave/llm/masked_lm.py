@@ -37,6 +37,8 @@ from .common import Scratch, WordHasher, encoded, signed, small_batches
 
 #: Leaves for each cube root of the corpus's words; words a shard for each leaf; shared classes of rare context words.
 PER_ROOT, LEAF_WORDS, RARE_INPUTS = 160, 50, 64
+#: Nodes nearest to the root, most used of all, whose units are computed for every word by one matrix product.
+TOP = 64
 #: Rows of weights that travel together between shards and their mean.
 PIECE = 4096
 
@@ -89,7 +91,7 @@ class Vocabulary:
         out = self.own + (hashes % np.uint64(self.rare)).astype(np.int64)
         if self.own:
             at = np.minimum(np.searchsorted(self.words, hashes), self.own - 1)
-            return np.where(self.words[at] == hashes, self.leaf[at], out)
+            return np.where(self.words.take(at) == hashes, self.leaf.take(at), out)
         return out
 
     def as_input(self, leaves: np.ndarray) -> np.ndarray:
@@ -109,7 +111,7 @@ class WindowNetwork:
     last column is the node's shift.
     """
 
-    def __init__(self, vocabulary: Vocabulary, reach: int = 3, width: int = 16, seed: int = 13):
+    def __init__(self, vocabulary: Vocabulary, reach: int = 2, width: int = 15, seed: int = 13):
         self.v, self.reach, self.width = vocabulary, reach, width
         self.base = 2 * reach * (vocabulary.edge + 1)
         self.rows = np.zeros((self.base + len(vocabulary.odds), width + 1), np.float32)
@@ -131,50 +133,80 @@ class WindowNetwork:
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         """With a last column of ones, for the shifts."""
-        h = self.rows[context[0]]
+        h = self.rows.take(context[0], 0)
         for c in context[1:]:
-            h += self.rows[c]
+            h += self.rows.take(c, 0)
         np.tanh(h, out=h)
         h[:, self.width] = 1
         return h
 
     def _walk(self, leaves: np.ndarray):
-        """For all words end to end: the word, row and side of each node on its path; where each word's begin."""
-        start = self.v.begin[leaves]
-        depth = self.v.begin[leaves + 1] - start
+        """For all words end to end: the word, row and side of each node on its path; where each word's begin.
+
+        Numbers of nodes rise towards the root, so the top ones are the last.
+        """
+        start = self.v.begin.take(leaves)
+        depth = self.v.begin.take(leaves + 1) - start
         first = np.cumsum(depth) - depth
         which = np.repeat(np.arange(len(leaves)), depth)
-        at = np.arange(len(which)) + (start - first)[which]
-        return which, self.base + self.v.node[at], self.v.side[at], first
+        at = np.arange(len(which)) + np.repeat(start - first, depth)
+        return which, self.base + self.v.node.take(at), self.v.side.take(at), first
 
-    def log_probabilities(self, context: np.ndarray, leaves: np.ndarray, step: int = 4096) -> np.ndarray:
+    def _split(self, h: np.ndarray, leaves: np.ndarray):
+        """Signed units along all paths, and what they came from: the top nodes by a product, the others one by one."""
+        which, node, side, first = self._walk(leaves)
+        bound = max(self.base, len(self.rows) - TOP)
+        high = node >= bound
+        low = np.flatnonzero(~high)
+        high = np.flatnonzero(high)
+        z = np.empty(len(node), np.float32)
+        cell = which.take(high) * (len(self.rows) - bound) + (node.take(high) - bound)
+        z[high] = (h @ self.rows[bound:].T).ravel().take(cell)
+        far, weights = h.take(which.take(low), 0), self.rows.take(node.take(low), 0)
+        z[low] = np.einsum("ij,ij->i", far, weights)
+        z *= side
+        return z, side, first, bound, high, cell, low, which, node, far, weights
+
+    def log_probabilities(self, context: np.ndarray, leaves: np.ndarray, step: int = 1024) -> np.ndarray:
         """Of the words' leaves."""
         out = np.empty(len(leaves), np.float32)
         for a in range(0, len(leaves), step):
-            h = self.hidden(context[:, a : a + step])
-            which, node, side, first = self._walk(leaves[a : a + step])
-            z = np.einsum("ij,ij->i", h[which], self.rows[node]) * side
+            z, _, first, *_ = self._split(self.hidden(context[:, a : a + step]), leaves[a : a + step])
             out[a : a + step] = np.add.reduceat(np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z))), first)
         return out
 
     def gradient(self, context: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the summed log-probability: rows that it touches, how often, and their gradients."""
         h = self.hidden(context)
-        which, node, side, first = self._walk(leaves)
-        far, weights = h[which], self.rows[node]
-        z = np.einsum("ij,ij->i", far, weights) * side
-        g = (side / (1 + np.exp(z))).astype(np.float32)[:, None]
-        weights *= g
-        under = np.add.reduceat(weights, first, axis=0) * (1 - h * h)
-        far *= g
-        parts = []
-        for rows, values, of in ((node, far, None), (context.ravel(), under, len(leaves))):
-            order = np.argsort(rows)
-            rows = rows[order]
-            start = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-            parts.append((rows[start], np.diff(np.append(start, len(rows))), np.add.reduceat(values[order if of is None else order % of], start, axis=0)))
+        z, side, _, bound, high, cell, low, which, node, far, weights = self._split(h, leaves)
+        g = (side / (1 + np.exp(z))).astype(np.float32)
+        tops = np.zeros(len(h) * (len(self.rows) - bound), np.float32)
+        tops[cell] = g.take(high)
+        tops = tops.reshape(len(h), -1)
+        under = tops @ self.rows[bound:]
+        times = np.bincount(node.take(high) - bound, minlength=len(self.rows) - bound)
+        used = np.flatnonzero(times)
+        parts = [(bound + used, times[used], (tops.T @ h)[used])]
+        if len(low):
+            own, of = g.take(low)[:, None], which.take(low)
+            weights *= own
+            far *= own
+            start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            under[of.take(start)] += np.add.reduceat(weights, start, axis=0)
+            parts.append(self._by_row(node.take(low), far, None))
+        under *= 1 - h * h
+        parts.append(self._by_row(context.ravel(), under, len(leaves)))
         return tuple(np.concatenate(x) for x in zip(*parts))
 
+    @staticmethod
+    def _by_row(rows: np.ndarray, values: np.ndarray, repeat: int | None):
+        """Sums of the values of equal rows; the values repeat after so many rows."""
+        order = np.argsort(rows)
+        rows = rows.take(order)
+        start = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        of = order if repeat is None else order % repeat
+        return rows.take(start), np.diff(np.append(start, len(rows))), np.add.reduceat(values.take(of, 0), start, axis=0)
+
 
 class AdaGrad:
     """Steps on the rows that a batch touches."""
@@ -185,10 +217,10 @@ class AdaGrad:
         self.used = np.zeros(len(network.rows), np.float32)
 
     def step(self, rows: np.ndarray, times: np.ndarray, grads: np.ndarray) -> None:
-        seen = self.squares[rows] + grads * grads
+        seen = self.squares.take(rows, 0) + grads * grads
         self.squares[rows] = seen
         self.used[rows] += times
-        self.network.rows[rows] += self.rate * grads / np.sqrt(seen)
+        self.network.rows[rows] = self.network.rows.take(rows, 0) + self.rate * grads / np.sqrt(seen)
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -221,7 +253,7 @@ def learn_vocabulary(counts: DataFrame, per_root: int = PER_ROOT) -> tuple[Vocab
     return Vocabulary(words, n, rare_counts, rare_words), total
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, total: int, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, batch: int = 4096, rate: float = 0.2, leaf_words: int = LEAF_WORDS) -> WindowNetwork:
+def train(docs: DataFrame, vocabulary: Vocabulary, total: int, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, batch: int = 1024, rate: float = 0.2, leaf_words: int = LEAF_WORDS) -> WindowNetwork:
     """A network averaged over the shards, each trained on all of its words."""
     network = WindowNetwork(vocabulary)
     shards = max(1, -(-total // (leaf_words * len(vocabulary.counts))))
