@@ -38,7 +38,7 @@ from .common import Scratch, WordHasher, encoded, signed, small_batches
 #: Leaves for each cube root of the corpus's words; words a shard for each leaf; shared classes of rare context words.
 PER_ROOT, LEAF_WORDS, RARE_INPUTS = 160, 50, 64
 #: Nodes nearest to the root, most used of all, whose units are computed for every word by one matrix product.
-TOP = 64
+TOP = 128
 #: Rows of weights that travel together between shards and their mean.
 PIECE = 4096
 
