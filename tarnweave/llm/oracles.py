@@ -44,3 +44,27 @@ def judge_urls_sql(rules: Sequence[tuple[str, str, str]], link: str, rounds: int
         f"judged AS (SELECT host, b.mass * (SELECT count(*) FROM hosts) >= {least} AND b.mass > t.mass AS bad FROM t{rounds} t JOIN b{rounds} b USING (host))",
     ]
     return "WITH " + ", ".join(steps) + " SELECT page_id, ruled.host, path, rule, coalesce(verdict, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM ruled LEFT JOIN judged ON judged.host = ruled.node"
+
+
+def resample_sql(share: tuple[int, int] = (5, 100), least_words: int = 20, seed: int = 42, buckets: int = 10_000) -> str:
+    """Importance resampling; CRC32 byte by byte over the distinct runs, with the table made by its own rule."""
+    digit = "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    word = r"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(upper=_UPPER, lower=_LOWER)
+    run = lambda table, key: f"""SELECT {key} AS id, array_to_string(w[p:p + k - 1], ' ') AS run FROM (SELECT {key}, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM {table}, (VALUES (1), (2), (3)) ks(k))"""
+    return f"""WITH crc_table AS MATERIALIZED (SELECT list(list_reduce(range(8), {digit}, b) ORDER BY b) AS t FROM range(256) r(b)),
+        d AS MATERIALIZED (SELECT row_number() OVER () AS row_id, doc_id, {word} AS w FROM documents),
+        q AS MATERIALIZED (SELECT row_number() OVER () AS row_id, {word} AS w FROM benchmark),
+        d_runs AS MATERIALIZED ({run("d", "row_id")}), q_runs AS MATERIALIZED ({run("q", "row_id")}),
+        names AS (SELECT DISTINCT run FROM (SELECT run FROM d_runs UNION ALL SELECT run FROM q_runs)),
+        coded AS (SELECT run, list_transform(range(octet_length(encode(run))), lambda k: ('0x' || substr(hex(encode(run)), 2 * k + 1, 2))::BIGINT) AS bytes FROM names),
+        hashed AS MATERIALIZED (SELECT run, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % {buckets} AS bucket FROM coded, crc_table),
+        d_hits AS MATERIALIZED (SELECT id, bucket, count(*) AS n FROM d_runs JOIN hashed USING (run) GROUP BY ALL),
+        s AS (SELECT bucket, sum(n) AS n FROM d_hits GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM q_runs JOIN hashed USING (run) GROUP BY bucket),
+        g AS MATERIALIZED (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + {buckets})::DOUBLE
+            / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + {buckets})::DOUBLE)))::BIGINT AS gain FROM range({buckets}) r(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+        w AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM d_hits JOIN g USING (bucket) GROUP BY id),
+        scored AS (SELECT row_id, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+            + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN w ON id = row_id),
+        drawn AS (SELECT row_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= {least_words}
+            QUALIFY rank <= (SELECT count(*) FROM scored WHERE n_words >= {least_words}) * {share[0]} // {share[1]})
+        SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, rank::BIGINT AS rank FROM scored LEFT JOIN drawn USING (row_id)"""

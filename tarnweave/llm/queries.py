@@ -9,9 +9,10 @@ from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import mark_duplicates
 from .html_text import extract_pages
+from .importance import resample
 from .masked_lm import pseudo_likelihood
 from .mixing import mix
-from .oracles import judge_urls_sql
+from .oracles import judge_urls_sql, resample_sql
 from .quality import fit, held_out, score
 from .secrets import listed, scan
 from .simhash import simhash_components
@@ -78,6 +79,11 @@ def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_masked_lm": op2_masked_lm,
@@ -89,9 +95,11 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op13_importance": op13_importance,
 }
 
 ORACLES = {
+    "op13_importance": resample_sql(),
     "op4_url_filter": judge_urls_sql(URL_RULES, LINK, rounds_for(0.85, 1e-6)),
     "op3_substring_dedup": r"""
         WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
