@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.lineage import Scratch
 
-__all__ = ["ARROW_ROWS", "WORD_PATTERN", "Scratch", "WordHasher", "encoded", "fresh", "signed", "small_batches", "splitmix", "table"]
+__all__ = ["ARROW_ROWS", "WORD_PATTERN", "Scratch", "WordHasher", "dense", "encoded", "fresh", "signed", "small_batches", "splitmix", "table", "widest"]
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -164,3 +164,27 @@ def encoded(column) -> list[bytes]:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def dense(column, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a pyarrow list column as float64 of ``width`` columns, zeros after a shorter one's end, and which of them are usable: not null, all components there and finite."""
+    import pyarrow.compute as pc
+
+    flat = column.flatten()
+    values = flat.cast("float64").to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0)
+    values = np.where(np.asarray(flat.is_null()), np.nan, values) if flat.null_count else values
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    there = ~np.asarray(column.is_null())
+    row = np.repeat(np.arange(len(column)), size)
+    x = np.zeros((len(column), width))
+    x[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = values
+    ok = there & np.isfinite(x).all(1)
+    x[~ok] = 0
+    return x, ok
+
+
+def widest(df: DataFrame, vector_col: str) -> int:
+    """The greatest number of components, 0 without vectors."""
+    from pyspark.sql import functions as F
+
+    return max(0, df.agg(F.max(F.when(F.col(vector_col).isNotNull(), F.size(vector_col)))).first()[0] or 0)

@@ -68,3 +68,14 @@ def resample_sql(share: tuple[int, int] = (5, 100), least_words: int = 20, seed:
         drawn AS (SELECT row_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= {least_words}
             QUALIFY rank <= (SELECT count(*) FROM scored WHERE n_words >= {least_words}) * {share[0]} // {share[1]})
         SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, rank::BIGINT AS rank FROM scored LEFT JOIN drawn USING (row_id)"""
+
+
+def hard_negatives_sql(positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100) -> str:
+    """Hard negatives of the anchors by a join of them with all rows."""
+    return f"""WITH r AS MATERIALIZED (SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS MATERIALIZED (SELECT a.uid, a.vec_id AS anchor_id, b.uid AS other, b.vec_id, b.label = a.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a, r b WHERE a.vec_id % 100 = 0 AND a.uid <> b.uid),
+        p AS (SELECT uid, anchor_id, other, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id, other) <= {positives}),
+        n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.uid, p.other ORDER BY s.score DESC, s.vec_id) AS rank
+            FROM p JOIN s USING (uid) WHERE NOT same AND {low} * positive_score <= 100 * score AND 100 * score <= {high} * positive_score)
+        SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives}"""

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import mark_duplicates
+from .hard_negatives import mine
 from .html_text import extract_pages
 from .importance import resample
 from .masked_lm import pseudo_likelihood
 from .mixing import mix
-from .oracles import judge_urls_sql, resample_sql
+from .oracles import hard_negatives_sql, judge_urls_sql, resample_sql
 from .quality import fit, held_out, score
 from .secrets import listed, scan
 from .simhash import simhash_components
@@ -79,6 +80,11 @@ def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
@@ -95,10 +101,12 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_importance": op13_importance,
 }
 
 ORACLES = {
+    "op12_hard_negatives": hard_negatives_sql(),
     "op13_importance": resample_sql(),
     "op4_url_filter": judge_urls_sql(URL_RULES, LINK, rounds_for(0.85, 1e-6)),
     "op3_substring_dedup": r"""
