@@ -79,3 +79,14 @@ def hard_negatives_sql(positives: int = 5, negatives: int = 5, low: int = 80, hi
         n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.uid, p.other ORDER BY s.score DESC, s.vec_id) AS rank
             FROM p JOIN s USING (uid) WHERE NOT same AND {low} * positive_score <= 100 * score AND 100 * score <= {high} * positive_score)
         SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives}"""
+
+
+def embedding_links_sql(threshold: float) -> str:
+    """Links by all pairs of usable vectors, components by the closure of reachability."""
+    return f"""WITH RECURSIVE r AS MATERIALIZED (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+        u AS MATERIALIZED (SELECT * FROM r WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(v, v) > 0),
+        l AS MATERIALIZED (SELECT a.uid AS a, b.uid AS b FROM u a JOIN u b ON a.uid <> b.uid WHERE list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= {threshold}),
+        reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+        least AS (SELECT a AS uid, min(vec_id) AS least FROM reach JOIN r ON r.uid = b GROUP BY a), degree AS (SELECT a AS uid, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
+        FROM r LEFT JOIN least USING (uid) LEFT JOIN degree USING (uid)"""

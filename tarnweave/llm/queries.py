@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import mark_duplicates
+from .embedding_links import link
 from .hard_negatives import mine
 from .html_text import extract_pages
 from .importance import resample
 from .masked_lm import pseudo_likelihood
 from .mixing import mix
-from .oracles import hard_negatives_sql, judge_urls_sql, resample_sql
+from .oracles import embedding_links_sql, hard_negatives_sql, judge_urls_sql, resample_sql
 from .quality import fit, held_out, score
 from .secrets import listed, scan
 from .simhash import simhash_components
@@ -80,6 +81,10 @@ def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(table(spark, sf_dir, "embeddings"), threshold=0.9).withColumnRenamed("id", "vec_id")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     return mine(vectors, F.col("vec_id") % 100 == 0)
@@ -101,11 +106,13 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op11_embedding_dedup": op11_embedding_dedup,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_importance": op13_importance,
 }
 
 ORACLES = {
+    "op11_embedding_dedup": embedding_links_sql(0.9),
     "op12_hard_negatives": hard_negatives_sql(),
     "op13_importance": resample_sql(),
     "op4_url_filter": judge_urls_sql(URL_RULES, LINK, rounds_for(0.85, 1e-6)),
