@@ -71,6 +71,11 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.concatenate(([0], np.cumsum(np.bincount(leaf, minlength=n)))), (node[order] - n).astype(np.int32), way[order], odds.astype(np.float32)
 
 
+def _on_grid(x: np.ndarray) -> np.ndarray:
+    """Multiples of 2**-20 up to 512, as whole doubles: sums of 16 products of two such are exact, so a matrix product gives a row the same units wherever it stands, on any processor."""
+    return np.rint(np.clip(x, -512, 512).astype(np.float64) * 2.0**20)
+
+
 class Vocabulary:
     """Leaf of each word hash, its code, and log p(word | leaf)."""
 
@@ -161,7 +166,7 @@ class WindowNetwork:
         high = np.flatnonzero(high)
         z = np.empty(len(node), np.float32)
         cell = which.take(high) * (len(self.rows) - bound) + (node.take(high) - bound)
-        z[high] = (h @ self.rows[bound:].T).ravel().take(cell)
+        z[high] = (_on_grid(h) @ _on_grid(self.rows[bound:]).T).ravel().take(cell) * 2.0**-40
         far, weights = h.take(which.take(low), 0), self.rows.take(node.take(low), 0)
         z[low] = np.einsum("ij,ij->i", far, weights)
         z *= side
