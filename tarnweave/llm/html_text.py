@@ -5,16 +5,18 @@ in links; its composite density is C/T * log_b(C/LC * T/LT) with
 b = ln(C/(C-LC) * LC + LC_body/C_body * C + e). A node's sum is that of its children's
 densities. The threshold is the least density on the path from the body to the block of the
 greatest sum; the main subtree is the least one that holds that block and what lies beside
-its path and reaches the threshold, is a heading (short by nature) or bare text. Whether an
-element is called article or main plays no part in this.
+its path and reaches the threshold, is a heading (short by nature) or bare text. Density alone
+chooses the block; an article or main element around it only says how far its loose neighbours reach:
+inside one, what lies beside the path belongs to it however short, unless it is made of links or controls.
 
 Page furniture is taken out before: elements that never hold text of their own (scripts,
-styles, menus, footers, controls), and blocks whose class, id or role names furniture. Names
+styles, menus, footers, controls), and blocks whose class, id or role names furniture. A name
+counts if all of its words are of such a kind ("comment-list", not "comment-on-law"), and names
 are not judged alone: reader comments go by name; other furniture stays if it holds nearly all of
 the page's text (nine tenths) without being made of links; what could as well be a part of an article
-(search, share, related, notice and the like, or an aside) stays inside one unless it is made
-of links or controls, or is short beside the article (a tenth). A form goes if its controls
-outweigh its text.
+(search, share, related, notice and the like, a furniture word among others, or an aside) stays
+inside one unless it is made of links or controls, or is short beside the article (a tenth). A form
+goes if its controls outweigh its text. Hidden is what the hidden, style and aria-hidden attributes say.
 
 Text of a block: references decoded, white space turned into one space, trimmed; blocks
 are joined by one space in page order. Nothing else is dropped or cut.
@@ -59,14 +61,19 @@ FURNITURE = frozenset(
 )
 DOUBTFUL = frozenset("aside complementary search share sharing related recommended notice promotion widget widgets disclaimer dialog alert".split())
 COMMENTS = frozenset("comment comments disqus replies respond".split())
+#: Words that only say which part of a block a name means.
+PARTS = frozenset(
+    "area author bar block body bottom box button buttons card cell center col column container content count desktop entry fixed footer form group head header holder icon icons inner item items large layer left "
+    "link links list meta mobile module one outer page panel placeholder post posts primary reader reply respond results right row secondary section site slot small sticky text thread title top two unit user users wrap wrapper".split()
+)
 QUOTES = frozenset("quote pullquote pull".split())
 
 # An attribute's value is quoted only right behind "="; a tag without an end goes on to the end of the page.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|(?=>)|[^\s\"'>][^\s>]*+)?+)*+)(>|\Z)", re.S
 )
-_NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -75,11 +82,12 @@ KEPT, GONE, FURNISHED, DOUBTED, FORM = range(5)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "kind", "inside", "quote", "chars", "tags", "link_chars", "link_tags", "controls", "density", "total", "drop")
+    __slots__ = ("tag", "parent", "items", "kind", "inside", "quote", "chars", "tags", "link_chars", "link_tags", "controls", "density", "total", "drop", "held")
 
     def __init__(self, tag: str, parent: "Node | None", kind: int = KEPT, inside: bool = False):
         self.tag, self.parent, self.items, self.kind, self.inside, self.quote = tag, parent, [], kind, inside, False
         self.drop = kind == GONE
+        self.held = inside or tag in ("article", "main")
         self._reset()
 
     def _reset(self) -> None:
@@ -87,25 +95,36 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _names(attributes: str) -> set[str]:
-    out: set[str] = set()
-    for m in _NAMED.finditer(attributes):
-        out.update(_SPLIT.split(_CAMEL.sub(r"\1-\2", m[2] or m[3] or m[4] or "").lower()))
+def _attributes(text: str) -> dict[str, str]:
+    """By small name, the first of a name."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     return out
 
 
-def _kind(tag: str, attributes: str, names: set[str], inside: bool) -> int:
+def _names(attributes: dict[str, str]) -> list[set[str]]:
+    """The words of each name in class, id and role, without numbers and single letters."""
+    names = " ".join(attributes.get(a, "") for a in ("class", "id", "role")).split()
+    return [{w for w in _SPLIT.split(_CAMEL.sub(r"\1-\2", n).lower()) if len(w) > 1 and not w.isdigit()} for n in names]
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(attributes.get("style", "")))
+
+
+def _kind(tag: str, attributes: dict[str, str], names: list[set[str]], inside: bool) -> int:
     if tag in DROPPED or tag == "header" and not inside:
         return GONE
     if tag in ("html", "body", "article", "main"):
         return KEPT
-    if attributes:
-        if _HIDDEN.search(attributes) or names & COMMENTS:
-            return GONE
-        if names & FURNITURE or "header" in names and not inside:
-            return FURNISHED
-        if names & DOUBTFUL:
-            return DOUBTED
+    if _hidden(attributes) or any(n & COMMENTS and n <= COMMENTS | PARTS for n in names):
+        return GONE
+    furniture = FURNITURE if inside else FURNITURE | {"header"}
+    if any(n & furniture and n <= furniture | DOUBTFUL | PARTS for n in names):
+        return FURNISHED
+    if any(n & furniture or n & DOUBTFUL and n <= DOUBTFUL | PARTS for n in names):
+        return DOUBTED
     return DOUBTED if tag == "aside" else FORM if tag == "form" else KEPT
 
 
@@ -168,9 +187,10 @@ def parse(page: str) -> Node:
             if stack[blocks[k]].tag in ends:
                 pop_to(blocks[k])
         up = stack[-1]
-        names = _names(attributes) if attributes and not up.drop else set()
-        child = Node(tag, up, GONE if up.drop else _kind(tag, attributes, names, articles > 0), articles > 0)
-        child.quote = tag in ("blockquote", "q") or bool(names & QUOTES)
+        known = _attributes(attributes) if attributes and not up.drop else {}
+        names = _names(known)
+        child = Node(tag, up, GONE if up.drop else _kind(tag, known, names, articles > 0), articles > 0)
+        child.quote = tag in ("blockquote", "q") or any(n & QUOTES for n in names)
         up.items.append(child)
         if tag in VOID or attributes.endswith("/") and tag in ("svg", "path"):
             continue
@@ -268,7 +288,8 @@ def main_node(root: Node) -> Node:
     # as far up as something beside the path belongs to it
     for x, up in zip(path, path[1:]):
         beside = [c for c in up.items if isinstance(c, Node) and c is not x and not c.drop and c.chars]
-        if any(c.density >= threshold or c.tag in HEADINGS for c in beside) or any(isinstance(c, str) and c.strip() for c in up.items):
+        loose = lambda c: up.held and 2 * c.link_chars <= c.chars and not c.controls
+        if any(c.density >= threshold or c.tag in HEADINGS or loose(c) for c in beside) or any(isinstance(c, str) and c.strip() for c in up.items):
             best = up
     return best
 

@@ -33,6 +33,15 @@ PAGES = {
     "<body><div><h1>T</h1><p>" + "word " * 30 + "</p></div><div id=comments><p>" + "me too " * 90 + "</p></div></body>": "T " + "word " * 29 + "word",
     # sections of one text, and a box without a name that is much thinner
     "<body><div><div><h2>A</h2><p>" + "word " * 60 + "</p></div><div><h2>B</h2><p>" + "more " * 50 + "</p></div></div><div><a href=1>x</a> <a href=2>y</a></div></body>": "A " + "word " * 60 + "B " + "more " * 49 + "more",
+    # nothing of an article is lost: short sections and intros, words of names, words of other attributes
+    "<body><main><section><h2>A</h2><p>" + "word " * 60 + "</p></section><section><h2>B</h2><p>short end</p></section></main></body>": "A " + "word " * 60 + "B short end",
+    "<body><article><section><h2>A</h2><p>" + "word " * 60 + "</p></section><section><h2>B</h2><p>short end</p></section></article></body>": "A " + "word " * 60 + "B short end",
+    "<body><article><div><p>Intro.</p></div><div><p>" + "word " * 60 + "</p><p>" + "more " * 60 + "</p></div></article></body>": "Intro. " + "word " * 60 + "more " * 59 + "more",
+    "<body><article><p title='css display: none trick'>one</p><p data-x='hidden'>two</p><p style='color:red; display:none'>three</p><p hidden>four</p><p aria-hidden=true>five</p></article></body>": "one two",
+    "<body><article><p>first</p><p class='comment-on-law'>second</p><div class='comment-list'><p>me too</p></div></article></body>": "first second",
+    "<body><section class='comments-policy'><h1>T</h1><p>" + "word " * 30 + "</p></section><p>x</p></body>": "T " + "word " * 29 + "word",
+    "<body><article><h1>T</h1><p>" + "word " * 60 + "</p><div class='search-results-explained'><p>found</p></div><div class='related links'><a href=1>other</a></div></article></body>": "T " + "word " * 60 + "found",
+    "<body><article><p>" + "word " * 60 + "</p></article><div class='main-nav'>go</div><div class='site-footer'>end</div><div class='ad-box ad300'>buy</div></body>": "word " * 59 + "word",
     "": "",
     "<html><head><title>t</title></head><body></body></html>": "",
     "<": "<",
