@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from .functions.text import default_stop_words, word_size
 from .operators import clustering as C
 from .operators import evaluation as E
+from .operators import sparse_kmeans as S
 from .operators import tfidf as V
+from .plans.lineage import Scratch
 from .sources.text import read_corpus, write_listing
 
+RESTARTS = 10
 ALGORITHMS = ("k-means", "k-means++", "agglomerative")
 
 
@@ -41,23 +44,28 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     spark = spark or SparkSession.builder.getOrCreate()
     docs = read_corpus(spark, a.corpus, not a.unlabeled).withColumn("word_size", word_size(F.col("text"))).persist()
     weights = V.tfidf(docs, a.min_df, a.max_df, default_stop_words()).persist()
-    vocab = V.vocabulary(weights.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    vectors = V.to_vectors(weights, vocab, docs)
     began = time.perf_counter()
     report = {}
     if a.algorithm == "agglomerative":
         from pyspark.ml.functions import vector_to_array
 
+        vocab = V.vocabulary(weights.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+        vectors = V.to_vectors(docs, vocab, docs.count(), default_stop_words())
         labels = C.agglomerative(vectors.select(F.col("doc_id").alias("id"), vector_to_array("features").alias("x")), a.k, a.linkage).withColumnRenamed("id", "doc_id")
     else:
-        model = C.kmeans_mllib(vectors, a.k, "random" if a.algorithm == "k-means" else "k-means||")
-        labels = model.transform(vectors).select("doc_id", "cluster")
-        report["sse"] = model.summary.trainingCost
+        scratch = Scratch(spark, "cli")
+        points = S.sparse_points(weights, docs, scratch)
+        picks = S.random_picks(points, [a.k] * RESTARTS, range(RESTARTS)) if a.algorithm == "k-means" else S.oversampled_picks(points, a.k, range(RESTARTS), scratch)
+        found = S.lloyd(points, picks, RESTARTS, scratch)
+        points.unpersist()
+        best, report["sse"] = S.best_run(found)
+        labels, centroids = (df.where(F.col("run") == best) for df in (found.assigned, found.centroids))
+        labels = labels.select("doc_id", F.col("cluster").cast("int").alias("cluster"))
     report["seconds"] = time.perf_counter() - began
     assigned = docs.join(labels, "doc_id").persist()
     report["top_docs"] = E.top_docs(assigned)
     if a.algorithm != "agglomerative":
-        report["top_terms"] = E.top_terms(weights, assigned)
+        report["top_terms"] = S.centroid_top_terms(centroids)
     if not a.unlabeled:
         report["purity"] = E.purity(assigned).first()[0]
         report["entropy"] = E.entropies(assigned).first()[0]

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Agglomerative clustering holds all distances; more rows are refused.
 MAX_AGGLOMERATIVE = 5000
 LINKAGES = ("average", "complete", "ward")
+#: Rounds of an oversampled start, and candidates a round for each cluster.
+ROUNDS, OVERSAMPLING = 3, 2
+#: Numbers that may stand in a plan as a constant: centroids of all runs together.
+MAX_CONSTANT = 1 << 21
 
 
 def _literal(centroids: Sequence[Sequence[float]]) -> Column:
+    if sum(map(len, centroids)) > MAX_CONSTANT:
+        raise ValueError(f"centroids of more than {MAX_CONSTANT} numbers don't go into a plan; sparse_kmeans keeps them in tables")
     text = json.dumps([[float(x) for x in c] for c in centroids])
     return F.from_json(F.lit(text), "array<array<double>>")
 
@@ -122,14 +130,63 @@ def plus_plus_start(points: DataFrame, k: int, seed: int = 0) -> list[list[float
     return out
 
 
+def uniform_here(*parts) -> float:
+    """``_uniform`` of the parts on the driver."""
+    return (int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:12], 16) + 0.5) / float(1 << 48)
+
+
+def weighted_draws(ids: Sequence, weights: Sequence[float], squares: np.ndarray, k: int, seed: int) -> list[int]:
+    """Places of up to ``k`` candidates drawn by weighted k-means++ from their squared distances: each next one by weight times distance to the nearest before."""
+    far, out = np.ones(len(ids)), []
+    for j in range(k):
+        clocks = [(-math.log(uniform_here(seed, f"w{j}", i)) / (w * f), i, at) for at, (i, w, f) in enumerate(zip(ids, weights, far)) if w * f > 0]
+        if not clocks:
+            break
+        out.append(min(clocks)[2])
+        far = squares[out[-1]].copy() if j == 0 else np.minimum(far, squares[out[-1]])
+    return out
+
+
+def oversampled_starts(points: DataFrame, k: int, seeds: Sequence[int], rounds: int = ROUNDS, factor: int = OVERSAMPLING) -> list[list[list[float]]]:
+    """Starts of all seeds from ``rounds`` + 2 passes together: each round draws ``factor`` * k points a seed by their squared
+    distance to the nearest before (exponential clocks, so exactly that many), one aggregate weighs the candidates by the points nearest
+    to them, and weighted k-means++ picks k of these on the driver, which only ever holds the candidates."""
+    held: list[dict] = [{} for _ in seeds]
+    for t in range(rounds + 1):
+        races = []
+        for r, seed in enumerate(seeds):
+            far = F.array_min(F.transform(_literal(list(held[r].values())), lambda c: _square(F.col("x"), c))) if t else F.lit(1.0)
+            clock = -F.log(_uniform(F.lit(str(seed)), F.lit(str(t)), F.col("id").cast("string")))
+            races.append(F.struct(F.lit(r).alias("run"), F.when(far > 0, clock / far).alias("clock")))
+        drawn = points.select("id", "x", F.inline(F.array(*races))).where("clock IS NOT NULL")
+        place = F.row_number().over(Window.partitionBy("run").orderBy("clock", "id"))
+        for run, i, x in drawn.withColumn("place", place).where(F.col("place") <= (factor * k if t else 1)).orderBy("run", "place").select("run", "id", "x").collect():
+            held[run][i] = list(x)
+    if not all(held):
+        return [[] for _ in seeds]
+    held = [dict(sorted(h.items())) for h in held]
+    nearest = []
+    for r, h in enumerate(held):
+        d = F.transform(_literal(list(h.values())), lambda c: F.round(_square(F.col("x"), c), 9))
+        nearest.append(F.struct(F.lit(r).alias("run"), F.array_position(d, F.array_min(d)).alias("c")))
+    weights = {(run, c - 1): n for run, c, n in points.select(F.inline(F.array(*nearest))).groupBy("run", "c").agg(F.count(F.lit(1))).collect()}
+    starts = []
+    for r, (h, seed) in enumerate(zip(held, seeds)):
+        x = np.array(list(h.values()))
+        squares = ((x[:, None] - x[None]) ** 2).sum(2)
+        starts.append([x[c].tolist() for c in weighted_draws(list(h), [weights.get((r, c), 0) for c in range(len(h))], squares, k, seed)])
+    return starts
+
+
 STARTS = {"random": random_start, "k-means++": plus_plus_start}
+INITS = (*STARTS, "k-means||")
 
 
 def kmeans(points: DataFrame, k: int, init: str = "k-means++", steps: int = 20, restarts: int = 10) -> tuple[DataFrame, int, float]:
     """The run of least SSE among ``restarts`` seeds, all in the same sweeps: its assignment, number and SSE; the lower number on a tie."""
-    if init not in STARTS:
-        raise ValueError(f"init is one of {tuple(STARTS)}")
-    starts = [STARTS[init](points, k, seed) for seed in range(restarts)]
+    if init not in INITS:
+        raise ValueError(f"init is one of {INITS}")
+    starts = oversampled_starts(points, k, range(restarts)) if init == "k-means||" else [STARTS[init](points, k, seed) for seed in range(restarts)]
     if not all(starts):
         raise ValueError("no points")
     assigned, centroids = lloyd_all(points, starts, steps)

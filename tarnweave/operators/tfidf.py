@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
@@ -51,12 +52,20 @@ def tfidf(docs: DataFrame, min_df: int = 50, max_df: float = 0.5, stop_words: It
     return weights.select("doc_id", "term", (F.col("w") / norm).alias("tfidf"))
 
 
-def to_vectors(weights: DataFrame, vocab: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, features) for MLlib, sparse: a document's cells alone; documents without kept terms get the zero vector."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+def to_vectors(docs: DataFrame, vocab: DataFrame, n_docs: int, stop_words: Iterable[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, features) for MLlib, sparse, by its own models: counts over ``vocab`` (term, idx, df), times the idf, scaled to length 1.
 
-    size = max(vocab.count(), 1)
-    sparse = F.udf(lambda idx, values: SparseVector(size, idx or [], values or []), VectorUDT())
-    cells = weights.join(vocab.select("term", "idx"), "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "tfidf"))).alias("m"))
-    joined = docs.select(F.col(id_col).alias("doc_id")).join(cells, "doc_id", "left")
-    return joined.select("doc_id", sparse(F.col("m.idx"), F.col("m.tfidf")).alias("features"))
+    Documents without kept terms get the zero vector. The model holds the vocabulary, so the driver gets its rows.
+    """
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors
+
+    words = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(tokens(F.col(text_col), stop_words), F.array().cast("array<string>")).alias("words"))
+    rows = vocab.select("term", "df").orderBy("idx").collect()
+    if not rows:
+        return words.select("doc_id", array_to_vector(F.array(F.lit(0.0))).alias("features"))
+    idf = [math.log((1.0 + n_docs) / (1.0 + r.df)) + 1 for r in rows]
+    counts = CountVectorizerModel.from_vocabulary([r.term for r in rows], inputCol="words", outputCol="counts").transform(words)
+    weighted = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="weighted").transform(counts)
+    return Normalizer(p=2.0, inputCol="weighted", outputCol="features").transform(weighted).select("doc_id", "features")

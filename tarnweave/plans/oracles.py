@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.clustering import OVERSAMPLING, ROUNDS
 from .queries import BETA, EPSILON, K, KS, LLOYD_STEPS, MAX_DF, MIN_DF, RESTARTS, STEPS
 
 PASSES, CAP = 16, 16
@@ -14,6 +15,9 @@ VECTOR = "vec AS (SELECT c_custkey AS id, c_acctbal AS value FROM customer)"
 PARTIALS = f"WITH {RAW}, {MATRIX}, {VECTOR}, parts AS (SELECT row, val * coalesce(value, 0.0) AS part FROM matrix LEFT JOIN vec ON id = col)"
 
 
+LAST = f"a{LLOYD_STEPS}"
+
+
 def _degrees(edges: str) -> str:
     return f"""SELECT id, sum(o)::BIGINT AS outs, sum(i)::BIGINT AS ins, max(l) AS loop FROM (
         SELECT src AS id, 1 AS o, 0 AS i, src = dst AS l FROM {edges} UNION ALL SELECT dst, 0, 1, src = dst FROM {edges}) GROUP BY id"""
@@ -119,7 +123,88 @@ def _lloyd(k: int, steps: int = LLOYD_STEPS, name: str = "", start=None, seed: i
     return ", ".join(out)
 
 
-LAST = f"a{LLOYD_STEPS}"
+def _sparse(ks: tuple[int, ...], seeds: tuple[int, ...], steps: int = LLOYD_STEPS, oversampled: bool = False) -> str:
+    """Lloyd's steps on the TF-IDF cells, all runs together: s<steps> has the last assignment, z<steps> the last centroids."""
+    runs = ", ".join(f"({r}, {k}, {seed})" for r, (k, seed) in enumerate(zip(ks, seeds)))
+    u = _uniform("seed || ':' || doc_id")
+    out = [
+        f"{WEIGHTS}, runs(run, k, seed) AS (VALUES {runs})",
+        "cells AS MATERIALIZED (SELECT * FROM tfidf), squares AS MATERIALIZED (SELECT doc_id, coalesce(sum(tfidf * tfidf), 0.0) AS square FROM documents LEFT JOIN cells USING (doc_id) GROUP BY doc_id)",
+    ]
+    if oversampled:
+        out += [
+            "dots AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.tfidf * b.tfidf) AS dot FROM cells a JOIN cells b USING (term) GROUP BY ALL)",
+            "dist AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, CASE WHEN x.doc_id = y.doc_id THEN 0.0 ELSE greatest(round(x.square + y.square - 2 * coalesce(dot, 0.0), 9), 0.0) END AS d FROM squares x JOIN squares y ON true LEFT JOIN dots ON a = x.doc_id AND b = y.doc_id)",
+            "ids AS (SELECT doc_id AS id FROM squares)", _oversampled("dist", "ids", ks[0], len(ks)).replace("picks AS", "drawn AS"), "picks AS MATERIALIZED (SELECT run, cluster, id AS doc_id FROM drawn)",
+        ]
+    else:
+        out.append(f"picks AS MATERIALIZED (SELECT run, (row_number() OVER (PARTITION BY run ORDER BY {u}, doc_id) - 1)::INT AS cluster, k, doc_id FROM documents, runs QUALIFY cluster < k)")
+    out += [
+        "z0 AS MATERIALIZED (SELECT run, cluster, term, tfidf AS v FROM picks JOIN cells USING (doc_id))",
+    ]
+    for s in range(steps + 1):
+        out.append(f"norms{s} AS MATERIALIZED (SELECT run, cluster, coalesce(sum(v * v), 0.0) AS norm FROM picks LEFT JOIN z{s} USING (run, cluster) GROUP BY ALL)")
+        out.append(f"dots{s} AS MATERIALIZED (SELECT doc_id, run, cluster, sum(tfidf * v) AS dot FROM cells JOIN z{s} USING (term) GROUP BY ALL)")
+        out.append(
+            f"s{s} AS MATERIALIZED (SELECT doc_id, run, arg_min(cluster, (round(norm - 2 * coalesce(dot, 0.0), 9), cluster)) AS cluster, "
+            f"greatest(any_value(square) + min(round(norm - 2 * coalesce(dot, 0.0), 9)), 0.0) AS d FROM squares JOIN norms{s} ON true LEFT JOIN dots{s} USING (doc_id, run, cluster) GROUP BY doc_id, run)"
+        )
+        if s < steps:
+            out.append(f"sizes{s} AS MATERIALIZED (SELECT run, cluster, count(*) AS size FROM s{s} GROUP BY ALL)")
+            out.append(
+                f"z{s + 1} AS MATERIALIZED (SELECT run, cluster, term, sum(tfidf) / any_value(size) AS v FROM cells JOIN s{s} USING (doc_id) JOIN sizes{s} USING (run, cluster) GROUP BY run, cluster, term "
+                f"UNION ALL SELECT run, cluster, term, v FROM z{s} ANTI JOIN sizes{s} USING (run, cluster))"
+            )
+    return ", ".join(out)
+
+
+def _oversampled(dist: str, ids: str, k: int, runs: int) -> str:
+    """picks(run, cluster, id): oversampling rounds and weighted draws, over a relation dist(a, b, d) of all pairs and one ids(id)."""
+    clock = lambda label, weight: f"-ln({_uniform(f"run || ':{label}:' || id")}) / {weight}"
+    out = [
+        f"seeds AS (SELECT range::INT AS run FROM range({runs}))",
+        f"far0 AS MATERIALIZED (SELECT run, id, 1.0::DOUBLE AS far FROM {ids}, seeds)",
+    ]
+    for t in range(ROUNDS + 1):
+        many = 1 if t == 0 else OVERSAMPLING * k
+        out.append(f"new{t} AS MATERIALIZED (SELECT run, id FROM far{t} WHERE far > 0 QUALIFY row_number() OVER (PARTITION BY run ORDER BY {clock(t, 'far')}, id) <= {many})")
+        least = "min(d)" if t == 0 else "least(any_value(far), min(d))"
+        out.append(f"far{t + 1} AS MATERIALIZED (SELECT run, f.id, {least} AS far FROM far{t} f JOIN new{t} n USING (run) JOIN {dist} ON a = f.id AND b = n.id GROUP BY run, f.id)")
+    out.append("held AS MATERIALIZED (" + " UNION ".join(f"SELECT run, id FROM new{t}" for t in range(ROUNDS + 1)) + ")")
+    out.append(f"own AS (SELECT run, a, arg_min(b, (round(d, 9), b)) AS id FROM held JOIN {dist} ON b = id GROUP BY run, a)")
+    out.append("left0 AS MATERIALIZED (SELECT run, id, count(*)::DOUBLE AS weight, 1.0::DOUBLE AS far FROM own GROUP BY run, id)")
+    for j in range(k):
+        out.append(f"draw{j} AS MATERIALIZED (SELECT run, id FROM left{j} WHERE weight * far > 0 QUALIFY row_number() OVER (PARTITION BY run ORDER BY {clock(f'w{j}', '(weight * far)')}, id) = 1)")
+        least = "d" if j == 0 else "least(far, d)"
+        out.append(f"left{j + 1} AS MATERIALIZED (SELECT run, l.id, weight, {least} AS far FROM left{j} l JOIN draw{j} n USING (run) JOIN {dist} ON a = l.id AND b = n.id)")
+    out.append("picks AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT run, {j}::INT AS cluster, id FROM draw{j}" for j in range(k)) + ")")
+    return ", ".join(out)
+
+
+def _kmeans_parallel() -> str:
+    points = "pts AS MATERIALIZED (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)"
+    pairs = "dist AS MATERIALIZED (SELECT a.id AS a, b.id AS b, sum((a.v - b.v) * (a.v - b.v)) AS d FROM pts a JOIN pts b USING (dim) GROUP BY ALL)"
+    out = [points, pairs, "ids AS (SELECT vec_id AS id FROM embeddings)", _oversampled("dist", "ids", K, RESTARTS), "c0 AS MATERIALIZED (SELECT run, cluster, dim, v FROM picks JOIN pts USING (id))"]
+    for s in range(LLOYD_STEPS + 1):
+        out.append(
+            f"a{s} AS MATERIALIZED (SELECT run, id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (SELECT run, p.id, cluster, sum((p.v - c.v) * (p.v - c.v)) AS d FROM pts p JOIN c{s} c USING (dim) GROUP BY ALL) GROUP BY run, id)"
+        )
+        if s < LLOYD_STEPS:
+            out.append(f"c{s + 1} AS MATERIALIZED (SELECT run, cluster, dim, avg(v) AS v FROM pts JOIN a{s} USING (id) GROUP BY ALL)")
+    return f"""WITH {", ".join(out)}, costs AS (SELECT run, round(sum(d), 9) AS cost FROM {LAST} GROUP BY run)
+        SELECT id AS vec_id, run::INT AS run, cluster, round(d, 6) AS sq_dist FROM {LAST} WHERE run = (SELECT run FROM costs ORDER BY cost, run LIMIT 1)"""
+
+
+def _docs_kmeans(oversampled: bool) -> str:
+    return f"""WITH {_sparse((K,) * RESTARTS, tuple(range(RESTARTS)), LLOYD_STEPS, oversampled)}, costs AS (SELECT run, round(sum(d), 9) AS cost FROM s{LLOYD_STEPS} GROUP BY run),
+    best AS MATERIALIZED (SELECT run FROM costs ORDER BY cost, run LIMIT 1),
+    docs AS MATERIALIZED (SELECT doc_id, cluster, lang AS category, text FROM s{LLOYD_STEPS} JOIN documents USING (doc_id) WHERE run = (SELECT run FROM best)),
+    hist AS MATERIALIZED (SELECT cluster, category, count(*) AS n FROM docs GROUP BY ALL)"""
+
+
+DOCS_KMEANS = _docs_kmeans(False)
+ENTROPIES = """p AS (SELECT cluster, n, n / sum(n) OVER (PARTITION BY cluster) AS p FROM hist), h AS (SELECT cluster, sum(-p * log2(p)) AS h, sum(n) AS n FROM p GROUP BY cluster),
+        g AS (SELECT n / sum(n) OVER () AS p FROM (SELECT sum(n) AS n FROM hist GROUP BY category))"""
 
 ORACLES = {
     "graph_edges": f"WITH {RAW} SELECT * FROM edges",
@@ -174,6 +259,16 @@ ORACLES = {
     "kmeans_centroids": f"WITH {_lloyd(K)} SELECT cluster, dim::INT AS dim, round(avg(v), 6) AS value FROM pts JOIN {LAST} USING (id) GROUP BY cluster, dim",
     "kmeans_sse": f"WITH {_lloyd(K)} SELECT round(sum(d), 6) AS sse FROM {LAST}",
     "sse_vs_k": "WITH " + ", ".join(_lloyd(k, LLOYD_STEPS, f"k{k}") for k in KS) + " " + " UNION ALL ".join(f"SELECT {k}::INT AS k, (SELECT round(sum(d), 6) FROM k{k}{LAST}) AS sse" for k in KS),
+    "docs_kmeans": f"{DOCS_KMEANS} SELECT doc_id, run::INT AS run, cluster, round(d, 9) AS sq_dist FROM s{LLOYD_STEPS} WHERE run = (SELECT run FROM best)",
+    "docs_kmeans_parallel": f"{_docs_kmeans(True)} SELECT doc_id, run::INT AS run, cluster, round(d, 9) AS sq_dist FROM s{LLOYD_STEPS} WHERE run = (SELECT run FROM best)",
+    "kmeans_parallel": _kmeans_parallel(),
+    "docs_kmeans_purity": f"""{DOCS_KMEANS}, {ENTROPIES} SELECT round((SELECT sum(top) / sum(n) FROM (SELECT max(n) AS top, sum(n) AS n FROM hist GROUP BY cluster)), 9) AS purity,
+        round((SELECT sum(h * n) / sum(n) FROM h), 9) AS weighted, round((SELECT sum(h) FROM h), 9) AS summed, round((SELECT sum(-p * log2(p)) FROM g), 9) AS overall""",
+    "docs_kmeans_top_docs": rf"{DOCS_KMEANS}, sized AS (SELECT cluster, doc_id, len(regexp_extract_all(text, '\w+')) AS word_size FROM docs) "
+    "SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY word_size DESC, doc_id)::INT AS place, doc_id, word_size FROM sized QUALIFY place <= 10",
+    "docs_kmeans_top_terms": f"""{DOCS_KMEANS}, r AS (SELECT cluster, term, round(v, 9) AS weight FROM z{LLOYD_STEPS} WHERE run = (SELECT run FROM best))
+        SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term)::INT AS place, term, round(weight, 6) AS weight FROM r QUALIFY place <= 10""",
+    "docs_sse_vs_k": f"WITH {_sparse(KS, (0,) * len(KS))} SELECT (run + {KS[0]})::INT AS k, round(sum(d), 9) AS sse FROM s{LLOYD_STEPS} GROUP BY run",
     "cluster_members": f"WITH {DOCS} SELECT cluster, doc_id, count(*) OVER (PARTITION BY cluster) AS size FROM docs",
     "cluster_histogram": f"WITH {HIST} SELECT * FROM hist",
     "cluster_modes": f"WITH {HIST} SELECT cluster, category, n FROM hist QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, category) = 1",

@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..operators import clustering as C
 from ..operators import evaluation as E
 from ..operators import graph as G
+from ..operators import sparse_kmeans as K2
 from ..operators import tfidf as V
 from ..sources import text as S
 from ..sources.text import cluster_listing
@@ -225,6 +226,11 @@ def kmeans_plus_plus(spark, sf_dir):
     return assigned.select(F.col("id").alias("vec_id"), F.lit(best).alias("run"), "cluster", F.round("sq_dist", 6).alias("sq_dist"))
 
 
+def kmeans_parallel(spark, sf_dir):
+    assigned, best, _ = C.kmeans(_points(spark, sf_dir), K, "k-means||", LLOYD_STEPS, RESTARTS)
+    return assigned.select(F.col("id").alias("vec_id"), F.lit(best).alias("run"), "cluster", F.round("sq_dist", 6).alias("sq_dist"))
+
+
 def _kmeans_mllib(spark, sf_dir, init):
     from pyspark.ml.functions import array_to_vector
 
@@ -236,6 +242,55 @@ def _agglomerative(spark, sf_dir, linkage):
     return C.agglomerative(_points(spark, sf_dir), K, linkage).withColumnRenamed("id", "vec_id")
 
 
+def _docs_kmeans(spark, sf_dir, oversampled: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """The documents' best k-means clustering over their TF-IDF cells: (doc_id, cluster, sq_dist), centroids, run."""
+    docs, scratch = _documents(spark, sf_dir), Scratch(spark, "docs_kmeans")
+    points = K2.sparse_points(V.tfidf(docs, MIN_DF, MAX_DF), docs, scratch)
+    picks = K2.oversampled_picks(points, K, range(RESTARTS), scratch) if oversampled else K2.random_picks(points, [K] * RESTARTS, range(RESTARTS))
+    found = K2.lloyd(points, picks, RESTARTS, scratch, LLOYD_STEPS, until_stable=False)
+    points.unpersist()
+    best, _ = K2.best_run(found)
+    return found.assigned.where(F.col("run") == best).drop("run"), found.centroids.where(F.col("run") == best).drop("run"), best
+
+
+def docs_kmeans(spark, sf_dir, oversampled: bool = False):
+    assigned, _, best = _docs_kmeans(spark, sf_dir, oversampled)
+    return assigned.select("doc_id", F.lit(best).alias("run"), F.col("cluster").cast("int").alias("cluster"), F.round("sq_dist", 9).alias("sq_dist"))
+
+
+def docs_kmeans_parallel(spark, sf_dir):
+    return docs_kmeans(spark, sf_dir, oversampled=True)
+
+
+def _docs_clustered(spark, sf_dir):
+    return _documents(spark, sf_dir).drop("cluster").join(_docs_kmeans(spark, sf_dir)[0].select("doc_id", "cluster"), "doc_id")
+
+
+def docs_kmeans_purity(spark, sf_dir):
+    clustered = _docs_clustered(spark, sf_dir)
+    both = E.purity(clustered).withColumn("one", F.lit(1)).join(E.entropies(clustered).withColumn("one", F.lit(1)), "one")
+    return both.select(*[F.round(c, 9).alias(c) for c in ("purity", "weighted", "summed", "overall")])
+
+
+def docs_kmeans_top_docs(spark, sf_dir):
+    top = E.top_docs(_docs_clustered(spark, sf_dir).withColumn("word_size", T.word_size(F.col("text")).cast("long")), 10)
+    return top.withColumn("cluster", F.col("cluster").cast("int"))
+
+
+def docs_kmeans_top_terms(spark, sf_dir):
+    top = K2.centroid_top_terms(_docs_kmeans(spark, sf_dir)[1], 10)
+    return top.select(F.col("cluster").cast("int").alias("cluster"), "place", "term", F.round("weight", 6).alias("weight"))
+
+
+def docs_sse_vs_k(spark, sf_dir):
+    """The elbow curve of the documents, every k a run of the same sweeps."""
+    docs, scratch = _documents(spark, sf_dir), Scratch(spark, "docs_sse")
+    points = K2.sparse_points(V.tfidf(docs, MIN_DF, MAX_DF), docs, scratch)
+    found = K2.lloyd(points, K2.random_picks(points, KS, [0] * len(KS)), len(KS), scratch, LLOYD_STEPS, until_stable=False)
+    points.unpersist()
+    return K2.costs(found.assigned).select((F.col("run") + KS[0]).cast("int").alias("k"), F.round("sse", 9).alias("sse"))
+
+
 def cluster_members(spark, sf_dir):
     return E.docs_per_cluster(_documents(spark, sf_dir))
 
@@ -333,7 +388,7 @@ _PLAIN = (
     isolated_self_loops, remove_deadends, deadend_pass_counts, initial_vector, teleport_step, pagerank_10, pagerank_converged, pagerank_topk, pagerank_l1_trace, doc_word_size, doc_first_sentence, doc_snippet,
     doc_display, tokens, term_frequency, term_frequency_stop_words, document_frequency, vocabulary, tfidf, kmeans_assign, kmeans_centroids, kmeans_sse, sse_vs_k, cluster_members, cluster_histogram, cluster_modes,
     cluster_purity, cluster_entropy, categories, majority_share, cluster_top_docs, cluster_top_terms, successor_lists, kmeans_random, kmeans_plus_plus, edges_text, matrix_vector_text, key_values_text,
-    result_vector_text, corpus_text, listing_text,
+    result_vector_text, corpus_text, listing_text, docs_kmeans, docs_kmeans_parallel, kmeans_parallel, docs_kmeans_purity, docs_kmeans_top_docs, docs_kmeans_top_terms, docs_sse_vs_k,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN} | {

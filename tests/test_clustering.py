@@ -61,9 +61,14 @@ def test_tfidf_by_hand(spark):
     idf = lambda df: math.log(5 / (1 + df)) + 1
     a, b, c = idf(2), 2 * idf(1), idf(2)
     assert got == {(1, "aaa"): pytest.approx(a / math.hypot(a, b)), (1, "bbb"): pytest.approx(b / math.hypot(a, b)), (2, "aaa"): pytest.approx(a / math.hypot(a, c)), (2, "ccc"): pytest.approx(c / math.hypot(a, c)), (3, "ccc"): pytest.approx(1)}
-    weights = V.tfidf(docs, 1, 0.5)
-    vectors = V.to_vectors(weights, V.vocabulary(weights.groupBy("term").count().withColumnRenamed("count", "df")), docs)
-    assert vectors.where("doc_id = 4").first().features.toArray().tolist() == [0, 0, 0]
+    vocab = V.vocabulary(V.kept_terms(V.document_frequency(V.term_frequency(docs)), 4, 1, 0.5))
+    vectors = V.to_vectors(docs, vocab, 4)
+    place = {r.term: r.idx for r in vocab.collect()}
+    cells = {r.doc_id: r.features.toArray().tolist() for r in vectors.collect()}
+    assert all(cells[d][place[t]] == pytest.approx(w, abs=1e-9) for (d, t), w in got.items())
+    assert sum(x > 0 for c in cells.values() for x in c) == len(got) and cells[4] == [0, 0, 0]
+    assert "BatchEvalPython" not in vectors._jdf.queryExecution().toString()
+    assert V.to_vectors(docs, vocab.where("false"), 4).first().features.toArray().tolist() == [0]
 
 
 def test_lloyd_against_numpy(spark):
@@ -143,11 +148,17 @@ def test_starts(spark):
     for seed in range(5):
         assert {round(c[0] / 100) for c in C.plus_plus_start(points, 4, seed)} == {0, 1, 2, 3}
         assert len({c[0] for c in C.random_start(points, 4, seed)}) == 4
+    starts = C.oversampled_starts(points, 4, range(5))
+    assert all({round(c[0] / 100) for c in s} == {0, 1, 2, 3} for s in starts) and starts == C.oversampled_starts(points.repartition(3), 4, range(5))
+    assigned, _, cost = C.kmeans(points, 4, init="k-means||", restarts=3, steps=5)
+    assert cost < 0.1
     assigned, _, cost = C.kmeans(points, 4, restarts=3, steps=5)
     assert cost < 0.1 and assigned.groupBy("cluster").count().where("count = 10").count() == 4
     same = spark.createDataFrame([(i, [1.0]) for i in range(3)], "id long, x array<double>")
-    assert len(C.plus_plus_start(same, 2)) == 1
+    assert len(C.plus_plus_start(same, 2)) == 1 and [len(s) for s in C.oversampled_starts(same, 2, (0, 1))] == [1, 1]
     with pytest.raises(ValueError):
         C.kmeans(points, 2, "other")
     with pytest.raises(ValueError):
         C.kmeans(points.limit(0), 2)
+    with pytest.raises(ValueError):
+        C._literal([[0.0] * C.MAX_CONSTANT, [0.0]])
