@@ -6,12 +6,15 @@ import hashlib
 import json
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import Scratch, dealt
+
 #: Agglomerative clustering holds all distances; more rows are refused.
 MAX_AGGLOMERATIVE = 5000
 LINKAGES = ("average", "complete", "ward")
@@ -85,6 +88,65 @@ def lloyd(points: DataFrame, k: int, steps: int = 3, initial: Sequence[Sequence[
     return assigned.drop("run"), centroids[0]
 
 
+@dataclass
+class Bounded:
+    assigned: DataFrame  # id, x, cluster, sq_dist
+    centroids: list[list[float]]
+    computed: list[int]  # point-to-centroid distances at each assignment, of rows * k
+
+
+def lloyd_bounded(points: DataFrame, k: int, steps: int = 3, initial: Sequence[Sequence[float]] | None = None, scratch: Scratch | None = None) -> Bounded:
+    """``lloyd`` with the same assignments, computing only the distances that the triangle inequality leaves open.
+
+    Each point carries an upper bound on the distance to its own centroid and a lower one on that to any other. When centroids
+    move, the bounds give way by as much; a point whose upper bound stays below the lower one, or below half the way from its
+    centroid to the nearest other, keeps its cluster without a distance, or after one to tighten the upper bound. The state beside
+    the points is one row of four numbers each; how many distances were computed is counted by its write.
+    """
+    scratch = scratch or Scratch(points.sparkSession, "bounded")
+    kept = dealt(points.select("id", "x"), "id")
+    now = np.array(initial if initial is not None else first_points(kept, k), float)
+    name = lambda d: (F.array_position(d, F.array_min(d)) - 1).cast("int")
+    let = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  evaluates it once
+
+    def full(centroids: np.ndarray, used: int) -> Column:
+        distances = F.transform(_literal(centroids.tolist()), lambda c: F.sqrt(_square(F.col("x"), c)))
+        second = lambda d: F.get(F.array_sort(d), F.lit(1)) if len(centroids) > 1 else F.lit(float("inf"))
+        return let(distances, lambda d: F.struct(name(d).alias("cluster"), F.array_min(d).alias("upper"), second(d).alias("lower"), F.lit(used).alias("used")))
+
+    def write(rows: DataFrame, state: Column) -> DataFrame:
+        out, seen = scratch.cut_counting(rows.select("id", state.alias("s")).select("id", "s.*"), ["id", "cluster", "upper", "lower"], used=F.coalesce(F.sum("used"), F.lit(0)))
+        computed.append(seen["used"])
+        return out
+
+    computed: list[int] = []
+    if not len(now):
+        return Bounded(points.select("id", "x", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("sq_dist")), [], [])
+    state = write(kept, full(now, len(now)))
+    for _ in range(steps):
+        both = kept.join(state, "id")
+        after = np.array(update_all(both.withColumn("run", F.lit(0)), [now.tolist()])[0])
+        moved = np.sqrt(((after - now) ** 2).sum(1))
+        between = np.sqrt(((after[:, None] - after[None]) ** 2).sum(2))
+        np.fill_diagonal(between, np.inf)
+        numbers = lambda a: F.array(*[F.lit(float(v)) for v in a])
+        own = lambda a: F.element_at(numbers(a), F.col("cluster") + 1)
+        others = [np.delete(moved, j).max(initial=0.0) for j in range(len(moved))]
+        room = 1e-9  # bounds are sums of rounded numbers: what is nearly a tie is computed
+        half = np.where(np.isfinite(between.min(1)), between.min(1) / 2, 1e300)
+        both = both.withColumn("upper", F.col("upper") + own(moved) + room).withColumn("lower", F.greatest(F.col("lower") - own(others) - room, own(half) - room))
+        tight = F.sqrt(_square(F.col("x"), F.element_at(_literal(after.tolist()), F.col("cluster") + 1)))
+        keep = lambda upper, used: F.struct("cluster", upper.alias("upper"), F.col("lower").alias("lower"), F.lit(used).alias("used"))
+        looked = let(tight, lambda d: F.when(d + room < F.col("lower"), keep(d, 1)).otherwise(full(after, 1 + len(after))))
+        old, state = state, write(both, F.when(F.col("upper") < F.col("lower"), keep(F.col("upper"), 0)).otherwise(looked))
+        scratch.drop(old)
+        now = after
+    last = F.element_at(_literal(now.tolist()), F.col("cluster") + 1)
+    assigned = points.select("id", "x").join(state.select("id", "cluster"), "id").select("id", "x", "cluster", _square(F.col("x"), last).alias("sq_dist"))
+    kept.unpersist()
+    return Bounded(assigned, now.tolist(), computed)
+
+
 def centroid_rows(assigned: DataFrame) -> DataFrame:
     """(cluster, dim, value) of the means of an assignment."""
     cells = assigned.select("cluster", F.posexplode("x").alias("dim", "v"))

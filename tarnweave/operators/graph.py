@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import Scratch, dealt
+from ..plans.lineage import Journal, Scratch, dealt
 
 #: Steps of an iteration that are planned as one query before lineage is cut.
 STEPS_A_PLAN = 5
@@ -68,6 +69,53 @@ def matvec(matrix: DataFrame, vector: DataFrame) -> DataFrame:
     return matvec_partials(matrix, vector).groupBy(F.col("row").alias("id")).agg(F.sum("part").alias("value"))
 
 
+@dataclass
+class BlockedMatrix:
+    """A sparse matrix in two parts, neither of which has a partition that a single row or column fills.
+
+    Cells of ordinary columns are dealt by column, as vectors are by node, so multiplying them shuffles nothing but the
+    sums. Columns with more than a set share of all cells are hubs: their cells are dealt evenly by row within the column, and the few
+    vector entries they need go to every task. Sums by row are partial in each task first, so hub rows need no part of their own.
+    """
+
+    ordinary: DataFrame  # row, col, val
+    hubs: DataFrame  # row, col, val
+    hub_columns: DataFrame  # col
+    n_hubs: int
+
+    def unpersist(self) -> None:
+        self.ordinary.unpersist()
+        self.hubs.unpersist()
+
+
+#: A column with more than 1/(HUBS_A_PARTITION * partitions) of all cells is a hub, so there are no more hubs than that product.
+HUBS_A_PARTITION = 4
+
+
+def blocked(matrix: DataFrame, scratch: Scratch | None = None) -> BlockedMatrix:
+    """``matrix`` dealt for many products, hub columns apart. Its size and the hubs are counted."""
+    spark = matrix.sparkSession
+    scratch = scratch or Scratch(spark, "blocked")
+    cells, seen = scratch.cut_counting(matrix.select("row", "col", "val"), n=F.count(F.lit(1)))
+    most = max(1, seen["n"] // (HUBS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    heavy = cells.groupBy("col").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    heavy, seen = scratch.cut_counting(heavy.select("col"), n=F.count(F.lit(1)))
+    hub = F.broadcast(heavy)  # at most HUBS_A_PARTITION columns a partition
+    ordinary = dealt(cells.join(hub, "col", "left_anti").select("row", "col", "val"), "col")
+    return BlockedMatrix(ordinary, dealt(cells.join(hub, "col", "left_semi").select("row", "col", "val"), "row", "col"), heavy, seen["n"])
+
+
+def blocked_matvec(matrix: BlockedMatrix, vector: DataFrame) -> DataFrame:
+    """(id, value) of matrix x vector, the same rows as ``matvec``."""
+    parts = matvec_partials(matrix.ordinary, vector)
+    if matrix.n_hubs:
+        entries = vector.join(F.broadcast(matrix.hub_columns), vector["id"] == matrix.hub_columns["col"], "left_semi")
+        v = F.broadcast(entries.select(F.col("id").alias("col"), "value"))
+        at_hubs = matrix.hubs.join(v, "col", "left").select("row", (F.col("val") * F.coalesce("value", F.lit(0.0))).alias("part"))
+        parts = parts.unionByName(at_hubs)
+    return parts.groupBy(F.col("row").alias("id")).agg(F.sum("part").alias("value"))
+
+
 def node_degrees(edges: DataFrame) -> DataFrame:
     """(id, outs, ins, loop) of every node in one aggregate."""
     loop = F.col("src") == F.col("dst")
@@ -97,25 +145,76 @@ class Peeled:
     passes: list[tuple[int, int, int]] = field(default_factory=list)  # pass, nodes, edges
 
 
-def remove_deadends(edges: DataFrame, scratch: Scratch | None = None, multi_edges: str = "distinct") -> Peeled:
-    """Passes until the number of surviving nodes no longer changes."""
-    scratch = scratch or Scratch(edges.sparkSession, "peel")
-    now = scratch.cut(distinct_edges(edges) if multi_edges == "distinct" else edges.select("src", "dst"))
-    before, passes = nodes(now).count(), []
-    while True:
-        # the aggregate runs once a pass; its ids are read by the semi-join and by the count
-        alive = scratch.cut(surviving_nodes(now))
-        after = scratch.cut(now.join(alive.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
-        n_nodes = alive.agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("k"))
-        n_edges = after.agg(F.lit(0).alias("n"), F.count(F.lit(1)).alias("k"))
-        n, k = n_nodes.unionByName(n_edges).agg(F.max("n"), F.max("k")).first()
-        passes.append((len(passes) + 1, n, k))
-        scratch.drop(now)
-        scratch.drop(alive)
-        now = after
-        if n == before:
-            return Peeled(now, n, passes)
-        before = n
+#: Directories that edges are dealt to by destination, so that a pass reads only those of the nodes that just died.
+PARTS = 64
+#: Passes whose logs are read one by one before they are merged; dead nodes that may be broadcast.
+LOGS, SMALL = 8, 100_000
+
+
+def _dead(left: Column, ins: Column, loop: Column) -> Column:
+    """No successor left, or none but itself and no other predecessor."""
+    return (left == 0) | ((left == 1) & (ins == 1) & loop)
+
+
+def remove_deadends(edges: DataFrame, scratch: Scratch | None = None, multi_edges: str = "distinct", journal: Journal | None = None, saved: dict | None = None, max_passes: int | None = None) -> Peeled:
+    """Passes until the number of surviving nodes no longer changes, by a worklist.
+
+    Degrees are counted once and stand beside each edge's source. A pass joins the edges into the nodes
+    that died in the last one, counts what their sources lose, and writes these sources alone: whoever has no
+    successor left (or only an isolated loop) is the next worklist. In-degrees of survivors never change,
+    since a dying node has no edge but one to itself. All numbers of a pass come from its write, and each
+    edge is touched once in all passes. With a ``journal`` every pass is committed, and ``saved`` is its last entry;
+    ``max_passes`` breaks off earlier.
+    """
+    spark = edges.sparkSession
+    scratch = scratch or Scratch(spark, "peel")
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int")
+    parts_of = lambda dead: F.array_compact(F.collect_set(F.when(dead, F.col("part"))))
+    if saved is None:
+        given, seen = scratch.cut_counting(distinct_edges(edges) if multi_edges == "distinct" else edges.select("src", "dst"), n=F.count(F.lit(1)))
+        n_edges = seen["n"]
+        degrees = node_degrees(given).withColumn("dead", _dead(F.col("outs"), F.col("ins"), F.col("loop"))).withColumn("part", part("id"))
+        degrees, seen = scratch.cut_counting(degrees, n=F.count(F.lit(1)), dead=F.count_if("dead"), parts=parts_of(F.col("dead")))
+        beside = given.join(degrees.select(F.col("id").alias("src"), "outs", "ins", "loop"), "src").withColumn("part", part("dst"))
+        beside = scratch.cut(beside, partition_by="part") if seen["dead"] else given
+        n_nodes, n_dead, parts, states, logs, passes = seen["n"], seen["dead"], list(seen["parts"]), [degrees], [], []
+    else:
+        scratch.n = saved["n"]
+        given, beside, states, logs = (scratch.read(p) if isinstance(p, str) else [scratch.read(x) for x in p] for p in (saved["given"], saved["beside"], saved["states"], saved["logs"]))
+        n_edges, n_nodes, n_dead, parts, passes = saved["n_edges"], saved["n_nodes"], saved["n_dead"], saved["parts"], [tuple(p) for p in saved["passes"]]
+    while max_passes is None or len(passes) < max_passes:
+        n_nodes -= n_dead
+        if not n_dead:
+            passes.append((len(passes) + 1, n_nodes, n_edges))
+            break
+        key = states[-1].where("dead").select(F.col("id").alias("dst"))
+        hit = beside.where(F.col("part").isin(parts)).join(F.broadcast(key) if n_dead <= SMALL else key, "dst")
+        lost = hit.groupBy(F.col("src").alias("id")).agg(
+            F.count(F.lit(1)).alias("lost"), F.first("outs").alias("outs"), F.first("ins").alias("ins"), F.first("loop").alias("loop"), F.max(F.col("src") == F.col("dst")).alias("own")
+        )
+        if logs:
+            before = functools.reduce(DataFrame.unionByName, [x.select("id", "gone") for x in logs]).groupBy("id").agg(F.max("gone").alias("gone"))
+            lost = lost.join(before, "id", "left").withColumn("gone", F.coalesce("gone", F.lit(0)) + F.col("lost"))
+        else:
+            lost = lost.withColumn("gone", F.col("lost"))
+        # an isolated loop has been buried already
+        state = lost.withColumn("dead", _dead(F.col("outs") - F.col("gone"), F.col("ins"), F.col("loop")) & ~F.col("own")).withColumn("part", part("id"))
+        state, seen = scratch.cut_counting(state, ["id", "gone", "dead"], lost=F.coalesce(F.sum("lost"), F.lit(0)), dead=F.count_if("dead"), parts=parts_of(F.col("dead")))
+        n_edges, n_dead, parts = n_edges - seen["lost"], seen["dead"], list(seen["parts"])
+        passes.append((len(passes) + 1, n_nodes, n_edges))
+        states.append(state)
+        logs.append(state)
+        if len(logs) > LOGS:
+            logs = [scratch.cut(functools.reduce(DataFrame.unionByName, [x.select("id", "gone") for x in logs]).groupBy("id").agg(F.max("gone").alias("gone")))]
+        if journal is not None:
+            path = lambda df: df._scratch_path
+            journal.commit({
+                "n": scratch.n, "given": path(given), "beside": path(beside), "states": [*map(path, states)], "logs": [*map(path, logs)], "n_edges": n_edges, "n_nodes": n_nodes, "n_dead": n_dead, "parts": parts, "passes": passes,
+            })
+    if len(passes) == 1:
+        return Peeled(given, n_nodes, passes)
+    gone = functools.reduce(DataFrame.unionByName, [x.where("dead").select(F.col("id").alias("dst")) for x in states])
+    return Peeled(scratch.cut(given.join(gone, "dst", "left_anti").select("src", "dst")), n_nodes, passes)
 
 
 def initial_vector(ids: DataFrame, n: int | None = None) -> DataFrame:
@@ -148,45 +247,114 @@ class Ranked:
     peeled: Peeled
 
 
-def pagerank(edges: DataFrame, beta: float = 0.8, epsilon: float | None = 0.1, max_iter: int = 100, multi_edges: str = "distinct") -> Ranked:
+def pagerank(edges: DataFrame, beta: float = 0.8, epsilon: float | None = 0.1, max_iter: int = 100, multi_edges: str = "distinct", run: str | None = None, finish: bool = True) -> Ranked:
     """Dead ends removed, then power steps with teleport.
 
     The change is checked from the second step on, strictly below ``epsilon``. With
     ``epsilon=None`` exactly ``max_iter`` steps run, several to a plan.
+
+    With a name of the ``run`` each pass and each written step is committed to a journal. A call with the same name
+    goes on behind the last complete one and reads no table of those before; all but the result is deleted at the end, unless ``finish`` is false.
     """
-    scratch = Scratch(edges.sparkSession, "pagerank")
-    peeled = remove_deadends(edges, scratch, multi_edges)
+    spark = edges.sparkSession
+    journal = Journal(spark, run) if run else None
+    saved = (journal.load() if journal else None) or {}
+    scratch = Scratch(spark, "pagerank", journal.base if journal else None)
+    scratch.n = saved.get("n", 0)
+    if "peeled" in saved:
+        peeled = Peeled(scratch.read(saved["peeled"]), saved["n_nodes"], [tuple(p) for p in saved["passes"]])
+    else:
+        peeled = remove_deadends(edges, scratch, multi_edges, journal, saved or None)
     n = peeled.n_nodes
     # both sides of every step's joins stay dealt by node: a step shuffles its pre-aggregated products alone
     ids = dealt(scratch.cut(nodes(peeled.edges)), "id")
-    matrix = dealt(scratch.cut(stochastic_matrix(peeled.edges, multi_edges)), "col")
-    now, trace, steps, written = initial_vector(ids, n), [], 0, None
-    while steps < max_iter and n:
-        after = teleport(matvec(matrix, now), ids, beta, n)
+    matrix = blocked(stochastic_matrix(peeled.edges, multi_edges), scratch)
+    trace, steps = [tuple(t) for t in saved.get("trace", [])], saved.get("steps", 0)
+    written = scratch.read(saved["ranks"]) if "ranks" in saved else None
+    now = initial_vector(ids, n) if written is None else written
+    done = bool(trace) and epsilon is not None and trace[-1][1] < epsilon
+
+    def commit() -> None:
+        if journal is not None:
+            journal.commit({"n": scratch.n, "peeled": peeled.edges._scratch_path, "n_nodes": n, "passes": peeled.passes, "ranks": written._scratch_path, "steps": steps, "trace": trace})
+
+    while steps < max_iter and n and not done:
+        after = teleport(blocked_matvec(matrix, now), ids, beta, n)
         steps += 1
         if epsilon is None:
             if steps % STEPS_A_PLAN == 0 and steps < max_iter:
-                after, old = scratch.cut(after), written
+                old, after = written, scratch.cut(after)
+                written = after
+                commit()
                 if old is not None:
                     scratch.drop(old)
-                written = after
             now = after
             continue
         # the step's change is taken in the same pass that writes it
-        after = scratch.cut(after.join(now.select("id", F.col("value").alias("old")), "id"))
-        change = after.agg(F.sum(F.abs(F.col("value") - F.col("old")))).first()[0]
-        if written is not None:
-            scratch.drop(written)
-        written, now = after, after.select("id", "value")
+        both = after.join(now.select("id", F.col("value").alias("old")), "id")
+        after, seen = scratch.cut_counting(both, ["id", "value"], change=F.sum(F.abs(F.col("value") - F.col("old"))))
+        old, written, now = written, after, after
         if steps >= 2:
-            trace.append((steps, change))
-            if change < epsilon:
-                break
-    now = scratch.cut(now)
+            trace.append((steps, seen["change"]))
+            done = seen["change"] < epsilon
+        commit()
+        if old is not None:
+            scratch.drop(old)
+    now = now if now is written else scratch.cut(now)
     ids.unpersist()
     matrix.unpersist()
+    if journal is not None and finish:
+        journal.finish(now, peeled.edges)
     return Ranked(now, steps, trace, peeled)
 
 
+@dataclass
+class Pushed:
+    ranks: DataFrame  # id, value
+    bound: float  # on the L1 distance to the exact ranks
+    steps: int
+    active: list[int]  # nodes that sent at each step
+
+
+def pagerank_push(edges: DataFrame, beta: float = 0.8, rest: float = 0.02, max_iter: int = 1000, multi_edges: str = "distinct") -> Pushed:
+    """PageRank of the peeled graph by residuals: only nodes that still owe more than ``rest`` / n send.
+
+    A node's state is its rank and its residual, what it has received and not passed on; at first the teleport share.
+    A sender adds its residual to its rank and gives ``beta`` of it to its successors. The exact ranks exceed the ranks, all residuals
+    included, by at most beta / (1 - beta) times the residuals' sum, which is the bound that is returned; it is below rest * beta / (1 - beta).
+    A step's rows are the senders' cells; its counts come from the write.
+    """
+    scratch = Scratch(edges.sparkSession, "push")
+    peeled = remove_deadends(edges, scratch, multi_edges)
+    n = peeled.n_nodes
+    if not n:
+        return Pushed(initial_vector(nodes(peeled.edges), 0), 0.0, 0, [])
+    matrix = blocked(stochastic_matrix(peeled.edges, multi_edges), scratch)
+    least = rest / n
+    start = nodes(peeled.edges).select("id", F.lit(0.0).alias("rank"), F.lit((1 - beta) / n).alias("residual"))
+    counts = {"owed": F.sum("residual"), "active": F.count_if(F.col("residual") > least)}
+    state, seen = scratch.cut_counting(start, **counts)
+    active = []
+    while seen["active"] and len(active) < max_iter:
+        active.append(seen["active"])
+        sends = F.col("residual") > least
+        sent = state.where(sends).select("id", F.col("residual").alias("value"))
+        got = blocked_matvec(BlockedMatrix(_sending(matrix.ordinary, sent), _sending(matrix.hubs, sent), matrix.hub_columns, matrix.n_hubs), sent)
+        after = state.join(got.withColumnRenamed("value", "got"), "id", "left").select(
+            "id", (F.col("rank") + F.when(sends, F.col("residual")).otherwise(0.0)).alias("rank"),
+            (F.when(sends, 0.0).otherwise(F.col("residual")) + F.lit(beta) * F.coalesce("got", F.lit(0.0))).alias("residual"),
+        )
+        after, seen = scratch.cut_counting(after, **counts)
+        scratch.drop(state)
+        state = after
+    matrix.unpersist()
+    return Pushed(state.select("id", (F.col("rank") + F.col("residual")).alias("value")), seen["owed"] * beta / (1 - beta), len(active), active)
+
+
+def _sending(cells: DataFrame, sent: DataFrame) -> DataFrame:
+    """Cells of the columns that send: the others have nothing to multiply."""
+    return cells.join(sent.select(F.col("id").alias("col")), "col", "left_semi")
+
+
 def top_ranks(ranks: DataFrame, k: int = 10) -> DataFrame:
     return ranks.orderBy(F.desc("value"), "id").limit(k)

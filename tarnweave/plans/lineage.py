@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql.types import StructType
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -19,20 +21,77 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The path and its file system as Hadoop's objects."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+class Journal:
+    """What an iteration has completed, so that a new driver can go on from there.
+
+    Its folder bears the run's name, in the shared checkpoint folder. An entry is written beside and renamed,
+    so it is there as a whole or not at all, and replaces the one before it.
+    """
+
+    def __init__(self, spark: SparkSession, run: str):
+        self.spark, self.base, self.last = spark, f"{checkpoint_dir(spark)}/run-{run}", 0
+
+    def load(self) -> dict | None:
+        """The last entry."""
+        folder, fs = _hadoop(self.spark, self.base)
+        if not fs.exists(folder):
+            return None
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        found = sorted(int(n[len("entry-") :]) for n in names if n.startswith("entry-"))
+        if not found:
+            return None
+        self.last = found[-1]
+        return json.loads(self.spark.read.text(f"{self.base}/entry-{self.last}", wholetext=True).first()[0])
+
+    def commit(self, entry: dict) -> None:
+        beside, fs = _hadoop(self.spark, f"{self.base}/.entry")
+        out = fs.create(beside, True)
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+        self.last += 1
+        if not fs.rename(beside, _hadoop(self.spark, f"{self.base}/entry-{self.last}")[0]):
+            raise OSError(f"entry {self.last} of {self.base} can't be committed")
+        fs.delete(_hadoop(self.spark, f"{self.base}/entry-{self.last - 1}")[0], True)
+
+    def finish(self, *keep: DataFrame) -> None:
+        """Delete all but the tables ``keep``."""
+        folder, fs = _hadoop(self.spark, self.base)
+        kept = {df._scratch_path.rsplit("/", 1)[-1] for df in keep}
+        for s in fs.listStatus(folder):
+            if s.getPath().getName() not in kept:
+                fs.delete(s.getPath(), True)
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder, which survive the loss of an executor."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base, self.n = spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+    def __init__(self, spark: SparkSession, name: str, base: str | None = None):
+        """In a folder of its own, or in ``base``, where tables of an attempt that broke off are written anew."""
+        self.spark, self.base, self.n = spark, base or f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def _next(self) -> str:
         self.n += 1
         return f"{self.base}/{self.n}"
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+        """``df`` from a table; with ``partition_by`` in a directory for each value of that column, so that filters on it skip the others."""
         path = self._next()
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        if partition_by is None:
+            df.write.mode("overwrite").parquet(path)
+        else:
+            # a rebalance by the column, so that a directory with very many rows is written by several tasks
+            df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+        return self.read(path, df.schema)
+
+    def read(self, path: str, schema: StructType | None = None) -> DataFrame:
+        """A table that ``cut`` has written."""
+        out = (self.spark.read if schema is None else self.spark.read.schema(schema)).parquet(path)
         out._scratch_path = path
         return out
 
@@ -44,13 +103,12 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table of ``cut`` that nothing reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = _hadoop(self.spark, df._scratch_path)
+        fs.delete(path, True)
 
 
-def dealt(df: DataFrame, column: str) -> DataFrame:
-    """``df`` persisted, dealt by ``column`` into the usual number of partitions, so that joins and sums by it need no shuffle.
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` persisted, dealt by ``columns`` into the usual number of partitions, so that joins and sums by them need no shuffle.
 
     Lost partitions are computed again from what ``df`` reads. The cached plan itself isn't
     adaptive: later plans could not rely on its partitioning otherwise.
@@ -59,6 +117,6 @@ def dealt(df: DataFrame, column: str) -> DataFrame:
     before = spark.conf.get(key, None)
     spark.conf.set(key, "false")
     try:
-        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), column).persist(StorageLevel.MEMORY_AND_DISK)
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns).persist(StorageLevel.MEMORY_AND_DISK)
     finally:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.clustering import OVERSAMPLING, ROUNDS
-from .queries import BETA, EPSILON, K, KS, LLOYD_STEPS, MAX_DF, MIN_DF, RESTARTS, STEPS
+from .queries import BETA, EPSILON, K, KS, LLOYD_STEPS, MAX_DF, MIN_DF, REST, RESTARTS, STEPS
 
 PASSES, CAP = 16, 16
 
@@ -62,6 +62,24 @@ def _converged() -> str:
     return f"WITH {_ranks(CAP)}, {_changes(CAP)}, every AS ({every}), picked AS (SELECT id, round(value, 9) AS value FROM every WHERE step = (SELECT min(step) FROM changes WHERE change < {EPSILON}))"
 
 
+def _push(cap: int = 48) -> str:
+    """Residual steps, unrolled; those after the last active node change nothing."""
+    last = f"e{PASSES}"
+    out = [
+        _peel(),
+        f"ids AS MATERIALIZED (SELECT src AS id FROM {last} UNION SELECT dst FROM {last})",
+        f"m AS MATERIALIZED (SELECT dst AS row, src AS col, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS val FROM {last})",
+        f"least AS MATERIALIZED (SELECT {REST} / count(*) AS least FROM ids)",
+        f"p0 AS MATERIALIZED (SELECT id, 0.0::DOUBLE AS rank, {1 - BETA} / (SELECT count(*) FROM ids) AS residual FROM ids)",
+    ]
+    for k in range(cap):
+        out.append(
+            f"p{k + 1} AS MATERIALIZED (SELECT id, rank + CASE WHEN residual > least THEN residual ELSE 0 END AS rank, CASE WHEN residual > least THEN 0 ELSE residual END + {BETA} * coalesce(got, 0.0) AS residual "
+            f"FROM p{k} CROSS JOIN least LEFT JOIN (SELECT row AS id, sum(val * residual) AS got FROM m JOIN p{k} s ON s.id = m.col CROSS JOIN least WHERE residual > least GROUP BY row) g USING (id))"
+        )
+    return "WITH " + ", ".join(out)
+
+
 TOKENS = "toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents)"
 TF = f"{TOKENS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY ALL)"
 DF = f"{TF}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"
@@ -256,9 +274,18 @@ ORACLES = {
     "vocabulary": f"WITH {KEPT} SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, df FROM kept",
     "tfidf": f"WITH {WEIGHTS} SELECT doc_id, term, round(tfidf, 6) AS tfidf FROM tfidf",
     "kmeans_assign": f"WITH {_lloyd(K)} SELECT id AS vec_id, cluster, round(d, 6) AS sq_dist FROM {LAST}",
+    "kmeans_bounded": f"WITH {_lloyd(K)} SELECT id AS vec_id, cluster, round(d, 6) AS sq_dist FROM {LAST}",
+    "pagerank_resumed": f"{_converged()} SELECT id, value FROM picked",
     "kmeans_centroids": f"WITH {_lloyd(K)} SELECT cluster, dim::INT AS dim, round(avg(v), 6) AS value FROM pts JOIN {LAST} USING (id) GROUP BY cluster, dim",
     "kmeans_sse": f"WITH {_lloyd(K)} SELECT round(sum(d), 6) AS sse FROM {LAST}",
     "sse_vs_k": "WITH " + ", ".join(_lloyd(k, LLOYD_STEPS, f"k{k}") for k in KS) + " " + " UNION ALL ".join(f"SELECT {k}::INT AS k, (SELECT round(sum(d), 6) FROM k{k}{LAST}) AS sse" for k in KS),
+    "matvec_hub": f"""WITH raw AS (SELECT o_custkey AS src, o_orderkey % (SELECT count(*) FROM customer) AS dst FROM orders WHERE o_orderpriority = '1-URGENT'
+        UNION ALL SELECT -1, l_orderkey * 8 + l_linenumber FROM lineitem UNION ALL SELECT o_orderkey * 8, -2 FROM orders), edges AS MATERIALIZED (SELECT DISTINCT src, dst FROM raw), {MATRIX}
+        SELECT row AS id, round(sum(val * (1 + ((col % 10) + 10) % 10)), 9) AS value FROM matrix GROUP BY row""",
+    "pagerank_push": f"{_push()} SELECT id, round(rank + residual, 12) AS value FROM p48",
+    "pagerank_push_steps": f"{_push()} SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT {k + 1}::INT AS step, (SELECT count(*) FROM p{k}, least WHERE residual > least) AS active" for k in range(48))
+    + ") WHERE active > 0",
     "docs_kmeans": f"{DOCS_KMEANS} SELECT doc_id, run::INT AS run, cluster, round(d, 9) AS sq_dist FROM s{LLOYD_STEPS} WHERE run = (SELECT run FROM best)",
     "docs_kmeans_parallel": f"{_docs_kmeans(True)} SELECT doc_id, run::INT AS run, cluster, round(d, 9) AS sq_dist FROM s{LLOYD_STEPS} WHERE run = (SELECT run FROM best)",
     "kmeans_parallel": _kmeans_parallel(),

@@ -6,6 +6,7 @@ customer that the order's key maps to.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -23,6 +24,8 @@ from ..sources.text import cluster_listing
 from .lineage import Scratch
 
 BETA, EPSILON, STEPS = 0.8, 0.1, 10
+#: A node sends while it owes more than this share of a mean rank.
+REST = 0.1
 K, LLOYD_STEPS, RESTARTS, KS = 5, 3, 10, tuple(range(3, 16))
 MIN_DF, MAX_DF = 50, 0.5
 
@@ -137,6 +140,13 @@ def pagerank_converged(spark, sf_dir):
     return G.pagerank(raw_edges(spark, sf_dir), BETA, EPSILON).ranks.withColumn("value", F.round("value", 9))
 
 
+def pagerank_resumed(spark, sf_dir):
+    """The converged ranks by a run that is broken off after its third step and taken up again from its journal."""
+    run = uuid.uuid4().hex
+    G.pagerank(raw_edges(spark, sf_dir), BETA, EPSILON, max_iter=3, run=run, finish=False)
+    return G.pagerank(raw_edges(spark, sf_dir), BETA, EPSILON, run=run).ranks.withColumn("value", F.round("value", 9))
+
+
 def pagerank_topk(spark, sf_dir):
     ranks = G.pagerank(raw_edges(spark, sf_dir), BETA, EPSILON).ranks.withColumn("value", F.round("value", 9))
     return G.top_ranks(ranks, 10)
@@ -147,6 +157,28 @@ def pagerank_l1_trace(spark, sf_dir):
     return spark.createDataFrame([(k, float(d)) for k, d in trace], "step int, change double").withColumn("change", F.round("change", 9))
 
 
+def _hub_edges(spark, sf_dir):
+    """The graph, a node -1 that links to every line of every order, and a node -2 that all orders link to."""
+    lines = _table(spark, sf_dir, "lineitem").select(F.lit(-1).cast("long").alias("src"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("dst"))
+    orders = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 8).cast("long").alias("src"), F.lit(-2).cast("long").alias("dst"))
+    return raw_edges(spark, sf_dir).unionByName(lines).unionByName(orders)
+
+
+def matvec_hub(spark, sf_dir):
+    matrix = G.blocked(G.stochastic_matrix(_hub_edges(spark, sf_dir)))
+    vector = G.nodes(_hub_edges(spark, sf_dir)).select("id", (F.lit(1.0) + F.pmod("id", F.lit(10))).alias("value"))
+    return G.blocked_matvec(matrix, vector).withColumn("value", F.round("value", 9))
+
+
+def pagerank_push(spark, sf_dir):
+    return G.pagerank_push(raw_edges(spark, sf_dir), BETA, REST).ranks.withColumn("value", F.round("value", 12))
+
+
+def pagerank_push_steps(spark, sf_dir):
+    pushed = G.pagerank_push(raw_edges(spark, sf_dir), BETA, REST)
+    return spark.createDataFrame([(k, n) for k, n in enumerate(pushed.active, 1)], "step int, active long")
+
+
 def _documents(spark, sf_dir):
     """Documents as a corpus: titles from their number, languages as categories, source numbers as a given clustering."""
     docs = _table(spark, sf_dir, "documents")
@@ -204,6 +236,10 @@ def kmeans_assign(spark, sf_dir):
     return C.lloyd(_points(spark, sf_dir), K, LLOYD_STEPS)[0].select(F.col("id").alias("vec_id"), "cluster", F.round("sq_dist", 6).alias("sq_dist"))
 
 
+def kmeans_bounded(spark, sf_dir):
+    return C.lloyd_bounded(_points(spark, sf_dir), K, LLOYD_STEPS).assigned.select(F.col("id").alias("vec_id"), "cluster", F.round("sq_dist", 6).alias("sq_dist"))
+
+
 def kmeans_centroids(spark, sf_dir):
     return C.centroid_rows(C.lloyd(_points(spark, sf_dir), K, LLOYD_STEPS)[0]).withColumn("value", F.round("value", 6))
 
@@ -388,7 +424,7 @@ _PLAIN = (
     isolated_self_loops, remove_deadends, deadend_pass_counts, initial_vector, teleport_step, pagerank_10, pagerank_converged, pagerank_topk, pagerank_l1_trace, doc_word_size, doc_first_sentence, doc_snippet,
     doc_display, tokens, term_frequency, term_frequency_stop_words, document_frequency, vocabulary, tfidf, kmeans_assign, kmeans_centroids, kmeans_sse, sse_vs_k, cluster_members, cluster_histogram, cluster_modes,
     cluster_purity, cluster_entropy, categories, majority_share, cluster_top_docs, cluster_top_terms, successor_lists, kmeans_random, kmeans_plus_plus, edges_text, matrix_vector_text, key_values_text,
-    result_vector_text, corpus_text, listing_text, docs_kmeans, docs_kmeans_parallel, kmeans_parallel, docs_kmeans_purity, docs_kmeans_top_docs, docs_kmeans_top_terms, docs_sse_vs_k,
+    result_vector_text, corpus_text, listing_text, kmeans_bounded, pagerank_resumed, matvec_hub, pagerank_push, pagerank_push_steps, docs_kmeans, docs_kmeans_parallel, kmeans_parallel, docs_kmeans_purity, docs_kmeans_top_docs, docs_kmeans_top_terms, docs_sse_vs_k,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN} | {

@@ -88,6 +88,24 @@ def test_lloyd_against_numpy(spark):
     assert [r.k for r in curve] == [2, 4] and curve[1].sse == pytest.approx(d.min(1).sum())
 
 
+def test_bounds_against_all_distances(spark):
+    """The same clusters as without bounds, ties included, from less than half of the distances once centroids settle."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(60, 3)) * 0.3 + 4 * np.eye(3)[c] for c in range(3)] + [[[0.0, 0, 0]] * 2])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    start = [x[0].tolist(), x[1].tolist(), x[70].tolist(), x[130].tolist()]
+    for steps in (0, 1, 6):
+        bounded, (plain, centroids) = C.lloyd_bounded(points, 4, steps, start), C.lloyd(points, 4, steps, start)
+        got = {r.id: (r.cluster, pytest.approx(r.sq_dist)) for r in bounded.assigned.collect()}
+        assert {r.id: (r.cluster, r.sq_dist) for r in plain.collect()} == got and np.allclose(bounded.centroids, centroids)
+    assert len(bounded.computed) == 7 and bounded.computed[0] == 4 * len(x) and all(n < 2 * len(x) for n in bounded.computed[3:])
+    twins = spark.createDataFrame([(i, [float(i % 2)]) for i in range(6)], "id long, x array<double>")
+    same = C.lloyd_bounded(twins, 3, 2, [[0.0], [0.0], [1.0]])
+    assert {r.id: r.cluster for r in same.assigned.collect()} == {i: 2 * (i % 2) for i in range(6)}
+    assert C.lloyd_bounded(twins, 1, 1).assigned.agg({"sq_dist": "sum"}).first()[0] == pytest.approx(1.5)
+    assert C.lloyd_bounded(twins.limit(0), 2).assigned.count() == 0
+
+
 def test_mllib(spark):
     from pyspark.ml.linalg import Vectors
 

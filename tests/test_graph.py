@@ -1,4 +1,10 @@
+import random
+import statistics
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tarnweave.operators import graph as G
 
@@ -67,6 +73,111 @@ def test_self_loops_and_paths(spark):
     assert G.remove_deadends(edges(spark, [])).n_nodes == 0
 
 
+def slow_peel(pairs):
+    """Passes by definition, over all edges each time."""
+    now, before, passes = list(pairs), len({x for e in pairs for x in e}), []
+    while True:
+        outs, ins = Counter(a for a, _ in now), Counter(b for _, b in now)
+        alive = {x for x in outs if not (outs[x] == 1 and ins[x] == 1 and (x, x) in now)}
+        now = [e for e in now if e[1] in alive]
+        passes.append((len(passes) + 1, len(alive), len(now)))
+        if len(alive) == before:
+            return sorted(now), passes
+        before = len(alive)
+
+
+@pytest.mark.parametrize("multi_edges", ["distinct", "weight"])
+def test_worklist_against_all_edges(spark, multi_edges):
+    """Chains longer than the logs that are kept apart, loops that end up alone, doubled loops and parallel edges."""
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(100, 114)] + [(7, 7), (7, 100), (8, 8), (8, 8), (8, 101), (9, 9), (300, 301), (301, 301), (100, 500), (500, 501), (501, 500)]
+    pairs += [(rng.randrange(60), rng.randrange(60)) for _ in range(75)]
+    given = sorted(set(pairs)) if multi_edges == "distinct" else pairs
+    want, passes = slow_peel(given)
+    peeled = G.remove_deadends(edges(spark, pairs), multi_edges=multi_edges)
+    assert peeled.passes == passes and peeled.n_nodes == passes[-1][1] and len(passes) > 12
+    assert sorted((r.src, r.dst) for r in peeled.edges.collect()) == want
+
+
+def test_one_job_a_pass(spark, monkeypatch):
+    """Counts come from the writes, and only edges into dead nodes are joined."""
+    from tarnweave.plans.lineage import Scratch
+
+    writes, read = [], []
+    cut = Scratch.cut
+    monkeypatch.setattr(Scratch, "cut", lambda self, df, *a, **b: writes.append(1) or cut(self, df, *a, **b))
+    monkeypatch.setattr(DataFrame, "count", lambda self: read.append(1))
+    monkeypatch.setattr(DataFrame, "first", lambda self: read.append(1))
+    monkeypatch.setattr(DataFrame, "collect", lambda self: read.append(1))
+    peeled = G.remove_deadends(edges(spark, [(i, i + 1) for i in range(6)] + [(10, 11), (11, 10), (3, 10)]))
+    assert len(peeled.passes) == 4 and len(writes) == 3 + 3 + 1 and not read
+
+
+def test_resumes_after_a_lost_driver(spark, monkeypatch):
+    """Broken off in the fourth step and in the third peel pass: the next call goes on from there, reads no earlier step, and leaves the result alone."""
+    import os
+    import uuid
+
+    from tarnweave.plans.lineage import Journal, Scratch, checkpoint_dir
+
+    chain = G3 + [(9, 20), (20, 21), (21, 22), (22, 23), (23, 24)]
+    whole = G.pagerank(edges(spark, chain), 0.8, 1e-3)
+    cut, left, run, written = Scratch.cut, [], uuid.uuid4().hex, []
+
+    def failing(self, df, *a, **b):
+        if len(left) == 1 and left[0] == 0:
+            left.clear()
+            raise RuntimeError("the driver is lost")
+        if left:
+            left[0] -= 1
+        written.append(self.n)
+        return cut(self, df, *a, **b)
+
+    monkeypatch.setattr(Scratch, "cut", failing)
+    for after in (5, 12):  # three tables and two passes; the rest of the passes, the matrix and some steps
+        left.append(after)
+        with pytest.raises(RuntimeError):
+            G.pagerank(edges(spark, chain), 0.8, 1e-3, run=run)
+    folder = f"{checkpoint_dir(spark)}/run-{run}".removeprefix("file:")
+    saved = Journal(spark, run).load()
+    assert saved["steps"] >= 3 and len(saved["passes"]) == len(whole.peeled.passes) and os.path.isdir(saved["ranks"].removeprefix("file:"))
+    read, at = [], Scratch.read
+    monkeypatch.setattr(Scratch, "read", lambda self, path, *a: (read.append(path) if not a else None) or at(self, path, *a))
+    before = len(written)
+    again = G.pagerank(edges(spark, chain), 0.8, 1e-3, run=run)
+    assert read == [saved["peeled"], saved["ranks"]] and again.steps == whole.steps and again.peeled.passes == whole.peeled.passes
+    assert len(written) - before == whole.steps - saved["steps"] + 3 and [k for k, _ in again.trace] == [k for k, _ in whole.trace]
+    assert as_dict(again.ranks) == {k: pytest.approx(v) for k, v in as_dict(whole.ranks).items()}
+    assert sorted(os.listdir(folder)) == sorted(x._scratch_path.rsplit("/", 1)[1] for x in (again.ranks, again.peeled.edges))
+
+
+def test_hub_columns_and_rows(spark):
+    """A node with nine tenths of the edges: even partitions, and the same product."""
+    rng = random.Random(3)
+    pairs = {(0, d) for d in range(1, 9001)} | {(rng.randrange(1, 400), rng.randrange(1, 9001)) for _ in range(800)} | {(s, 0) for s in range(1, 200)}
+    e = edges(spark, sorted(pairs))
+    matrix = G.stochastic_matrix(e)
+    b = G.blocked(matrix)
+    assert b.n_hubs == 1 and [r.col for r in b.hub_columns.collect()] == [0]
+    for part in (b.hubs, b.ordinary):
+        sizes = [r["count"] for r in part.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) <= 4 * statistics.median(sizes) and len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    v = G.nodes(e).where("id % 7 <> 0").select("id", (F.col("id") % 5 + 0.5).alias("value"))
+    assert as_dict(G.blocked_matvec(b, v)) == {k: pytest.approx(x) for k, x in as_dict(G.matvec(matrix, v)).items()}
+    without = G.blocked(G.stochastic_matrix(edges(spark, [(a, (a * 7 + 1) % 50) for a in range(50)])))
+    assert without.n_hubs == 0 and G.blocked_matvec(without, v).count() == 50
+    assert G.blocked_matvec(G.blocked(G.stochastic_matrix(edges(spark, []))), v).count() == 0
+
+
+def test_push(spark):
+    """Ranks within the bound of the exact ones, and fewer senders each time."""
+    pushed = G.pagerank_push(edges(spark, G3), 0.8, 1e-3)
+    got, exact = as_dict(pushed.ranks), dict(zip(range(1, 8), [0.071556, 0.085816, 0.062898, 0.352517, 0.310585, 0.062898, 0.053731]))
+    assert sum(abs(got[k] - exact[k]) for k in exact) <= pushed.bound + 7e-6 and pushed.bound < 4e-3
+    assert pushed.active[0] == 7 and pushed.active[-1] < 7 and pushed.steps == len(pushed.active)
+    assert G.pagerank_push(edges(spark, [(1, 2)])).ranks.count() == 0
+
+
 @pytest.mark.parametrize("epsilon, steps, want", [
     (0.1, 6, [0.074176, 0.091657, 0.065234, 0.329097, 0.319936, 0.065234, 0.054665]),
     (1e-3, 26, [0.071556, 0.085816, 0.062898, 0.352325, 0.310777, 0.062898, 0.053731]),
