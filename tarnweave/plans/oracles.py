@@ -224,6 +224,9 @@ DOCS_KMEANS = _docs_kmeans(False)
 ENTROPIES = """p AS (SELECT cluster, n, n / sum(n) OVER (PARTITION BY cluster) AS p FROM hist), h AS (SELECT cluster, sum(-p * log2(p)) AS h, sum(n) AS n FROM p GROUP BY cluster),
         g AS (SELECT n / sum(n) OVER () AS p FROM (SELECT sum(n) AS n FROM hist GROUP BY category))"""
 
+CORPUS = r"""WITH t AS (SELECT doc_id, lang, regexp_replace(regexp_replace(coalesce(text, ''), '\n+', chr(10), 'g'), '^\n|\n$', '', 'g') AS body FROM documents)
+        SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, 'doc ' || doc_id AS title, coalesce(nullif(lang, ''), 'none') AS category, CASE WHEN body = '' THEN '' ELSE body || chr(10) END AS text FROM t"""
+
 ORACLES = {
     "graph_edges": f"WITH {RAW} SELECT * FROM edges",
     "graph_nodes": f"WITH {RAW}, {NODES} SELECT id FROM nodes",
@@ -248,8 +251,8 @@ ORACLES = {
     "matrix_vector_text": f"{PARTIALS} SELECT row AS id, round(sum(part), 6) AS value FROM parts GROUP BY row",
     "key_values_text": f"WITH {RAW} SELECT src::VARCHAR AS key, count(*)::VARCHAR AS value FROM edges GROUP BY src",
     "result_vector_text": "SELECT n_regionkey::BIGINT AS id, count(*)::DOUBLE AS value FROM nation GROUP BY n_regionkey",
-    "corpus_text": r"""WITH t AS (SELECT doc_id, lang, regexp_replace(regexp_replace(coalesce(text, ''), '\n+', chr(10), 'g'), '^\n|\n$', '', 'g') AS body FROM documents)
-        SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, 'doc ' || doc_id AS title, coalesce(nullif(lang, ''), 'none') AS category, CASE WHEN body = '' THEN '' ELSE body || chr(10) END AS text FROM t""",
+    "corpus_text": CORPUS,
+    "corpus_records": CORPUS,
     "listing_text": f"WITH {DOCS}, l AS (SELECT cluster, string_agg(title || '(' || category || ')', ', ' ORDER BY doc_id) AS listing FROM docs GROUP BY cluster) "
     "SELECT 'Cluster ' || cluster AS line FROM l UNION ALL SELECT listing FROM l",
     "remove_deadends": f"WITH {_peel()} SELECT src, dst FROM e{PASSES}",

@@ -20,6 +20,7 @@ from ..operators import graph as G
 from ..operators import sparse_kmeans as K2
 from ..operators import tfidf as V
 from ..sources import text as S
+from ..sources.records import read_records
 from ..sources.text import cluster_listing
 from .lineage import Scratch
 
@@ -402,15 +403,24 @@ def result_vector_text(spark, sf_dir):
     return spark.createDataFrame([(int(k), float(v)) for k, v in S.read_result_vector(spark, base).items()], "id long, value double")
 
 
-def corpus_text(spark, sf_dir):
-    """The documents as records that blank lines separate, in order of their ids, and read back."""
+def _write_corpus(spark, sf_dir) -> str:
     base = Scratch(spark, "corpus").base
     docs = _documents(spark, sf_dir)
     body = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\n+", "\n"), r"^\n|\n$", "")
     category = F.coalesce(F.expr("nullif(category, '')"), F.lit("none"))
     record = F.concat(F.concat_ws("\n", "title", category, F.expr("nullif(body, '')")), F.lit("\n"))
     docs.withColumn("body", body).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(record.alias("value")).write.text(base)
-    return S.read_corpus(spark, base)
+    return base
+
+
+def corpus_text(spark, sf_dir):
+    """The documents as records that blank lines separate, in order of their ids, and read back."""
+    return S.read_corpus(spark, _write_corpus(spark, sf_dir))
+
+
+def corpus_records(spark, sf_dir):
+    """The same through the data source, by ranges of a few records each."""
+    return read_records(spark, _write_corpus(spark, sf_dir), split_bytes=1 << 16)
 
 
 def listing_text(spark, sf_dir):
@@ -424,7 +434,7 @@ _PLAIN = (
     isolated_self_loops, remove_deadends, deadend_pass_counts, initial_vector, teleport_step, pagerank_10, pagerank_converged, pagerank_topk, pagerank_l1_trace, doc_word_size, doc_first_sentence, doc_snippet,
     doc_display, tokens, term_frequency, term_frequency_stop_words, document_frequency, vocabulary, tfidf, kmeans_assign, kmeans_centroids, kmeans_sse, sse_vs_k, cluster_members, cluster_histogram, cluster_modes,
     cluster_purity, cluster_entropy, categories, majority_share, cluster_top_docs, cluster_top_terms, successor_lists, kmeans_random, kmeans_plus_plus, edges_text, matrix_vector_text, key_values_text,
-    result_vector_text, corpus_text, listing_text, kmeans_bounded, pagerank_resumed, matvec_hub, pagerank_push, pagerank_push_steps, docs_kmeans, docs_kmeans_parallel, kmeans_parallel, docs_kmeans_purity, docs_kmeans_top_docs, docs_kmeans_top_terms, docs_sse_vs_k,
+    result_vector_text, corpus_text, corpus_records, listing_text, kmeans_bounded, pagerank_resumed, matvec_hub, pagerank_push, pagerank_push_steps, docs_kmeans, docs_kmeans_parallel, kmeans_parallel, docs_kmeans_purity, docs_kmeans_top_docs, docs_kmeans_top_terms, docs_sse_vs_k,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _PLAIN} | {
