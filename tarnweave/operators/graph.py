@@ -146,7 +146,7 @@ class Peeled:
 
 
 #: Directories that edges are dealt to by destination, so that a pass reads only those of the nodes that just died.
-PARTS = 64
+PARTS = 16
 #: Passes whose logs are read one by one before they are merged; dead nodes that may be broadcast.
 LOGS, SMALL = 8, 100_000
 
@@ -189,14 +189,11 @@ def remove_deadends(edges: DataFrame, scratch: Scratch | None = None, multi_edge
             break
         key = states[-1].where("dead").select(F.col("id").alias("dst"))
         hit = beside.where(F.col("part").isin(parts)).join(F.broadcast(key) if n_dead <= SMALL else key, "dst")
-        lost = hit.groupBy(F.col("src").alias("id")).agg(
-            F.count(F.lit(1)).alias("lost"), F.first("outs").alias("outs"), F.first("ins").alias("ins"), F.first("loop").alias("loop"), F.max(F.col("src") == F.col("dst")).alias("own")
-        )
-        if logs:
-            before = functools.reduce(DataFrame.unionByName, [x.select("id", "gone") for x in logs]).groupBy("id").agg(F.max("gone").alias("gone"))
-            lost = lost.join(before, "id", "left").withColumn("gone", F.coalesce("gone", F.lit(0)) + F.col("lost"))
-        else:
-            lost = lost.withColumn("gone", F.col("lost"))
+        # what sources lose now and what they have lost before meet in one aggregate
+        now = hit.select(F.col("src").alias("id"), F.lit(1).alias("lost"), F.lit(0).cast("long").alias("gone"), "outs", "ins", "loop", (F.col("src") == F.col("dst")).alias("own"))
+        for x in logs:
+            now = now.unionByName(x.select("id", F.lit(0).alias("lost"), "gone"), allowMissingColumns=True)
+        lost = now.groupBy("id").agg(F.sum("lost").alias("lost"), F.max("gone").alias("gone"), *[F.max(c).alias(c) for c in ("outs", "ins", "loop", "own")]).where("lost > 0").withColumn("gone", F.col("gone") + F.col("lost"))
         # an isolated loop has been buried already
         state = lost.withColumn("dead", _dead(F.col("outs") - F.col("gone"), F.col("ins"), F.col("loop")) & ~F.col("own")).withColumn("part", part("id"))
         state, seen = scratch.cut_counting(state, ["id", "gone", "dead"], lost=F.coalesce(F.sum("lost"), F.lit(0)), dead=F.count_if("dead"), parts=parts_of(F.col("dead")))
