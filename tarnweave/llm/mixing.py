@@ -5,7 +5,8 @@ size, and what it can't take is shared again among the others. Within a source d
 are counted by exact length. The whole passes of a target come first; the rest of it is
 met by an even part of every length, then by larger lengths, then by a bounded-knapsack
 dynamic program over the lengths that are left, which finds the reachable sum nearest to
-what remains. The documents of each length are picked in the order of a seeded hash.
+what remains. Texts above ``LONG`` words are settled greedily before, so a very long text costs the
+program nothing. The documents of each length are picked in the order of a seeded hash.
 
 Counts are taken by source, length and 256 hash ranges, so a hot source or length is
 pre-aggregated and only the one range in which a count ends is ranked.
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, Scratch
 
 SLICES = 256
+#: Texts of more words are settled greedily; the program fits what is left by shorter ones, which bounds its table.
+LONG = 1 << 16
 
 
 def share_budget(sizes: Sequence[float], weights: Sequence[float], budget: float, max_epochs: float = 2) -> list[float]:
@@ -47,6 +50,27 @@ def share_budget(sizes: Sequence[float], weights: Sequence[float], budget: float
     return out
 
 
+def _settle_long(lengths: Sequence[int], counts: Sequence[int], budget: int, long: list[int], take: list[int]) -> int:
+    """Take of texts above LONG, longest first: the even part of each length, then what texts up to LONG can't fill. Returns the budget that is left to those."""
+    sizes = [int(n) * int(c) for n, c in zip(lengths, counts)]
+    total, budget = sum(sizes), int(budget)
+    short = total - sum(sizes[i] for i in long)
+    left = budget
+    for i in long:
+        take[i] = int(counts[i]) * budget // total
+        left -= take[i] * int(lengths[i])
+    for i in long:
+        n = min(int(counts[i]) - take[i], max(0, -(-(left - short) // int(lengths[i]))), left // int(lengths[i]))
+        take[i] += n
+        left -= n * int(lengths[i])
+    if left > short:  # the shortest one that is left goes too far, but perhaps less than all is short of it
+        more = [i for i in long if take[i] < counts[i]]
+        if more and int(lengths[more[-1]]) - left < left - short:
+            take[more[-1]] += 1
+            left -= int(lengths[more[-1]])
+    return max(0, left)
+
+
 def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
     """How many of each length to take so that their sum is as near to ``budget`` as this program gets (the nearest sum for what is left to it)."""
     order = [i for i in range(len(lengths)) if lengths[i] > 0]
@@ -57,6 +81,13 @@ def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int) -> li
             take[i] = int(counts[i])
         return take
     order.sort(key=lambda i: -lengths[i])
+    budget = _settle_long(lengths, counts, budget, [i for i in order if lengths[i] > LONG], take)
+    order = [i for i in order if lengths[i] <= LONG]
+    total = sum(int(lengths[i]) * int(counts[i]) for i in order)
+    if budget >= total:
+        for i in order:
+            take[i] = int(counts[i])
+        return take
     top = int(lengths[order[0]]) if order else 0
     even = max(0, int(budget) - 4 * top)  # what is left, some of the longest texts, is the program's to fit
     for i in order:

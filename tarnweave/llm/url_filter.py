@@ -31,6 +31,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import blocked, blocked_matvec
+from ..plans.lineage import dealt
 from .common import Scratch
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,30 +77,34 @@ def rounds_for(damping: float, tolerance: float) -> int:
 
 
 def propagate(hosts: DataFrame, edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
-    """(host, mass): personalised PageRank of ``seeds`` (host, weight; weights sum to 1); what dead ends hold goes back to the seeds."""
+    """(host, mass): personalised PageRank of ``seeds`` (host, weight; weights sum to 1); what dead ends hold goes back to the seeds.
+
+    The edges are dealt by source once, those of hub hosts evenly beside them; a round shuffles pre-aggregated sums and the hosts' masses,
+    and its write counts how far masses moved and what dead ends hold.
+    """
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    steps = scratch.cut(edges.join(out, "src"))
-    base = scratch.cut(hosts.join(seeds, "host", "left").join(out.withColumnRenamed("src", "host"), "host", "left").select("host", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("degree", F.lit(0)).alias("degree")))
-    now, moved = base.select("host", "weight", "degree", F.col("weight").alias("mass")), 1.0
+    matrix = blocked(edges.join(out, "src").select(F.col("dst").alias("row"), F.col("src").alias("col"), (F.lit(1.0) / F.col("degree")).alias("val")), scratch)
     held = F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("mass"))), F.lit(0.0))  # by dead ends
-    stuck = now.agg(held).first()[0]
-    previous, left = None, rounds_for(damping, tolerance)
+    base = hosts.join(seeds, "host", "left").join(out.withColumnRenamed("src", "host"), "host", "left").select("host", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    base, seen = scratch.cut_counting(base.withColumn("mass", F.col("weight")), stuck=held)
+    now, base = base.select("host", "mass"), dealt(base.select("host", "weight", "degree"), "host")
+    previous, left, moved, stuck = None, rounds_for(damping, tolerance), 1.0, seen["stuck"]
     while moved >= tolerance:
         if not left:
             raise RuntimeError(f"masses still move by {moved}, which damping rules out")
         left -= 1
-        sent = now.join(steps.select("src", "dst"), now["host"] == steps["src"]).groupBy("dst").agg(F.sum(F.col("mass") / F.col("degree")).alias("got"))
-        after = now.join(sent.withColumnRenamed("dst", "host"), "host", "left").select(
-            "host", "weight", "degree", F.col("mass").alias("old"),
-            (F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(stuck) * F.col("weight")) + F.lit(1 - damping) * F.col("weight")).alias("mass"),
-        )
-        after = scratch.cut(after)
-        moved, stuck = after.agg(F.coalesce(F.sum(F.abs(F.col("mass") - F.col("old"))), F.lit(0.0)), held).first()
+        got = blocked_matvec(matrix, now.select(F.col("host").alias("id"), F.col("mass").alias("value"))).select(F.col("id").alias("host"), F.col("value").alias("got"))
+        after = base.join(now.withColumnRenamed("mass", "old"), "host").join(got, "host", "left").withColumn(
+            "mass", F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(stuck) * F.col("weight")) + F.lit(1 - damping) * F.col("weight")
+        )
+        after, seen = scratch.cut_counting(after, ["host", "mass"], moved=F.coalesce(F.sum(F.abs(F.col("mass") - F.col("old"))), F.lit(0.0)), stuck=held)
+        moved, stuck = seen["moved"], seen["stuck"]
         if previous is not None:
             scratch.drop(previous)
         now = previous = after
-        now = now.select("host", "weight", "degree", "mass")
-    return now.select("host", "mass")
+    base.unpersist()
+    matrix.unpersist()
+    return now
 
 
 def judge_hosts(ruled: DataFrame, edges: DataFrame, scratch: Scratch, least: float = 1.0, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:

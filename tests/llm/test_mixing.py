@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 
@@ -29,6 +30,32 @@ def test_fit_counts_is_exact_where_a_sum_exists():
     assert fit_counts([], [], 5) == []
 
 
+def test_very_long_texts():
+    """Twenty million words in one text: at once, and what shorter texts can fill is met exactly."""
+    began = time.perf_counter()
+    for budget in (100, 5_000_000, 20_000_100, 25_000_000, 30_000_000):
+        lengths, counts = [*range(1, 501), 20_000_000], [*[200] * 500, 1]
+        take = fit_counts(lengths, counts, budget)
+        assert sum(t * n for t, n in zip(take, lengths)) == budget and all(t <= c for t, c in zip(take, counts))
+    assert time.perf_counter() - began < 10
+    assert fit_counts([20_000_000], [1], 9_000_000) == [0] and fit_counts([20_000_000], [1], 11_000_000) == [1]
+    assert fit_counts([20_000_000, 5], [3, 2], 41_000_000) == [2, 2]
+    # beside small sums where all are tried
+    rng = random.Random(3)
+    for _ in range(40):
+        lengths = sorted(rng.sample(range(60_000, 200_000), 3)) + [1, 7]
+        counts = [2, 2, 2, 70_000, 10_000]
+        budget = rng.randint(0, sum(a * b for a, b in zip(lengths, counts)))
+        take = fit_counts(lengths, counts, budget)
+        assert abs(sum(t * n for t, n in zip(take, lengths)) - budget) <= 1
+
+
+def test_very_long_text_in_a_table(spark):
+    rows = [(0, "w " * 300_000, "a")] + [(i, "w " * (i % 50 + 1), "a") for i in range(1, 3000)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=1.2).collect()
+    assert len(got) == 3000 and abs(sum(r.taken for r in got) - got[0].target) <= 1
+
+
 def test_mix(spark):
     rows = [(i, " ".join(["w"] * (i % 37 + 1)), "abc"[i % 7 % 3]) for i in range(700)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
