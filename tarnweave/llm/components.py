@@ -3,6 +3,10 @@
 Each round's edges are written to the shared folder, so lineage stays short and a lost
 executor costs a re-read at most. The number of rounds grows with the logarithm of a
 component's size; the driver only sees two numbers a round.
+
+Defined results: repeated edges count once and an edge from a node to itself not at all, so a node that
+has no other is not in the result; edges with a null end join nothing; nodes that can't be reached from
+one another never share a root; no edges give no rows; other columns than a and b are not looked at.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ in one task; pairs grow with the square of the unlinked rows on one variant.
 Defined results: identifiers are integers; a text without words (null, empty) has
 fingerprint zero and links like any other; equal texts share a fingerprint; null
 identifiers are labelled like others, and a component's identifier is the least non-null
-one (null if none); very long texts are hashed in pieces; an empty table gives an empty
+one (null if none); a bit set in exactly half of the hashes is 0, and rows that repeat or tie in all but
+their identifier are one class; very long texts are hashed in pieces; an empty table gives an empty
 result; other columns are not looked at, whatever their names.
 """
 
