@@ -130,12 +130,24 @@ class Directions:
         meets = 1 - NormalDist().cdf((self.tail - threshold * at) / math.sqrt(1 - threshold**2))
         self.half = max(3, math.ceil(math.sqrt(expected / (q * meets) / tables) / 2))
         self.window = 3 * math.sqrt(2 - 2 * threshold)  # three deviations of the difference of two projections
-        rng = np.random.default_rng(seed)
-        self.codes = []
-        for _ in range(tables):
-            turn = np.linalg.qr(rng.standard_normal((width, width)))[0]
-            halves = turn[:, : width // 2], turn[:, width // 2 :]
-            self.codes.append([h @ rng.standard_normal((h.shape[1], self.half)) for h in halves])
+        self.width, self.tables, self.seed = width, tables, seed
+        self.codes = self._drawn()
+
+    def _drawn(self) -> list:
+        rng, out = np.random.default_rng(self.seed), []
+        for _ in range(self.tables):
+            turn = np.linalg.qr(rng.standard_normal((self.width, self.width)))[0]
+            halves = turn[:, : self.width // 2], turn[:, self.width // 2 :]
+            out.append([h @ rng.standard_normal((h.shape[1], self.half)) for h in halves])
+        return out
+
+    def __getstate__(self) -> dict:
+        """Tasks draw the codes again from the seed: they grow with the root of the rows, and needn't travel."""
+        return {k: v for k, v in self.__dict__.items() if k != "codes"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.codes = self._drawn()
 
     def ends(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, direction, value) of all projections beyond ``tail``."""
