@@ -171,9 +171,9 @@ def test_hub_columns_and_rows(spark):
 
 def test_push(spark):
     """Ranks within the bound of the exact ones, and fewer senders each time."""
-    pushed = G.pagerank_push(edges(spark, G3), 0.8, 1e-3)
+    pushed = G.pagerank_push(edges(spark, G3), 0.8, 0.02)
     got, exact = as_dict(pushed.ranks), dict(zip(range(1, 8), [0.071556, 0.085816, 0.062898, 0.352517, 0.310585, 0.062898, 0.053731]))
-    assert sum(abs(got[k] - exact[k]) for k in exact) <= pushed.bound + 7e-6 and pushed.bound < 4e-3
+    assert sum(abs(got[k] - exact[k]) for k in exact) <= pushed.bound + 7e-6 and pushed.bound < 0.08
     assert pushed.active[0] == 7 and pushed.active[-1] < 7 and pushed.steps == len(pushed.active)
     assert G.pagerank_push(edges(spark, [(1, 2)])).ranks.count() == 0
 
