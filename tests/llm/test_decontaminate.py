@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tarnweave.llm.decontaminate import align, contaminated, drop_contaminated, plain
+from tarnweave.llm.decontaminate import Matcher, align, contaminated, drop_contaminated, plain
 
 
 def slow(a, b, miss=0.5, gap=0.5):
@@ -125,3 +125,27 @@ def test_edges(spark, nasty, nothing):
     assert kept.columns == nasty.columns and kept.count() == nasty.count() - 5
     assert contaminated(nothing, bench).count() == 0 and contaminated(nasty, bench.limit(0)).count() == 0
     assert drop_contaminated(nasty, bench.limit(0)).count() == nasty.count()
+
+
+def test_two_passes_whatever_the_number_of_items(spark):
+    """400 items, a few hundred times the words of the smallest block: the rows of one block and of many agree, and one block reads the texts twice."""
+    rng = random.Random(14)
+    items = [words(rng, rng.choice([1, 2, 3, 12, 30])) for _ in range(400)]
+    docs = spark.createDataFrame([(d, " ".join(words(rng, 50) + items[d * 7 % 400] + words(rng, 50) + items[d])) for d in range(80)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    def watched(batches, read=read):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    got = sorted(map(tuple, contaminated(docs.mapInArrow(watched, docs.schema), bench).collect()))
+    assert read.value == 2 * 80
+    assert {(d, i) for d in range(80) for i in (d, d * 7 % 400)} <= {(r[0], r[1]) for r in got}
+    frequency = np.full(5000, 3)
+    one, many = Matcher([(i, " ".join(x)) for i, x in enumerate(items)]), [Matcher([(i, " ".join(x))]) for i, x in enumerate(items)]
+    for m in (one, *many):
+        m.seed(frequency, 0.25, 8, 8)
+    assert sorted(map(tuple, contaminated(docs, bench, block_words=1500).collect())) == got
+    assert len(one.grams[3].item) == sum(len(m.grams[3].item) for m in many if 3 in m.grams)
