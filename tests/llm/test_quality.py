@@ -30,6 +30,31 @@ def test_marginals_against_enumeration():
     assert np.allclose(pairs, steps)
 
 
+def test_long_chains_in_parts_as_line_by_line(monkeypatch):
+    rng = np.random.default_rng(4)
+    field = Q.LineField(3)
+    field.steps = rng.normal(size=(2, 2)) * 3
+    lengths = np.array([1, 2, 3, 7, 16, 17, 1025, 4, 3000])
+    unary = rng.normal(size=(lengths.sum(), 2)) * 4
+    weights = rng.random(lengths.sum())
+    results = []
+    for limit in (1, 5, 1024, 1 << 30):
+        monkeypatch.setattr(Q, "LONG", limit)
+        results.append(field.marginals(unary, lengths, weights))
+    for p, pairs, log_z in results[:-1]:
+        assert np.allclose(p, results[-1][0], atol=1e-9) and np.allclose(pairs, results[-1][1]) and np.allclose(log_z, results[-1][2])
+    assert np.allclose(results[0][0].sum(1), 1)
+
+
+def test_a_very_long_text_takes_few_steps(monkeypatch):
+    """300,000 lines: some 2,200 numpy steps each way, not 600,000."""
+    steps, plain = [], np.logaddexp
+    monkeypatch.setattr(np, "logaddexp", lambda *a: (steps.append(1), plain(*a))[1])
+    field = Q.LineField(3)
+    p, _, _ = field.marginals(np.random.default_rng(5).normal(size=(300_000, 2)), np.array([300_000]))
+    assert len(steps) < 4000 and np.allclose(p.sum(1), 1)
+
+
 def corpus(n):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
