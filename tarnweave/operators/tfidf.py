@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..plans.lineage import Scratch
 
+#: Bytes of texts that a task takes apart; their (document, term) pairs take several times as much memory.
+TASK_BYTES = 16 << 20
+
 
 def term_frequency(docs: DataFrame, stop_words: Iterable[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, term, tf)."""
@@ -41,13 +44,16 @@ def tfidf(docs: DataFrame, min_df: int = 50, max_df: float = 0.5, stop_words: It
     """(doc_id, term, tfidf) of kept terms; documents without one have no rows.
 
     Texts are dealt by document before they are taken apart, so term counts and norms need
-    no shuffle of their own.
+    no shuffle of their own; a task gets about ``TASK_BYTES`` of them whatever their number. Kept terms go to every task:
+    there are at most 1 / ``min_df`` as many as cells, and by far fewer in a language.
     """
-    n_docs = docs.count()
-    tf = term_frequency(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id"), stop_words)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    n_docs, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    tf = term_frequency(texts.repartition(parts, "doc_id"), stop_words)
     terms = kept_terms(document_frequency(tf), n_docs, min_df, max_df)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1
-    weights = tf.join(terms, "term").select("doc_id", "term", (F.col("tf") * idf).alias("w"))
+    weights = tf.join(F.broadcast(terms), "term").select("doc_id", "term", (F.col("tf") * idf).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return weights.select("doc_id", "term", (F.col("w") / norm).alias("tfidf"))
 
