@@ -99,3 +99,28 @@ def test_counting_by_the_write_itself(spark):
     after = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None) or [])
     assert seen == {"n": 100, "change": 99} and after - before == 1 and out.columns == ["id"] and out.count() == 100
     assert math.isclose(sum(r.id for r in out.collect()), 4950)
+
+
+def test_cells_are_never_joined(spark, monkeypatch):
+    """The assignment is one pass without a join or shuffle, and runs that don't fit together give the same."""
+    x = some()
+    points = points_of(spark, x)
+    picks = spark.createDataFrame([(r, c, d) for r, s in enumerate([[0, 1, 2], [5, 6, 7]]) for c, d in enumerate(s)], "run int, cluster int, doc_id long")
+    plan = S.assign(points, S.centroids_at(points, picks), picks, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    rows = lambda f: sorted((r.doc_id, r.run, r.cluster, round(r.sq_dist, 8)) for r in f.assigned.collect())
+    together = rows(S.lloyd(points, picks, 2, Scratch(spark, "t"), 3, until_stable=False))
+    monkeypatch.setattr(S, "MAX_CELLS", 1)
+    assert rows(S.lloyd(points, picks, 2, Scratch(spark, "t"), 3, until_stable=False)) == together
+
+
+def test_tasks_of_tfidf_by_bytes(spark, monkeypatch):
+    from tarnweave.operators import tfidf as V
+
+    docs = spark.createDataFrame([(d, f"alpha beta gamma{'abc'[d % 3]}") for d in range(30)], "doc_id long, text string")
+    want = sorted(map(tuple, V.tfidf(docs, 1, 1.0).collect()))
+    monkeypatch.setattr(V, "TASK_BYTES", 20)
+    many = V.tfidf(docs, 1, 1.0)
+    size = docs.selectExpr("sum(octet_length(text))").first()[0]
+    assert f", {-(-size // 20)})" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, many.collect())) == want
