@@ -1,11 +1,10 @@
 """Hard negatives by a two-dimensional block matrix multiply.
 
 Rows are packed into blocks, and each block into chunks of dimensions; the anchors of a block are
-packed beside it. Anchor and row blocks are dealt to the cells of a grid, chunk by chunk: a cell
-multiplies the few blocks it holds into partial tiles of int64 scores, and a shuffle adds the
-chunks of a tile. Each summed tile is written once and reduced twice: to the best rows of the
-anchor's own label, then, with an anchor's positives known, to the best rows of other labels in
-each positive's window. A task holds a few blocks at a time, whatever the size of a label.
+packed beside it. Anchor and row blocks are dealt to the cells of a grid, all chunks of a pair of blocks to one cell, which
+multiplies them, some anchors at a time, and keeps only the best: first the best rows of the
+anchor's own label, then, multiplied again with an anchor's positives known, the best rows of other labels in
+each positive's window. No scores are written or shuffled but those of the best. A task holds the few blocks of a cell, whatever the size of a label.
 
 Scores are inner products of floor(scale * component) and exact: rows whose squared sum is
 beyond 2**53 take no part, which bounds every partial sum.
@@ -30,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, dense, small_batches, widest
 
 BLOCK_BITS, CHUNK, SIDE = 12, 32, 4
+#: Anchors of a cell that are multiplied at a time.
+SLICE = 256
 EXACT = float(1 << 53)
 
 PACKED = "block long, part int, n int, pos binary, ids binary, labels binary, m binary"
@@ -79,50 +80,41 @@ def pack(rows: DataFrame, width: int, scale: float, chunk: int) -> DataFrame:
     return rows.select("id", "label", "anchor", "vec").mapInArrow(run, f"anchor boolean, {PACKED}")
 
 
-def _grid(blocks: DataFrame, side: int) -> DataFrame:
-    """Anchor chunks and row chunks that meet in a cell (part, a_cell, b_cell) of the grid: every pair of blocks once a chunk."""
-    n = blocks.where("part = 0 AND NOT anchor").count()
-    cells = max(1, -(-n // side))
-    home = F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
-    a = blocks.where("anchor").select("part", home.alias("a_cell"), every.alias("b_cell"), F.col("block").alias("a_block"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("ids").alias("a_ids"), F.col("labels").alias("a_labels"), F.col("m").alias("a_m"))
-    b = blocks.where("NOT anchor").select("part", every.alias("a_cell"), home.alias("b_cell"), F.col("block").alias("b_block"), F.col("n").alias("b_n"), F.col("ids").alias("b_ids"), F.col("labels").alias("b_labels"), F.col("m").alias("b_m"))
-    return a.join(b, ["part", "a_cell", "b_cell"])
+def _grid(blocks: DataFrame, side: int) -> tuple[DataFrame, DataFrame]:
+    """Anchor chunks and row chunks by the cells (a_cell, b_cell) of the grid where they meet: every pair of blocks in one cell.
 
-
-_SIDES = ("a_pos", "a_ids", "a_labels", "b_ids", "b_labels")
-_TILE = "a_block long, b_block long, b_n int, " + ", ".join(f"{c} binary" for c in _SIDES) + ", tile binary"
-
-
-def partial_tiles(pairs: DataFrame) -> DataFrame:
-    """A tile of int64 partial scores for each row of ``_grid``; identifiers and labels go with the first chunk alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            get = {name: b.column(name) for name in b.schema.names}
-            for i in range(b.num_rows):
-                a_n, b_n = get["a_n"][i].as_py(), get["b_n"][i].as_py()
-                a, m = (_longs(get[c][i].as_py()).reshape(n, -1).astype(np.float64) for c, n in (("a_m", a_n), ("b_m", b_n)))
-                # sums of integers below 2**53 are exact in doubles
-                tile = (a @ m.T).astype(np.int64)
-                arrays = [get[c].slice(i, 1) for c in ("a_block", "b_block", "b_n", *_SIDES)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array([tile.tobytes()], pa.binary())], names=["a_block", "b_block", "b_n", *_SIDES, "tile"])
-
-    return pairs.mapInArrow(run, _TILE)
-
-
-def summed_tiles(partial: DataFrame) -> DataFrame:
-    """The chunks of each tile added up; a group has one partial tile a chunk of dimensions."""
-
-    def add(group: pa.Table) -> pa.Table:
-        total, sides = None, {}
-        for row in group.to_pylist():
-            part = _longs(row["tile"])
-            total = part.copy() if total is None else total.__iadd__(part)
-            sides |= {c: row[c] for c in ("a_block", "b_block", "b_n", *_SIDES) if row[c] is not None}
-        return pa.Table.from_pylist([sides | {"tile": total.tobytes()}], schema=group.schema)
-
-    return partial.groupBy("a_block", "b_block").applyInArrow(add, _TILE)
+    A cell holds about ``side`` blocks of rows and as many anchors as rows, so rows are copied once for each of so many anchors.
+    """
+    n, anchors = blocks.where("part = 0").agg(F.count_if(~F.col("anchor")), F.coalesce(F.sum(F.when(F.col("anchor"), F.col("n"))), F.lit(0))).first()
+    a_cells, b_cells = max(1, -(-anchors // (side << BLOCK_BITS))), max(1, -(-n // side))
+    home = lambda cells: F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int")
+    every = lambda cells: F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+    a = blocks.where("anchor").drop("anchor").withColumn("a_cell", home(a_cells)).withColumn("b_cell", every(b_cells))
+    b = blocks.where("NOT anchor").drop("anchor").withColumn("b_cell", home(b_cells)).withColumn("a_cell", every(a_cells))
+    return a, b
+
+
+def _side(table: pa.Table) -> tuple:
+    """Blocks, unique numbers, identifiers, labels and vectors of the rows of a cell."""
+    parts: dict = {}
+    for row in table.to_pylist():
+        parts.setdefault(row["block"], []).append(row)
+    out = []
+    for block, rows in parts.items():
+        rows.sort(key=lambda r: r["part"])
+        head = rows[0]
+        x = np.concatenate([_longs(r["m"]).reshape(r["n"], -1) for r in rows], 1).astype(np.float64)
+        out.append((np.full(head["n"], block), (block << BLOCK_BITS) + _longs(head["pos"]), _longs(head["ids"]), _longs(head["labels"]), x))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _tiles(anchors: pa.Table, rows: pa.Table) -> Iterator[tuple]:
+    """Exact scores of the anchors of a cell, ``SLICE`` at a time, with all rows of the cell."""
+    a, b = _side(anchors), _side(rows)
+    for at in range(0, len(a[0]), SLICE):
+        some = tuple(x[at : at + SLICE] for x in a)
+        # sums of integers below 2**53 are exact in doubles
+        yield *some[:4], *b[1:4], (some[4] @ b[4].T).astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -133,52 +125,52 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))
 
 
-def _unpacked(row: dict) -> tuple:
-    a_pos, a_ids, a_labels, b_ids, b_labels = (_longs(row[c]) for c in _SIDES)
-    return (row["a_block"] << BLOCK_BITS) + a_pos, a_ids, a_labels, b_ids, b_labels, _longs(row["tile"]).reshape(len(a_ids), row["b_n"])
+def _table(rows: list[tuple], names: list[str]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names))], names=names)
 
 
-def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names))], names=names)
+def _cells(a: DataFrame, b: DataFrame, run, names: list[str]) -> DataFrame:
+    by = ("a_cell", "b_cell")
+    # names of their own: both sides come from one table
+    b = b.toDF(*[c if c in by else f"{c}_b" for c in b.columns])
+    return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(lambda x, y: _table(run(x, y.rename_columns([c.removesuffix("_b") for c in y.schema.names])) if x.num_rows and y.num_rows else [], names), ", ".join(f"{c} long" for c in names))
 
 
-def tile_positives(tiles: DataFrame, k: int) -> DataFrame:
-    """The k best other rows of the anchor's label in each tile: (a_block, a_uid, anchor_id, p_uid, positive_id, positive_score)."""
-    names = ["a_block", "a_uid", "anchor_id", "p_uid", "positive_id", "positive_score"]
+def cell_positives(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """The k best other rows of the anchor's label in each cell: (a_block, a_uid, anchor_id, p_uid, positive_id, positive_score)."""
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            for row in b.to_pylist():
-                uids, a_ids, a_labels, b_ids, b_labels, tile = _unpacked(row)
-                own = (row["b_block"] << BLOCK_BITS) + np.arange(len(b_ids))
-                out = []
-                for i, uid in enumerate(uids):
-                    there = np.flatnonzero((b_labels == a_labels[i]) & (own != uid))
-                    for j in there[_best(tile[i, there], b_ids[there], k)]:
-                        out.append((row["a_block"], uid, a_ids[i], own[j], b_ids[j], tile[i, j]))
-                yield _table(out, names)
+    def run(anchors: pa.Table, rows: pa.Table) -> list[tuple]:
+        out = []
+        for blocks, uids, a_ids, a_labels, own, b_ids, b_labels, tile in _tiles(anchors, rows):
+            for i, uid in enumerate(uids):
+                there = np.flatnonzero((b_labels == a_labels[i]) & (own != uid))
+                for j in there[_best(tile[i, there], b_ids[there], k)]:
+                    out.append((blocks[i], uid, a_ids[i], own[j], b_ids[j], tile[i, j]))
+        return out
 
-    return tiles.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return _cells(a, b, run, ["a_block", "a_uid", "anchor_id", "p_uid", "positive_id", "positive_score"])
 
 
-def tile_negatives(tiles: DataFrame, k: int, low: int, high: int) -> DataFrame:
-    """The k best rows of other labels in the window of each of ``positives`` (a list of the tile's anchors' positives), by tile."""
-    names = ["a_uid", "p_uid", "anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"]
+def cell_negatives(a: DataFrame, b: DataFrame, k: int, low: int, high: int) -> DataFrame:
+    """The k best rows of other labels in the window of each of ``positives`` (a list of the block's anchors' positives), by cell."""
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            for row in b.to_pylist():
-                uids, a_ids, a_labels, b_ids, b_labels, tile = _unpacked(row)
-                place, out = {int(u): i for i, u in enumerate(uids)}, []
-                for p in row["positives"]:
-                    i, score = place[p["a_uid"]], p["positive_score"]
-                    s = tile[i]
-                    there = np.flatnonzero((b_labels != a_labels[i]) & (100 * s >= low * score) & (100 * s <= high * score))
+    def run(anchors: pa.Table, rows: pa.Table) -> list[tuple]:
+        wanted: dict = {}
+        for mine in anchors.column("positives").to_pylist():
+            for p in mine or ():
+                wanted.setdefault(p["a_uid"], []).append(p)
+        out = []
+        for _, uids, a_ids, a_labels, _, b_ids, b_labels, tile in _tiles(anchors, rows):
+            for i, uid in enumerate(uids):
+                s, other = tile[i], b_labels != a_labels[i]
+                for p in wanted.get(int(uid), ()):
+                    score = p["positive_score"]
+                    there = np.flatnonzero(other & (100 * s >= low * score) & (100 * s <= high * score))
                     for j in there[_best(s[there], b_ids[there], k)]:
-                        out.append((uids[i], p["p_uid"], a_ids[i], p["positive_id"], b_ids[j], score, s[j]))
-                yield _table(out, names)
+                        out.append((uid, p["p_uid"], a_ids[i], p["positive_id"], b_ids[j], score, s[j]))
+        return out
 
-    return tiles.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return _cells(a, b, run, ["a_uid", "p_uid", "anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"])
 
 
 def _top(rows: DataFrame, by: list[str], score: str, tie: list[str], k: int) -> DataFrame:
@@ -197,8 +189,8 @@ def mine(
     taken = rows.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(vector_col).isNotNull())
     taken = taken.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.coalesce(anchor, F.lit(False)).alias("anchor"), F.col(vector_col).alias("vec"))
     blocks = scratch.cut(pack(taken, widest(taken, "vec"), scale, chunk))
-    tiles = scratch.cut(summed_tiles(partial_tiles(_grid(blocks, side))))
-    best = _top(tile_positives(tiles, positives), ["a_uid"], "positive_score", ["positive_id", "p_uid"], positives)
-    lists = best.groupBy("a_block").agg(F.collect_list(F.struct("a_uid", "p_uid", "positive_id", "positive_score")).alias("positives"))
-    found = _top(tile_negatives(tiles.join(lists, "a_block"), negatives, low, high), ["a_uid", "p_uid"], "negative_score", ["negative_id"], negatives)
+    a, b = _grid(blocks, side)
+    best = _top(cell_positives(a, b, positives), ["a_uid"], "positive_score", ["positive_id", "p_uid"], positives)
+    lists = best.groupBy(F.col("a_block").alias("block")).agg(F.collect_list(F.struct("a_uid", "p_uid", "positive_id", "positive_score")).alias("positives")).withColumn("part", F.lit(0))
+    found = _top(cell_negatives(a.join(scratch.cut(lists), ["block", "part"], "left"), b, negatives, low, high), ["a_uid", "p_uid"], "negative_score", ["negative_id"], negatives)
     return found.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")

@@ -64,3 +64,17 @@ def test_odd_rows(spark):
 def test_empty(spark):
     assert mine(frame(spark, []), F.col("vec_id") % 10 == 0).count() == 0
     assert mine(frame(spark, [(10, None, 1), (20, [0.5], 1)]), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_no_scores_are_written(spark, monkeypatch):
+    """The tables between the passes hold blocks and positives, no tile of anchors times rows; several cells of both kinds give the same."""
+    from tarnweave.llm import hard_negatives as H
+
+    rows, names = some(160), []
+    cut = H.Scratch.cut
+    monkeypatch.setattr(H.Scratch, "cut", lambda self, df, *a: names.extend(df.columns) or cut(self, df, *a))
+    monkeypatch.setattr(H, "SLICE", 3)
+    monkeypatch.setattr(H, "BLOCK_BITS", 3)
+    got = mine(frame(spark, rows).repartition(3), F.col("vec_id") % 10 == 0, chunk=3, side=1)
+    assert sorted(map(tuple, got.collect())) == brute(as_floats(rows))
+    assert "tile" not in names and "m" in names
