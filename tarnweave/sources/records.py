@@ -22,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 NAME = "tarnweave"
 SPLIT_BYTES, BLOCK = 64 << 20, 1 << 16
+#: Ranges of all files together; ``splitbytes`` gives way above about so many, since each costs a task.
+MAX_SPLITS = 1024
 #: Records of a batch sent to the JVM.
 BATCH = 1024
 
@@ -128,7 +130,8 @@ class RecordReader(DataSourceReader):
         if found.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         data = sorted((f for f in files if f.type == fs.FileType.File and not posixpath.basename(f.path).startswith(("_", "."))), key=lambda f: f.path)
-        return [ByteRange(f.path, at, min(f.size, at + self.size)) for f in data for at in range(0, f.size, self.size)] or [ByteRange("", 0, 0)]
+        size = max(self.size, -(-sum(f.size for f in data) // MAX_SPLITS))
+        return [ByteRange(f.path, at, min(f.size, at + size)) for f in data for at in range(0, f.size, size)] or [ByteRange("", 0, 0)]
 
     def _rows(self, part: ByteRange) -> Iterator[tuple]:
         if not part.path:

@@ -68,3 +68,12 @@ def test_listing_runs(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     write_listing_runs(docs.where(F.lit(False)), str(tmp_path / "none"))
     assert content(tmp_path / "none") == ""
+
+
+def test_ranges_grow_with_the_files(tmp_path, monkeypatch):
+    from tarnweave.sources import records as R
+
+    (tmp_path / "f").write_bytes(b"a\nb\nc\n\n" * 100)
+    monkeypatch.setattr(R, "MAX_SPLITS", 5, raising=False)
+    parts = R.RecordReader({"path": str(tmp_path), "splitbytes": "10"}).partitions()
+    assert len(parts) == 5 and (parts[0].begin, parts[-1].end) == (0, 700)
