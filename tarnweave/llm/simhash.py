@@ -498,11 +498,13 @@ def _wide_links(classes: DataFrame, words: int, word_bits: int, points: int, sim
     packed = classes.select("cls", "fp", "flips").mapInArrow(_pack(words, word_bits, points, buckets, near), _PACKED)
     met = scratch.cut(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(words, word_bits, near), "key long, cls long"))
     limit = _chance(similarity, 64 * math.ceil(words * word_bits / 64), slack)
-    # large groups first become few components, by pairs with the first rows of variants
+    # large groups first become few components, by pairs with the first rows of variants; copies meet on nearly every word,
+    # so a quarter of the words brings most of them together and the second turn sees what is left on all of them
     found = scratch.cut(spark.createDataFrame([], "node long, root long"))
     for turn in range(2):
         mixed = _mixed(met, found, scratch)
-        links = _similar(_near(_star(mixed, turn, scratch), classes, limit), classes, similarity, sketch)
+        some = mixed.where(F.shiftrightunsigned("key", word_bits) < max(1, words // 4)) if turn == 0 else mixed
+        links = _similar(_near(_star(some, turn, scratch), classes, limit), classes, similarity, sketch)
         found = scratch.cut(connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links), scratch))
         met = mixed
     # then all pairs of rows of different components

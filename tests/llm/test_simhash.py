@@ -249,3 +249,27 @@ def test_edges(spark, nasty, nothing):
     kept = S.drop_near_duplicates(nasty).collect()
     assert sum(r.text == "same text here again" for r in kept) == 1 and sum(r.doc_id in (1, 2, 3, 9) for r in kept) == 1
     assert S.simhash_components(nothing).count() == 0 and S.drop_near_duplicates(nothing).count() == 0
+
+
+def test_large_group_meets_on_a_part_of_its_words_first(spark, monkeypatch):
+    """A group of near copies is joined to first rows on a quarter of its words; what that doesn't connect is left to the later turns."""
+    rng, star, seen = np.random.default_rng(8), S._star, []
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        words[int(rng.integers(400))] = f"own{i}"
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+
+    def counted(rows, *rest):
+        seen.append(rows.count())
+        return star(rows, *rest)
+
+    whole = S._mixed
+    monkeypatch.setattr(S, "_mixed", lambda *a: sizes.append((out := whole(*a)).count()) or out)
+    monkeypatch.setattr(S, "_star", counted)
+    sizes: list = []
+    owners = S.near_duplicates(docs).select("owner.id").distinct().collect()
+    assert [r[0] for r in owners] == [0]
+    assert seen[0] < sizes[0] / 3 and seen[1] < sizes[0] / 3
