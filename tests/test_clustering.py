@@ -180,3 +180,25 @@ def test_starts(spark):
         C.kmeans(points.limit(0), 2)
     with pytest.raises(ValueError):
         C._literal([[0.0] * C.MAX_CONSTANT, [0.0]])
+
+
+def test_steps_send_means_of_tasks(spark):
+    """A row a cluster and task goes on from a step, costs and starts, whatever the number of points; null vectors take no part, as in SQL."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None)]
+    points = spark.createDataFrame(rows, "id long, x array<double>").repartition(2)
+    starts, sent = [x[:3].tolist(), x[5:7].tolist()], []
+    means = C._means
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(C, "_means", lambda parts, previous: sent.append(parts.count()) or means(parts, previous))
+        _, centroids = C.lloyd_all(points, starts, 2)
+    assert len(sent) == 2 and max(sent) <= 5 * spark.sparkContext.defaultParallelism
+    for c, start in zip(centroids, starts):
+        c2 = np.array(start)
+        for _ in range(2):
+            label = ((x[:, None] - c2) ** 2).sum(2).argmin(1)
+            c2 = np.array([x[label == j].mean(0) for j in range(len(c2))])
+        assert np.allclose(c, c2)
+    assigned, _, cost = C.kmeans(points, 3, "k-means||", 2, 2)
+    assert assigned.count() == 3000 and cost == pytest.approx(C.sse(assigned).first()[0])
