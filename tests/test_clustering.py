@@ -202,3 +202,18 @@ def test_steps_send_means_of_tasks(spark):
         assert np.allclose(c, c2)
     assigned, _, cost = C.kmeans(points, 3, "k-means||", 2, 2)
     assert assigned.count() == 3000 and cost == pytest.approx(C.sse(assigned).first()[0])
+
+
+def test_mllib_fits_side_by_side(spark, monkeypatch):
+    import threading
+
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.linalg import Vectors
+
+    data = spark.createDataFrame([(float(i), Vectors.dense([float(i % 7), float(i % 3)])) for i in range(30)], ["id", "features"])
+    both, fit = threading.Barrier(2, timeout=60), KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, df: both.wait() is not None and fit(self, df))
+    model = C.kmeans_mllib(data, 3, "random", restarts=2)
+    monkeypatch.undo()
+    alone = [KMeans(k=3, initMode="random", maxIter=300, seed=s, predictionCol="cluster").fit(data) for s in (0, 1)]
+    assert model.summary.trainingCost == min(m.summary.trainingCost for m in alone)
