@@ -227,3 +227,21 @@ def test_successor_blocks(spark):
     edges = spark.createDataFrame([(1, d) for d in range(10)] + [(2, 5)], "src long, dst long")
     got = {(r.id, r.block): r.successors for r in G.successors(edges, 4).collect()}
     assert got == {(1, 0): [0, 1, 2, 3], (1, 1): [4, 5, 6, 7], (1, 2): [8, 9], (2, 1): [5]}
+
+
+def test_hub_edges_are_dealt_by_destination(spark, monkeypatch):
+    """A hub's edges meet its degree in many partitions; values, null sources included, stay those of a plain join."""
+    monkeypatch.setattr(G, "HUB_DEGREE", 100)
+    rows = [(-1, i) for i in range(2000)] + [(i, i % 7) for i in range(300)] + [(i, 500) for i in range(50)] + [(None, 3)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    matrix = G.stochastic_matrix(edges)
+    plain = {(d, s): 1 / (2000 if s == -1 else 2 if s < 50 else 1) for s, d in rows if s is not None}
+    assert {(r.row, r.col): r.val for r in matrix.collect()} == plain
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = [r.n for r in G.stochastic_matrix(edges).withColumn("p", F.spark_partition_id()).where(F.col("col") + 0 * F.rand() < 0).groupBy("p").agg(F.count("row").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(many) < 1000 and sum(many) == 2000
