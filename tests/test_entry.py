@@ -37,3 +37,15 @@ def test_against_sql(spark, duck, name):
     assert columns == sorted(want.columns)
     rows = lambda f: sorted(map(repr, f[columns].astype(object).where(f[columns].notna(), None).itertuples(index=False, name=None)))
     assert rows(got) == rows(want)
+
+
+def test_push_stops_with_its_sql(spark, monkeypatch):
+    """The SQL has a fixed number of steps; a larger graph needs more (50 on five copies of sf0.1)."""
+    import re
+
+    from tarnweave.plans import queries as Q
+
+    assert max(int(k) for k in re.findall(r"\bp(\d+) AS MATERIALIZED", ORACLES["pagerank_push"])) == Q.PUSH_STEPS
+    whole = QUERIES["pagerank_push_steps"](spark, SF).collect()
+    monkeypatch.setattr(Q, "PUSH_STEPS", 2)
+    assert QUERIES["pagerank_push_steps"](spark, SF).collect() == whole[:2] and len(whole) > 2
