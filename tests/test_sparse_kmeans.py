@@ -124,3 +124,33 @@ def test_tasks_of_tfidf_by_bytes(spark, monkeypatch):
     size = docs.selectExpr("sum(octet_length(text))").first()[0]
     assert f", {-(-size // 20)})" in many._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, many.collect())) == want
+
+
+@pytest.mark.parametrize("counted", [1 << 18, 2])
+def test_points_from_texts(spark, monkeypatch, counted):
+    """The same points as from the cells of tfidf, with texts null, empty and of letters that only lower-casing makes a-z, and repeated and null identifiers."""
+    from tarnweave.operators import tfidf as V
+
+    monkeypatch.setattr(S, "COUNTED", counted)
+    texts = ["alpha beta beta gamma", None, "", "ALPHA délta Kappa alphabeta", "beta gamma delta", "12 ab", "alpha alpha gamma kappa", "kappa beta-gamma\nalpha"]
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    twice = plain.unionByName(spark.createDataFrame([(4, "alpha kappa"), (1, "gamma"), (None, "beta kappa"), (None, "kappa")], plain.schema))
+    for docs in (plain.repartition(3), twice.repartition(3), plain.limit(0)):
+        for stop in ((), ("alpha",)):
+            want = S.sparse_points(V.tfidf(docs, 2, 0.8, stop), docs, Scratch(spark, "old"))
+            got = S.text_points(docs, Scratch(spark, "new"), 2, 0.8, stop)
+            assert got.n_terms == want.n_terms and sorted(map(tuple, got.vocab.collect())) == sorted(map(tuple, want.vocab.collect()))
+            rows = lambda p: {r.doc_id: (r.square, dict(zip(r.idx, r.w))) for r in p.rows.collect()}
+            a, b = rows(got), rows(want)
+            assert got.rows.count() == want.rows.count() and set(a) == set(b) and got.rows.schema == want.rows.schema
+            assert all(a[d][0] == pytest.approx(b[d][0]) and a[d][1] == pytest.approx(b[d][1]) for d in a)
+
+
+def test_document_queries_shuffle_no_cells(spark, monkeypatch):
+    """The queries' points come from the texts, and none of their plans moves a text."""
+    from tarnweave.plans import queries as Q
+
+    monkeypatch.setattr(Q.V, "tfidf", None)
+    plan = Q.docs_kmeans_top_docs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert moved and not any("text" in line for line in moved)
