@@ -396,14 +396,15 @@ def _mixed(met: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(named.join(scratch.cut(keys.select("key", "n")), "key"))
 
 
-def _star(rows: DataFrame, turn: int, scratch: Scratch, most: int = 8) -> DataFrame:
+def _star(rows: DataFrame, turn: int, most: int = 8) -> DataFrame:
     """(a, b): rows (key, cls, comp) with heads of their keys that are in other components, each with the ``most`` it has most keys of.
 
     At the first turn the head is the least row, the same on many keys; later one drawn by key.
     """
     order = F.col("cls") if turn == 0 else F.xxhash64("cls", "key", F.lit(turn))
-    heads = scratch.cut(rows.groupBy("key").agg(F.min_by(F.struct("comp", "cls"), F.struct(order, "cls")).alias("head")))
-    pairs = rows.join(heads, "key").where("comp <> head.comp").select(F.col("cls").alias("a"), F.col("head.cls").alias("b"))
+    first = F.first(F.struct("comp", "cls")).over(Window.partitionBy("key").orderBy(order, "cls").rowsBetween(Window.unboundedPreceding, 0))
+    # a row has one head a key: no more pairs than rows
+    pairs = rows.withColumn("head", first).where("comp <> head.comp").select(F.col("cls").alias("a"), F.col("head.cls").alias("b"))
     counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     # a row has at most as many heads as keys
     chosen = counted.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), asc=False), 1, most).alias("heads"))
@@ -504,7 +505,7 @@ def _wide_links(classes: DataFrame, words: int, word_bits: int, points: int, sim
     for turn in range(2):
         mixed = _mixed(met, found, scratch)
         some = mixed.where(F.shiftrightunsigned("key", word_bits) < max(1, words // 4)) if turn == 0 else mixed
-        links = _similar(_near(_star(some, turn, scratch), classes, limit), classes, similarity, sketch)
+        links = _similar(_near(_star(some, turn), classes, limit), classes, similarity, sketch)
         found = scratch.cut(connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links), scratch))
         met = mixed
     # then all pairs of rows of different components

@@ -3,7 +3,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tarnweave.llm import simhash as S
 from tarnweave.llm.components import connected
@@ -273,3 +275,23 @@ def test_large_group_meets_on_a_part_of_its_words_first(spark, monkeypatch):
     owners = S.near_duplicates(docs).select("owner.id").distinct().collect()
     assert [r[0] for r in owners] == [0]
     assert seen[0] < sizes[0] / 3 and seen[1] < sizes[0] / 3
+
+
+@pytest.mark.parametrize("turn", [0, 1])
+def test_star_has_one_head_a_key_and_no_join(spark, turn):
+    """A key of n rows gives n - 1 pairs at most, by one shuffle of the rows; heads are those of a plain count."""
+    from tarnweave.llm.simhash import _star
+
+    rows = [(k, c, min(c, 40)) for k in range(6) for c in range(10 * k, 60)]
+    df = spark.createDataFrame(rows, "key long, cls long, comp long")
+    order = {(r.key, r.cls): r.o for r in df.select("key", "cls", F.xxhash64("cls", "key", F.lit(turn)).alias("o")).collect()}
+    want = {}
+    for key in range(6):
+        members = [(c, p) for k, c, p in rows if k == key]
+        head = min(members, key=lambda m: (m[0] if turn == 0 else order[key, m[0]], m[0]))
+        for c, p in members:
+            if p != head[1]:
+                want.setdefault(c, {}).setdefault(head[0], []).append(key)
+    got = _star(df, turn)
+    assert {(r.a, r.b) for r in got.collect()} == {(a, b) for a, heads in want.items() for b in heads}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
