@@ -21,7 +21,7 @@ Variants leave each input split packed, with bits of the rest of the print, each
 what meets another row whose bits are near is written as (key, cls). Rows are linked to first
 rows of their variants, verified and joined into components (twice), and at last all pairs of
 rows of different components on a variant are compared where they meet, and verified. Nothing is capped and no group is gathered
-in one task; pairs grow with the square of the unlinked rows on one variant.
+in one task, but for the sort that finds a variant's first row; pairs grow with the square of the unlinked rows on one variant.
 
 Defined results: identifiers are integers; a text without words (null, empty) has
 fingerprint zero and links like any other; equal texts share a fingerprint; null
