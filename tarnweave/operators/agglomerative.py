@@ -1,12 +1,14 @@
-"""Agglomerative clustering of more rows than one matrix of distances holds, in rounds.
+"""Agglomerative clustering of more rows than one matrix of distances holds, in passes.
 
 Average, complete and ward linkage are reducible: clusters that are each other's nearest end up merged whatever else is merged
-first. A round finds the nearest cluster of every cluster that has lost its own, by products of blocks of points, and merges all
-pairs that are nearest to each other. When ``LAST`` clusters are left, their distances go to the driver, which merges them to the end.
-The k - 1 highest merges of all are undone. Without ties this is the result of merging one pair at a time.
+first. A pass finds the nearest few clusters of every cluster by products of blocks of points, and gives them to the driver, which
+merges all pairs that are certainly nearest to each other: what is not in the lists is known to be at least as far as their ends.
+When ``LAST`` clusters are left, their distances go to the driver, which merges them to the end. The k - 1 highest merges of all
+are undone. Without ties this is the result of merging one pair at a time.
 
-The work is quadratic, as the method is stated; memory is that of two blocks a task. Copies of a vector are one weighted point. Rounds
-are few as long as a good share of the clusters are in mutual pairs; one cluster that all others are nearest to takes them one a round.
+The work is quadratic, as the method is stated; a task's memory is that of two blocks and the lists of its clusters. The driver holds
+``PAIRS`` pairs (or ``LEAST`` a cluster) and a few numbers a vector, never the vectors. Copies of a vector are one weighted point.
+A pass merges one pair at least; each halved the clusters or so on random vectors.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import Scratch
@@ -24,138 +26,218 @@ from . import clustering as C
 
 #: Clusters whose distances the driver holds (128 MB); points of a block.
 LAST, BLOCK = 4000, 1024
+#: Pairs that a pass gives the driver, and the least of them for each cluster.
+PAIRS, LEAST = 4_000_000, 8
 
-_PAIRS = "a long, b long, v double, w double"
+_PACKED = "blk string, whole boolean, cluster binary, n binary, x binary"
+_CELLS = "a long, b long, v double, w double"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a block (cluster, id, n, x) as bytes, which are cheap to pair."""
+    for batch in batches:
+        out = []
+        for i in range(batch.num_rows):
+            cells = batch.column("rows").slice(i, 1).flatten()
+            out.append([c.tobytes() for c in (cells.field("cluster").to_numpy(), cells.field("n").to_numpy().astype(float), cells.field("x").flatten().to_numpy())])
+        packed = [pa.array(c, pa.binary()) for c in zip(*out)] if out else [pa.array([], pa.binary())] * 3
+        yield pa.RecordBatch.from_arrays([batch.column("blk"), batch.column("whole"), *packed], names=["blk", "whole", "cluster", "n", "x"])
 
 
 def _tables(batch: pa.RecordBatch, side: str) -> Iterator[tuple]:
     """Name, whether its clusters are all complete, clusters, weights and vectors of the blocks in a batch."""
-    rows = batch.column(f"{side}_rows")
-    for i, (name, whole) in enumerate(zip(batch.column(f"{side}_blk").to_pylist(), batch.column(f"{side}_whole").to_pylist())):
-        cells = rows.slice(i, 1).flatten()
-        cluster, n, x = (cells.field(f) for f in ("cluster", "n", "x"))
-        yield name, whole, cluster.to_numpy(), n.to_numpy().astype(float), x.flatten().to_numpy().reshape(len(cells), -1)
+    column = lambda c: batch.column(f"{side}_{c}")
+    for i in range(batch.num_rows):
+        cluster, n, x = (np.frombuffer(column(c)[i].as_buffer(), t) for c, t in (("cluster", np.int64), ("n", float), ("x", float)))
+        yield column("blk")[i].as_py(), column("whole")[i].as_py(), cluster, n, x.reshape(len(n), -1)
+
+
+class _Nearest:
+    """The ``most`` nearest clusters of each cluster ``a`` among those seen."""
 
+    def __init__(self, a: np.ndarray, most: int):
+        self.a, self.most, self.limit = a, most, np.full(len(a), np.inf)
+        self.row, self.b, self.d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.new: list = []
 
-def _cells(linkage: str, every: bool):
+    def add(self, b: np.ndarray, d: np.ndarray) -> None:
+        if np.isinf(self.limit).all() and d.shape[1] > self.most:
+            j = np.argpartition(d, self.most - 1, axis=1)[:, : self.most].ravel()
+            i = np.repeat(np.arange(len(d)), self.most)
+        else:
+            i, j = np.divmod(np.flatnonzero(d < self.limit[:, None]), d.shape[1])
+        self.new.append((i, b[j], d[i, j]))
+        if sum(len(x[0]) for x in self.new) * 2 >= len(self.row):
+            self.settle()
+
+    def settle(self) -> None:
+        row, b, d = (np.concatenate((was, *(x[c] for x in self.new))) for c, was in enumerate((self.row, self.b, self.d)))
+        there = np.isfinite(d)
+        row, b, d, self.new = row[there], b[there], d[there], []
+        order = np.lexsort((b, d, row))
+        row, b, d = row[order], b[order], d[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        self.limit[row[place == self.most - 1]] = d[place == self.most - 1]
+        self.row, self.b, self.d = (x[place < self.most] for x in (row, b, d))
+
+
+def _cells(linkage: str, most: int | None):
     """Pairs of blocks to (a, b, v, w): the distance of clusters is the sum of v by that of w, or the greatest v for complete linkage.
 
-    Of complete clusters only the nearest b of each a goes on, unless ``every`` pair is wanted.
+    Of complete clusters only the ``most`` nearest b of each a go on; without ``most`` every pair a < b does.
     """
 
-    def between(left: tuple, right: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def between(left: tuple, right: tuple) -> tuple:
         (_, _, ca, na, x), (_, _, cb, nb, y) = left, right
-        d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
-        w = na[:, None] * nb[None]
+        ends = lambda p, *c: np.column_stack((p, *c))
+        d = ends(-2 * x, (x * x).sum(1), np.ones(len(x))) @ ends(y, np.ones(len(y)), (y * y).sum(1)).T
+        np.maximum(d, 0, out=d)
         if linkage == "ward":
-            return ca, cb, d * (2 * w / (na[:, None] + nb[None])), np.ones_like(d)
-        d = np.sqrt(d)
+            d *= 2 * na[:, None]
+            d *= nb[None] / (na[:, None] + nb[None])
+            return ca, cb, d, None
+        np.sqrt(d, out=d)
         (a, i), (b, j) = np.unique(ca, return_index=True), np.unique(cb, return_index=True)
         if linkage == "complete":
             d = d if len(a) == len(ca) else np.maximum.reduceat(d, i, axis=0)
             d = d if len(b) == len(cb) else np.maximum.reduceat(d, j, axis=1)
-            return a, b, d, np.ones_like(d)
-        d *= w
-        d = d if len(a) == len(ca) else np.add.reduceat(d, i, axis=0)
-        d = d if len(b) == len(cb) else np.add.reduceat(d, j, axis=1)
+            return a, b, d, None
+        if len(a) < len(ca) or na.max() > 1:
+            d *= na[:, None]
+            d = np.add.reduceat(d, i, axis=0)
+        if len(b) < len(cb) or nb.max() > 1:
+            d *= nb[None]
+            d = np.add.reduceat(d, j, axis=1)
         return a, b, d, np.add.reduceat(na, i)[:, None] * np.add.reduceat(nb, j)[None]
 
     def rows(a, b, v, w) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(v), pa.array(w)], names=["a", "b", "v", "w"])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        best: dict = {}
+        lists: dict = {}
         for batch in batches:
             for left, right in zip(_tables(batch, "l"), _tables(batch, "r")):
                 a, b, v, w = between(left, right)
-                if every or not (left[1] and right[1]):
-                    i, j = np.nonzero(a[:, None] < b[None] if every else a[:, None] != b[None])
-                    yield rows(a[i], b[j], v[i, j], w[i, j])
+                if most is None or not (left[1] and right[1]):
+                    i, j = np.nonzero(a[:, None] < b[None] if most is None else a[:, None] != b[None])
+                    yield rows(a[i], b[j], v[i, j], np.ones(len(i)) if w is None else w[i, j])
                     continue
-                d = np.where(a[:, None] == b[None], np.inf, v / w)
-                at = d.argmin(1)
-                low, near = d[np.arange(len(a)), at], b[at]
-                if left[0] in best:
-                    _, before, was = best[left[0]]
-                    old = (before < low) | ((before == low) & (was < near))
-                    low, near = np.where(old, before, low), np.where(old, was, near)
-                best[left[0]] = a, low, near
-        for a, low, near in best.values():
-            there = np.isfinite(low)
-            yield rows(a[there], near[there], low[there], np.ones(int(there.sum())))
+                if w is not None:
+                    v /= w
+                _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+                v[i, j] = np.inf
+                if left[0] not in lists:
+                    lists[left[0]] = _Nearest(a, most)
+                lists[left[0]].add(b, v)
+        for near in lists.values():
+            near.settle()
+            yield rows(near.a[near.row], near.b, near.d, np.ones(len(near.row)))
 
     return run
 
 
-def _blocks(points: DataFrame, clusters: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, int]:
-    """(blk, whole, rows) and how many there are: points (id, x, n, cluster) in blocks of complete clusters, or pieces of a large one, for those in ``clusters`` (cluster, size)."""
+def _blocks(points: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(blk, whole, cluster, n, x) and how many there are: ``n`` points (id, x, n, cluster, size) in blocks of complete clusters, or pieces of a large one, packed."""
     pieces = F.ceil(F.col("size") / BLOCK)
     own = F.concat_ws(":", "cluster", F.pmod(F.xxhash64("id"), pieces))
     shared = F.pmod(F.xxhash64("cluster"), F.lit(max(1, math.ceil(n / BLOCK)))).cast("string")
     large = F.col("size") > BLOCK // 4
-    dealt = points.join(clusters, "cluster").select(F.when(large, own).otherwise(shared).alias("blk"), (pieces == 1).alias("whole"), F.struct("cluster", "id", "n", "x").alias("p"))
-    blocks, seen = scratch.cut_counting(dealt.groupBy("blk").agg(F.min("whole").alias("whole"), F.sort_array(F.collect_list("p")).alias("rows")), n=F.count(F.lit(1)))
+    dealt = points.select(F.when(large, own).otherwise(shared).alias("blk"), (pieces == 1).alias("whole"), F.struct("cluster", "id", "n", "x").alias("p"))
+    points.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 25))
+    rows = dealt.groupBy("blk").agg(F.min("whole").alias("whole"), F.sort_array(F.collect_list("p")).alias("rows"))
+    blocks, seen = scratch.cut_counting(rows.mapInArrow(_pack, _PACKED), n=F.count(F.lit(1)))
     return blocks, seen["n"]
 
 
-def _compared(left: tuple[DataFrame, int], right: tuple[DataFrame, int], linkage: str, every: bool) -> DataFrame:
-    """(a, b, d) of clusters in ``left`` and others in ``right``: enough of them to hold each a's nearest, or ``every`` a < b."""
-    spark = left[0].sparkSession
-    named = lambda df, side: df.select(*[F.col(c).alias(f"{side}_{c}") for c in ("blk", "whole", "rows")])
+def _compared(blocks: tuple[DataFrame, int], linkage: str, most: int | None, pieces: bool) -> pa.Table:
+    """(a, b, d) of clusters: the ``most`` nearest b of each a, or every a < b; ``pieces`` says that a cluster is in several blocks."""
+    packed, n = blocks
+    spark = packed.sparkSession
+    named = lambda side: packed.select(*[F.col(c).alias(f"{side}_{c}") for c in packed.columns])
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 25))  # a row has two blocks
-    # a task holds some 64 blocks of the right side
-    spread = named(left[0], "l").repartition(max(1, min(4 * spark.sparkContext.defaultParallelism, left[1])))
-    packs = named(right[0], "r").repartition(-(-max(1, right[1]) // 64))
-    pairs = spread.hint("shuffle_replicate_nl").crossJoin(packs)
-    found = pairs.mapInArrow(_cells(linkage, every), _PAIRS).groupBy("a", "b")
-    return found.agg((F.max("v") if linkage == "complete" else F.sum("v") / F.sum("w")).alias("d"))
+    # a task holds some 128 blocks of the right side
+    parts = -(-max(1, n) // 128)
+    spread = named("l").repartition(max(1, min(4 * spark.sparkContext.defaultParallelism, n)))
+    packs = named("r").repartition(parts)
+    found = spread.hint("shuffle_replicate_nl").crossJoin(packs).mapInArrow(_cells(linkage, most), _CELLS)
+    if pieces:
+        found = found.groupBy("a", "b").agg((F.max("v") if linkage == "complete" else F.sum("v") / F.sum("w")).alias("d"))
+    else:
+        found = found.select("a", "b", (F.col("v") / F.col("w")).alias("d"))
+    if most is not None and (pieces or parts > 1):  # else a task has seen all b of its a
+        place = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+        found = found.select("*", place.alias("place")).where(F.col("place") <= most).drop("place")
+    return found.toArrow()
 
 
-def _roots(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(child, root) of edges (child, parent), by doubling."""
-    now = scratch.cut(edges.select("child", F.col("parent").alias("root")))
-    while True:
-        up = now.select(F.col("child").alias("root"), F.col("root").alias("next"))
-        after, seen = scratch.cut_counting(now.join(up, "root", "left").select("child", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), ["child", "root"], moved=F.count_if("moved"))
-        scratch.drop(now)
-        now = after
-        if not seen["moved"]:
-            return now
-
-
-def _nearest_pairs(points: DataFrame, m: int, linkage: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, list[DataFrame], int]:
-    """Rounds until ``LAST`` clusters are left: their points (for ward, centroids), where each point went, tables of merges (parent, child, d), clusters left."""
-    ward, n = linkage == "ward", m
-    where, merges, near, stale = points.select("id", "cluster"), [], None, None
-    while m > LAST:
-        sizes = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-        n = m if ward else n
-        right = _blocks(points, sizes, n, scratch)
-        left = right if stale is None else _blocks(points, sizes.join(stale, "cluster", "left_semi"), n, scratch)
-        found = _compared(left, right, linkage, False).groupBy("a").agg(F.min(F.struct("d", "b")).alias("s")).select("a", "s.b", "s.d")
-        now = scratch.cut(found if near is None else near.unionByName(found))
-        mutual = now.alias("p").join(now.alias("q"), F.expr("p.b = q.a AND q.b = p.a AND p.a < p.b")).select(F.col("p.a").alias("parent"), F.col("p.b").alias("child"), F.col("p.d").alias("d"))
-        merged, seen = scratch.cut_counting(mutual, n=F.count(F.lit(1)))
-        if not seen["n"]:  # rounded sums can leave near ties without a mutual pair
-            least = now.orderBy("d", F.least("a", "b"), F.greatest("a", "b")).limit(1)
-            merged, seen = scratch.cut_counting(least.select(F.least("a", "b").alias("parent"), F.greatest("a", "b").alias("child"), "d"), n=F.count(F.lit(1)))
-        merges.append(merged)
-        m -= seen["n"]
-        up = merged.select(F.col("child").alias("cluster"), "parent")
-        moved = lambda df: df.join(up, "cluster", "left").withColumn("cluster", F.coalesce("parent", "cluster")).drop("parent")
-        after = moved(points)
-        if ward:
-            where = scratch.cut(moved(where))
-            mean = F.transform(F.arrays_zip("x", "y"), lambda z: (z["x"] * F.col("n") + z["y"] * F.col("k")) / (F.col("n") + F.col("k")))
-            other = points.join(up, "cluster").select(F.col("parent").alias("cluster"), F.col("x").alias("y"), F.col("n").alias("k"))
-            alone = points.join(up, "cluster", "left_anti").join(other, "cluster", "left")
-            after = alone.select("id", F.when(F.col("k").isNull(), F.col("x")).otherwise(mean).alias("x"), (F.col("n") + F.coalesce("k", F.lit(0))).alias("n"), "cluster")
-        points = scratch.cut(after)
-        touched = scratch.cut(merged.select(F.explode(F.array("parent", "child")).alias("b")))
-        left_alone = now.join(touched.withColumnRenamed("b", "a"), "a", "left_anti")
-        near = left_alone.join(touched, "b", "left_anti").select("a", "b", "d")
-        stale = scratch.cut(left_alone.join(touched, "b", "left_semi").select(F.col("a").alias("cluster")).unionByName(merged.select(F.col("parent").alias("cluster"))))
-    return points, where if ward else points.select("id", "cluster"), merges, m
+def settled(a: np.ndarray, b: np.ndarray, d: np.ndarray, bound: np.ndarray, size: np.ndarray, linkage: str) -> list[tuple]:
+    """Rounds (parents, children, distances) of the merges that hold whatever the other pairs' distances are.
+
+    Clusters a < b are d apart; any other pair is at least the greater ``bound`` of its two apart. Merged clusters get their distances
+    by Lance-Williams, from bounds where one isn't known: such a distance is a lower bound and no pair for merging.
+    """
+    m, exact, out = len(size), np.ones(len(a), bool), []
+    size, bound = size.astype(float), bound.copy()
+    order = np.lexsort((b, a, d))
+    a, b, d = a[order], b[order], d[order]
+    while len(a):
+        places = np.arange(len(a))
+        first = np.full((2, m), len(a))
+        first[0, a[::-1]], first[1, b[::-1]] = places[::-1], places[::-1]
+        p, first = first[0], first.min(0)
+        p = p[p < len(a)]
+        p = p[(first[a[p]] == p) & (first[b[p]] == p) & exact[p] & (d[p] <= np.minimum(bound[a[p]], bound[b[p]]))]
+        if not len(p):
+            break
+        i, j, h = a[p], b[p], d[p]
+        out.append((i, j, h))
+        child, height, to, hit = np.full(m, -1), np.zeros(m), np.arange(m), np.zeros(m, bool)
+        child[i], height[i], to[j], hit[i], hit[j] = j, h, i, True, True
+        was, least = size.copy(), bound.copy()
+        size[i] += size[j]
+        bound[i] = np.maximum(least[i], least[j]) if linkage == "complete" else (was[i] * least[i] + was[j] * least[j]) / size[i]
+        changed = hit[a] | hit[b]
+        olds, news = np.stack((a[changed], b[changed])), to[np.stack((a[changed], b[changed]))]
+        swap = news[0] > news[1]
+        olds, news = np.where(swap, olds[::-1], olds), np.where(swap, news[::-1], news)
+        two = news[0] != news[1]
+        olds, news, known, sure = olds[:, two], news[:, two], d[changed][two], exact[changed][two]
+        pairs, group = np.unique(news[0] * m + news[1], return_inverse=True)
+        e, f = pairs // m, pairs % m
+        # up to four pairs of old clusters make a new one
+        left, right = np.stack((e, e, child[e], child[e]), 1), np.stack((f, child[f], f, child[f]), 1)
+        real = (left >= 0) & (right >= 0)
+        v, firm, slot = np.maximum(least[left], least[right]), ~real, 2 * (olds[0] != news[0]) + (olds[1] != news[1])
+        v[group, slot], firm[group, slot] = known, sure
+        v[~real] = 0
+        if linkage == "complete":
+            v = v.max(1)
+        elif linkage == "average":
+            v = (v * was[left] * was[right]).sum(1) / (size[e] * size[f])
+        else:
+            v = ((v * (was[left] + was[right])).sum(1) - size[f] * height[e] - size[e] * height[f]) / (size[e] + size[f])
+        firm = firm.all(1)
+        use = np.flatnonzero(firm | (v < np.maximum(bound[e], bound[f])))  # else the bounds say as much
+        use = use[np.argsort(v[use], kind="stable")]
+        a, b, d, exact = a[~changed], b[~changed], d[~changed], exact[~changed]
+        put = np.searchsorted(d, v[use], side="right")
+        a, b, d, exact = (np.insert(x, put, y[use]) for x, y in ((a, e), (b, f), (d, v), (exact, firm)))
+    return out
+
+
+def _labels(merges: list[tuple], m: int, k: int) -> np.ndarray:
+    """The cluster, named by its least member, of each of m points after all merges but the k - 1 highest."""
+    top, heights = np.zeros(m), []
+    for i, j, h in merges:  # rounded, a merge may seem lower than one below it
+        top[i] = np.maximum(h, np.maximum(top[i], top[j]))
+        heights.append(top[i])
+    parent, child = (np.concatenate([x[c] for x in merges]) for c in (0, 1))
+    kept = np.argsort(np.concatenate(heights), kind="stable")[: m - k]
+    root = np.arange(m)
+    root[child[kept]] = parent[kept]
+    while not np.array_equal(root, root[root]):
+        root = root[root]
+    return root
 
 
 def agglomerative_in_rounds(points: DataFrame, k: int, linkage: str = "ward") -> DataFrame:
@@ -164,36 +246,62 @@ def agglomerative_in_rounds(points: DataFrame, k: int, linkage: str = "ward") ->
         raise ValueError(f"linkage is one of {C.LINKAGES}")
     spark, scratch = points.sparkSession, Scratch(points.sparkSession, "agglomerative")
     given = scratch.cut(points.select("id", "x"))
-    distinct, seen = scratch.cut_counting(given.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "x", "n", F.col("id").alias("cluster")), m=F.count(F.lit(1)))
-    copies = given.join(distinct.select("x", "cluster"), "x").select("id", "cluster")
+    distinct, seen = scratch.cut_counting(given.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "x", "n"), m=F.count(F.lit(1)))
+    copies = given.join(distinct.select("x", F.col("id").alias("cluster")), "x").select("id", "cluster")
     m = seen["m"]
     if m <= k:  # copies stay apart, those of the highest numbers
         alone = copies.where("id <> cluster").orderBy(F.desc("cluster"), F.desc("id")).limit(k - m).select("id", F.col("id").alias("own"))
         every = scratch.cut(copies.join(alone, "id", "left").select("id", F.coalesce("own", "cluster").alias("root")))
         return _numbered(every, sorted(r[0] for r in every.select("root").distinct().collect()))
-    last, where, merges, m = _nearest_pairs(distinct, m, linkage, scratch)
-    sizes = scratch.cut(last.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n")))
-    blocks = _blocks(last, sizes.drop("n"), m if linkage == "ward" else seen["m"], scratch)
-    names, weights = (np.array(c) for c in zip(*sorted((r.cluster, r.n) for r in sizes.collect())))
-    table = _compared(blocks, blocks, linkage, True).toArrow()
-    i, j = (np.searchsorted(names, table.column(c).to_numpy()) for c in ("a", "b"))
-    d = np.full((m, m), np.inf)
-    d[i, j] = d[j, i] = table.column("d").to_numpy()
-    top = [(h, int(names[a]), int(names[b])) for a, b, h in C.merged(d, weights.astype(float), 1, linkage)]
-    below = spark.read.parquet(*[x._scratch_path for x in merges]) if merges else None
-    high = [] if below is None else [(r.d, r.parent, r.child) for r in below.orderBy(F.desc("d"), F.desc("parent"), F.desc("child")).limit(k - 1).collect()]
-    cut = {c for _, _, c in sorted(top + high)[len(top) + len(high) - (k - 1) :]} if k > 1 else set()
-    up = {b: a for _, a, b in top if b not in cut}
-    root = {}
-    for c in names.tolist():  # a parent's name is lower
-        root[c] = root[up[c]] if c in up else c
-    deep = sorted(c for _, _, c in high if c in cut)
-    if deep:  # merges of the rounds are undone too
-        where = _roots(below.where(~F.col("child").isin(deep)), scratch)
-        where = distinct.select("id").join(where.withColumnRenamed("child", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
-    tops = spark.createDataFrame(sorted(root.items()), "cluster long, root long")
-    rooted = where.join(F.broadcast(tops), "cluster", "left").select(F.col("id").alias("cluster"), F.coalesce("root", "cluster").alias("root"))
-    return _numbered(scratch.cut(copies.join(rooted, "cluster").select("id", "root")), sorted({*root.values(), *deep}))
+    table = distinct.select("id", "n").toArrow().sort_by("id")
+    names, size = table.column("id").to_numpy(), table.column("n").to_numpy().astype(float)
+    alive, root, merges, now = np.arange(m), np.arange(m), [], distinct
+    while True:
+        held = np.ones(m, np.int64) if linkage == "ward" else np.bincount(root, minlength=m)
+        if linkage == "ward":  # centroids stand for their points
+            dealt = now.select("*", F.col("id").alias("cluster"), F.lit(1).alias("size"))
+        else:
+            dealt = now.join(spark.createDataFrame(pa.table({"id": names, "cluster": names[root], "size": held[root]})), "id")
+        few, pieces = len(alive) <= LAST, bool(held.max() > BLOCK)
+        most = None if few else min(max(LEAST, PAIRS // len(alive)), len(alive) - 1)
+        blocks = _blocks(dealt, len(alive) if linkage == "ward" else m, scratch)
+        found = _compared(blocks, linkage, most, pieces)
+        scratch.drop(blocks[0])
+        a, b = (np.searchsorted(names[alive], found.column(c).to_numpy()) for c in ("a", "b"))
+        d = found.column("d").to_numpy()
+        del found
+        if few:
+            matrix = np.full((len(alive), len(alive)), np.inf)
+            matrix[a, b] = matrix[b, a] = d
+            merges += [(alive[[i]], alive[[j]], np.array([h])) for i, j, h in C.merged(matrix, size[alive], 1, linkage)]
+            break
+        bound = np.full(len(alive), np.inf)
+        if most < len(alive) - 1:
+            bound[:] = 0
+            np.maximum.at(bound, a, d)
+        low = np.lexsort((d, np.maximum(a, b), np.minimum(a, b)))
+        a, b, d = np.minimum(a, b)[low], np.maximum(a, b)[low], d[low]
+        once = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        done = [(alive[i], alive[j], h) for i, j, h in settled(a[once], b[once], d[once], bound, size[alive], linkage)]
+        to = np.arange(m)
+        for i, j, _ in done:
+            size[i] += size[j]
+            to[j] = i
+        while not np.array_equal(to, to[to]):
+            to = to[to]
+        merges += done
+        alive, root = alive[to[alive] == alive], to[root]
+        if linkage == "ward":
+            mean = F.aggregate("z", F.transform(F.col("z")[0]["x"], lambda _: F.lit(0.0)), lambda s, p: F.zip_with(s, p["x"], lambda u, v: u + v * p["n"]))
+            moved = now.join(spark.createDataFrame(pa.table({"id": names, "cluster": names[to]})), "id")
+            sums = moved.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("id", "n", "x"))).alias("z"), F.sum("n").alias("n"))
+            centroids = scratch.cut(sums.select(F.col("cluster").alias("id"), F.transform(mean, lambda v: v / F.col("n")).alias("x"), "n"))
+            if now is not distinct:
+                scratch.drop(now)
+            now = centroids
+    root = _labels(merges, m, k)
+    rooted = spark.createDataFrame(pa.table({"cluster": names, "root": names[root]}))
+    return _numbered(scratch.cut(copies.join(rooted, "cluster").select("id", "root")), names[np.unique(root)].tolist())
 
 
 def _numbered(rooted: DataFrame, roots: list) -> DataFrame:

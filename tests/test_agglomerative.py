@@ -25,3 +25,18 @@ def test_fewer_vectors_than_clusters(spark):
     points = spark.createDataFrame([(i, [float(i // 3)]) for i in range(6)], "id long, x array<double>")
     got = A.agglomerative_in_rounds(points, 3).orderBy("id").collect()
     assert [r.cluster for r in got] == C.agglomerate(np.array([[i // 3] for i in range(6)], float), 3).tolist()
+
+
+@pytest.mark.parametrize("linkage", C.LINKAGES)
+def test_a_pass_merges_many_rounds(spark, monkeypatch, linkage):
+    """Comparing all points is what takes time: a pass with lists of eight clusters saves several rounds of mutual nearest pairs."""
+    monkeypatch.setattr(A, "LAST", 20)
+    monkeypatch.setattr(A, "BLOCK", 64)
+    monkeypatch.setattr(A, "PAIRS", 2400, raising=False)
+    compared, passes = A._compared, []
+    monkeypatch.setattr(A, "_compared", lambda *a: passes.append(1) or compared(*a))
+    x = np.random.default_rng(8).normal(size=(300, 6))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    got = A.agglomerative_in_rounds(points, 5, linkage).orderBy("id").collect()
+    assert [r.cluster for r in got] == C.agglomerate(x, 5, linkage).tolist()
+    assert len(passes) <= 9
