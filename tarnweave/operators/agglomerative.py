@@ -6,6 +6,9 @@ merges all pairs that are certainly nearest to each other: what is not in the li
 When ``LAST`` clusters are left, their distances go to the driver, which merges them to the end. The k - 1 highest merges of all
 are undone. Without ties this is the result of merging one pair at a time.
 
+For average and complete linkage the distances of the last ``DENSE`` clusters are kept in a table; average linkage, whose lists soon
+hold back, then merges the ``LAST`` clusters with the nearest others up to the least distance of any cluster beside them.
+
 The work is quadratic, as the method is stated; a task's memory is that of two blocks and the lists of its clusters. The driver holds
 ``PAIRS`` pairs (or ``LEAST`` a cluster) and a few numbers a vector, never the vectors. Copies of a vector are one weighted point.
 A pass merges one pair at least; each halved the clusters or so on random vectors.
@@ -28,9 +31,12 @@ from . import clustering as C
 LAST, BLOCK = 4000, 1024
 #: Pairs that a pass gives the driver, and the least of them for each cluster.
 PAIRS, LEAST = 4_000_000, 8
+#: Clusters whose distances go to a table once (2 GB) instead of being taken from the points in every pass.
+DENSE = 16384
 
 _PACKED = "blk string, whole boolean, cluster binary, n binary, x binary"
 _CELLS = "a long, b long, v double, w double"
+_ROWS = "a long, x binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,11 +87,8 @@ class _Nearest:
         self.row, self.b, self.d = (x[place < self.most] for x in (row, b, d))
 
 
-def _cells(linkage: str, most: int | None):
-    """Pairs of blocks to (a, b, v, w): the distance of clusters is the sum of v by that of w, or the greatest v for complete linkage.
-
-    Of complete clusters only the ``most`` nearest b of each a go on; without ``most`` every pair a < b does.
-    """
+def _between(linkage: str):
+    """Of two blocks: clusters a and b, (a, b) values v and weights w or None for ones; ``_cells`` says what they mean."""
 
     def between(left: tuple, right: tuple) -> tuple:
         (_, _, ca, na, x), (_, _, cb, nb, y) = left, right
@@ -110,6 +113,16 @@ def _cells(linkage: str, most: int | None):
             d = np.add.reduceat(d, j, axis=1)
         return a, b, d, np.add.reduceat(na, i)[:, None] * np.add.reduceat(nb, j)[None]
 
+    return between
+
+
+def _cells(linkage: str, most: int | None):
+    """Pairs of blocks to (a, b, v, w): the distance of clusters is the sum of v by that of w, or the greatest v for complete linkage.
+
+    Of complete clusters only the ``most`` nearest b of each a go on; without ``most`` every pair a < b does.
+    """
+    between = _between(linkage)
+
     def rows(a, b, v, w) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(v), pa.array(w)], names=["a", "b", "v", "w"])
 
@@ -149,8 +162,8 @@ def _blocks(points: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, int
     return blocks, seen["n"]
 
 
-def _compared(blocks: tuple[DataFrame, int], linkage: str, most: int | None, pieces: bool) -> pa.Table:
-    """(a, b, d) of clusters: the ``most`` nearest b of each a, or every a < b; ``pieces`` says that a cluster is in several blocks."""
+def _paired(blocks: tuple[DataFrame, int]) -> tuple[DataFrame, int]:
+    """All pairs of blocks, and among how many tasks those of one left block are."""
     packed, n = blocks
     spark = packed.sparkSession
     named = lambda side: packed.select(*[F.col(c).alias(f"{side}_{c}") for c in packed.columns])
@@ -159,7 +172,13 @@ def _compared(blocks: tuple[DataFrame, int], linkage: str, most: int | None, pie
     parts = -(-max(1, n) // 128)
     spread = named("l").repartition(max(1, min(4 * spark.sparkContext.defaultParallelism, n)))
     packs = named("r").repartition(parts)
-    found = spread.hint("shuffle_replicate_nl").crossJoin(packs).mapInArrow(_cells(linkage, most), _CELLS)
+    return spread.hint("shuffle_replicate_nl").crossJoin(packs), parts
+
+
+def _compared(blocks: tuple[DataFrame, int], linkage: str, most: int | None, pieces: bool) -> pa.Table:
+    """(a, b, d) of clusters: the ``most`` nearest b of each a, or every a < b; ``pieces`` says that a cluster is in several blocks."""
+    pairs, parts = _paired(blocks)
+    found = pairs.mapInArrow(_cells(linkage, most), _CELLS)
     if pieces:
         found = found.groupBy("a", "b").agg((F.max("v") if linkage == "complete" else F.sum("v") / F.sum("w")).alias("d"))
     else:
@@ -170,6 +189,108 @@ def _compared(blocks: tuple[DataFrame, int], linkage: str, most: int | None, pie
     return found.toArrow()
 
 
+def _as_rows(held: dict) -> Iterator[pa.RecordBatch]:
+    """(a, x) of {a: array}, some 8 MB a batch."""
+    every = sorted(held)
+    step = max(1, (1 << 20) // len(held[every[0]])) if every else 1
+    for at in range(0, len(every), step):
+        some = every[at : at + step]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([held[a].tobytes() for a in some], pa.binary())], names=["a", "x"])
+
+
+def _row_cells(linkage: str, names: np.ndarray):
+    """Pairs of blocks to (a, x): the values v of cluster a, by place in ``names``, and all clusters, as far as the blocks have them."""
+    between, add = _between(linkage), np.maximum if linkage == "complete" else np.add
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held: dict = {}
+        for batch in batches:
+            for left, right in zip(_tables(batch, "l"), _tables(batch, "r")):
+                a, b, v, _ = between(left, right)
+                at = np.searchsorted(names, b)
+                for i, row in zip(np.searchsorted(names, a).tolist(), v):
+                    mine = held.setdefault(i, np.zeros(len(names)))
+                    mine[at] = add(mine[at], row)
+        yield from _as_rows(held)
+
+    return run
+
+
+def _summed(rows: DataFrame, linkage: str, to: np.ndarray | None, parts: int) -> DataFrame:
+    """Rows (a, x) of clusters that are one after ``to`` (place by former place) put together, in their columns as well."""
+    add = np.maximum if linkage == "complete" else np.add
+    order = None if to is None else np.argsort(to, kind="stable")
+    starts = None if to is None else np.searchsorted(to[order], np.arange(to.max() + 1))
+
+    def narrow(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            a = to[batch.column("a").to_numpy()]
+            x = [add.reduceat(np.frombuffer(v.as_buffer(), float)[order], starts).tobytes() for v in batch.column("x")]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(x, pa.binary())], names=["a", "x"])
+
+    def together(batches: Iterator[pa.RecordBatch]):
+        held: dict = {}
+        for batch in batches:
+            for a, v in zip(batch.column("a").to_pylist(), batch.column("x")):
+                x = np.frombuffer(v.as_buffer(), float)
+                held[a] = add(held[a], x) if a in held else x.copy()
+        yield from _as_rows(held)
+
+    narrowed = rows if to is None else rows.mapInArrow(narrow, _ROWS)
+    return narrowed.repartition(parts, "a").mapInArrow(together, _ROWS)
+
+
+def _lists(linkage: str, size: np.ndarray, most: int):
+    """Rows (a, x) to (a, b, d) of the ``most`` nearest b of each a."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for a, v in zip(batch.column("a").to_pylist(), batch.column("x")):
+                d = _distances(np.frombuffer(v.as_buffer(), float), a, size, linkage)
+                b = np.argpartition(d, most - 1)[:most]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(most, a)), pa.array(b), pa.array(d[b])], names=["a", "b", "d"])
+
+    return run
+
+
+def _lowest(rows: DataFrame, linkage: str, size: np.ndarray) -> list[tuple]:
+    """Merges (parent, child, distance), one pair after the other, as far as the ``LAST`` clusters with the nearest others tell; all others' nearest are farther."""
+
+    def near(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            a = batch.column("a")
+            low = [_distances(np.frombuffer(v.as_buffer(), float), i, size, linkage).min() for i, v in zip(a.to_pylist(), batch.column("x"))]
+            yield pa.RecordBatch.from_arrays([a, pa.array(low, pa.float64())], names=["a", "d"])
+
+    found = rows.mapInArrow(near, "a long, d double").toArrow().sort_by([("d", "ascending"), ("a", "ascending")])
+    some, limit = np.sort(found.column("a").to_numpy()[:LAST]), found.column("d").to_numpy()[LAST]
+
+    def among(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for a, v in zip(batch.column("a").to_pylist(), batch.column("x")):
+                if some[min(np.searchsorted(some, a), len(some) - 1)] == a:
+                    d = _distances(np.frombuffer(v.as_buffer(), float), a, size, linkage)[some]
+                    yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([d.tobytes()], pa.binary())], names=["a", "x"])
+
+    matrix, out = np.empty((len(some), len(some))), []
+    for batch in rows.mapInArrow(among, _ROWS).toArrow().to_batches():
+        for a, v in zip(batch.column("a").to_pylist(), batch.column("x")):
+            matrix[np.searchsorted(some, a)] = np.frombuffer(v.as_buffer(), float)
+    np.minimum(matrix, matrix.T.copy(), out=matrix)  # the two sums of a pair may be rounded differently
+    for i, j, h in C.merged(matrix, size[some], 1, linkage):
+        if h > limit and out:
+            break
+        out.append((some[[i]], some[[j]], np.array([h])))
+    return out
+
+
+def _distances(x: np.ndarray, a: int, size: np.ndarray, linkage: str) -> np.ndarray:
+    """Of cluster a to all, infinite to itself, from its row."""
+    d = x.copy() if linkage == "complete" else x / (size[a] * size)
+    d[a] = np.inf
+    return d
+
+
 def settled(a: np.ndarray, b: np.ndarray, d: np.ndarray, bound: np.ndarray, size: np.ndarray, linkage: str) -> list[tuple]:
     """Rounds (parents, children, distances) of the merges that hold whatever the other pairs' distances are.
 
@@ -225,6 +346,18 @@ def settled(a: np.ndarray, b: np.ndarray, d: np.ndarray, bound: np.ndarray, size
     return out
 
 
+def _from_lists(a: np.ndarray, b: np.ndarray, d: np.ndarray, size: np.ndarray, most: int, linkage: str) -> list[tuple]:
+    """``settled`` of the ``most`` nearest b of each a."""
+    bound = np.full(len(size), np.inf)
+    if most < len(size) - 1:
+        bound[:] = 0
+        np.maximum.at(bound, a, d)
+    low = np.lexsort((d, np.maximum(a, b), np.minimum(a, b)))
+    a, b, d = np.minimum(a, b)[low], np.maximum(a, b)[low], d[low]
+    once = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    return settled(a[once], b[once], d[once], bound, size, linkage)
+
+
 def _labels(merges: list[tuple], m: int, k: int) -> np.ndarray:
     """The cluster, named by its least member, of each of m points after all merges but the k - 1 highest."""
     top, heights = np.zeros(m), []
@@ -255,34 +388,52 @@ def agglomerative_in_rounds(points: DataFrame, k: int, linkage: str = "ward") ->
         return _numbered(every, sorted(r[0] for r in every.select("root").distinct().collect()))
     table = distinct.select("id", "n").toArrow().sort_by("id")
     names, size = table.column("id").to_numpy(), table.column("n").to_numpy().astype(float)
-    alive, root, merges, now = np.arange(m), np.arange(m), [], distinct
+    alive, root, merges, now, rows = np.arange(m), np.arange(m), [], distinct, None
+    parts = 4 * spark.sparkContext.defaultParallelism
     while True:
+        few, lowest = len(alive) <= LAST, linkage == "average" and len(alive) <= 5 * LAST // 2  # unknown distances spread in its lists
+        most = None if few else min(max(LEAST, PAIRS // len(alive)), len(alive) - 1)
         held = np.ones(m, np.int64) if linkage == "ward" else np.bincount(root, minlength=m)
-        if linkage == "ward":  # centroids stand for their points
+        pieces = bool(held.max() > BLOCK)
+        if rows is not None:
+            pass
+        elif linkage == "ward":  # centroids stand for their points
             dealt = now.select("*", F.col("id").alias("cluster"), F.lit(1).alias("size"))
         else:
             dealt = now.join(spark.createDataFrame(pa.table({"id": names, "cluster": names[root], "size": held[root]})), "id")
-        few, pieces = len(alive) <= LAST, bool(held.max() > BLOCK)
-        most = None if few else min(max(LEAST, PAIRS // len(alive)), len(alive) - 1)
-        blocks = _blocks(dealt, len(alive) if linkage == "ward" else m, scratch)
-        found = _compared(blocks, linkage, most, pieces)
-        scratch.drop(blocks[0])
-        a, b = (np.searchsorted(names[alive], found.column(c).to_numpy()) for c in ("a", "b"))
-        d = found.column("d").to_numpy()
-        del found
+        if rows is None:
+            blocks = _blocks(dealt, len(alive) if linkage == "ward" else m, scratch)
+            if linkage != "ward" and len(alive) <= DENSE:
+                pairs, packs = _paired(blocks)
+                cells = pairs.mapInArrow(_row_cells(linkage, names[alive]), _ROWS)
+                rows = scratch.cut(_summed(cells, linkage, None, parts) if pieces or packs > 1 else cells)
+            else:
+                found = _compared(blocks, linkage, most, pieces)
+            scratch.drop(blocks[0])
+        if rows is not None and few:
+            matrix = np.empty((len(alive), len(alive)))
+            for batch in rows.toArrow().to_batches():
+                for i, v in zip(batch.column("a").to_pylist(), batch.column("x")):
+                    matrix[i] = _distances(np.frombuffer(v.as_buffer(), float), i, size[alive], linkage)
+            matrix = np.minimum(matrix, matrix.T)  # the two sums of a pair may be rounded differently
+        elif rows is not None and lowest:
+            done = _lowest(rows, linkage, size[alive])
+        elif rows is not None:
+            found = rows.mapInArrow(_lists(linkage, size[alive], most), "a long, b long, d double").toArrow()
+            a, b, d = (found.column(c).to_numpy() for c in ("a", "b", "d"))
+        else:
+            a, b = (np.searchsorted(names[alive], found.column(c).to_numpy()) for c in ("a", "b"))
+            d = found.column("d").to_numpy()
+            if few:
+                matrix = np.full((len(alive), len(alive)), np.inf)
+                matrix[a, b] = matrix[b, a] = d
+        found = None
         if few:
-            matrix = np.full((len(alive), len(alive)), np.inf)
-            matrix[a, b] = matrix[b, a] = d
             merges += [(alive[[i]], alive[[j]], np.array([h])) for i, j, h in C.merged(matrix, size[alive], 1, linkage)]
             break
-        bound = np.full(len(alive), np.inf)
-        if most < len(alive) - 1:
-            bound[:] = 0
-            np.maximum.at(bound, a, d)
-        low = np.lexsort((d, np.maximum(a, b), np.minimum(a, b)))
-        a, b, d = np.minimum(a, b)[low], np.maximum(a, b)[low], d[low]
-        once = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-        done = [(alive[i], alive[j], h) for i, j, h in settled(a[once], b[once], d[once], bound, size[alive], linkage)]
+        if rows is None or not lowest:
+            done = _from_lists(a, b, d, size[alive], most, linkage)
+        done = [(alive[i], alive[j], h) for i, j, h in done]
         to = np.arange(m)
         for i, j, _ in done:
             size[i] += size[j]
@@ -290,7 +441,11 @@ def agglomerative_in_rounds(points: DataFrame, k: int, linkage: str = "ward") ->
         while not np.array_equal(to, to[to]):
             to = to[to]
         merges += done
-        alive, root = alive[to[alive] == alive], to[root]
+        before, alive, root = alive, alive[to[alive] == alive], to[root]
+        if rows is not None:
+            merged = scratch.cut(_summed(rows, linkage, np.searchsorted(alive, to[before]), parts))
+            scratch.drop(rows)
+            rows = merged
         if linkage == "ward":
             mean = F.aggregate("z", F.transform(F.col("z")[0]["x"], lambda _: F.lit(0.0)), lambda s, p: F.zip_with(s, p["x"], lambda u, v: u + v * p["n"]))
             moved = now.join(spark.createDataFrame(pa.table({"id": names, "cluster": names[to]})), "id")

@@ -40,3 +40,21 @@ def test_a_pass_merges_many_rounds(spark, monkeypatch, linkage):
     got = A.agglomerative_in_rounds(points, 5, linkage).orderBy("id").collect()
     assert [r.cluster for r in got] == C.agglomerate(x, 5, linkage).tolist()
     assert len(passes) <= 9
+
+
+@pytest.mark.parametrize("dense", (0, 60, 1000))
+@pytest.mark.parametrize("linkage", ("average", "complete"))
+def test_distances_in_a_table(spark, monkeypatch, linkage, dense):
+    """Points are compared until ``DENSE`` clusters are left, whose distances are summed from then on; one cluster is in several blocks."""
+    monkeypatch.setattr(A, "LAST", 12)
+    monkeypatch.setattr(A, "BLOCK", 32)
+    monkeypatch.setattr(A, "PAIRS", 900)
+    monkeypatch.setattr(A, "DENSE", dense)
+    blocks, made = A._blocks, []
+    monkeypatch.setattr(A, "_blocks", lambda *a: made.append(1) or blocks(*a))
+    rng = np.random.default_rng(9)
+    x = np.concatenate((rng.normal(size=(50, 4)) * 0.01, rng.normal(size=(100, 4)) + 5))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    got = A.agglomerative_in_rounds(points, 4, linkage).orderBy("id").collect()
+    assert [r.cluster for r in got] == C.agglomerate(x, 4, linkage).tolist()
+    assert len(made) == 1 if dense == 1000 else len(made) > 1
